@@ -40,7 +40,7 @@ class Polynomial:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        self.base = (int(rng.integers(2**40, 2**62)) * 8 + 5) % 2**64
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def reach(self, n: int) -> None:
@@ -49,7 +49,7 @@ class Polynomial:
             n = max(n + 1, 2 * len(self.power), 1 << 16)
             back = pow(self.base, -1, 2**64)
             for name, by in (("power", self.base), ("inverse", back)):
-                steps = np.full(n, by, np.uint64)
+                steps = np.full(n, np.uint64(by))
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
