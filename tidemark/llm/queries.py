@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, substrings, toxicity
+from . import jaccard, packing, quality, substrings, toxicity
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_substring_dedup": substrings.op5_substring_dedup,
+        "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_packing": packing.op7_packing,
         "op10_toxicity": toxicity.op10_toxicity,
     }
