@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, quality, substrings, toxicity
+from . import jaccard, packing, pii, quality, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_substring_dedup": substrings.op5_substring_dedup,
         "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_packing": packing.op7_packing,
+        "op8_pii": pii.op8_pii,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 

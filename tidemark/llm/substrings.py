@@ -7,9 +7,9 @@ Positions whose remainder modulo `PERIOD` is in `COVER` hold an anchor, the hash
 `ANCHOR` words that start there. COVER is a difference cover: whatever the two places of
 a repeated passage, less than PERIOD words into it lies a position that is a cover position
 in both. As SIZE = PERIOD + ANCHOR - 1, that anchor lies wholly inside any repeated window,
-so only windows around a repeated anchor can be repeated (in practice few others are near
-one). These are extended to whole windows, hashed to 128 bits, and counted over all
-documents; the windows found twice are cut from the texts.
+so only windows around a repeated anchor can be repeated. These are extended to whole
+windows, hashed to 96 bits, and counted over all documents; the windows found twice are cut
+from the texts. Texts cross the network once, compressed.
 
 Both counts are one shuffle by hash. A task first merges what it holds itself: a hash it
 sees twice is settled there, and one marker of it goes to the others. A passage that a
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +50,12 @@ def merged(key: np.ndarray, key_2: np.ndarray, doc: np.ndarray, place: np.ndarra
     length of a run of starts that are settled; these are spread by an arbitrary key.
     """
     order = np.lexsort((key_2, key)) if key_2.any() else np.argsort(key)
-    key, key_2, doc, place = key[order], key_2[order], doc[order], place[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (key_2[1:] != key_2[:-1])
-    once = new.copy()
-    once[:-1] &= new[1:]
-    mark = new & ~once
+    new[1:] = (key[order][1:] != key[order][:-1]) | (key_2[order][1:] != key_2[order][:-1])
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    once, mark = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    once[order], mark[order] = alone, new & ~alone  # rows stay in the order of the documents, which compresses
     yield _table(key[once], key_2[once], np.ones(once.sum(), np.int64), doc[once], place[once])
     yield _table(key[mark], key_2[mark], np.full(mark.sum(), 2), np.zeros(mark.sum(), np.int64), np.zeros(mark.sum(), np.int64))
     doc, place = doc[~once], place[~once]
@@ -88,6 +89,21 @@ def repeated(rows: DataFrame) -> DataFrame:
     return kept.select(F.col("doc").alias("_doc"), tag.alias("_tag"), run.alias("run")).groupBy("_doc", "_tag").agg(F.collect_list("run").alias("_runs"))
 
 
+def _squeezed(batches):
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        small = [squeeze.compress(part.buf[i:j]) for part in slices(batch.column(at)) for i, j in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
+        yield batch.set_column(at, "text", pa.array(small, pa.binary()))
+
+
+def _text(batch) -> pa.Array:
+    spread = zstandard.ZstdDecompressor()
+    texts = [spread.decompress(x.as_buffer()) for x in batch.column("text")]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(b"".join(texts)))
+
+
 def _places(part: Slice, tags: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Tag of the text and place of the word within its document, in one number."""
     return (tags[part.lo + doc].astype(np.int64) << 32) | (at - part.word_offsets[doc])
@@ -126,12 +142,12 @@ def _windows(batches):
     def found():
         for batch in batches:
             docs, tags = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_doc", "_tag"))
-            for part in slices(batch.column("text")):
+            for part in slices(_text(batch)):
                 near = _marked(batch.column("_runs"), part.lo, part.hi, part.word_offsets, SIZE - ANCHOR, 0)
                 first, second = (p.windows(p.sums(w), SIZE) for p, w in ((OVER_WORDS, part.words), (OVER_WORDS_2, part.words_2)))
                 at = np.flatnonzero(near[: len(first)] & part.inside(SIZE, part.word_offsets))
                 doc = part.doc_of_word()[at]
-                yield mix(first[at]), mix(second[at]), docs[part.lo + doc], _places(part, tags, at, doc)
+                yield mix(first[at]), mix(second[at]) >> np.uint64(32), docs[part.lo + doc], _places(part, tags, at, doc)
 
     return in_blocks(found())
 
@@ -139,7 +155,7 @@ def _windows(batches):
 def _cut(batches):
     for batch in batches:
         texts, totals, gone = [], [], []
-        for part in slices(batch.column("text")):
+        for part in slices(_text(batch)):
             out = _marked(batch.column("_runs"), part.lo, part.hi, part.word_offsets, 0, SIZE - 1)
             n_gone = part.per_doc(out, part.word_offsets)
             keep = np.ones(len(part.buf), bool)
@@ -171,7 +187,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63) + 1)).cast("long"), "_tag": F.shiftright(F.xxhash64("text", "doc_id"), 32).cast("int")})
     narrow = keyed.select("_doc", "_tag", "text")
     by_hash = narrow.mapInArrow(_anchors, MERGED).repartition("key", "key_2")
-    texts = keyed.repartition("_doc", "_tag")  # one exchange: both joins read all its columns, so Spark reuses it
+    squeezed = keyed.mapInArrow(_squeezed, ", ".join(f"`{f.name.replace('`', '``')}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in keyed.schema))
+    texts = squeezed.repartition("_doc", "_tag")  # one exchange: both joins read all its columns, so Spark reuses it
     near = texts.join(repeated(by_hash).hint("shuffle_hash"), ["_doc", "_tag"])
     windows = near.mapInArrow(_windows, MERGED).repartition("key", "key_2")
     found = texts.join(repeated(windows).hint("shuffle_hash"), ["_doc", "_tag"], "left")
