@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, pii, quality, substrings, toxicity
+from . import jaccard, langid, packing, pii, quality, substrings, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_packing": packing.op7_packing,
         "op8_pii": pii.op8_pii,
+        "op9_language_id": langid.op9_language_id,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
