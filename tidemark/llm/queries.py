@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, packing, pii, quality, substrings, toxicity
+from . import jaccard, langid, neighbours, packing, pii, quality, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_neighbours": neighbours.op1_neighbours,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_substring_dedup": substrings.op5_substring_dedup,
         "op6_jaccard_join": jaccard.op6_jaccard_join,
