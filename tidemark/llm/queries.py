@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, neighbours, packing, pii, quality, substrings, toxicity
+from . import jaccard, langid, neighbours, packing, pii, quality, substrings, toxicity, urlrules
 
 
 def queries() -> dict:
     return {
         "op1_neighbours": neighbours.op1_neighbours,
+        "op2_url_filters": urlrules.op2_url_filters,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_substring_dedup": substrings.op5_substring_dedup,
         "op6_jaccard_join": jaccard.op6_jaccard_join,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": urlrules.OP2_SQL}
