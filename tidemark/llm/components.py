@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settled
+
 
 def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.min("b").alias("m"))
@@ -19,7 +21,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     and a checksum. Nodes without links don't appear; null ends are left out.
     """
     clean = lambda x: x.where(F.col("a") != F.col("b")).distinct()
-    now = clean(links.select("a", "b").dropna().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).checkpoint()
+    now = settled(clean(links.select("a", "b").dropna().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     before = None
     for _ in range(rounds):
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -29,7 +31,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both).select("a", F.least("a", "m").alias("m"))
         large = clean(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = clean(large.join(_least(large), "a").select(F.explode(F.array(F.struct("b", F.col("m")), F.struct(F.col("a").alias("b"), F.col("m")))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))).checkpoint()
+        ends = F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")
+        now = settled(clean(large.join(_least(large), "a").select(ends).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))))
     else:
         raise RuntimeError(f"no stars after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

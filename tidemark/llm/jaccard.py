@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .shared import settled
 from .textops import OVER_WORDS, mix, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -168,12 +169,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = docs.sparkSession
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("tag"), "text")
-    sketch = tagged.mapInArrow(_sketch(prefix_length(threshold)), "doc_id long, tag int, set_1 long, set_2 long, keys array<long>").checkpoint()
+    sketch = settled(tagged.mapInArrow(_sketch(prefix_length(threshold)), "doc_id long, tag int, set_1 long, set_2 long, keys array<long>"))
     known = sketch.where(F.col("doc_id").isNotNull() & F.col("keys").isNotNull())
-    classes = known.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "tag")).alias("who"), F.count("*").alias("copies"), F.first("keys").alias("keys")).select("set_1", "set_2", F.col("who.doc_id").alias("doc"), F.col("who.tag").alias("tag"), "copies", "keys").checkpoint()
+    classes = known.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "tag")).alias("who"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    classes = settled(classes.select("set_1", "set_2", F.col("who.doc_id").alias("doc"), F.col("who.tag").alias("tag"), "copies", "keys"))
     paths = classes.select("doc", F.explode("keys").alias("key"))
     shared = paths.groupBy("key").agg(F.min("doc").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1)
-    clusters = components(paths.join(shared, "key").select(F.col("doc").alias("a"), "b").where(F.col("a") != F.col("b"))).checkpoint()
+    clusters = settled(components(paths.join(shared, "key").select(F.col("doc").alias("a"), "b").where(F.col("a") != F.col("b"))))
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     bins = max(1, clusters.count() // BLOCK)
@@ -190,11 +192,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("group"),
         F.when(small, F.lit(-1)).otherwise(F.col("at.i")).alias("i"), F.when(small, F.lit(-1)).otherwise(F.col("at.j")).alias("j"),
     )
-    found = dealt.groupBy("group", "i", "j").applyInArrow(_verify(threshold), "doc long, links long, root long").checkpoint()
+    found = settled(dealt.groupBy("group", "i", "j").applyInArrow(_verify(threshold), "doc long, links long, root long"))
     linked = found.groupBy("doc").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     labels = classes.select("set_1", "set_2", "doc", "copies").join(linked, "doc", "left").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-    labels = labels.select("set_1", "set_2", F.coalesce("root", "doc").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")).checkpoint()
+    labels = settled(labels.select("set_1", "set_2", F.coalesce("root", "doc").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")))
     named = known.select("doc_id", "set_1", "set_2").join(labels, ["set_1", "set_2"]).select("doc_id", F.col("root").alias("class_id"), F.col("n").alias("n_links"))
     alone = sketch.where(F.col("doc_id").isNull() | F.col("keys").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return named.union(alone)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, neighbours, packing, pii, quality, substrings, toxicity, urlrules
+from . import jaccard, langid, neighbours, packing, pieces, pii, quality, substrings, toxicity, urlrules
 
 
 def queries() -> dict:
     return {
         "op1_neighbours": neighbours.op1_neighbours,
         "op2_url_filters": urlrules.op2_url_filters,
+        "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_substring_dedup": substrings.op5_substring_dedup,
         "op6_jaccard_join": jaccard.op6_jaccard_join,

@@ -89,14 +89,21 @@ class Slice:
     @cached_property
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words."""
-        word, n = self.is_word, len(self.buf)
+        return self.runs(self.is_word)
+
+    def runs(self, inside: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of `inside` bytes, cut at documents and where `breaks` says."""
+        n = len(self.buf)
         first, last = np.empty(n, bool), np.empty(n, bool)
         if n:
             first[0] = last[-1] = True
-            first[1:], last[:-1] = ~word[:-1], ~word[1:]
-            inner = self.offsets[(self.offsets > 0) & (self.offsets < n)]
-            first[inner] = last[inner - 1] = True
-        return np.flatnonzero(word & first), np.flatnonzero(word & last) + 1
+            first[1:], last[:-1] = ~inside[:-1], ~inside[1:]
+            cuts = self.offsets[(self.offsets > 0) & (self.offsets < n)]
+            first[cuts] = last[cuts - 1] = True
+            if breaks is not None:
+                first |= breaks
+                last[:-1] |= breaks[1:]
+        return np.flatnonzero(inside & first), np.flatnonzero(inside & last) + 1
 
     @cached_property
     def word_offsets(self) -> np.ndarray:
@@ -213,9 +220,13 @@ class WordMemo:
         return self.starts[rows], self.lengths[rows]
 
 
-def word_array(part: Slice) -> pa.Array:
-    """The words of a slice as strings."""
-    starts, ends = part.spans
-    body = part.buf[ragged(starts, ends - starts)]
+def strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Spans of a buffer as strings."""
+    body = buf[ragged(starts, ends - starts)]
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body)))
+
+
+def word_array(part: Slice) -> pa.Array:
+    """The words of a slice as strings."""
+    return strings(part.buf, *part.spans)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
+from .shared import settled
 from .textops import FIRST, SEPARATOR, as_text, slices
 
 #: Lengths in bytes of the n-grams; white space counts as one character, so that they see where words begin.
@@ -83,7 +84,7 @@ def _emit_counts(batches):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, where=None) -> Model | None:
     """A model from `sample_rows` labelled rows at most. None if a class is missing: then scores are 0."""
-    sample = linear.labelled(docs, labels, "toxic", sample_rows, where).checkpoint()
+    sample = settled(linear.labelled(docs, labels, "toxic", sample_rows, where))
     sizes = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
