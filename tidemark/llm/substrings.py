@@ -9,11 +9,13 @@ a repeated passage, less than PERIOD words into it lies a position that is a cov
 in both. As SIZE = PERIOD + ANCHOR - 1, that anchor lies wholly inside any repeated window,
 so only windows around a repeated anchor can be repeated. These are extended to whole
 windows, hashed to 96 bits, and counted over all documents; the windows found twice are cut
-from the texts. Texts cross the network once, compressed.
+from the texts. Texts meet what was found in them compressed.
 
-Both counts are one shuffle by hash. A task first merges what it holds itself: a hash it
-sees twice is settled there, and one marker of it goes to the others. A passage that a
-third of all documents share thus sends a row for each task and block, not for each document.
+Each count is one shuffle by hash. A task first merges what it holds itself: a hash it sees
+twice is settled there, and one marker of it goes to the others, so a passage that a third
+of all documents share sends one entry for each block of a task, not for each document.
+Entries travel packed: a row holds all entries of a block for one bucket of hashes, and
+a task counts one bucket at a time.
 """
 
 from __future__ import annotations
@@ -22,71 +24,126 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .textops import OVER_WORDS, OVER_WORDS_2, Slice, mix, ragged, slices
 
 SIZE, PERIOD, ANCHOR = 35, 21, 15
+#: Bits of an anchor's hash that aren't sent; anchors only say where to look.
+ANCHOR_SHIFT = 16
 #: A perfect difference set modulo 21.
 COVER = (0, 1, 4, 14, 16)
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
-#: Hashes that a task merges at once.
-BLOCK = 1 << 19
+#: Hashes that a task merges at once; bytes of text whose hashes make a bucket.
+BLOCK, BUCKET_BYTES = 1 << 20, 64 << 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_FIELDS = ("key", "key_2", "n", "doc", "place")
+_TYPES = (np.uint64, np.uint32, np.int32, np.int64, np.int64)
+_ENTRY = sum(np.dtype(x).itemsize for x in _TYPES)
 
 
-def _table(key, key_2, n, doc, place):
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in (key, key_2, n, doc, place)], ["key", "key_2", "n", "doc", "place"])
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Entries in the order of the documents, column by column: docs as steps, place as tag and word."""
+    key, key_2, n, doc, place = columns
+    parts = [doc[:1], np.diff(doc), (place >> 32).astype(np.int32), place.astype(np.int32), n, key_2, key]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
 
 
-MERGED = "key long, key_2 long, n long, doc long, place long"
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at = zstandard.ZstdDecompressor().decompress(data), 0
+    rows = len(raw) // _ENTRY
+    out = []
+    for kind in (np.int64, np.int32, np.int32, np.int32, np.uint32, np.uint64):
+        out.append(np.frombuffer(raw, kind, rows, at))
+        at += rows * np.dtype(kind).itemsize
+    doc, tag, word, n, key_2, key = out
+    return [key, key_2, n, np.cumsum(doc), (tag.astype(np.int64) << 32) | word]
 
 
-def merged(key: np.ndarray, key_2: np.ndarray, doc: np.ndarray, place: np.ndarray):
+def merged(key: np.ndarray, key_2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """What a block of hashes sends on.
 
     n is 1 for a hash seen once here, 2 for the marker of one seen more often, and minus the
     length of a run of starts that are settled; these are spread by an arbitrary key.
     """
-    order = np.lexsort((key_2, key)) if key_2.any() else np.argsort(key)
+    order = np.lexsort((key_2, key))
     new = np.ones(len(key), bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | (key_2[order][1:] != key_2[order][:-1])
     alone = new.copy()
     alone[:-1] &= new[1:]
-    once, mark = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    once[order], mark[order] = alone, new & ~alone  # rows stay in the order of the documents, which compresses
-    yield _table(key[once], key_2[once], np.ones(once.sum(), np.int64), doc[once], place[once])
-    yield _table(key[mark], key_2[mark], np.full(mark.sum(), 2), np.zeros(mark.sum(), np.int64), np.zeros(mark.sum(), np.int64))
-    doc, place = doc[~once], place[~once]
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    once, sent = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    once[order], sent[order] = alone, new
+    left, where = doc[~once], place[~once]
+    by = np.lexsort((where, left))
+    left, where = left[by], where[by]
+    first = np.ones(len(left), bool)
+    first[1:] = (left[1:] != left[:-1]) | (where[1:] != where[:-1] + 1)
     at = np.flatnonzero(first)
-    runs = np.diff(np.append(at, len(doc)))
-    yield _table(mix(doc[at].view(np.uint64) ^ (place[at].astype(np.uint64) * SPREAD)), np.zeros(len(at), np.int64), -runs, doc[at], place[at])
+    runs = np.diff(np.append(at, len(left)))
+    spread = mix(left[at].view(np.uint64) ^ (where[at].astype(np.uint64) * SPREAD))
+    here = [key[sent], key_2[sent], np.where(once[sent], 1, 2), doc[sent], place[sent]]
+    settled = [spread, np.zeros(len(at)), -runs, left[at], where[at]]
+    return [np.concatenate([x, y]).astype(kind) for x, y, kind in zip(here, settled, _TYPES, strict=True)]
 
 
-def in_blocks(found):
-    """Arrays (key, key_2, doc, place) merged in blocks."""
+def in_buckets(found, buckets: int):
+    """Arrays (key, key_2, doc, place), merged in blocks and packed by bucket of the key."""
+
+    def send(held):
+        columns = merged(*map(np.concatenate, zip(*held, strict=True)))
+        bucket = (mix(columns[0]) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [x[order] for x in columns]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        packed = [pack([x[i:j] for x in columns]) for i, j in zip(starts, np.append(starts[1:], len(bucket)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], ["bucket", "entries"])
+
     held: list = []
     for x in found:
-        held.append(x)
+        if len(x[0]):
+            held.append(x)
         if sum(len(y[0]) for y in held) >= BLOCK:
-            yield from merged(*map(np.concatenate, zip(*held, strict=True)))
+            yield send(held)
             held = []
     if held:
-        yield from merged(*map(np.concatenate, zip(*held, strict=True)))
+        yield send(held)
+
+
+def _count(batches):
+    """Of rows in the order of their bucket: the settled runs, and the single hashes that occur anywhere else."""
+
+    def counted(entries):
+        key, key_2, n, doc, place = map(np.concatenate, zip(*map(unpack, entries), strict=True))
+        order = np.lexsort((key_2, key))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (key_2[order][1:] != key_2[order][:-1])
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(new) - 1
+        times = np.bincount(group, np.maximum(n, 0))[group]
+        use = (n < 0) | ((n == 1) & (times > 1))
+        doc, place, n = doc[use], place[use], n[use]
+        columns = (doc, (place >> 32).astype(np.int32), place.astype(np.int32), np.where(n < 0, -n, 1).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["_doc", "_tag", "start", "length"])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            if held and bucket != now:
+                yield counted(held)
+                held = []
+            now = bucket
+            held.append(entries)
+    if held:
+        yield counted(held)
+
+
+PACKED = "bucket int, entries binary"
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Of merged hashes, the settled runs and the single ones that occur anywhere else: tag, doc, runs of starts."""
-    count = F.sum(F.greatest("n", F.lit(0))).over(W.partitionBy("key", "key_2"))
-    kept = rows.withColumn("times", count).where((F.col("n") < 0) | ((F.col("n") == 1) & (F.col("times") > 1)))
-    tag, start = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
-    run = F.struct(start.alias("start"), F.when(F.col("n") < 0, -F.col("n")).otherwise(1).cast("int").alias("length"))
-    return kept.select(F.col("doc").alias("_doc"), tag.alias("_tag"), run.alias("run")).groupBy("_doc", "_tag").agg(F.collect_list("run").alias("_runs"))
+    """_doc, _tag and the runs of starts of its repeated hashes."""
+    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "_doc long, _tag int, start int, length int")
+    return found.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("start", "length")).alias("_runs"))
 
 
 def _squeezed(batches):
@@ -109,8 +166,8 @@ def _places(part: Slice, tags: np.ndarray, at: np.ndarray, doc: np.ndarray) -> n
     return (tags[part.lo + doc].astype(np.int64) << 32) | (at - part.word_offsets[doc])
 
 
-def _anchors(batches):
-    def found():
+def _anchors(buckets: int):
+    def found(batches):
         for batch in batches:
             docs, tags = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_doc", "_tag"))
             for part in slices(batch.column("text")):
@@ -118,9 +175,10 @@ def _anchors(batches):
                 doc = part.doc_of_word()[: len(hashes)]
                 at = np.flatnonzero(_IS_COVER[(np.arange(len(hashes)) - part.word_offsets[doc]) % PERIOD] & part.inside(ANCHOR, part.word_offsets))
                 doc = doc[at]
-                yield mix(hashes[at]), np.zeros(len(at), np.uint64), docs[part.lo + doc], _places(part, tags, at, doc)
+                key = mix(hashes[at])
+                yield key >> np.uint64(ANCHOR_SHIFT), np.zeros(len(at), np.uint32), docs[part.lo + doc], _places(part, tags, at, doc)
 
-    return in_blocks(found())
+    return lambda batches: in_buckets(found(batches), buckets)
 
 
 def _marked(runs: pa.Array, lo: int, hi: int, bounds: np.ndarray, left: int, right: int) -> np.ndarray:
@@ -138,8 +196,8 @@ def _marked(runs: pa.Array, lo: int, hi: int, bounds: np.ndarray, left: int, rig
     return np.cumsum(change[:-1]) > 0
 
 
-def _windows(batches):
-    def found():
+def _windows(buckets: int):
+    def found(batches):
         for batch in batches:
             docs, tags = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_doc", "_tag"))
             for part in slices(_text(batch)):
@@ -147,9 +205,9 @@ def _windows(batches):
                 first, second = (p.windows(p.sums(w), SIZE) for p, w in ((OVER_WORDS, part.words), (OVER_WORDS_2, part.words_2)))
                 at = np.flatnonzero(near[: len(first)] & part.inside(SIZE, part.word_offsets))
                 doc = part.doc_of_word()[at]
-                yield mix(first[at]), mix(second[at]) >> np.uint64(32), docs[part.lo + doc], _places(part, tags, at, doc)
+                yield mix(first[at]), (mix(second[at]) >> np.uint64(32)).astype(np.uint32), docs[part.lo + doc], _places(part, tags, at, doc)
 
-    return in_blocks(found())
+    return lambda batches: in_buckets(found(batches), buckets)
 
 
 def _cut(batches):
@@ -186,11 +244,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_words", "n_removed")
     keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63) + 1)).cast("long"), "_tag": F.shiftright(F.xxhash64("text", "doc_id"), 32).cast("int")})
     narrow = keyed.select("_doc", "_tag", "text")
-    by_hash = narrow.mapInArrow(_anchors, MERGED).repartition("key", "key_2")
-    squeezed = keyed.mapInArrow(_squeezed, ", ".join(f"`{f.name.replace('`', '``')}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in keyed.schema))
-    texts = squeezed.repartition("_doc", "_tag")  # one exchange: both joins read all its columns, so Spark reuses it
-    near = texts.join(repeated(by_hash).hint("shuffle_hash"), ["_doc", "_tag"])
-    windows = near.mapInArrow(_windows, MERGED).repartition("key", "key_2")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    texts = keyed.mapInArrow(_squeezed, ", ".join(f"`{f.name.replace('`', '``')}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in keyed.schema))
+    near = texts.join(repeated(narrow.mapInArrow(_anchors(buckets), PACKED)).hint("shuffle_hash"), ["_doc", "_tag"])
+    windows = near.select("_doc", "_tag", "text", "_runs").mapInArrow(_windows(buckets), PACKED)
     found = texts.join(repeated(windows).hint("shuffle_hash"), ["_doc", "_tag"], "left")
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
     return found.mapInArrow(_cut, f"{schema}, n_words long, n_removed long")
