@@ -20,14 +20,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import WordMemo, ragged, slices, word_array
+from .textops import Slice, WordMemo, ragged, slices, strings
 
 CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 BLOCK_BYTES = 4 << 20
 #: Sequences looked at for one with room before a document is cut.
 TRIES = 16
+#: Distinct units that a worker remembers.
+MEMO_WORDS = 1_000_000
 _memos: dict[str, WordMemo] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'")]] = True
 
 
 def tokenizer_path() -> str:
@@ -43,7 +50,7 @@ def word_memo(path: str) -> WordMemo:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _memos[path] = WordMemo(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        _memos[path] = WordMemo(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], MEMO_WORDS)
     return _memos[path]
 
 
@@ -148,12 +155,31 @@ class Packer:
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def units(part: Slice) -> tuple[pa.Array, np.ndarray]:
+    """Parts of a text whose ids, one after another, are the text's, and their bounds by document.
+
+    The tokenizer lower-cases, ends tokens at white space and never joins letters to
+    punctuation but for an apostrophe's. So ASCII letters can be lower-cased here and words
+    cut between an ASCII letter and ASCII punctuation, which leaves far fewer distinct parts.
+    Where a special token's text might be meant, words stay whole.
+    """
+    buf, breaks = part.buf, None
+    if b"<|" not in buf.tobytes():
+        buf = _LOWER[buf]
+        letter, mark = _LETTER[buf], _MARK[buf]
+        breaks = np.zeros(len(buf), bool)
+        breaks[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    starts, ends = part.runs(part.is_word, breaks)
+    return strings(buf, starts, ends), np.searchsorted(starts, part.offsets)
+
+
 def tokens(texts: pa.Array, path: str):
     """For blocks of documents: the first one's place, ids of all, and each one's number of ids."""
     memo = word_memo(path)
     for part in slices(texts, BLOCK_BYTES):
-        starts, lengths = memo(word_array(part))
-        counts = part.per_doc(lengths, part.word_offsets)
+        words, bounds = units(part)
+        starts, lengths = memo(words)
+        counts = part.per_doc(lengths, bounds)
         flat = memo.ids[ragged(starts, lengths)]
         yield part.lo, np.insert(flat, np.cumsum(counts), END_ID).astype("<u4"), counts + 1
 
