@@ -17,15 +17,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import WordMemo, as_text, mix, slices, word_array
+from .textops import Slice, WordMemo, as_text, mix, slices, strings
 
 #: Pieces up to so many characters; runs of letters are scored in parts of that many at most.
 LONGEST, PART = 12, 48
+#: Parts are worked out together in groups of these widths.
+WIDTHS = (6, 10, 14, 20, 32, 49)
+_GROUP = np.searchsorted(WIDTHS, np.arange(PART + 2)).tolist()
 #: Added to each count; probability of a letter that is no piece.
 SMOOTHING, UNKNOWN = 0.5, 1e-9
 SLICE_BYTES = 2 << 20
 FOLDS, HELD_OUT = 4, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
+_MAYBE = np.zeros(256, bool)
+_MAYBE[65:91] = _MAYBE[97:123] = _MAYBE[128:] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,12 +53,11 @@ class Pieces:
         size = 1 << (len(keys) * 4).bit_length()
         self.shift = np.uint64(64 - size.bit_length() + 1)
         self.keys, self.ids = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        self.probes = 1
         for i, key in enumerate(keys):
-            at, steps = int(key >> self.shift), 1
+            at = int(key >> self.shift)
             while self.keys[at]:
-                at, steps = (at + 1) % size, steps + 1
-            self.keys[at], self.ids[at], self.probes = key, i, max(self.probes, steps)
+                at = (at + 1) % size
+            self.keys[at], self.ids[at] = key, i
 
     @staticmethod
     def hash(codes: np.ndarray) -> np.ndarray:
@@ -64,15 +68,17 @@ class Pieces:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash, or -1."""
-        out, at = np.full(len(keys), -1, np.int32), (keys >> self.shift).astype(np.int64)
-        for _ in range(self.probes):
-            hit = self.keys[at] == keys
-            out[hit] = self.ids[at[hit]]
-            at = (at + 1) % len(self.keys)
+        out, at, left = np.full(len(keys), -1, np.int32), (keys >> self.shift).astype(np.int64), None
+        while len(at):
+            there = self.keys[at]
+            hit = there == keys
+            out[np.flatnonzero(hit) if left is None else left[hit]] = self.ids[at[hit]]
+            more = np.flatnonzero(~hit & (there != 0))
+            left, keys, at = more if left is None else left[more], keys[more], (at[more] + 1) % len(self.keys)
         return out
 
     def spans(self, codes: np.ndarray):
-        """(start, end, piece of each word or -1) of all spans of words with equal lengths."""
+        """(start, end, piece of each word or -1) of all spans of padded words; none reaches into the padding."""
         n = codes.shape[1]
         for i in range(n):
             h = np.ones(len(codes), np.uint64)
@@ -100,15 +106,23 @@ def runs(word: str) -> list[str]:
 
 
 def by_length(words: list[str]):
-    """(owners, code points) of the parts of all words, by length of the part."""
-    parts: dict[int, tuple[list[int], list[str]]] = {}
+    """(owners, lengths, code points) of the parts of all words, in a few groups of like length, padded with 0."""
+    parts: list[tuple[list[int], list[str]]] = [([], []) for _ in WIDTHS]
     for i, w in enumerate(words):
         for r in runs(w):
-            own = parts.setdefault(len(r), ([], []))
+            own = parts[_GROUP[len(r)]]
             own[0].append(i)
             own[1].append(r)
-    for n, (owners, texts) in parts.items():
-        yield np.array(owners), np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+    for n, (owners, texts) in zip(WIDTHS, parts, strict=True):
+        if texts:
+            codes = np.frombuffer("".join([t.ljust(n, "\0") for t in texts]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            yield np.array(owners), np.array([len(t) for t in texts]), np.ascontiguousarray(codes.T, np.uint64).T
+
+
+def letters(part: Slice) -> tuple[pa.Array, np.ndarray]:
+    """Runs of ASCII letters and of other characters than ASCII, and their bounds by document."""
+    starts, ends = part.runs(_MAYBE[part.buf])
+    return strings(part.buf, starts, ends), np.searchsorted(starts, part.offsets)
 
 
 def occurrences(path: str):
@@ -116,7 +130,7 @@ def occurrences(path: str):
 
     def encode(words: list[str]) -> list[list[int]]:
         vocabulary, out = pieces(path), [[] for _ in words]
-        for owners, codes in by_length(words):
+        for owners, _, codes in by_length(words):
             for _, _, found in vocabulary.spans(codes):
                 for k in np.flatnonzero(found >= 0).tolist():
                     out[owners[k]].append(int(found[k]))
@@ -140,8 +154,9 @@ def _count(path: str):
             langs = batch.column("lang").dictionary_encode()
             names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
             for part in slices(pc.utf8_lower(as_text(batch.column("text"))), SLICE_BYTES):
-                coded = word_array(part).dictionary_encode()
-                lang = np.repeat(codes[part.lo : part.hi], np.diff(part.word_offsets))
+                words, bounds = letters(part)
+                coded = words.dictionary_encode()
+                lang = np.repeat(codes[part.lo : part.hi], np.diff(bounds))
                 times = np.bincount(lang * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), minlength=len(names) * max(1, len(coded.dictionary))).reshape(len(names), -1)
                 starts, lengths = memo(coded.dictionary)
                 ids = memo.ids[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
@@ -168,7 +183,7 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word by language, and the number of its parts."""
         vocabulary, out = pieces(self.path), np.zeros((len(words), len(self.langs) + 1))
-        for owners, codes in by_length(words):
+        for owners, sizes, codes in by_length(words):
             n = codes.shape[1]
             forward = np.zeros((n + 1, len(codes), len(self.langs)))
             forward[0] = 1
@@ -177,14 +192,14 @@ class Model:
                     forward[j] += forward[i] * self.probabilities[np.where(found < 0, len(self.probabilities) - 1, found)]
                 elif (hit := np.flatnonzero(found >= 0)).size:
                     forward[j, hit] += forward[i, hit] * self.probabilities[found[hit]]
-            np.add.at(out, owners, np.column_stack([np.log(forward[n]), np.ones(len(codes))]))
+            np.add.at(out, owners, np.column_stack([np.log(np.maximum(forward[sizes, np.arange(len(codes))], 1e-300)), np.ones(len(codes))]))
         return out
 
 
 class Scores:
     """Memo of a model's words in a worker, of bounded size."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 600_000):
         self.model, self.most = model, most
         self.clear()
 
@@ -241,11 +256,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text"))
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             for part in slices(pc.utf8_lower(as_text(texts)), SLICE_BYTES) if model else ():
-                coded = word_array(part).dictionary_encode()
+                words, bounds = letters(part)
+                coded = words.dictionary_encode()
                 if not len(coded):
                     continue
                 rows = memo(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-                sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, 0)])[part.word_offsets]
+                sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, 0)])[bounds]
                 sums = np.diff(sums, axis=0)
                 z = sums[:, :-1] + model.prior
                 best = z.argmax(1)
