@@ -9,8 +9,9 @@ segmentation, so ids equal the library's.
 The search keeps a window of the last positions, as many as the longest piece has
 characters: only these can begin a later arc. As soon as the best paths to all of them share
 a boundary, what lies before it is committed and forgotten, so memory is bounded
-whatever a text's length. No piece crosses the beginning of a word, where all paths thus
-meet; words between such boundaries are worked out once and remembered.
+whatever a text's length. No piece crosses the place between two characters that are
+neighbours in no piece, as before a word, so all paths meet there; what lies between such
+places is worked out once and remembered.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .shared import widened
 from .textops import Slice, WordMemo, ragged, slices, strings
 
 MARK = "▁"
-SLICE_BYTES = 2 << 20
-MEMO_WORDS = 800_000
+SLICE_BYTES, DECODED_IDS = 2 << 20, 500_000
+#: Words, and pairs of pieces, that a worker remembers.
+MEMO_WORDS, MEMO_PAIRS = 300_000, 500_000
 _vocabularies: dict[str, Vocabulary] = {}  # noqa: F821  (annotations aren't evaluated)
 
 
@@ -54,9 +58,12 @@ class Vocabulary:
         self.scores = {i: model.get_score(i) for i in self.texts}
         self.longest = max(map(len, self.ids))
         self.floor = min(self.scores.values()) - 10.0
-        #: No piece holds a mark after another character, nor a line's end beside any.
-        self.words_apart = not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in self.ids)
-        self._joined: dict[tuple[int, int], bool] = {}
+        #: Pairs of bytes that are neighbours in some piece, spaces standing for marks.
+        self.inside = np.zeros((256, 256), bool)
+        for p in self.ids:
+            raw = p.replace(MARK, " ").encode()
+            self.inside[list(raw[:-1]), list(raw[1:])] = True
+        self._joined: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """A byte-pair model's segmentation: the best-scored neighbours merge first, the leftmost of equals."""
@@ -74,11 +81,14 @@ class Vocabulary:
 
     def may_follow(self, before: int, piece: int) -> bool:
         """Do the merges leave these two pieces apart and whole? before -1: is the piece whole by itself?"""
-        key = (before, piece)
-        if key not in self._joined:
-            texts = [self.texts[i] for i in key if i >= 0]
-            self._joined[key] = self.merged("".join(texts)) == texts
-        return self._joined[key]
+        key = (before + 1 << 32) | piece
+        known = self._joined.get(key)
+        if known is None:
+            if len(self._joined) >= MEMO_PAIRS:
+                self._joined.clear()
+            texts = [self.texts[i] for i in (before, piece) if i >= 0]
+            known = self._joined[key] = self.merged("".join(texts)) == texts
+        return known
 
     def of_character(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()]
@@ -94,27 +104,29 @@ class Stream:
         self.last = [-1]  # that arc's piece; -1 at the start and after a character that is no piece
         self.score = [0.0]
 
-    def _extend(self, c: str) -> None:
-        v = self.v
-        self.text += c
-        n = len(self.text)
-        best = None
-        for i in range(max(0, n - v.longest), n):
-            piece = v.ids.get(self.text[i:n])
-            if piece is None:
-                continue
+    def _extend(self) -> None:
+        """Carry the search on to the end of the window's text."""
+        v, text, back, last, score = self.v, self.text, self.back, self.last, self.score
+        find, longest, known = v.ids.get, v.longest, v._joined
+        for n in range(len(back), len(text) + 1):
+            start, arc = n - 1, -1
             if v.unigram:
-                s = self.score[i] + v.scores[piece]
-                if best is None or s > best[0]:
-                    best = (s, i, piece)
-            elif v.may_follow(self.last[i], piece):
-                best = (0.0, i, piece)
-                break
-        if best is None:
-            best = (self.score[n - 1] + (v.floor if v.unigram else 0.0), n - 1, -1)
-        self.score.append(best[0])
-        self.back.append(best[1])
-        self.last.append(best[2])
+                best = None
+                for i in range(n - longest if n > longest else 0, n):
+                    piece = find(text[i:n])
+                    if piece is not None and (best is None or score[i] + v.scores[piece] > best):
+                        best, start, arc = score[i] + v.scores[piece], i, piece
+                score.append(score[n - 1] + v.floor if best is None else best)
+            else:
+                for i in range(n - longest if n > longest else 0, n):
+                    piece = find(text[i:n])
+                    if piece is not None:
+                        open_ = known.get((last[i] + 1 << 32) | piece)
+                        if v.may_follow(last[i], piece) if open_ is None else open_:
+                            start, arc = i, piece
+                            break
+            back.append(start)
+            last.append(arc)
 
     def _path(self, to: int) -> list[int]:
         arcs = []
@@ -134,17 +146,18 @@ class Stream:
 
     def _commit(self, to: int) -> list[int]:
         out = self._path(to)
-        base = self.score[to]
-        self.text, self.back = self.text[to:], [max(0, b - to) for b in self.back[to:]]
-        self.last, self.score = self.last[to:], [s - base for s in self.score[to:]]
-        self.back[0] = 0
+        self.text, self.back, self.last = self.text[to:], [0, *(b - to for b in self.back[to + 1 :])], self.last[to:]
+        if self.v.unigram:
+            self.score = [s - self.score[to] for s in self.score[to:]]
         return out
 
     def push(self, text: str) -> list[int]:
         out: list[int] = []
-        for c in text:
-            self._extend(c)
-            if len(self.text) >= 4 * self.v.longest and (to := self._boundary()):
+        step = 4 * self.v.longest
+        for i in range(0, len(text), step):
+            self.text += text[i : i + step]
+            self._extend()
+            if len(self.text) >= step and (to := self._boundary()):
                 out += self._commit(to)
         return out
 
@@ -185,18 +198,18 @@ def _memo(path: str) -> WordMemo:
     return _memos[path]
 
 
-def words(part: Slice) -> tuple[pa.Array, np.ndarray]:
-    """The words with the spaces before them and the line ends of a slice, and their bounds by document.
+def words(part: Slice, v: Vocabulary) -> tuple[pa.Array, np.ndarray]:
+    """The parts of a slice's texts between boundaries that no piece crosses, and their bounds by document.
 
-    A text that isn't empty gets a space before it.
+    Such a boundary lies between two characters that are neighbours in no piece, as before
+    the space that begins a word. A text that isn't empty gets a space before it.
     """
     sizes = np.diff(part.offsets)
     buf = np.insert(part.buf, part.offsets[:-1][sizes > 0], 0x20)
     offsets = part.offsets + np.concatenate([[0], np.cumsum(sizes > 0)])
     starts = np.zeros(len(buf), bool)
     starts[offsets[:-1][sizes > 0]] = True
-    space, line = buf == 0x20, buf == 0x0A
-    starts[1:] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    starts[1:] |= ~v.inside[buf[:-1], buf[1:]] & ((buf[1:] & 0xC0) != 0x80)
     at = np.flatnonzero(starts)
     return strings(buf, at, np.append(at[1:], len(buf))), np.searchsorted(at, offsets)
 
@@ -211,27 +224,19 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     kept = [c for c in docs.columns if c not in ("ids", text)]
 
     def run(batches):
-        v = vocabulary(path)
+        v, memo = vocabulary(path), _memo(path)
         for batch in batches:
-            texts = batch.column(text)
-            flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for part in slices(texts, SLICE_BYTES):
-                if v.words_apart:
-                    memo = _memo(path)
-                    own, bounds = words(part)
-                    starts, lengths = memo(own)
-                    flat.append(memo.ids[ragged(starts, lengths)])
-                    counts.append(part.per_doc(lengths, bounds))
-                else:
-                    rows = [encode_text(v, bytes(part.buf[i:j]).decode()) for i, j in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
-                    flat.append(np.array([x for r in rows for x in r], np.int32))
-                    counts.append(np.array([len(r) for r in rows], np.int64))
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)), mask=texts.is_null() if texts.null_count else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], [*kept, "ids"])
-
-    schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept)
-    return docs.select(*kept, text).mapInArrow(run, f"{schema}ids array<int>")
+            for part in slices(batch.column(text), SLICE_BYTES):
+                rows = batch.slice(part.lo, part.hi - part.lo)
+                own, bounds = words(part, v)
+                starts, lengths = memo(own)
+                flat, counts = memo.ids[ragged(starts, lengths)], part.per_doc(lengths, bounds)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=rows.column(text).is_null() if rows.column(text).null_count else None)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), ids], [*kept, "ids"])
+
+    own = StructType([f for f in docs.schema.fields if f.name in kept])
+    return docs.select(*kept, text).mapInArrow(run, widened(own, "ids array<int>"))
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -252,17 +257,21 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
         starts = np.cumsum(lengths) - lengths
         body = np.frombuffer(b"".join(table[i] for i in sorted(table)), np.uint8)
         for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.where((flat >= 0) & (flat < size), flat, size - 1)
-            sizes = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.diff(ids.offsets.to_numpy()), 0)
-            out = body[ragged(starts[flat], lengths[flat])]
-            ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(sizes)])]
-            texts = [None if null else bytes(out[i:j]).decode("utf-8", "replace").removeprefix(" ") for null, i, j in zip(ids.is_null().to_pylist(), ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
-
-    schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in coded.schema if f.name in kept)
-    return coded.select(*kept, "ids").mapInArrow(run, f"{schema}text string")
+            sizes = np.diff(batch.column("ids").offsets.to_numpy())
+            group = np.cumsum(sizes) // DECODED_IDS
+            for lo, hi in zip(at := np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else [], [*at[1:], len(group)], strict=True):
+                rows = batch.slice(lo, hi - lo)
+                ids = rows.column("ids")
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                flat = np.where((flat >= 0) & (flat < size), flat, size - 1)
+                counts = np.where(ids.is_valid().to_numpy(zero_copy_only=False), sizes[lo:hi], 0)
+                out = body[ragged(starts[flat], lengths[flat])]
+                ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(counts)])]
+                texts = [None if null else bytes(out[i:j]).decode("utf-8", "replace").removeprefix(" ") for null, i, j in zip(ids.is_null().to_pylist(), ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
+
+    own = StructType([f for f in coded.schema.fields if f.name in kept])
+    return coded.select(*kept, "ids").mapInArrow(run, widened(own, "text string"))
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
