@@ -216,3 +216,15 @@ def drop_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti")
     repeats = kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(once, "doc_id", "left_anti").unionByName(repeats).select(*docs.columns)
+
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) AS k
+      FROM (SELECT *, unnest(generate_series(1, greatest(1, len(ws) - {SHINGLE - 1}))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM b JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 10 * b.n >= {round(10 * THRESHOLD)} * (nx.n + ny.n - b.n)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
+SELECT r.doc_id, min(root) AS class_id, (SELECT count(*) FROM l WHERE l.x = r.doc_id) AS n_links FROM r GROUP BY r.doc_id
+"""

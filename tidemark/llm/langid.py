@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import widened
 from .textops import Slice, WordMemo, as_text, mix, slices, strings
 
 #: Pieces up to so many characters; runs of letters are scored in parts of that many at most.
@@ -271,8 +272,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 score[part.lo : part.hi][has] = share[has]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, widened(docs.schema, "lang_pred string, score double"))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import widened
+
 #: Key of the registered query. Whoever must not undo the pseudonyms must not know the key: give your own.
 QUERY_KEY = b"tidemark example key"
 ROUNDS = 8
@@ -213,8 +215,7 @@ def pseudonymise(docs: DataFrame, key: bytes, kinds=tuple(PATTERNS)) -> DataFram
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for _, x in done], pa.int64()), pa.array(spans, kind)], [*batch.schema.names, "n_pii", "spans"])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, n_pii long, spans {SPANS}")
+    return docs.mapInArrow(run, widened(docs.schema, f"n_pii long, spans {SPANS}"))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

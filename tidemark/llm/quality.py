@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
+from .shared import widened
 from .textops import FIRST, OVER_WORDS, Slice, mix, slices
 
 #: The base rules.
@@ -172,8 +173,7 @@ def judge(docs: DataFrame, model: Model | None, least_good: float = LEAST_GOOD,
             cols["kept"] = ~cols["base_failed"] & (cols["good"] >= least_good)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cols[k]) for k in added)], [*batch.schema.names, *added])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{schema}, {COLUMNS}")
+    return docs.mapInArrow(score, widened(docs.schema, COLUMNS))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urlrules.OP2_SQL}
+    return {"op2_url_filters": urlrules.OP2_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op6_jaccard_join": jaccard.OP6_SQL}

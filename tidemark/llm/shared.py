@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,3 +22,8 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed and kept in the shared folder, without its lineage: lost executors don't lose it."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def widened(schema: StructType, more: str) -> StructType:
+    """A schema with further columns, given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])

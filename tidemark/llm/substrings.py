@@ -25,6 +25,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .shared import widened
 
 from .textops import OVER_WORDS, OVER_WORDS_2, Slice, mix, ragged, slices
 
@@ -239,19 +242,18 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A null text has no words and becomes empty. doc_id names a document; rows of one doc_id
     and different texts are told apart by the text, and equal rows are copies of each other,
     as any two documents with one text are. A null doc_id is handled like any other.
-    Columns named n_words or n_removed are replaced.
+    Columns named n_words or n_removed are replaced; _doc, _tag and _runs are names of its own and are dropped.
     """
-    docs = docs.drop("n_words", "n_removed")
+    docs = docs.drop("n_words", "n_removed", "_doc", "_tag", "_runs")
     keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63) + 1)).cast("long"), "_tag": F.shiftright(F.xxhash64("text", "doc_id"), 32).cast("int")})
     narrow = keyed.select("_doc", "_tag", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    texts = keyed.mapInArrow(_squeezed, ", ".join(f"`{f.name.replace('`', '``')}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in keyed.schema))
+    texts = keyed.mapInArrow(_squeezed, StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType, True) for f in keyed.schema]))
     near = texts.join(repeated(narrow.mapInArrow(_anchors(buckets), PACKED)).hint("shuffle_hash"), ["_doc", "_tag"])
     windows = near.select("_doc", "_tag", "text", "_runs").mapInArrow(_windows(buckets), PACKED)
     found = texts.join(repeated(windows).hint("shuffle_hash"), ["_doc", "_tag"], "left")
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return found.mapInArrow(_cut, f"{schema}, n_words long, n_removed long")
+    return found.mapInArrow(_cut, widened(docs.schema, "n_words long, n_removed long"))
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -265,3 +267,16 @@ def cut_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = cut_repeats(docs)
     changed = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
     return changed.select(*docs.columns)
+
+
+OP5_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {SIZE - 1}], ' ')) AS k FROM (SELECT *, unnest(generate_series(1, len(ws) - {SIZE - 1})) AS i FROM w)),
+r AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(generate_series(i, i + {SIZE - 1})) AS p FROM r) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+flat AS (SELECT DISTINCT doc_id, unnest(ps) AS p FROM gone),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t, count(*) AS n FROM word ANTI JOIN flat USING (doc_id, p) GROUP BY word.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .shared import settled
+from .shared import settled, widened
 from .textops import FIRST, SEPARATOR, as_text, slices
 
 #: Lengths in bytes of the n-grams; white space counts as one character, so that they see where words begin.
@@ -135,8 +135,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             s = shared.value(texts) if shared.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= LEAST_TOXIC).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(run, widened(docs.schema, "score double, predicted int"))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -90,7 +90,8 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, filters=FILTERS, otherw
     """
     rules = [host_rule(*r) for r in host_rules] + [filter_rule(*r) for r in filters]
     pages = pages.drop("host", "path", "rule", "pattern", "verdict")
-    parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).withColumn("_at", F.concat("host", "path"))
+    own = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in pages.columns])  # in a struct, no name of theirs clashes with one used here
+    parsed = pages.select(own.alias("_own"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("_at", F.concat("host", "path"))
     tokens = F.array_distinct(F.split("_at", "[^A-Za-z0-9]+"))
     counted = parsed.select(F.explode(tokens).alias("token")).where(F.col("token") != "")
     indexed = _small(index(pages.sparkSession, rules, counted), len(rules))
@@ -101,12 +102,12 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, filters=FILTERS, otherw
     fits = F.rlike("_at", F.col("pattern"))
     hits = asked.join(indexed, "token", "left").withColumn("_fits", F.coalesce(fits, F.lit(False))).where(F.col("_fits") | (F.col("token") == ""))
     found = F.when(F.col("_fits"), F.struct(F.col("priority"), (-F.col("number")).alias("order"), "rule", "rule_verdict"))
-    best = hits.groupBy("_row").agg(F.first(F.struct(*parsed.columns)).alias("_own"), F.max(found).alias("_best")).select("_own.*", "_best")
+    best = hits.groupBy("_row").agg(F.first(F.struct("_own", "host", "path")).alias("_row_of"), F.max(found).alias("_best")).select("_row_of.*", "_best")
     is_host = F.col("_best.priority") >= 1_000_000
-    return best.withColumns({
-        "rule": F.when(is_host, F.col("_best.rule")), "pattern": F.when(~is_host, F.col("_best.rule")),
-        "verdict": F.coalesce("_best.rule_verdict", F.lit(otherwise)),
-    }).select(*pages.columns, "host", "path", "rule", "pattern", "verdict")
+    return best.select(
+        "_own.*", "host", "path", F.when(is_host, F.col("_best.rule")).alias("rule"), F.when(~is_host, F.col("_best.rule")).alias("pattern"),
+        F.coalesce("_best.rule_verdict", F.lit(otherwise)).alias("verdict"),
+    )
 
 
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
