@@ -1,0 +1,320 @@
+import datetime
+import decimal
+import json
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.cli import main
+from tidemark.config import ConfigError, SyncOptions
+from tidemark.model import Mode
+from tidemark.operators import Ledger, SyncEngine, reconcile, summary
+from tidemark.operators.reports import results_frame
+from tidemark.operators.sync import SchemaDrift
+from tidemark.sources import ParquetCatalog
+from tidemark.sources.base import PROGRESS
+
+
+class Folder:
+    """A source and a target folder, and engines between them."""
+
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path
+        self.source_path, self.target_path = f"{path}/source", f"{path}/target"
+
+    def put(self, name, df, mode="overwrite"):
+        df.write.mode(mode).parquet(f"{self.source_path}/{name}.parquet")
+
+    def engine(self, keys=None, **more):
+        hook = more.pop("before_advance", None)
+        options = SyncOptions(**{"chunk_size": 10, "waves": 5, **more})
+        return SyncEngine(ParquetCatalog(self.spark, self.source_path, keys or {}), ParquetCatalog(self.spark, self.target_path), options, before_advance=hook)
+
+    def same(self, name):
+        e = self.engine()
+        r = reconcile(e.source.load(name), e.target.load(name)).first()
+        assert e.target.load(name).schema.simpleString() == e.source.load(name).schema.simpleString()
+        return r["source_rows"] == r["target_rows"] and r["missing_rows"] == r["extra_rows"] == 0
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    return Folder(spark, str(tmp_path))
+
+
+def keyed(spark, ids, kind="long"):
+    return spark.createDataFrame([(i, f"row {i}") for i in ids], f"id {kind}, x string")
+
+
+class Killed(RuntimeError):
+    pass
+
+
+def kill_at(n):
+    seen = []
+
+    def hook(table, wave):
+        seen.append(wave)
+        if len(seen) == n:
+            raise Killed("killed")
+
+    return hook
+
+
+def test_full_copy_and_ledger(spark, folder):
+    folder.put("t", keyed(spark, range(95)))
+    e = folder.engine({"t": "id"})
+    (r,) = e.run()
+    assert (r.table, r.rows, r.copied, r.error, r.skipped) == ("t", 95, 95, None, False)
+    assert folder.same("t")
+    p = e.ledger.get("t")
+    assert (p.total_rows, p.synced_rows, p.primary_key, p.last_pk_value, p.status, p.error) == (95, 95, "id", 94, "done", None)
+    assert p.started_at <= p.finished_at <= p.updated_at
+
+
+def test_full_again_replaces_and_resume_skips(spark, folder):
+    folder.put("t", keyed(spark, range(30)))
+    folder.engine({"t": "id"}).run()
+    (r,) = folder.engine({"t": "id"}).run()
+    assert r.copied == 30 and folder.same("t")
+    (r,) = folder.engine({"t": "id"}).run(Mode.RESUME)
+    assert (r.skipped, r.rows, r.copied, r.time) == (True, 30, 0, 0.0)
+
+
+@pytest.mark.parametrize("ids", [range(-250, 250), range(100), [0], [-3], [5, 6, 7, 4000, 4001]])
+@pytest.mark.parametrize("at", [1, 2])
+def test_killed_between_data_and_ledger_then_resumed(spark, folder, ids, at):
+    """Whatever the keys, zero and negative ones too, nothing is lost or doubled; the chunk size may change."""
+    folder.put("t", keyed(spark, ids))
+    (r,) = folder.engine({"t": "id"}, before_advance=kill_at(at), waves=3, chunk_size=50).run()
+    if r.error is not None:
+        assert folder.engine().ledger.get("t").status == "failed" and folder.engine().ledger.get("t").error == "killed"
+    (r,) = folder.engine({"t": "id"}, chunk_size=7).run(Mode.RESUME)
+    assert r.error is None and r.rows == len(ids) and folder.same("t")
+
+
+def test_killed_before_the_first_write(spark, folder, monkeypatch):
+    folder.put("t", keyed(spark, [0]))
+    e = folder.engine({"t": "id"})
+    monkeypatch.setattr(e.target, "write_wave", lambda *a: (_ for _ in ()).throw(Killed("early")))
+    assert e.run()[0].error == "early"
+    assert e.ledger.get("t").last_pk_value is None
+    assert folder.engine({"t": "id"}).run(Mode.RESUME)[0].rows == 1 and folder.same("t")
+
+
+def test_old_progress_is_void_after_a_full_run_that_died(spark, folder):
+    folder.put("t", keyed(spark, range(50)))
+    folder.engine({"t": "id"}).run()
+    assert folder.engine({"t": "id"}, before_advance=kill_at(1)).run()[0].error
+    assert folder.engine({"t": "id"}).ledger.get("t").last_pk_value is None
+    folder.engine({"t": "id"}).run(Mode.RESUME)
+    assert folder.same("t")
+
+
+def test_reset_then_resume_copies_again(spark, folder):
+    folder.put("t", keyed(spark, range(40)))
+    e = folder.engine({"t": "id"})
+    e.run()
+    e.ledger.reset("t")
+    assert e.ledger.get("t") is None and e.ledger.progress().count() == 0
+    assert e.target.load("t").count() == 40
+    (r,) = folder.engine({"t": "id"}).run(Mode.RESUME)
+    assert r.copied == 40 and folder.same("t")
+
+
+def test_restart_forgets(spark, folder):
+    folder.put("t", keyed(spark, range(20)))
+    folder.put("u", keyed(spark, range(20)))
+    folder.engine({"t": "id", "u": "id"}).run()
+    folder.engine({"t": "id", "u": "id"}, tables=("t",)).run(Mode.RESTART)
+    assert folder.engine().ledger.get("u") is None and folder.engine().ledger.get("t").status == "done"
+
+
+def test_source_growth_after_done_is_not_seen(spark, folder):
+    folder.put("t", keyed(spark, range(20)))
+    folder.engine({"t": "id"}).run()
+    folder.put("t", keyed(spark, range(20, 30)), "append")
+    assert folder.engine({"t": "id"}).run(Mode.RESUME)[0].skipped
+    folder.engine({"t": "id"}).run()
+    assert folder.same("t")
+
+
+def test_empty_table(spark, folder):
+    folder.put("t", keyed(spark, []))
+    (r,) = folder.engine({"t": "id"}).run()
+    assert (r.rows, r.error) == (0, None) and folder.same("t")
+    assert folder.engine().ledger.get("t").status == "done"
+
+
+def test_unkeyed_is_replaced_never_doubled(spark, folder):
+    folder.put("t", spark.createDataFrame([(1, "a")] * 3 + [(2, None)], "a long, b string"))
+    for mode in (Mode.FULL, Mode.RESUME, Mode.RESUME):
+        (r,) = folder.engine().run(mode)
+        assert (r.rows, r.error, r.skipped) == (4, None, False) and folder.same("t")
+    p = folder.engine().ledger.get("t")
+    assert (p.primary_key, p.last_pk_value, p.status) == ("", None, "done")
+
+
+@pytest.mark.parametrize(("kind", "values"), [("string", ["b", "a"]), ("date", [datetime.date(2020, 1, 1)]), ("decimal(10,1)", [decimal.Decimal("1.0"), decimal.Decimal("1.5")]), ("double", [0.5, 1.5])])
+def test_keys_that_are_no_whole_numbers(spark, folder, kind, values):
+    folder.put("t", spark.createDataFrame([(v,) for v in values], f"id {kind}"))
+    assert folder.engine({"t": "id"}).run()[0].rows == len(values) and folder.same("t")
+    assert folder.engine().ledger.get("t").primary_key == ""
+
+
+def test_whole_decimal_keys_and_far_keys(spark, folder):
+    folder.put("d", spark.createDataFrame([(decimal.Decimal(10**20 + i),) for i in range(30)], "id decimal(25,0)"))
+    folder.put("s", keyed(spark, [0, 10**9]))
+    folder.put("e", keyed(spark, [-(2**63), -(2**63) + 1, 0, 2**63 - 2, 2**63 - 1]))
+    for r in folder.engine({"d": "id", "s": "id", "e": "id"}).run():
+        assert r.error is None
+    assert folder.same("d") and folder.same("s") and folder.same("e")
+    assert folder.engine().ledger.get("e").last_pk_value == 2**63 - 1
+    assert folder.engine().ledger.get("d").last_pk_value == 10**20 + 29
+
+
+def test_composite_key_with_one_heavy_value(spark, folder):
+    folder.put("t", spark.createDataFrame([(7, i) for i in range(500)] + [(8, 0)], "a long, b long"))
+    assert folder.engine({"t": "a"}, chunk_size=1).run()[0].rows == 501 and folder.same("t")
+
+
+def test_null_keys_make_no_wave_but_are_named(spark, folder):
+    folder.put("t", spark.createDataFrame([(None, "x"), (1, "y")], "id long, x string"))
+    (r,) = folder.engine({"t": "id"}).run()
+    assert r.error is not None and "null" in r.error
+
+
+def test_all_types_and_names(spark, folder):
+    schema = T.StructType([
+        T.StructField("id", T.IntegerType()), T.StructField("a b", T.StringType()), T.StructField("c`d", T.DoubleType()), T.StructField("f", T.FloatType()),
+        T.StructField("dec", T.DecimalType(38, 10)), T.StructField("day", T.DateType()), T.StructField("ts", T.TimestampType()), T.StructField("ntz", T.TimestampNTZType()),
+        T.StructField("bin", T.BinaryType()), T.StructField("arr", T.ArrayType(T.DoubleType())), T.StructField("m", T.MapType(T.StringType(), T.IntegerType())),
+        T.StructField("st", T.StructType([T.StructField("x", T.BooleanType())])),
+    ])
+    now = datetime.datetime(2024, 2, 29, 12, 0, 0, 123456)
+    rows = [(1, "😀 ü", float("nan"), -0.0, decimal.Decimal("1.0000000001"), now.date(), now, now, b"\0\xff", [1.0, None, float("inf")], {"b": 1, "a": None}, (True,)), (2,) + (None,) * 11, (3, "", -0.0, float("-inf"), None, None, None, None, b"", [], {}, (None,))]
+    folder.put("t", spark.createDataFrame(rows, schema))
+    assert folder.engine({"t": "id"}).run()[0].error is None and folder.same("t")
+
+
+def test_reconcile_sees_differences(spark):
+    a = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, float("nan"))], "a long, b double")
+    assert tuple(reconcile(a, a).first()) == (3, 3, 0, 0)
+    assert tuple(reconcile(a, a.distinct()).first()) == (3, 2, 1, 0)
+    assert tuple(reconcile(a, spark.createDataFrame([(1, -0.0), (1, 0.0), (2, float("nan"))], a.schema)).first()) == (3, 3, 1, 1)
+
+
+def test_failures_stay_with_their_table(spark, folder, tmp_path):
+    folder.put("good", keyed(spark, range(5)))
+    (tmp_path / "source" / "bad.parquet").mkdir()
+    (tmp_path / "source" / "bad.parquet" / "x.parquet").write_text("no parquet")
+    by = {r.table: r for r in folder.engine({"good": "id"}).run()}
+    assert by["good"].error is None and by["bad"].error and folder.same("good")
+    assert folder.engine().ledger.get("bad").status == "failed"
+    s = summary(spark, list(by.values())).first()
+    assert (s["tables"], s["total_rows"], s["failed_tables"], s["skipped_tables"]) == (2, 5, 1, 0)
+    assert results_frame(spark, []).count() == 0 and summary(spark, []).first()["total_rows"] == 0
+
+
+def test_unknown_key_column(spark, folder):
+    folder.put("t", keyed(spark, range(5)))
+    assert "nope" in folder.engine({"t": "nope"}).run()[0].error
+
+
+def test_schema_drift(spark, folder):
+    folder.put("t", keyed(spark, range(5)))
+    folder.engine({"t": "id"}).run()
+    folder.put("t", spark.createDataFrame([(1, 2)], "id long, x long"))
+    for mode in Mode:
+        assert "x" in folder.engine({"t": "id"}).run(mode)[0].error
+    assert folder.engine().target.load("t").count() == 5
+    assert issubclass(SchemaDrift, RuntimeError)
+
+
+def test_foreign_targets_are_left_alone(spark, folder):
+    folder.put("t", keyed(spark, range(5)))
+    keyed(spark, range(3)).write.parquet(f"{folder.target_path}/t.parquet")
+    for keys in ({"t": "id"}, {}):
+        for mode in Mode:
+            assert "not written by this engine" in folder.engine(keys).run(mode)[0].error
+    assert spark.read.parquet(f"{folder.target_path}/t.parquet").count() == 3
+
+
+def test_source_is_target(spark, folder):
+    with pytest.raises(ConfigError):
+        SyncEngine(ParquetCatalog(spark, folder.source_path), ParquetCatalog(spark, f"file:{folder.source_path}/"))
+
+
+def test_ledger_named_source_table_is_not_copied(spark, folder):
+    folder.put(PROGRESS, keyed(spark, range(5)))
+    folder.put("t", keyed(spark, range(5)))
+    assert [r.table for r in folder.engine({"t": "id"}).run()] == ["t"]
+
+
+def test_ledger_fold_and_order(spark, folder):
+    times = iter(datetime.datetime(2024, 1, 1, 0, 0, i, tzinfo=datetime.UTC) for i in range(60))
+    ledger = Ledger(ParquetCatalog(spark, folder.target_path), lambda: next(times))
+    assert ledger.get("t") is None
+    ledger.start("t", 10, "id", resumed=False)
+    ledger.advance("t", 4, -7)
+    ledger.failed("t", "no")
+    ledger.failed("never started", "early")
+    again = Ledger(ParquetCatalog(spark, folder.target_path), lambda: next(times))
+    p = again.get("t")
+    assert (p.status, p.synced_rows, p.last_pk_value, p.error) == ("failed", 4, -7, "no")
+    assert again.get("never started").status == "failed"
+    again.start("t", 10, "id", resumed=True)
+    assert (again.get("t").last_pk_value, again.get("t").error) == (-7, None)
+    again.done("t", 10)
+    assert again.events().where("table_name = 't'").count() == 5
+    seqs = [r.seq for r in again.events().collect()]
+    assert len(set(seqs)) == len(seqs)
+    with pytest.raises(ValueError):
+        again.reset("")
+    again.reset()
+    assert again.progress().count() == 0
+
+
+def test_tables_run_at_a_time(spark, folder):
+    for n in "abcd":
+        folder.put(n, keyed(spark, range(3)))
+    names = set()
+    e = folder.engine(dict.fromkeys("abcd", "id"), before_advance=lambda t, w: names.add(threading.current_thread().name))
+    assert len(e.run()) == 4 and len(names) > 1
+    assert folder.engine().ledger.progress().where("status = 'done'").count() == 4
+
+
+def test_pushdown_reaches_the_scan(spark, folder):
+    from tidemark.model import Chunk
+
+    folder.put("t", keyed(spark, range(100)))
+    plan = folder.engine().source.range_scan("t", "id", Chunk(10, 19), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,10)" in plan and "LessThanOrEqual(id,19)" in plan and "Exchange" not in plan
+
+
+def test_command_line(spark, folder, tmp_path):
+    folder.put("t", keyed(spark, range(12)))
+    config = tmp_path / "c.yaml"
+    config.write_text(json.dumps({"source": {"path": folder.source_path}, "target": {"path": folder.target_path}, "sync": {"keys": {"t": "id"}, "chunk_size": 5}}))
+    run = lambda *a: main(["-c", str(config), *a], spark)
+    assert run() == 0 and folder.same("t")
+    assert run("--reset-table", "t") == 0 and folder.engine().ledger.get("t") is None
+    assert run("--resume", "--log-file", str(tmp_path / "l.log")) == 0 and "t" in (tmp_path / "l.log").read_text()
+    assert run("--reset-all", "--reset-table", "t") == 0
+    assert run("--restart") == 0
+    for bad in (["--resume", "--restart"], ["--reset-table", ""]):
+        with pytest.raises(SystemExit):
+            run(*bad)
+    config.write_text(json.dumps({"source": {"path": folder.source_path}, "target": {"path": folder.target_path}, "sync": {"tables": ["absent"]}}))
+    assert run() == 1
+
+
+def test_counts_by_chunk_and_batch(spark):
+    from tidemark.operators import batch_report, chunk_report
+
+    rows = keyed(spark, [1, 2, 3, 25, 26])
+    assert [tuple(r) for r in chunk_report(rows, "id", 10).orderBy("chunk_id").collect()] == [(0, 1, 10, 3, 3), (1, 11, 20, 0, 3), (2, 21, 26, 2, 5)]
+    assert [tuple(r) for r in batch_report(rows, "id", 10, 2).orderBy("chunk_id", "batch_id").collect()] == [(0, 0, 1, 2, 2), (0, 1, 3, 3, 1), (2, 0, 25, 26, 2)]
+    assert chunk_report(rows.where(F.lit(False)), "id", 10).count() == 0

@@ -24,7 +24,7 @@ def chunk_report(rows: DataFrame, key: str, size: int) -> DataFrame:
     span = key_range(rows, key)
     if span.empty:
         return rows.sparkSession.createDataFrame([], "chunk_id long, chunk_start long, chunk_end long, chunk_rows long, synced_rows long")
-    counts = rows.groupBy(chunk_of(F.col(quoted(key)), span.low, size).alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(chunk_of(F.col(quoted(key)), span.low, size).cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
     plan = chunk_frame(rows.sparkSession, span.low, span.high, size).join(counts, "chunk_id", "left")
     total = F.sum("chunk_rows").over(W.orderBy("chunk_id").rowsBetween(W.unboundedPreceding, 0))
     return plan.select("chunk_id", "chunk_start", "chunk_end", F.coalesce("n", F.lit(0)).alias("chunk_rows")).withColumn("synced_rows", total)
@@ -34,7 +34,7 @@ def batch_report(rows: DataFrame, key: str, size: int, batch: int) -> DataFrame:
     """chunk_id, batch_id, first_pk, last_pk, batch_rows: a chunk's rows by key, cut after every `batch` rows."""
     low = key_range(rows, key).low
     k = F.col(quoted(key))
-    numbered = rows.select(k.alias("k"), chunk_of(k, low, size).alias("chunk_id"))
+    numbered = rows.select(k.alias("k"), chunk_of(k, low, size).cast("long").alias("chunk_id"))
     at = F.row_number().over(W.partitionBy("chunk_id").orderBy("k")) - 1
     batches = numbered.withColumn("batch_id", F.floor(at / batch).cast("long"))
     return batches.groupBy("chunk_id", "batch_id").agg(F.min("k").alias("first_pk"), F.max("k").alias("last_pk"), F.count(F.lit(1)).alias("batch_rows"))

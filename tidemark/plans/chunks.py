@@ -38,9 +38,10 @@ def waves(start: int, high: int, size: int, count: int) -> list[Chunk]:
 
 
 def chunk_of(key: Column, low: int, size: int) -> Column:
-    """Number of the chunk of a key that isn't below `low`; exact and safe from overflow for any 64-bit keys."""
-    shifted = key.cast("decimal(21,0)") - F.lit(low).cast("decimal(20,0)")
-    return F.call_function("div", shifted, F.lit(size).cast("decimal(20,0)"))
+    """Number of the chunk of a key that isn't below `low`, as a decimal: exact for any whole keys."""
+    wide = "decimal(38,0)"
+    shifted, width = key.cast(wide) - F.lit(low).cast(wide), F.lit(size).cast("decimal(20,0)")
+    return ((shifted - shifted % width) / width).cast(wide)
 
 
 def chunk_frame(spark: SparkSession, start: int, high: int, size: int) -> DataFrame:
