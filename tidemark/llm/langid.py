@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import widened
-from .textops import Slice, WordMemo, as_text, mix, slices, strings
+from .textops import Distinct, Slice, WordMemo, as_text, mix, ragged, slices
 
 #: Pieces up to so many characters; runs of letters are scored in parts of that many at most.
 LONGEST, PART = 12, 48
@@ -28,6 +28,8 @@ _GROUP = np.searchsorted(WIDTHS, np.arange(PART + 2)).tolist()
 #: Added to each count; probability of a letter that is no piece.
 SMOOTHING, UNKNOWN = 0.5, 1e-9
 SLICE_BYTES = 2 << 20
+#: Distinct runs that a worker remembers.
+MEMO_WORDS = 600_000
 FOLDS, HELD_OUT = 4, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MAYBE = np.zeros(256, bool)
@@ -120,10 +122,9 @@ def by_length(words: list[str]):
             yield np.array(owners), np.array([len(t) for t in texts]), np.ascontiguousarray(codes.T, np.uint64).T
 
 
-def letters(part: Slice) -> tuple[pa.Array, np.ndarray]:
-    """Runs of ASCII letters and of other characters than ASCII, and their bounds by document."""
-    starts, ends = part.runs(_MAYBE[part.buf])
-    return strings(part.buf, starts, ends), np.searchsorted(starts, part.offsets)
+def letters(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ASCII letters and of other characters than ASCII: the bytes, starts and ends."""
+    return part.buf, *part.runs(_MAYBE[part.buf])
 
 
 def occurrences(path: str):
@@ -140,34 +141,51 @@ def occurrences(path: str):
     return encode
 
 
-_memos: dict = {}
+class Counts(WordMemo):
+    """How often each distinct run occurs in each language, turned into counts of pieces before it is forgotten."""
+
+    def __init__(self, path: str):
+        self.width = len(pieces(path).texts)
+        self.of: dict[str, np.ndarray] = {}
+        self.times: dict[str, np.ndarray] = {}
+        super().__init__(occurrences(path), MEMO_WORDS)
+
+    def clear(self) -> None:
+        self.flush()
+        super().clear()
+
+    def flush(self) -> None:
+        for lang, times in self.times.items():
+            n = self.lengths[: len(times)]
+            ids = self.ids[ragged(self.starts[: len(times)], n.astype(np.int64))]
+            self.of.setdefault(lang, np.zeros(self.width + 1))[: self.width] += np.bincount(ids, np.repeat(times, n), self.width)
+        self.times = {}
+
+    def tally(self, lang: str, numbers: np.ndarray) -> None:
+        got = np.bincount(numbers, minlength=self.table.n)
+        old = self.times.get(lang)
+        if old is not None:
+            got[: len(old)] += old
+        self.times[lang] = got
 
 
 def _count(path: str):
-    """Occurrences of each piece in the texts of each language, of one task."""
+    """Occurrences of each piece in the texts of each language, of one task; the documents stand after the last piece."""
 
     def run(batches):
-        memo = _memos.setdefault(("count", path), WordMemo(occurrences(path), 200_000))
-        counts: dict[str, np.ndarray] = {}
-        documents: dict[str, int] = {}
-        width = len(pieces(path).texts)
+        counts = Counts(path)
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
             for part in slices(pc.utf8_lower(as_text(batch.column("text"))), SLICE_BYTES):
-                words, bounds = letters(part)
-                coded = words.dictionary_encode()
-                lang = np.repeat(codes[part.lo : part.hi], np.diff(bounds))
-                times = np.bincount(lang * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), minlength=len(names) * max(1, len(coded.dictionary))).reshape(len(names), -1)
-                starts, lengths = memo(coded.dictionary)
-                ids = memo.ids[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
-                for k, name in enumerate(names):
-                    if name not in counts:
-                        counts[name], documents[name] = np.zeros(width + 1), 0
-                    if len(ids):
-                        counts[name][:width] += np.bincount(ids, np.repeat(times[k, : len(lengths)], lengths), width)
-                    counts[name][width] += int((codes[part.lo : part.hi] == k).sum())
-        for name, x in counts.items():
+                spans = letters(part)
+                numbers = counts.numbers(*spans)
+                lang = np.repeat(codes[part.lo : part.hi], np.diff(np.searchsorted(spans[1], part.offsets)))
+                for k in np.unique(codes[part.lo : part.hi]).tolist():
+                    counts.tally(names[k], numbers[lang == k])
+                    counts.of.setdefault(names[k], np.zeros(counts.width + 1))[-1] += int((codes[part.lo : part.hi] == k).sum())
+        counts.flush()
+        for name, x in counts.of.items():
             found = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(x[found])], ["lang", "piece", "n"])
 
@@ -197,28 +215,28 @@ class Model:
         return out
 
 
-class Scores:
-    """Memo of a model's words in a worker, of bounded size."""
+class Scores(Distinct):
+    """A model's values of distinct runs."""
 
-    def __init__(self, model: Model, most: int = 600_000):
-        self.model, self.most = model, most
-        self.clear()
+    def __init__(self, model: Model):
+        self.model = model
+        super().__init__(MEMO_WORDS)
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.rows = np.zeros((1 << 14, len(self.model.langs) + 1))
-
-    def __call__(self, distinct: list[str]) -> np.ndarray:
-        if len(self.row) + len(distinct) > self.most:
-            self.clear()
-        known = self.row
-        if new := [w for w in distinct if w not in known]:
-            first = len(known)
-            if first + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows)), self.rows.shape[1]))])
-            self.rows[first : first + len(new)] = self.model.words(new)
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-        return self.rows[np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))]
+        super().clear()
+        self.rows, self.count = np.zeros((1 << 14, len(self.model.langs) + 1)), 0
+
+    def learn(self, words: list[str]) -> None:
+        last = self.count + len(words)
+        if last > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(last - len(self.rows), len(self.rows) // 2), self.rows.shape[1]))])
+        for i in range(0, len(words), 20_000):
+            self.rows[self.count + i : min(last, self.count + i + 20_000)] = self.model.words(words[i : i + 20_000])
+        self.count = last
+
+    def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        at = self.numbers(buf, starts, ends)
+        return self.rows[at]
 
 
 def fit_languages(docs: DataFrame, path: str | None = None) -> Model | None:
@@ -257,12 +275,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text"))
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             for part in slices(pc.utf8_lower(as_text(texts)), SLICE_BYTES) if model else ():
-                words, bounds = letters(part)
-                coded = words.dictionary_encode()
-                if not len(coded):
+                spans = letters(part)
+                if not len(spans[1]):
                     continue
-                rows = memo(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-                sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, 0)])[bounds]
+                rows = memo(*spans)
+                sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, 0)])[np.searchsorted(spans[1], part.offsets)]
                 sums = np.diff(sums, axis=0)
                 z = sums[:, :-1] + model.prior
                 best = z.argmax(1)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Slice, WordMemo, ragged, slices, strings
+from .textops import Slice, WordMemo, ragged, slices
 
 CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
@@ -155,8 +155,8 @@ class Packer:
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def units(part: Slice) -> tuple[pa.Array, np.ndarray]:
-    """Parts of a text whose ids, one after another, are the text's, and their bounds by document.
+def units(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans whose ids, one after another, are a text's: the bytes, starts and ends.
 
     The tokenizer lower-cases, ends tokens at white space and never joins letters to
     punctuation but for an apostrophe's. So ASCII letters can be lower-cased here and words
@@ -169,17 +169,16 @@ def units(part: Slice) -> tuple[pa.Array, np.ndarray]:
         letter, mark = _LETTER[buf], _MARK[buf]
         breaks = np.zeros(len(buf), bool)
         breaks[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
-    starts, ends = part.runs(part.is_word, breaks)
-    return strings(buf, starts, ends), np.searchsorted(starts, part.offsets)
+    return buf, *part.runs(part.is_word, breaks)
 
 
 def tokens(texts: pa.Array, path: str):
     """For blocks of documents: the first one's place, ids of all, and each one's number of ids."""
     memo = word_memo(path)
     for part in slices(texts, BLOCK_BYTES):
-        words, bounds = units(part)
-        starts, lengths = memo(words)
-        counts = part.per_doc(lengths, bounds)
+        buf, firsts, ends = units(part)
+        starts, lengths = memo(buf, firsts, ends)
+        counts = part.per_doc(lengths, np.searchsorted(firsts, part.offsets))
         flat = memo.ids[ragged(starts, lengths)]
         yield part.lo, np.insert(flat, np.cumsum(counts), END_ID).astype("<u4"), counts + 1
 

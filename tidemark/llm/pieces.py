@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import widened
-from .textops import Slice, WordMemo, ragged, slices, strings
+from .textops import Slice, WordMemo, ragged, slices
 
 MARK = "▁"
 SLICE_BYTES, DECODED_IDS = 2 << 20, 500_000
 #: Words, and pairs of pieces, that a worker remembers.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 1_000_000, 400_000
 _vocabularies: dict[str, Vocabulary] = {}  # noqa: F821  (annotations aren't evaluated)
 
 
@@ -198,8 +198,8 @@ def _memo(path: str) -> WordMemo:
     return _memos[path]
 
 
-def words(part: Slice, v: Vocabulary) -> tuple[pa.Array, np.ndarray]:
-    """The parts of a slice's texts between boundaries that no piece crosses, and their bounds by document.
+def words(part: Slice, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of a slice's texts between boundaries that no piece crosses: bytes, starts, ends, bounds by document.
 
     Such a boundary lies between two characters that are neighbours in no piece, as before
     the space that begins a word. A text that isn't empty gets a space before it.
@@ -211,7 +211,7 @@ def words(part: Slice, v: Vocabulary) -> tuple[pa.Array, np.ndarray]:
     starts[offsets[:-1][sizes > 0]] = True
     starts[1:] |= ~v.inside[buf[:-1], buf[1:]] & ((buf[1:] & 0xC0) != 0x80)
     at = np.flatnonzero(starts)
-    return strings(buf, at, np.append(at[1:], len(buf))), np.searchsorted(at, offsets)
+    return buf, at, np.append(at[1:], len(buf)), np.searchsorted(at, offsets)
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -228,8 +228,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         for batch in batches:
             for part in slices(batch.column(text), SLICE_BYTES):
                 rows = batch.slice(part.lo, part.hi - part.lo)
-                own, bounds = words(part, v)
-                starts, lengths = memo(own)
+                *spans, bounds = words(part, v)
+                starts, lengths = memo(*spans)
                 flat, counts = memo.ids[ragged(starts, lengths)], part.per_doc(lengths, bounds)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=rows.column(text).is_null() if rows.column(text).null_count else None)

@@ -139,7 +139,7 @@ def train(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> Mod
     return Model((w * scale).astype(np.float32), b, slope, shift)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000) -> Model | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000) -> Model | None:
     """A model from `sample_rows` labelled rows at most (quality 1: good)."""
     rows = linear.labelled(docs, labels, "quality", sample_rows).mapInArrow(_emit_features, "doc_id long, label double, ids binary, values binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["ids"]))

@@ -176,48 +176,111 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class WordMemo:
-    """Ids of every distinct word, worked out once in a Python worker.
+class SpanTable:
+    """Numbers of distinct byte strings, known by two independent hashes, 96 bits together; open addressing in arrays."""
+
+    def __init__(self, room: int = 1 << 15):
+        self.n, self.mask = 0, (1 << (2 * room - 1).bit_length()) - 1
+        self.keys, self.checks, self.numbers = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.uint32), np.zeros(self.mask + 1, np.int32)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The number of each, or -1."""
+        out, left, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), keys.astype(np.int64) & self.mask
+        while len(left):
+            there = self.keys[at]
+            hit = (there == keys[left]) & (self.checks[at] == checks[left])
+            out[left[hit]] = self.numbers[at[hit]]
+            more = ~hit & (there != 0)
+            left, at = left[more], (at[more] + 1) & self.mask
+        return out
 
-    A text is the sequence of its words, so whatever treats words alike needs to see each
-    distinct word once. ``encode(words)`` returns one integer list per word. The memo is
-    emptied when it holds more than `most` words, so its memory is bounded.
+    def add(self, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Number new ones, in order; keys are distinct and not 0."""
+        if 2 * (self.n + len(keys)) > self.mask:
+            old = self.keys != 0
+            kept = self.keys[old], self.checks[old], self.numbers[old]
+            n = self.n
+            self.__init__(2 * (self.n + len(keys)))
+            self._put(*kept)
+            self.n = n
+        self._put(keys, checks, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _put(self, keys: np.ndarray, checks: np.ndarray, numbers: np.ndarray) -> None:
+        left, at = np.arange(len(keys)), keys.astype(np.int64) & self.mask
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == 0)
+            slots, first = np.unique(at[free], return_index=True)
+            won = left[free[first]]
+            self.keys[slots], self.checks[slots], self.numbers[slots] = keys[won], checks[won], numbers[won]
+            more = np.ones(len(left), bool)
+            more[free[first]] = False
+            left, at = left[more], (at[more] + 1) & self.mask
+
+
+class Distinct:
+    """Works out each distinct span of the texts once in a Python worker; `learn` is called with the new ones.
+
+    It forgets all when it holds more than `most`, so its memory is bounded.
     """
 
-    def __init__(self, encode, most: int = 400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, most: int):
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
+        self.table = SpanTable()
+
+    def learn(self, words: list[str]) -> None:
+        raise NotImplementedError
+
+    def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each span."""
+        keys = np.maximum(FIRST.spans(FIRST.sums(FIRST.table[buf]), starts, ends), np.uint64(1))
+        checks = (SECOND.spans(SECOND.sums(SECOND.table[buf]), starts, ends) >> np.uint64(32)).astype(np.uint32)
+        found = self.table.find(keys, checks)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            _, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            if self.table.n and self.table.n + len(first) > self.most:
+                self.clear()
+                new = np.arange(len(keys))
+                _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            at = new[first]
+            found[new] = self.table.n + which
+            self.table.add(keys[at], checks[at])
+            self.learn(strings(buf, starts[at], ends[at]).to_pylist())
+        return found
+
+
+class WordMemo(Distinct):
+    """Integer lists of distinct spans, by ``encode(words)``."""
+
+    def __init__(self, encode, most: int = 400_000):
+        self.encode = encode
+        super().__init__(most)
+
+    def clear(self) -> None:
+        super().clear()
         self.ids = np.zeros(1 << 16, np.int32)
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.count = self.used = 0
 
-    def add(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         rows = self.encode(words)
-        first, sizes = len(self.row), np.fromiter(map(len, rows), np.int64, len(rows))
-        for name, need in (("starts", first + len(rows)), ("lengths", first + len(rows)), ("ids", self.used + int(sizes.sum()))):
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        first, last, total = self.count, self.count + len(rows), int(sizes.sum())
+        for name, need in (("starts", last), ("lengths", last), ("ids", self.used + total)):
             if need > len(now := getattr(self, name)):
-                setattr(self, name, np.concatenate([now, np.zeros(max(need - len(now), len(now)), now.dtype)]))
-        self.row.update(zip(words, range(first, first + len(rows)), strict=True))
-        self.lengths[first : first + len(rows)] = sizes
-        self.starts[first : first + len(rows)] = self.used + np.cumsum(sizes) - sizes
-        flat = [x for row in rows for x in row]
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-
-    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths, in ``self.ids``, of each word of a string array."""
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.row) + len(distinct) > self.most and any(w not in self.row for w in distinct):
-            self.clear()
-        known = self.row
-        if new := [w for w in distinct if w not in known]:
-            self.add(new)
-        rows = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
-        return self.starts[rows], self.lengths[rows]
+                setattr(self, name, np.concatenate([now, np.zeros(max(need - len(now), len(now) // 2), now.dtype)]))
+        self.lengths[first:last], self.starts[first:last] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + total] = np.fromiter((x for row in rows for x in row), np.int32, total)
+        self.count, self.used = last, self.used + total
+
+    def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths, in ``self.ids``, of each span's list."""
+        at = self.numbers(buf, starts, ends)
+        return self.starts[at], self.lengths[at].astype(np.int64)
 
 
 def strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
