@@ -214,6 +214,49 @@ def words(part: Slice, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return buf, at, np.append(at[1:], len(buf)), np.searchsorted(at, offsets)
 
 
+def _encoded(batches, path: str, kept: list[str], text: str):
+    """Batches of the kept columns and ids, a slice of documents at a time."""
+    v, memo = vocabulary(path), _memo(path)
+    for batch in batches:
+        for part in slices(batch.column(text), SLICE_BYTES):
+            rows = batch.slice(part.lo, part.hi - part.lo)
+            *spans, bounds = words(part, v)
+            starts, lengths = memo(*spans)
+            flat, counts = memo.ids[ragged(starts, lengths)], part.per_doc(lengths, bounds)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=rows.column(text).is_null() if rows.column(text).null_count else None)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), ids], [*kept, "ids"])
+
+
+def _decoded(batches, path: str, kept: list[str]):
+    """Batches of the kept columns and text, so many ids at a time."""
+    v = vocabulary(path)
+    table: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for i, p in v.texts.items()} | {i: bytes([b]) for b, i in enumerate(v.bytes)}
+    size = max(table) + 2
+    lengths = np.zeros(size, np.int64)
+    lengths[list(table)] = [len(x) for x in table.values()]
+    starts = np.cumsum(lengths) - lengths
+    body = np.frombuffer(b"".join(table[i] for i in sorted(table)), np.uint8)
+    for batch in batches:
+        sizes = np.diff(batch.column("ids").offsets.to_numpy())
+        group = np.cumsum(sizes) // DECODED_IDS
+        at = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() if len(group) else []
+        for lo, hi in zip(at, [*at[1:], len(group)], strict=True):
+            rows = batch.slice(lo, hi - lo)
+            ids = rows.column("ids")
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            flat = np.where((flat >= 0) & (flat < size), flat, size - 1)
+            counts = np.where(ids.is_valid().to_numpy(zero_copy_only=False), sizes[lo:hi], 0)
+            out = body[ragged(starts[flat], lengths[flat])]
+            ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(counts)])]
+            texts = [None if null else bytes(out[i:j]).decode("utf-8", "replace").removeprefix(" ") for null, i, j in zip(ids.is_null().to_pylist(), ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
+
+
+def _only(schema: StructType, kept: list[str]) -> StructType:
+    return StructType([f for f in schema.fields if f.name in kept])
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """docs with ids (array of int) instead of the text: those of the whole text.
 
@@ -222,21 +265,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     """
     path = path or vocabulary_path()
     kept = [c for c in docs.columns if c not in ("ids", text)]
-
-    def run(batches):
-        v, memo = vocabulary(path), _memo(path)
-        for batch in batches:
-            for part in slices(batch.column(text), SLICE_BYTES):
-                rows = batch.slice(part.lo, part.hi - part.lo)
-                *spans, bounds = words(part, v)
-                starts, lengths = memo(*spans)
-                flat, counts = memo.ids[ragged(starts, lengths)], part.per_doc(lengths, bounds)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=rows.column(text).is_null() if rows.column(text).null_count else None)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), ids], [*kept, "ids"])
-
-    own = StructType([f for f in docs.schema.fields if f.name in kept])
-    return docs.select(*kept, text).mapInArrow(run, widened(own, "ids array<int>"))
+    return docs.select(*kept, text).mapInArrow(lambda batches: _encoded(batches, path, kept, text), widened(_only(docs.schema, kept), "ids array<int>"))
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -247,36 +276,16 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or vocabulary_path()
     kept = [c for c in coded.columns if c not in ("ids", "text")]
+    return coded.select(*kept, "ids").mapInArrow(lambda batches: _decoded(batches, path, kept), widened(_only(coded.schema, kept), "text string"))
 
-    def run(batches):
-        v = vocabulary(path)
-        table: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for i, p in v.texts.items()} | {i: bytes([b]) for b, i in enumerate(v.bytes)}
-        size = max(table) + 2
-        lengths = np.zeros(size, np.int64)
-        lengths[list(table)] = [len(x) for x in table.values()]
-        starts = np.cumsum(lengths) - lengths
-        body = np.frombuffer(b"".join(table[i] for i in sorted(table)), np.uint8)
-        for batch in batches:
-            sizes = np.diff(batch.column("ids").offsets.to_numpy())
-            group = np.cumsum(sizes) // DECODED_IDS
-            for lo, hi in zip(at := np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else [], [*at[1:], len(group)], strict=True):
-                rows = batch.slice(lo, hi - lo)
-                ids = rows.column("ids")
-                flat = ids.flatten().to_numpy(zero_copy_only=False)
-                flat = np.where((flat >= 0) & (flat < size), flat, size - 1)
-                counts = np.where(ids.is_valid().to_numpy(zero_copy_only=False), sizes[lo:hi], 0)
-                out = body[ragged(starts[flat], lengths[flat])]
-                ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(counts)])]
-                texts = [None if null else bytes(out[i:j]).decode("utf-8", "replace").removeprefix(" ") for null, i, j in zip(ids.is_null().to_pylist(), ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
-
-    own = StructType([f for f in coded.schema.fields if f.name in kept])
-    return coded.select(*kept, "ids").mapInArrow(run, widened(own, "text string"))
+
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, and text as the ids give it: both directions in one pass of the workers."""
+    path = path or vocabulary_path()
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(_encoded(batches, path, ["doc_id"], "text"), path, ["doc_id", "ids"]), widened(_only(docs.schema, ["doc_id"]), "ids array<int>, text string"))
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Of every document: n_ids, ids_crc32 (little-endian 32-bit ids) and the SHA-256 of the text decoded from the ids."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode(docs)
-    text = decode(coded.withColumn("kept_ids", F.col("ids")))
-    return text.select("doc_id", F.coalesce(F.size("kept_ids"), F.lit(0)).alias("n_ids"), "kept_ids", F.sha2("text", 256).alias("decoded_sha256")).withColumnRenamed("kept_ids", "ids")
+    """Of every document its ids, their number, and the SHA-256 of the text decoded from them."""
+    both = encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
