@@ -461,7 +461,7 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(name, odd, empty):
     got = OPERATORS[name](odd).collect()
-    assert len(got) == (6 if name == "drop_near" else odd.count())
+    assert len(got) >= odd.count() if name == "packing" else len(got) == (5 if name == "drop_near" else odd.count())
     assert OPERATORS[name](empty).collect() == []
     if name == "jaccard":
         by = collections.defaultdict(set)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import widened
-from .textops import Distinct, Slice, WordMemo, as_text, mix, ragged, slices
+from .textops import Distinct, Slice, WordMemo, as_text, mix, pieces_of, ragged, slices
 
 #: Pieces up to so many characters; runs of letters are scored in parts of that many at most.
 LONGEST, PART = 12, 48
@@ -174,7 +174,7 @@ def _count(path: str):
 
     def run(batches):
         counts = Counts(path)
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in pieces_of(whole)):
             langs = batch.column("lang").dictionary_encode()
             names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
             for part in slices(pc.utf8_lower(as_text(batch.column("text"))), SLICE_BYTES):
@@ -271,7 +271,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         model = shared.value
         memo = Scores(model) if model else None
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in pieces_of(whole)):
             texts = batch.column(batch.schema.get_field_index("text"))
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             for part in slices(pc.utf8_lower(as_text(texts)), SLICE_BYTES) if model else ():

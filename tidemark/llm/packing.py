@@ -24,11 +24,11 @@ from .textops import Slice, WordMemo, ragged, slices
 
 CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Sequences looked at for one with room before a document is cut.
 TRIES = 16
 #: Distinct units that a worker remembers.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 _memos: dict[str, WordMemo] = {}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -28,7 +28,7 @@ from .textops import Slice, WordMemo, ragged, slices
 MARK = "▁"
 SLICE_BYTES, DECODED_IDS = 2 << 20, 500_000
 #: Words, and pairs of pieces, that a worker remembers.
-MEMO_WORDS, MEMO_PAIRS = 1_000_000, 400_000
+MEMO_WORDS, MEMO_PAIRS = 500_000, 300_000
 _vocabularies: dict[str, Vocabulary] = {}  # noqa: F821  (annotations aren't evaluated)
 
 

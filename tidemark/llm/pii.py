@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import widened
+from .textops import pieces_of
 
 #: Key of the registered query. Whoever must not undo the pseudonyms must not know the key: give your own.
 QUERY_KEY = b"tidemark example key"
@@ -206,7 +207,7 @@ def pseudonymise(docs: DataFrame, key: bytes, kinds=tuple(PATTERNS)) -> DataFram
 
     def run(batches):
         p = Permutation(key)
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in pieces_of(whole)):
             at = batch.schema.get_field_index("text")
             done = [(None, []) if t is None else pseudonyms(t, p, kinds) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)

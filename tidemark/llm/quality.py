@@ -54,6 +54,8 @@ def repeated_words(part: Slice, size: int = WINDOW) -> np.ndarray:
 def repeated_lines(part: Slice) -> np.ndarray:
     """Of each document, the lines with a word that equal an earlier line of it."""
     n = len(part.buf)
+    if not n:
+        return np.zeros(part.hi - part.lo, np.int64)
     cuts = np.flatnonzero(part.buf == 0x0A)
     starts = np.union1d(cuts + 1, part.offsets[:-1])
     starts = starts[starts < n]
@@ -161,17 +163,13 @@ def judge(docs: DataFrame, model: Model | None, least_good: float = LEAST_GOOD,
 
     def score(batches):
         for batch in batches:
-            parts = {k: [] for k in added[:5]}
-            good = []
             for part in slices(batch.column(batch.schema.get_field_index(text))):
-                for k, v in counts(part).items():
-                    parts[k].append(v)
-                good.append(shared.value.good(part) if shared.value else np.ones(part.hi - part.lo))
-            cols = {k: np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for k, v in parts.items()}
-            cols["base_failed"] = failed(cols["n_words"], cols["n_repeat_words"])
-            cols["good"] = np.concatenate([np.zeros(0), *good])
-            cols["kept"] = ~cols["base_failed"] & (cols["good"] >= least_good)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cols[k]) for k in added)], [*batch.schema.names, *added])
+                cols = {k: v.astype(np.int64) for k, v in counts(part).items()}
+                cols["base_failed"] = failed(cols["n_words"], cols["n_repeat_words"])
+                cols["good"] = shared.value.good(part) if shared.value else np.ones(part.hi - part.lo)
+                cols["kept"] = ~cols["base_failed"] & (cols["good"] >= least_good)
+                rows = batch.slice(part.lo, part.hi - part.lo)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(cols[k]) for k in added)], [*rows.schema.names, *added])
 
     return docs.mapInArrow(score, widened(docs.schema, COLUMNS))
 

@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import widened
 
-from .textops import OVER_WORDS, OVER_WORDS_2, Slice, mix, ragged, slices
+from .textops import OVER_WORDS, OVER_WORDS_2, Slice, mix, pieces_of, ragged, slices
 
 SIZE, PERIOD, ANCHOR = 35, 21, 15
 #: Bits of an anchor's hash that aren't sent; anchors only say where to look.
@@ -39,6 +39,8 @@ COVER = (0, 1, 4, 14, 16)
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
 #: Hashes that a task merges at once; bytes of text whose hashes make a bucket.
 BLOCK, BUCKET_BYTES = 1 << 20, 64 << 20
+#: Rows whose compressed texts are spread out at once.
+ROWS = 256
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _FIELDS = ("key", "key_2", "n", "doc", "place")
 _TYPES = (np.uint64, np.uint32, np.int32, np.int64, np.int64)
@@ -151,12 +153,19 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 def _squeezed(batches):
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in (rows for whole in batches for rows in pieces_of(whole)):
         at = batch.schema.get_field_index("text")
         small = [squeeze.compress(part.buf[i:j]) for part in slices(batch.column(at)) for i, j in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
         yield batch.set_column(at, "text", pa.array(small, pa.binary()))
 
 
+def _few(batches):
+    """Batches of a few rows, as their texts are about to be spread out."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _text(batch) -> pa.Array:
     spread = zstandard.ZstdDecompressor()
     texts = [spread.decompress(x.as_buffer()) for x in batch.column("text")]
@@ -201,7 +210,7 @@ def _marked(runs: pa.Array, lo: int, hi: int, bounds: np.ndarray, left: int, rig
 
 def _windows(buckets: int):
     def found(batches):
-        for batch in batches:
+        for batch in _few(batches):
             docs, tags = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_doc", "_tag"))
             for part in slices(_text(batch)):
                 near = _marked(batch.column("_runs"), part.lo, part.hi, part.word_offsets, SIZE - ANCHOR, 0)
@@ -214,7 +223,7 @@ def _windows(buckets: int):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in _few(batches):
         texts, totals, gone = [], [], []
         for part in slices(_text(batch)):
             out = _marked(batch.column("_runs"), part.lo, part.hi, part.word_offsets, 0, SIZE - 1)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text handled at once; a longer document makes a slice of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +46,7 @@ class Polynomial:
     def reach(self, n: int) -> None:
         """Powers of the base and of its inverse, for sequences up to n."""
         if len(self.power) <= n:
-            n = max(n + 1, 2 * len(self.power), 1 << 16)
+            n = (n // 65536 + 1) * 65536
             back = pow(self.base, -1, 2**64)
             for name, by in (("power", self.base), ("inverse", back)):
                 steps = np.full(n, np.uint64(by))
@@ -167,6 +167,12 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         lo = hi
 
 
+def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch as batches of whole rows with so many bytes of text, so that what is worked out for one stays small."""
+    for part in slices(batch.column(batch.schema.get_field_index(column)), limit):
+        yield batch.slice(part.lo, part.hi - part.lo)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of many runs, one after another."""
     total = int(lengths.sum())
@@ -176,6 +182,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def two_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits, never 0, and 32 other bits of each span; the spans are in order, and few bytes are hashed at once."""
+    keys, checks, i = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint32), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
+        own, a, b = buf[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        keys[i:j] = np.maximum(FIRST.spans(FIRST.sums(FIRST.table[own]), a, b), np.uint64(1))
+        checks[i:j] = SECOND.spans(SECOND.sums(SECOND.table[own]), a, b) >> np.uint64(32)
+        i = j
+    return keys, checks
+
+
 class SpanTable:
     """Numbers of distinct byte strings, known by two independent hashes, 96 bits together; open addressing in arrays."""
 
@@ -236,8 +254,7 @@ class Distinct:
 
     def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each span."""
-        keys = np.maximum(FIRST.spans(FIRST.sums(FIRST.table[buf]), starts, ends), np.uint64(1))
-        checks = (SECOND.spans(SECOND.sums(SECOND.table[buf]), starts, ends) >> np.uint64(32)).astype(np.uint32)
+        keys, checks = two_hashes(buf, starts, ends)
         found = self.table.find(keys, checks)
         new = np.flatnonzero(found < 0)
         if len(new):

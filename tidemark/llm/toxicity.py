@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .shared import settled, widened
-from .textops import FIRST, SEPARATOR, as_text, slices
+from .textops import FIRST, SEPARATOR, as_text, pieces_of, slices
 
 #: Lengths in bytes of the n-grams; white space counts as one character, so that they see where words begin.
 GRAMS, BITS = (3, 4, 5, 6, 7, 8), 21
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in pieces_of(whole, text)):
             texts = batch.column(batch.schema.get_field_index(text))
             s = shared.value(texts) if shared.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= LEAST_TOXIC).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
