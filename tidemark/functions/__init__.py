@@ -1,5 +1,5 @@
 """Small expressions that the operators share."""
 
-from .expressions import percent, quoted, rate
+from .expressions import percent, quoted, rate, whole
 
-__all__ = ["percent", "quoted", "rate"]
+__all__ = ["percent", "quoted", "rate", "whole"]

@@ -17,11 +17,12 @@ class Mode(enum.Enum):
 
 @dataclass(frozen=True)
 class KeyRange:
-    """Least and greatest key; (0, 0) for an empty table."""
+    """Least and greatest key, (0, 0) for an empty table; rows, and how many of them have no key."""
 
     low: int
     high: int
-    empty: bool = False
+    rows: int = 0
+    nulls: int = 0
 
 
 @dataclass(frozen=True)

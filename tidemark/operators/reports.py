@@ -22,7 +22,7 @@ def chunk_report(rows: DataFrame, key: str, size: int) -> DataFrame:
     Rows are counted by chunk before anything is ordered, so the running total orders counts, not rows.
     """
     span = key_range(rows, key)
-    if span.empty:
+    if not span.rows:
         return rows.sparkSession.createDataFrame([], "chunk_id long, chunk_start long, chunk_end long, chunk_rows long, synced_rows long")
     counts = rows.groupBy(chunk_of(F.col(quoted(key)), span.low, size).cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
     plan = chunk_frame(rows.sparkSession, span.low, span.high, size).join(counts, "chunk_id", "left")

@@ -18,8 +18,8 @@ def usable_key(kind: DataType) -> bool:
 def key_range(rows: DataFrame, key: str) -> KeyRange:
     """Least and greatest key: one aggregate, which a JDBC source answers from its index and Parquet from one column."""
     k = F.col(quoted(key))
-    low, high = rows.agg(F.min(k), F.max(k)).first()
-    return KeyRange(0, 0, empty=True) if low is None else KeyRange(int(low), int(high))
+    low, high, n, keyed = rows.agg(F.min(k), F.max(k), F.count(F.lit(1)), F.count(k)).first()
+    return KeyRange(int(low or 0), int(high or 0), n, n - keyed)
 
 
 def key_range_frame(rows: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError, SyncOptions
-from ..functions import quoted
+from ..functions import quoted, whole
 from ..model import Chunk, Mode, SyncResult
 from ..plans import chunk_of, first_key, waves
 from ..sources.base import PROGRESS, Catalog, open_catalog
@@ -125,7 +125,9 @@ class SyncEngine:
 
     def _copy_keyed(self, result: SyncResult, rows: DataFrame, key: str, resume: bool) -> None:
         table, o = result.table, self.options
-        keys, total = key_range(rows, key), row_count(rows)
+        keys = key_range(rows, key)
+        if keys.nulls:
+            raise ValueError(f"{keys.nulls} rows have a null key {key}; configure the table's key as null to copy it as a whole")
         known = self.ledger.get(table) if resume else None
         last = known.last_pk_value if known else None
         if known and known.status == "done" or (last is not None and last >= keys.high):
@@ -136,10 +138,10 @@ class SyncEngine:
             return
         result.rows = known.synced_rows if known else 0
         # The ledger first: if the target is emptied and this run dies, no old progress must speak for it.
-        self.ledger.start(table, total, key, resumed=known is not None)
+        self.ledger.start(table, keys.rows, key, resumed=known is not None)
         self._ensure(table, rows, key, last, keep=known is not None)
-        if not keys.empty:
-            self._copy_waves(result, rows, key, waves(first_key(keys, last), keys.high, o.chunk_size, o.waves), total)
+        if keys.rows:
+            self._copy_waves(result, rows, key, waves(first_key(keys, last), keys.high, o.chunk_size, o.waves), keys.rows)
         self.ledger.done(table, result.rows)
 
     def _copy_waves(self, result: SyncResult, rows: DataFrame, key: str, plan: list[Chunk], total: int) -> None:
@@ -164,7 +166,7 @@ class SyncEngine:
         if len(plan) == 1:
             return {0}
         k, width = F.col(quoted(key)), plan[0].end - plan[0].start + 1
-        found = rows.where(k >= F.lit(plan[0].start)).select(chunk_of(k, plan[0].start, width).alias("wave")).distinct().collect()
+        found = rows.where(k >= whole(plan[0].start)).select(chunk_of(k, plan[0].start, width).alias("wave")).distinct().collect()
         return {int(r["wave"]) for r in found}
 
     def _copy_whole(self, result: SyncResult, rows: DataFrame) -> None:

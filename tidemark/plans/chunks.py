@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import whole
 from ..model import Chunk, KeyRange
 
 
@@ -40,7 +41,7 @@ def waves(start: int, high: int, size: int, count: int) -> list[Chunk]:
 def chunk_of(key: Column, low: int, size: int) -> Column:
     """Number of the chunk of a key that isn't below `low`, as a decimal: exact for any whole keys."""
     wide = "decimal(38,0)"
-    shifted, width = key.cast(wide) - F.lit(low).cast(wide), F.lit(size).cast("decimal(20,0)")
+    shifted, width = key.cast(wide) - whole(low).cast(wide), whole(size).cast("decimal(20,0)")
     return ((shifted - shifted % width) / width).cast(wide)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import Endpoint, SyncOptions
-from ..functions import quoted
+from ..functions import quoted, whole
 from ..model import Chunk
 
 #: The ledger's name in a target.
@@ -78,7 +78,7 @@ class Catalog(abc.ABC):
 
     def range_scan(self, table: str, key: str, span: Chunk, chunk_size: int) -> DataFrame:
         """Rows whose key is in an inclusive interval; the predicate reaches the scan."""
-        return self.full_scan(table).where(F.col(quoted(key)).between(F.lit(span.start), F.lit(span.end)))
+        return self.full_scan(table).where(F.col(quoted(key)).between(whole(span.start), whole(span.end)))
 
     # As a target.
 
