@@ -57,6 +57,13 @@ class Vocabulary:
         self.texts = {i: p for p, i in self.ids.items()}
         self.scores = {i: model.get_score(i) for i in self.texts}
         self.longest = max(map(len, self.ids))
+        #: A trie of the pieces from their last character backwards; "" leads to a piece's id.
+        self.endings: dict = {}
+        for p, i in self.ids.items():
+            node = self.endings
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = i
         self.floor = min(self.scores.values()) - 10.0
         #: Pairs of bytes that are neighbours in some piece, spaces standing for marks.
         self.inside = np.zeros((256, 256), bool)
@@ -107,24 +114,29 @@ class Stream:
     def _extend(self) -> None:
         """Carry the search on to the end of the window's text."""
         v, text, back, last, score = self.v, self.text, self.back, self.last, self.score
-        find, longest, known = v.ids.get, v.longest, v._joined
+        endings, longest, known, may_follow = v.endings, v.longest, v._joined.get, v.may_follow
         for n in range(len(back), len(text) + 1):
-            start, arc = n - 1, -1
+            start, arc, node, found = n - 1, -1, endings, []
+            for i in range(n - 1, (n - longest if n > longest else 0) - 1, -1):
+                node = node.get(text[i])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    found.append((i, piece))
             if v.unigram:
                 best = None
-                for i in range(n - longest if n > longest else 0, n):
-                    piece = find(text[i:n])
-                    if piece is not None and (best is None or score[i] + v.scores[piece] > best):
+                for i, piece in found:
+                    if best is None or score[i] + v.scores[piece] > best:
                         best, start, arc = score[i] + v.scores[piece], i, piece
                 score.append(score[n - 1] + v.floor if best is None else best)
             else:
-                for i in range(n - longest if n > longest else 0, n):
-                    piece = find(text[i:n])
-                    if piece is not None:
-                        open_ = known.get((last[i] + 1 << 32) | piece)
-                        if v.may_follow(last[i], piece) if open_ is None else open_:
-                            start, arc = i, piece
-                            break
+                for i, piece in reversed(found):
+                    before = last[i]
+                    follows = known((before + 1 << 32) | piece)
+                    if may_follow(before, piece) if follows is None else follows:
+                        start, arc = i, piece
+                        break
             back.append(start)
             last.append(arc)
 
