@@ -8,9 +8,11 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from datetime import UTC, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..model import Progress
 from ..sources.base import PROGRESS, Catalog
@@ -72,8 +74,7 @@ class Ledger:
             self._seq += 1
             blank = dict.fromkeys((c.split(" ")[0] for c in SCHEMA.split(", "))) | {"total_rows": 0, "synced_rows": 0, "primary_key": ""}
             event = {**blank, **self._latest.get(table, {}), **changed, "seq": self._seq, "table_name": table, "updated_at": self.clock()}
-            rows = self.target.spark.createDataFrame([tuple(event[c.split(" ")[0]] for c in SCHEMA.split(", "))], SCHEMA)
-            self.target.append(PROGRESS, rows.coalesce(1))
+            self.target.append_row(PROGRESS, StructType.fromDDL(SCHEMA), event)
             self._latest[table] = event
 
     def start(self, table: str, total: int, key: str, resumed: bool) -> None:
@@ -83,7 +84,7 @@ class Ledger:
 
     def advance(self, table: str, synced: int, last: int) -> None:
         """All keys up to `last` are in the target. Only after the data are."""
-        self._append(table, synced_rows=synced, last_pk_value=_decimal(last))
+        self._append(table, synced_rows=synced, last_pk_value=Decimal(last))
 
     def done(self, table: str, synced: int) -> None:
         self._append(table, synced_rows=synced, status="done", finished_at=self.clock(), error=None)
@@ -99,9 +100,3 @@ class Ledger:
         known = [t for t, e in self._latest.items() if e["status"] != RESET]
         for t in known if table is None else [t for t in known if t == table]:
             self._append(t, total_rows=0, synced_rows=0, primary_key="", last_pk_value=None, status=RESET, started_at=None, finished_at=None, error=None)
-
-
-def _decimal(x: int):
-    from decimal import Decimal
-
-    return Decimal(x)

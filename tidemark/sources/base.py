@@ -107,6 +107,11 @@ class Catalog(abc.ABC):
         """Add rows to a table, which is created if absent. For the ledger."""
 
 
+    def append_row(self, table: str, schema: StructType, values: dict) -> None:
+        """Add one row to a table, which exists."""
+        self.append(table, self.spark.createDataFrame([tuple(values[f.name] for f in schema)], schema).coalesce(1))
+
+
 class ForeignData(RuntimeError):
     """A target holds data that this engine didn't write."""
 

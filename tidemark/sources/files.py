@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -32,13 +34,16 @@ class Files:
     def make(self, path: str) -> None:
         self.fs(path).mkdirs(self.path(path))
 
-    def write(self, path: str, text: str) -> None:
-        """A small file, as UTF-8."""
-        out = self.fs(path).create(self.path(path), True)
+    def write(self, path: str, data: bytes) -> None:
+        """A small file, visible only when it is whole."""
+        folder, _, name = path.rpartition("/")
+        part = f"{folder}/_part_{uuid.uuid4().hex}_{name}"
+        out = self.fs(path).create(self.path(part), True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(data))
         finally:
             out.close()
+        self.move(part, path)
 
     def read(self, path: str) -> str:
         """A small file's text."""

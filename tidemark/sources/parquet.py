@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -19,6 +21,7 @@ from .files import Files
 #: Says that this engine wrote a folder; holds the table's schema.
 MARKER = "_tidemark_schema"
 SUFFIX = ".parquet"
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "decimal(38,0)": pa.decimal128(38, 0), "timestamp": pa.timestamp("us", "UTC")}
 
 
 class ParquetCatalog(Catalog):
@@ -66,7 +69,7 @@ class ParquetCatalog(Catalog):
 
     def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None) -> None:
         self.files.make(self.place(table))
-        self.files.write(f"{self.place(table)}/{MARKER}", schema.json())
+        self.files.write(f"{self.place(table)}/{MARKER}", schema.json().encode())
 
     def _need_own(self, table: str) -> None:
         if self.exists(table) and self._own(table) is None:
@@ -98,6 +101,13 @@ class ParquetCatalog(Catalog):
             if self.files.exists(self.place(stage)):
                 self.files.remove(self.place(stage))
 
+    def append_row(self, table: str, schema: StructType, values: dict) -> None:
+        """A file of one row, made without a Spark job."""
+        own = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_pylist([{f.name: values[f.name] for f in schema}], own), sink)
+        self.files.write(f"{self.place(table)}/{WAVE}=0/row-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
+
     def append(self, table: str, rows: DataFrame) -> None:
         if not self.exists(table):
             self.create(table, rows.schema, None)
