@@ -9,7 +9,8 @@ from .shared import settled
 
 
 def _least(links: DataFrame) -> DataFrame:
-    return links.groupBy("a").agg(F.min("b").alias("m"))
+    """Each node's least neighbour, kept: a join with it then reads both sides from plain exchanges, whose large partitions Spark splits, as those of a hub."""
+    return settled(links.groupBy("a").agg(F.min("b").alias("m")))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -174,7 +174,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = known.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "tag")).alias("who"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     classes = settled(classes.select("set_1", "set_2", F.col("who.doc_id").alias("doc"), F.col("who.tag").alias("tag"), "copies", "keys"))
     paths = classes.select("doc", F.explode("keys").alias("key"))
-    shared = paths.groupBy("key").agg(F.min("doc").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = settled(paths.groupBy("key").agg(F.min("doc").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1))  # kept, so that Spark can split a hot key's partition in the join
     clusters = settled(components(paths.join(shared, "key").select(F.col("doc").alias("a"), "b").where(F.col("a") != F.col("b"))))
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
