@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -212,10 +213,11 @@ def drop_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null doc_id stay. Of rows that repeat a doc_id one stays.
     """
     gone = near_classes(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    once = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeats = kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(once, "doc_id", "left_anti").unionByName(repeats).select(*docs.columns)
+    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")  # the one shuffle of the texts; the window below keeps it
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    once = kept.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"), first.alias("place")).where(F.col("place") == 1)
+    return once.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+
 
 
 OP6_SQL = f"""
