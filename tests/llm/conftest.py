@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 
@@ -11,10 +10,6 @@ def words(text):
     return WORD.findall(text or "")
 
 
-def sha(text):
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 @pytest.fixture(scope="session")
 def corpus():
     """Texts with copies, near copies, shared passages, empty and long ones, and text in other scripts."""
