@@ -74,6 +74,12 @@ def test_full_copy_and_ledger(spark, folder):
     assert p.started_at <= p.finished_at <= p.updated_at
 
 
+def test_sorted_files(spark, folder):
+    folder.put("t", keyed(spark, [5, 3, 9, 1, 7]).coalesce(1))
+    folder.engine({"t": "id"}, sort_rows=True).run()
+    assert [r.id for r in folder.engine().target.load("t").collect()] == [1, 3, 5, 7, 9] and folder.same("t")
+
+
 def test_full_again_replaces_and_resume_skips(spark, folder):
     folder.put("t", keyed(spark, range(30)))
     folder.engine({"t": "id"}).run()

@@ -39,7 +39,9 @@ class SyncOptions:
     parallel_tables: tables at a time. chunk_size: key values in a chunk. batch_insert_size:
     rows in a JDBC batch. waves: commits to the ledger a table is split into, each of whole
     chunks and one Spark job; more waves lose less work to an interruption, but a source
-    without an index on the key is scanned once for each wave. tables: which, none for all.
+    without an index on the key is scanned once for each wave. sort_rows: order each written
+    file by the key, so that later range scans can skip parts of it; a sort within tasks, no
+    shuffle. tables: which, none for all.
     keys: primary keys by table, for sources that don't know them.
     """
 
@@ -47,6 +49,7 @@ class SyncOptions:
     chunk_size: int = 50_000
     batch_insert_size: int = 5_000
     waves: int = 4
+    sort_rows: bool = False
     tables: tuple[str, ...] = ()
     keys: dict[str, str | None] = field(default_factory=dict)
 

@@ -151,6 +151,7 @@ class SyncEngine:
             if number in filled:
                 seen = Observation(f"{table} {number}")
                 part = self.source.range_scan(table, key, wave, o.chunk_size).observe(seen, F.count(F.lit(1)).alias("rows"))
+                part = part.sortWithinPartitions(F.col(quoted(key))) if o.sort_rows else part
                 self.target.write_wave(table, part, wave, key, o.batch_insert_size)
                 copied = seen.get["rows"]
                 result.rows, result.copied = result.rows + copied, result.copied + copied
