@@ -40,12 +40,15 @@ class Ledger:
     def ensure(self) -> None:
         """Create the ledger if it is absent; read it once."""
         with self._lock:
+            if self._seq is not None:
+                return
             if not self.target.exists(PROGRESS):
-                self.target.append(PROGRESS, self.target.spark.createDataFrame([], SCHEMA))
-            if self._seq is None:
-                rows = self.fold().collect()  # a row for each table
-                self._seq = max((r["seq"] for r in rows), default=0)
-                self._latest = {r["table_name"]: r.asDict() for r in rows}
+                self.target.create(PROGRESS, StructType.fromDDL(SCHEMA), None)
+                self._seq = 0
+                return
+            rows = self.fold().collect()  # a row for each table
+            self._seq = max((r["seq"] for r in rows), default=0)
+            self._latest = {r["table_name"]: r.asDict() for r in rows}
 
     def events(self) -> DataFrame:
         return self.target.load(PROGRESS)
