@@ -85,6 +85,26 @@ def test_neighbours_recall_and_order(spark, sf):
     assert hits / total >= 0.9
 
 
+def crowded(n, d=16):
+    """n vectors of which every third is a near copy of one, so that these have the same pivot order or nearly so."""
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((n, d))
+    v[::3] = v[0] + 1e-6 * rng.standard_normal(v[::3].shape)
+    return v
+
+
+def test_neighbours_among_near_copies(spark):
+    v = crowded(3000)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 3000, 50):
+        s = neighbours.cosines(v[q], v)
+        s[q] = -2
+        assert len(got[q]) == 5 and s[sorted(got[q])].min() >= np.sort(s)[-5]
+
+
 def test_neighbours_odd_vectors(spark):
     good = [(i, [float(np.cos(i)), float(np.sin(i)), 1.0]) for i in range(1, 20)]
     same = [(100 + i, [3.0, 4.0, 0.0]) for i in range(30)]

@@ -3,7 +3,10 @@
 A vector is represented by its nearest pivots, in order. Blocks of vectors post these in
 inverted files, one list a pivot with the vector's place for it; a query adds up over the
 lists of its own pivots how near the places are, which gives the footrule distance of the two
-orders. The best by footrule are ranked again by their exact cosine.
+orders. The best by footrule are ranked again by their exact cosine. That is only the first
+guess: a product of matrices bounds the cosines of all others from above, and every vector
+whose bound reaches the guess's last place is ranked exactly too, so none is lost unseen,
+however many share an order or nearly so.
 
 Every vector is indexed, in a block of bounded size. Queries meet blocks in tasks of a
 block of queries and a block of vectors; each sends its few best on.
@@ -20,9 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PIVOTS, ORDER = 256, 64
-#: Share of a block's distinct vectors that are ranked again, and the least number.
+#: Share of a block's distinct vectors that are ranked first, and the least number.
 SHARE, LEAST = 0.08, 200
 BLOCK, QUERY_BLOCK = 8192, 4096
+#: Queries whose bounds are worked out at once.
+AT_ONCE = 128
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -55,6 +60,11 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip((vs * qs).sum(1) / np.sqrt((vs * vs).sum(1) * (qs * qs).sum()), -1.0, 1.0)
 
 
+def bounds(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of unit vectors with unit vectors: what `cosines` can't exceed, with room for the rounding of both."""
+    return q @ v.T + 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
+
+
 class InvertedFiles:
     """The lists of a block: by pivot, the vectors that have it among their nearest, and its place."""
 
@@ -75,7 +85,7 @@ class InvertedFiles:
 
 
 def search_block(queries: pa.Table, block: pa.Table, pivots: int, k: int) -> pa.Table:
-    """Each query's k best of a block, by way of the block's inverted files."""
+    """Each query's k best of a block: a first guess by way of the block's inverted files, and whatever may beat it."""
     ids, v, order = block.column("vec_id").to_numpy(), matrix(block.column("v")), matrix(block.column("p")).astype(np.int16)
     out: tuple[list, list, list] = ([], [], [])
     if len(ids) and len(queries):
@@ -86,12 +96,22 @@ def search_block(queries: pa.Table, block: pa.Table, pivots: int, k: int) -> pa.
         members = np.argsort(kind, kind="stable")
         starts = np.searchsorted(kind[members], np.arange(len(first) + 1))
         files, most = InvertedFiles(order[first], pivots), max(LEAST, math.ceil(SHARE * len(first)))
-        own = zip(queries.column("vec_id").to_pylist(), matrix(queries.column("v")), matrix(queries.column("p")).astype(np.int16), strict=True)
-        for q, x, p in own:
+        kinds, asked = v[first], matrix(queries.column("v"))
+        lines, asked_lines = unit(kinds), unit(asked)
+        own = zip(queries.column("vec_id").to_pylist(), asked, matrix(queries.column("p")).astype(np.int16), strict=True)
+        for at, (q, x, p) in enumerate(own):
+            if at % AT_ONCE == 0:
+                bound = bounds(asked_lines[at : at + AT_ONCE], lines)
             score = files.agreement(p)
             best = np.argpartition(-score, most - 1)[:most] if most < len(score) else np.arange(len(score))
-            near = cosines(x, v[first[best]])
+            near = cosines(x, kinds[best])
             cut = np.sort(near)[-min(len(near), k + 1)]
+            may = bound[at % AT_ONCE] >= cut
+            may[best] = False
+            rest = np.flatnonzero(may)
+            if len(rest):
+                best, near = np.append(best, rest), np.append(near, cosines(x, kinds[rest]))
+                cut = np.sort(near)[-min(len(near), k + 1)]
             rows = []
             for c, s in zip(best[near >= cut], near[near >= cut], strict=True):
                 same = np.unique(ids[members[starts[c] : starts[c + 1]]])
@@ -104,7 +124,7 @@ def search_block(queries: pa.Table, block: pa.Table, pivots: int, k: int) -> pa.
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, order: int = ORDER) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query by cosine.
+    """query_id, rank, vec_id, score: the k nearest of each query by cosine.
 
     is_query is a condition on vec_id. Pivots are the vectors with the smallest hash of their
     id, `pivots` at most; that bounded sample is all that the driver holds. Rows without an
