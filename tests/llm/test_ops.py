@@ -394,6 +394,27 @@ def test_what_fails_its_check_stays(text):
     assert pii.pseudonyms(text, pii.Permutation(b"k")) == (text, [])
 
 
+@pytest.mark.parametrize("before,after", [("", " 12/27"), ("", " 123"), ("", " 12 27 99"), ("", " 3rd"), ("1 ", ""), ("99 88 77 ", ""), ("2024-02-29 ", ""), ("7 ", " 12 2027"), ("", " 5500 0000 0000 0004")])
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "4012888888881881"])
+def test_cards_beside_other_numbers(card, before, after):
+    p = pii.Permutation(b"k")
+    new, spans = pii.pseudonyms(before + card + after, p)
+    assert ("card", len(before), len(card)) in spans
+    assert new[len(before) : len(before) + len(card)] == pii.pseudonyms(card, p)[0] != card
+
+
+@pytest.mark.parametrize("before,after", [("", " EUR"), ("", " 12 27"), ("", " EUR 4000 NOW"), ("AB12 ", ""), ("IBAN ", " BIC"), ("", " and")])
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00"])
+def test_ibans_beside_other_words(iban, before, after):
+    p = pii.Permutation(b"k")
+    assert pii.pseudonyms(before + iban + after, p)[0] == before + pii.pseudonyms(iban, p)[0] + after != before + iban + after
+
+
+def test_short_lists_of_numbers_stay():
+    text = " ".join(map(str, range(1, 26)))
+    assert pii.pseudonyms(text, pii.Permutation(b"k")) == (text, [])
+
+
 def test_permutation_is_one():
     p = pii.Permutation(b"k")
     for n in (2, 10, 97, 1000):

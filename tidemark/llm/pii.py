@@ -4,13 +4,16 @@ Numbers that pass their check (card and IBAN check digits, octets, calendar date
 security ranges, digits of a telephone number) and mail addresses are replaced by values of the
 same format: a keyed Feistel network permutes the values of each format, so equal values
 stay equal, different ones stay different, and check digits stay right. Values that fail
-their check are left alone. One pass in Arrow batches; nothing is shuffled.
+their check are left alone. Cards and IBANs are also looked for inside longer runs of groups,
+where other numbers or words stand beside them. One pass in Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -37,6 +40,14 @@ PATTERNS = {
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
 _HAS_DIGIT = re.compile("[0-9]")
+#: Groups of digits, one after another, that may hold a card and more.
+_CARD_RUN, _GROUP = re.compile(r"[0-9](?:[ -]?[0-9]){12,}"), re.compile("[0-9]+")
+_CARD_DIGITS, _FEW = (13, 19), 6
+#: The first digits of the card networks, and how groups are commonly written.
+_ISSUER = re.compile(r"4|5[0-9]|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|3[4-9]|30[0-59]|6[0-9]|1800|2131")
+_USUAL = re.compile(r"1[3-9]|4 4 4 [1-4]|4 4 4 4 [1-3]|4 6 [45]")
+_IBAN_HEAD, _IBAN_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"), re.compile(r" ?[A-Z0-9]+")
+_IBAN_BODY, _IBAN_SPAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"), 43
 
 
 class Permutation:
@@ -166,6 +177,54 @@ def _email(p, s):
     return f"{_alphanumeric(p, local, 'mail')}@{domain}"
 
 
+def _cards(text: str):
+    """Spans that may be a card, likely ones first: as networks write them, the longest matches, then other groups of a longer run.
+
+    A part of a run counts if it is grouped as cards usually are, or starts as a network's cards and is in few or in
+    equal groups: any tenth part of a table or list of numbers passes the check digit.
+    """
+    likely, usual_only, issued_only = [], [], []
+    for run in _CARD_RUN.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        if len(groups) < 2:
+            continue
+        digits = re.sub("[ -]", "", run[0])
+        ends, sums = list(itertools.accumulate((b - a for a, b in groups), initial=0)), []
+        for odd in (0, 1):  # check sums when digits at even, or odd, places are doubled
+            sums.append(list(itertools.accumulate((2 * x - 9 * (x > 4) if i % 2 == odd else x for i, x in enumerate(map(int, digits))), initial=0)))
+        first = 1 if re.search("[A-Za-z]$|[0-9][.-]$", text[max(0, run.start() - 2) : run.start()]) else 0
+        last = len(groups) - 1 if re.match("[A-Za-z]|[.-][0-9]", text[run.end() : run.end() + 2]) else len(groups)
+        for i in range(first, last):
+            low, high = bisect.bisect_left(ends, ends[i] + _CARD_DIGITS[0]), bisect.bisect_right(ends, ends[i] + _CARD_DIGITS[1])
+            for j in range(min(high - 1, last), low - 1, -1):
+                of = sums[ends[j] % 2]
+                if (of[ends[j]] - of[ends[i]]) % 10:
+                    continue
+                sizes = [y - x for x, y in groups[i:j]]
+                usual = _USUAL.fullmatch(" ".join(map(str, sizes))) is not None
+                issued = _ISSUER.match(digits, ends[i]) is not None and (len(sizes) <= _FEW or len(set(sizes[:-1])) == 1 >= sizes[-1] / sizes[0])
+                if usual or issued:
+                    (likely if usual and issued else usual_only if usual else issued_only).append((groups[i][0], groups[j - 1][1]))
+    yield from likely
+    yield from (m.span() for m in _COMPILED["card"].finditer(text))
+    yield from usual_only
+    yield from issued_only
+
+
+def _ibans(text: str):
+    """Spans that may be an IBAN: from each head the longest first, then shorter ends between words."""
+    for head in _IBAN_HEAD.finditer(text):
+        ends, at = [], head.end()
+        while at - head.start() <= _IBAN_SPAN and (word := _IBAN_WORD.match(text, at)):
+            at = word.end()
+            ends.append(at)
+        for end in reversed(ends):
+            if not re.match("[A-Za-z0-9]", text[end : end + 1]) and _IBAN_BODY.fullmatch(text, head.start(), end):
+                yield head.start(), end
+
+
+#: Formats whose values may stand among more of the same characters; of others each match is one span.
+SPANS_OF = {"card": _cards, "iban": _ibans}
 REPLACE = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
@@ -177,14 +236,14 @@ def pseudonyms(text: str, permutation: Permutation, kinds=tuple(PATTERNS)) -> tu
         for kind in kinds:
             if kind == "email" and "@" not in text:
                 continue
-            for m in _COMPILED[kind].finditer(text):
-                if taken and any(taken[m.start() : m.end()]):
+            for start, end in SPANS_OF[kind](text) if kind in SPANS_OF else (m.span() for m in _COMPILED[kind].finditer(text)):
+                if taken and any(taken[start:end]):
                     continue
-                new = REPLACE[kind](permutation, m[0])
+                new = REPLACE[kind](permutation, text[start:end])
                 if new is not None:
                     taken = taken or bytearray(len(text))
-                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                    found.append((m.start(), m.end(), kind, new))
+                    taken[start:end] = b"\1" * (end - start)
+                    found.append((start, end, kind, new))
     if not found:
         return text, []
     out, at = [], 0
