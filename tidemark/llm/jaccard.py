@@ -1,11 +1,11 @@
-"""Operator 6: n-gram Jaccard join by a MinHash LSH forest.
+"""Operator 6: n-gram Jaccard join by MinHash bands, the fixed prefixes of an LSH forest.
 
 Shingles are `SHINGLE` consecutive words (all words of a shorter text). Documents of one
 shingle set are one class, whatever their number; the join works on one text of each class.
-Every class has a signature of minima for each of `TREES` trees, read as a path: classes
-sorted by path form the prefix tries. Matched prefixes start at the full depth and are
-shortened until the expected recall at the threshold reaches the target; classes with an
-equal prefix of that length in any tree are candidates.
+Every class has minima for each of `TREES` trees, read as a path of up to `DEPTH` steps. The
+prefix that is matched is the longest whose expected recall at the threshold reaches the
+target; that follows from constants, so only its minima are computed, no tries are built,
+and classes with an equal prefix of that length in any tree, by its hash, are candidates.
 
 Candidates are verified exactly: their shingle sets meet in groups of bounded size (a large
 cluster is dealt into blocks, and each pair of blocks is a group), where whole matrices
