@@ -3,7 +3,8 @@
 Documents become token ids and are packed into sequences of at most `capacity` tokens.
 Each task packs its own rows in blocks of whole documents: sequences' costs are estimated
 as linear plus quadratic (attention) in the length of each piece; documents go, longest
-first, to the sequence of lowest cost that has room for them, and are cut where none has.
+first, to the sequence of lowest cost that has room for them, and are cut where none of the
+`TRIES` sequences of lowest cost has, even if a later one would.
 The room of a block is exactly what its tokens need, so all its sequences end full but
 one, which stays open for the next block. What a task leaves open at its end is dealt
 into sequences of power-of-two lengths, which need no padding.
