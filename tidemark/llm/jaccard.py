@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import settled
-from .textops import OVER_WORDS, mix, slices
+from .textops import joined, mix, slices, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9999
@@ -44,14 +44,13 @@ def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
 
 def shingle_sets(part):
     """Of each document of a slice, its sorted distinct shingle hashes."""
-    sums = OVER_WORDS.sums(part.words)
-    hashes = mix(OVER_WORDS.windows(sums, SHINGLE))
+    (hashes,) = windows(part.words, SHINGLE)
     bounds = part.word_offsets
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         if hi - lo >= SHINGLE:
             yield np.unique(hashes[lo : hi - SHINGLE + 1])
         elif hi > lo:
-            yield OVER_WORDS.spans(sums, np.array([lo]), np.array([hi])) + np.uint64(hi - lo)
+            yield joined(windows(part.words[lo:hi], hi - lo)[0], np.array([hi - lo], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .shared import widened
-from .textops import FIRST, OVER_WORDS, Slice, mix, slices
+from .textops import Slice, hash_spans, mix, point_grams, slices, windows
 
 #: The base rules.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -33,12 +33,12 @@ LEAST_GOOD = 0.2
 
 def repeated_words(part: Slice, size: int = WINDOW) -> np.ndarray:
     """Of each document, the words in windows that occur twice or more in it."""
-    windows = OVER_WORDS.windows(OVER_WORDS.sums(part.words), size)
+    (found,) = windows(part.words, size)
     out = np.zeros(part.hi - part.lo, np.int64)
-    if not len(windows):
+    if not len(found):
         return out
     starts = np.flatnonzero(part.inside(size, part.word_offsets))
-    keys = mix(windows[starts] + SPREAD * part.doc_of_word()[starts].astype(np.uint64))
+    keys = mix(found[starts] + SPREAD * part.doc_of_word()[starts].astype(np.uint64))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
     if not same.any():
@@ -64,7 +64,7 @@ def repeated_lines(part: Slice) -> np.ndarray:
     full = np.searchsorted(part.spans[0], ends) > np.searchsorted(part.spans[0], starts)
     starts, ends = starts[full], ends[full]
     doc = np.searchsorted(part.offsets, starts, "right") - 1
-    keys = mix(FIRST.spans(part.byte_sums, starts, ends) + SPREAD * doc.astype(np.uint64))
+    keys = mix(hash_spans(part.buf, starts, ends) + SPREAD * doc.astype(np.uint64))
     again = np.ones(len(keys), bool)
     again[np.unique(keys, return_index=True)[1]] = False
     return np.bincount(doc[again], minlength=part.hi - part.lo)
@@ -87,10 +87,10 @@ def failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
 
 def buckets(part: Slice):
     """For each kind of n-gram: bucket of every n-gram, bounds of the documents, n."""
-    words = OVER_WORDS.sums(part.words)
-    for kind, (n, poly, sums, bounds) in enumerate([(n, OVER_WORDS, words, part.word_offsets) for n in WORD_GRAMS] + [(n, FIRST, part.byte_sums, part.offsets) for n in CHAR_GRAMS]):
-        hashed = (poly.windows(sums, n) * SPREAD) >> np.uint64(64 - BITS)
-        yield hashed.astype(np.int64) + (kind << BITS), bounds, n
+    grams = [(x, part.word_offsets, n) for x, n in zip(windows(part.words, *WORD_GRAMS), WORD_GRAMS, strict=True)]
+    grams += [(x, part.point_offsets, n) for x, n in zip(point_grams(part.points(), CHAR_GRAMS), CHAR_GRAMS, strict=True)]
+    for kind, (hashed, bounds, n) in enumerate(grams):
+        yield ((hashed * SPREAD) >> np.uint64(64 - BITS)).astype(np.int64) + (kind << BITS), bounds, n
 
 
 @dataclass

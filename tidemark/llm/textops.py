@@ -5,8 +5,9 @@ string column: one contiguous byte buffer and the offsets of the documents in it
 Words are maximal runs of bytes other than space and ``\\x09-\\x0D``; these are ASCII,
 so splitting the UTF-8 bytes splits the text.
 
-Hashes are polynomials over a random byte table modulo 2**64: with prefix sums, the
-hash of any span is two lookups, whatever its length.
+Spans are hashed eight bytes at a time, each step mixed into all bits before the next, and
+windows of words by joining hashes of halves in the same way. Neither is linear, so texts of
+a regular build (repeated or mirrored patterns) collide no more often than any others.
 """
 
 from __future__ import annotations
@@ -34,43 +35,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Polynomial:
-    """Span hashes of sequences of 64-bit values; one object per independent hash."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = (int(rng.integers(2**40, 2**62)) * 8 + 5) % 2**64
-        self.power = self.inverse = np.ones(1, np.uint64)
-
-    def reach(self, n: int) -> None:
-        """Powers of the base and of its inverse, for sequences up to n."""
-        if len(self.power) <= n:
-            n = (n // 65536 + 1) * 65536
-            back = pow(self.base, -1, 2**64)
-            for name, by in (("power", self.base), ("inverse", back)):
-                steps = np.full(n, np.uint64(by))
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums, one longer than the values."""
-        self.reach(len(values))
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.power[: len(values)], out=out[1:])
+#: Odd multipliers; seeds of two independent hashes.
+TURN, TURN_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+FIRST, SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: A longer span is hashed in parts of so many bytes, and then the parts' hashes as a span.
+PART_BYTES = 512
+_MASKS = np.array([(1 << 8 * r) - 1 for r in range(9)], np.uint64)
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64 = FIRST) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans of equal bytes have equal hashes wherever they lie."""
+    starts = np.asarray(starts, np.int64)
+    lengths = np.asarray(ends, np.int64) - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if lengths.max() > PART_BYTES:
+        out, long = np.empty(len(starts), np.uint64), lengths > PART_BYTES
+        out[~long] = hash_spans(buf, starts[~long], starts[~long] + lengths[~long], seed)
+        n = -(-lengths[long] // PART_BYTES)
+        at = np.cumsum(n) - n
+        begin = np.repeat(starts[long] - at * PART_BYTES, n) + np.arange(n.sum()) * PART_BYTES
+        parts = hash_spans(buf, begin, np.minimum(begin + PART_BYTES, np.repeat(starts[long] + lengths[long], n)), seed)
+        out[long] = joined(hash_spans(parts.view(np.uint8), 8 * at, 8 * (at + n), seed), lengths[long].astype(np.uint64))
         return out
-
-    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts])
-
-    def windows(self, sums: np.ndarray, size: int) -> np.ndarray:
-        """Hash of every window of so many values, unmixed, in order."""
-        n = len(sums) - size
-        return (sums[size:] - sums[:n]) * self.inverse[:n] if n > 0 else np.zeros(0, np.uint64)
-
-
-FIRST, SECOND = Polynomial(11), Polynomial(12)
-OVER_WORDS, OVER_WORDS_2 = Polynomial(13), Polynomial(14)
+    lo = int(starts.min())
+    own = np.concatenate([buf[lo : int((starts + lengths).max())], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(own) - 7, "<u8", own, strides=(1,))  # the eight bytes from each place on
+    out = mix(lengths.astype(np.uint64) * TURN_2 + seed)
+    at, left, live = starts - lo, lengths, None
+    while True:
+        step = eight[at] & _MASKS[np.clip(left, 0, 8)]
+        if live is None:
+            out = mix(out * TURN + step)
+        else:
+            out[live] = mix(out[live] * TURN + step)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of hashes; their order counts."""
+    return mix(a * TURN + b * TURN_2 + SECOND)
+
+
+def windows(values: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size, a hash of every window of so many values, in order.
+
+    A window is joined from the one of half its length that begins it and the one that ends
+    it; these may overlap.
+    """
+    out: dict[int, np.ndarray] = {}
+    now, n = values, 1
+    for size in sorted(set(sizes)):
+        while 2 * n <= size:
+            now, n = joined(now[: max(0, len(now) - n)], now[n:]), 2 * n
+        rest = size - n
+        out[size] = joined(now[: max(0, len(now) - rest)], now[rest:]) if rest else now
+    return [out[size] for size in sizes]
 
 
 @dataclass
@@ -110,19 +134,35 @@ class Slice:
         """Of each document, the number of words before it; one more at the end."""
         return np.searchsorted(self.spans[0], self.offsets)
 
-    @cached_property
-    def byte_sums(self) -> np.ndarray:
-        return FIRST.sums(FIRST.table[self.buf])
-
     @cached_property
     def words(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return FIRST.spans(self.byte_sums, *self.spans)
+        return hash_spans(self.buf, *self.spans)
 
     @cached_property
     def words_2(self) -> np.ndarray:
         """An independent second hash."""
-        return SECOND.spans(SECOND.sums(SECOND.table[self.buf]), *self.spans)
+        return hash_spans(self.buf, *self.spans, seed=SECOND)
+
+    @cached_property
+    def point_starts(self) -> np.ndarray:
+        """Where characters begin: at every byte but those that go on with one."""
+        first = (self.buf & 0xC0) != 0x80
+        first[self.offsets[:-1][self.offsets[:-1] < len(self.buf)]] = True
+        return np.flatnonzero(first)
+
+    @cached_property
+    def point_offsets(self) -> np.ndarray:
+        """Of each document, the number of characters before it; one more at the end."""
+        return np.searchsorted(self.point_starts, self.offsets)
+
+    def points(self, buf: np.ndarray | None = None) -> np.ndarray:
+        """The characters of the texts (or of other bytes in their place), as numbers: their bytes, four at most."""
+        buf, at = self.buf if buf is None else buf, self.point_starts
+        if len(at) == len(buf):
+            return buf.astype(np.uint64)
+        four = np.ndarray(len(buf), "<u4", np.concatenate([buf, np.zeros(3, np.uint8)]), strides=(1,))
+        return four[at] & _MASKS[np.minimum(np.diff(at, append=len(buf)), 4)]
 
     def per_doc(self, values: np.ndarray, bounds: np.ndarray, cut: int = 0) -> np.ndarray:
         """Sums of values by document, without the last `cut` of each."""
@@ -182,24 +222,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def two_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits, never 0, and 32 other bits of each span; the spans are in order, and few bytes are hashed at once."""
-    keys, checks, i = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint32), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
-        own, a, b = buf[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]
-        keys[i:j] = np.maximum(FIRST.spans(FIRST.sums(FIRST.table[own]), a, b), np.uint64(1))
-        checks[i:j] = SECOND.spans(SECOND.sums(SECOND.table[own]), a, b) >> np.uint64(32)
-        i = j
+def two_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits, never 0, and 64 other bits of each span; few spans are hashed at once."""
+    keys, checks = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), at_once):
+        a, b = starts[i : i + at_once], ends[i : i + at_once]
+        keys[i : i + at_once] = np.maximum(hash_spans(buf, a, b), np.uint64(1))
+        checks[i : i + at_once] = hash_spans(buf, a, b, SECOND)
     return keys, checks
 
 
 class SpanTable:
-    """Numbers of distinct byte strings, known by two independent hashes, 96 bits together; open addressing in arrays."""
+    """Numbers of distinct byte strings, known by two independent hashes, 128 bits together; open addressing in arrays."""
 
     def __init__(self, room: int = 1 << 15):
         self.n, self.mask = 0, (1 << (2 * room - 1).bit_length()) - 1
-        self.keys, self.checks, self.numbers = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.uint32), np.zeros(self.mask + 1, np.int32)
+        self.keys, self.checks, self.numbers = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """The number of each, or -1."""
@@ -310,3 +348,15 @@ def strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 def word_array(part: Slice) -> pa.Array:
     """The words of a slice as strings."""
     return strings(part.buf, *part.spans)
+
+
+def point_grams(points: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of the ascending sizes, a number for every run of so many characters, in order: features, so mixed but lightly."""
+    out, now, n = [], mix(points + FIRST), 1
+    single = now
+    for size in sizes:
+        while n < size:
+            now = now[: max(0, len(now) - 1)] * TURN + single[n:]
+            n += 1
+        out.append(now * TURN_2)
+    return out

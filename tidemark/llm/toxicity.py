@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .shared import settled, widened
-from .textops import FIRST, SEPARATOR, as_text, pieces_of, slices
+from .textops import SEPARATOR, as_text, pieces_of, point_grams, slices
 
-#: Lengths in bytes of the n-grams; white space counts as one character, so that they see where words begin.
+#: Lengths in characters of the n-grams; any white space counts as one character, so that they see where words begin.
 GRAMS, BITS = (3, 4, 5, 6, 7, 8), 21
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: A feature needs so many documents of the sample, and so large a log-count ratio.
@@ -32,15 +32,15 @@ _BLANK = np.where(SEPARATOR, 0x20, np.arange(256)).astype(np.uint8)
 
 
 def buckets(texts: pa.Array):
-    """For every slice of the texts: its documents, and by n the bucket of every n-gram."""
+    """For every slice of the texts: its documents, and by n the bucket of every n-gram of characters."""
     for part in slices(pc.utf8_lower(as_text(texts))):
-        sums = FIRST.sums(FIRST.table[_BLANK[part.buf]])
-        yield part, [((FIRST.windows(sums, n) * SPREAD) >> np.uint64(64 - BITS)).astype(np.int32) for n in GRAMS]
+        grams = point_grams(part.points(_BLANK[part.buf]), GRAMS)
+        yield part, [((x * SPREAD) >> np.uint64(64 - BITS)).astype(np.int32) for x in grams]
 
 
 def spans(part, d: int):
     """Where the n-grams of document d begin and end among a slice's, by n."""
-    lo, hi = part.offsets[d], part.offsets[d + 1]
+    lo, hi = part.point_offsets[d], part.point_offsets[d + 1]
     return [slice(lo, max(lo, hi - n + 1)) for n in GRAMS]
 
 
@@ -58,10 +58,10 @@ class Model:
         for part, grams in buckets(texts):
             z = np.full(part.hi - part.lo, self.intercept)
             hits = [(at, ids[at]) for ids in grams for at in [np.flatnonzero(used[ids])]]
-            doc = np.concatenate([np.searchsorted(part.offsets, at, "right") - 1 for at, _ in hits])
+            doc = np.concatenate([np.searchsorted(part.point_offsets, at, "right") - 1 for at, _ in hits])
             end = np.concatenate([at + n for (at, _), n in zip(hits, GRAMS, strict=True)])
             ids = np.concatenate([x for _, x in hits])
-            inside = end <= part.offsets[doc + 1]
+            inside = end <= part.point_offsets[doc + 1]
             key = np.unique((doc[inside].astype(np.int64) << BITS) | ids[inside])
             z += np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], part.hi - part.lo)
             out.append(linear.sigmoid(self.slope * z + self.shift))
