@@ -7,15 +7,17 @@ Positions whose remainder modulo `PERIOD` is in `COVER` hold an anchor, the hash
 `ANCHOR` words that start there. COVER is a difference cover: whatever the two places of
 a repeated passage, less than PERIOD words into it lies a position that is a cover position
 in both. As SIZE = PERIOD + ANCHOR - 1, that anchor lies wholly inside any repeated window,
-so only windows around a repeated anchor can be repeated. These are extended to whole
-windows, hashed to 96 bits, and counted over all documents; the windows found twice are cut
-from the texts. Texts meet what was found in them compressed.
-
-Each count is one shuffle by hash. A task first merges what it holds itself: a hash it sees
-twice is settled there, and one marker of it goes to the others, so a passage that a third
-of all documents share sends one entry for each block of a task, not for each document.
-Entries travel packed: a row holds all entries of a block for one bucket of hashes, and
-a task counts one bucket at a time.
+so only windows around a repeated anchor can be repeated.
+
+Anchors meet by hash, in one shuffle that Spark sorts. Each comes with the hash of all words that
+windows around it may cover, its surroundings. Where these are equal too, all those windows
+are repeated, and nothing more is to be done: so inside of copies and of long passages. Only
+where one anchor has several surroundings, as near the ends of a passage, one of each
+extends to its windows, which are hashed to 128 bits and meet in a second shuffle.
+
+What a task sees twice is settled there, and one of it goes to the others. A passage that a
+third of all documents share thus sends one entry for each block of a task, at most.
+Texts are shuffled once, compressed, to meet what was found in them.
 """
 
 from __future__ import annotations
@@ -23,137 +25,118 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import widened
-
-from .textops import OVER_WORDS, OVER_WORDS_2, Slice, mix, pieces_of, ragged, slices
+from .shared import carried, restored, widened
+from .textops import Slice, mix, pieces_of, ragged, slices, windows
 
 SIZE, PERIOD, ANCHOR = 35, 21, 15
+#: Words before an anchor that its windows may cover; words that they may cover together.
+REACH, AROUND = PERIOD - 1, SIZE + PERIOD - 1
 #: Bits of an anchor's hash that aren't sent; anchors only say where to look.
-ANCHOR_SHIFT = 16
+ANCHOR_SHIFT = np.uint64(16)
 #: A perfect difference set modulo 21.
 COVER = (0, 1, 4, 14, 16)
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
-#: Hashes that a task merges at once; bytes of text whose hashes make a bucket.
-BLOCK, BUCKET_BYTES = 1 << 20, 64 << 20
-#: Rows whose compressed texts are spread out at once.
-ROWS = 256
-SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_FIELDS = ("key", "key_2", "n", "doc", "place")
-_TYPES = (np.uint64, np.uint32, np.int32, np.int64, np.int64)
-_ENTRY = sum(np.dtype(x).itemsize for x in _TYPES)
-
-
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Entries in the order of the documents, column by column: docs as steps, place as tag and word."""
-    key, key_2, n, doc, place = columns
-    parts = [doc[:1], np.diff(doc), (place >> 32).astype(np.int32), place.astype(np.int32), n, key_2, key]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at = zstandard.ZstdDecompressor().decompress(data), 0
-    rows = len(raw) // _ENTRY
-    out = []
-    for kind in (np.int64, np.int32, np.int32, np.int32, np.uint32, np.uint64):
-        out.append(np.frombuffer(raw, kind, rows, at))
-        at += rows * np.dtype(kind).itemsize
-    doc, tag, word, n, key_2, key = out
-    return [key, key_2, n, np.cumsum(doc), (tag.astype(np.int64) << 32) | word]
-
-
-def merged(key: np.ndarray, key_2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """What a block of hashes sends on.
-
-    n is 1 for a hash seen once here, 2 for the marker of one seen more often, and minus the
-    length of a run of starts that are settled; these are spread by an arbitrary key.
+#: Hashes that a task merges at once.
+BLOCK = 1 << 18
+#: Rows whose compressed texts are spread out at once; bytes of text in a batch.
+ROWS, BATCH_BYTES = 256, 1 << 20
+#: What an entry is: seen once, one that stands for several, or rows of 64 settled places (as bits, in `more`).
+ONCE, SEVERAL, SETTLED = 0, 1, 2
+ENTRY = "key long, more long, _doc long, place long"
+
+
+def _marks(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in documents as rows of 64 places: doc, block, bits."""
+    if not len(doc):
+        return doc, at, np.zeros(0, np.uint64)
+    block = at >> 6
+    order = np.lexsort((block, doc))
+    doc, block, bit = doc[order], block[order], (np.uint64(1) << (at[order] & 63).astype(np.uint64))
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])))
+    return doc[first], block[first], np.bitwise_or.reduceat(bit, first)
+
+
+def merged(key: np.ndarray, more: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """What a block of entries sends on: each kind once; what it stands for is settled, and travels under a key of its own.
+
+    place is 4 times the place in the document (of settled ones: of the row of 64) and what the entry is.
     """
-    order = np.lexsort((key_2, key))
+    order = np.lexsort((at, doc, more, key))
+    key, more, doc, at = key[order], more[order], doc[order], at[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (key_2[order][1:] != key_2[order][:-1])
-    alone = new.copy()
-    alone[:-1] &= new[1:]
-    once, sent = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    once[order], sent[order] = alone, new
-    left, where = doc[~once], place[~once]
-    by = np.lexsort((where, left))
-    left, where = left[by], where[by]
-    first = np.ones(len(left), bool)
-    first[1:] = (left[1:] != left[:-1]) | (where[1:] != where[:-1] + 1)
-    at = np.flatnonzero(first)
-    runs = np.diff(np.append(at, len(left)))
-    spread = mix(left[at].view(np.uint64) ^ (where[at].astype(np.uint64) * SPREAD))
-    here = [key[sent], key_2[sent], np.where(once[sent], 1, 2), doc[sent], place[sent]]
-    settled = [spread, np.zeros(len(at)), -runs, left[at], where[at]]
-    return [np.concatenate([x, y]).astype(kind) for x, y, kind in zip(here, settled, _TYPES, strict=True)]
-
-
-def in_buckets(found, buckets: int):
-    """Arrays (key, key_2, doc, place), merged in blocks and packed by bucket of the key."""
-
-    def send(held):
-        columns = merged(*map(np.concatenate, zip(*held, strict=True)))
-        bucket = (mix(columns[0]) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, columns = bucket[order], [x[order] for x in columns]
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-        packed = [pack([x[i:j] for x in columns]) for i, j in zip(starts, np.append(starts[1:], len(bucket)), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], ["bucket", "entries"])
-
-    held: list = []
+    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    first = np.flatnonzero(new)
+    several = np.diff(first, append=len(key)) > 1
+    docs, blocks, bits = _marks(doc[~new], at[~new])
+    spread = mix(docs.view(np.uint64) ^ mix(blocks.astype(np.uint64)))
+    columns = [
+        np.concatenate([key[first], spread]).view(np.int64), np.concatenate([more[first], bits]).view(np.int64),
+        np.concatenate([doc[first], docs]), np.concatenate([at[first] * 4 + np.where(several, SEVERAL, ONCE), blocks * 4 + SETTLED]),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "more", "_doc", "place"])
+
+
+def _in_blocks(found):
+    """Arrays (key, more, doc, at), merged a block at a time."""
+    held, size = [], 0
     for x in found:
-        if len(x[0]):
-            held.append(x)
-        if sum(len(y[0]) for y in held) >= BLOCK:
-            yield send(held)
-            held = []
-    if held:
-        yield send(held)
-
-
-def _count(batches):
-    """Of rows in the order of their bucket: the settled runs, and the single hashes that occur anywhere else."""
-
-    def counted(entries):
-        key, key_2, n, doc, place = map(np.concatenate, zip(*map(unpack, entries), strict=True))
-        order = np.lexsort((key_2, key))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (key_2[order][1:] != key_2[order][:-1])
-        group = np.empty(len(key), np.int64)
-        group[order] = np.cumsum(new) - 1
-        times = np.bincount(group, np.maximum(n, 0))[group]
-        use = (n < 0) | ((n == 1) & (times > 1))
-        doc, place, n = doc[use], place[use], n[use]
-        columns = (doc, (place >> 32).astype(np.int32), place.astype(np.int32), np.where(n < 0, -n, 1).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["_doc", "_tag", "start", "length"])
-
-    now, held = None, []
-    for batch in batches:
-        for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            if held and bucket != now:
-                yield counted(held)
-                held = []
-            now = bucket
-            held.append(entries)
-    if held:
-        yield counted(held)
+        held.append(x)
+        size += len(x[0])
+        if size >= BLOCK:
+            yield merged(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield merged(*map(np.concatenate, zip(*held, strict=True)))
+
 
+def _anchors(batches):
+    def found():
+        for batch in batches:
+            docs = batch.column("_doc").to_numpy()
+            for part in slices(batch.column("text")):
+                doc, sizes = part.doc_of_word(), np.diff(part.word_offsets)
+                place = np.arange(len(doc)) - part.word_offsets[doc]
+                at = np.flatnonzero(_IS_COVER[place % PERIOD] & (place + ANCHOR <= sizes[doc]) & (sizes[doc] >= SIZE))
+                if len(at):  # the ends of a document show in the surroundings as words that are none
+                    padded = np.zeros(len(doc) + 2 * REACH * len(sizes), np.uint64)
+                    where = np.arange(len(doc)) + REACH * (2 * doc + 1)
+                    padded[where] = part.words
+                    own, around = windows(padded, ANCHOR, AROUND)
+                    yield own[where[at]] >> ANCHOR_SHIFT, around[where[at] - REACH], docs[part.lo + doc[at]], place[at]
+
+    return _in_blocks(found())
 
-PACKED = "bucket int, entries binary"
 
+def _met(entries: DataFrame) -> DataFrame:
+    """The entries with `twice` (does it occur anywhere else?), and `asks`: is it the one of its kind to extend?
+
+    Of entries with one key and several values of `more`, the first with each value asks.
+    """
+    rows = entries.repartition("key").sortWithinPartitions("key", "more", "_doc", "place")
+    within = W.partitionBy("key").orderBy("more", "_doc", "place")
+    whole = within.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before, after = F.lag("more").over(within).eqNullSafe(F.col("more")), F.lead("more").over(within).eqNullSafe(F.col("more"))
+    several = F.first("more").over(whole) != F.last("more").over(whole)
+    seen = rows.select("_doc", "more", F.expr("shiftright(place, 2)").alias("at"), F.expr("place & 3").alias("what"), before.alias("before"), after.alias("after"), several.alias("several"))
+    settled, asks = F.col("what") == SETTLED, (F.col("what") != SETTLED) & F.col("several") & ~F.col("before")
+    block, bits = F.when(settled, F.col("at")).otherwise(F.expr("shiftright(at, 6)")), F.when(settled, F.col("more")).otherwise(F.expr("shiftleft(1L, cast(at & 63 as int))"))
+    return seen.select("_doc", block.cast("int").alias("block"), bits.alias("bits"), ((F.col("what") != ONCE) | F.col("before") | F.col("after")).alias("twice"), asks.alias("asks"))
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """_doc, _tag and the runs of starts of its repeated hashes."""
-    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "_doc long, _tag int, start int, length int")
-    return found.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("start", "length")).alias("_runs"))
+
+def _by_document(marks: DataFrame, *kinds: str) -> DataFrame:
+    """_doc and its rows of 64 places, each kind of mark as bits."""
+    bits = [F.bit_or(k).alias(k) for k in kinds]
+    return marks.repartition("_doc").groupBy("_doc", "block").agg(*bits).groupBy("_doc").agg(F.collect_list(F.struct("block", *kinds)).alias("_" + kinds[0]))
 
 
 def _squeezed(batches):
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in (rows for whole in batches for rows in pieces_of(whole)):
+    for batch in (rows for whole in batches for rows in pieces_of(whole, limit=BATCH_BYTES)):
         at = batch.schema.get_field_index("text")
         small = [squeeze.compress(part.buf[i:j]) for part in slices(batch.column(at)) for i, j in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
         yield batch.set_column(at, "text", pa.array(small, pa.binary()))
@@ -166,67 +149,58 @@ def _few(batches):
             yield batch.slice(i, ROWS)
 
 
-def _text(batch) -> pa.Array:
+def _texts(batch) -> pa.Array:
     spread = zstandard.ZstdDecompressor()
     texts = [spread.decompress(x.as_buffer()) for x in batch.column("text")]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(b"".join(texts)))
 
 
-def _places(part: Slice, tags: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Tag of the text and place of the word within its document, in one number."""
-    return (tags[part.lo + doc].astype(np.int64) << 32) | (at - part.word_offsets[doc])
-
-
-def _anchors(buckets: int):
-    def found(batches):
-        for batch in batches:
-            docs, tags = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_doc", "_tag"))
-            for part in slices(batch.column("text")):
-                hashes = OVER_WORDS.windows(OVER_WORDS.sums(part.words), ANCHOR)
-                doc = part.doc_of_word()[: len(hashes)]
-                at = np.flatnonzero(_IS_COVER[(np.arange(len(hashes)) - part.word_offsets[doc]) % PERIOD] & part.inside(ANCHOR, part.word_offsets))
-                doc = doc[at]
-                key = mix(hashes[at])
-                yield key >> np.uint64(ANCHOR_SHIFT), np.zeros(len(at), np.uint32), docs[part.lo + doc], _places(part, tags, at, doc)
-
-    return lambda batches: in_buckets(found(batches), buckets)
-
-
-def _marked(runs: pa.Array, lo: int, hi: int, bounds: np.ndarray, left: int, right: int) -> np.ndarray:
-    """Words from `left` before a run's first to `right` after its last, within their documents; documents lo to hi of a batch."""
-    runs = runs.slice(lo, hi - lo)
-    runs = runs.combine_chunks() if isinstance(runs, pa.ChunkedArray) else runs
-    sizes = np.diff(runs.offsets.to_numpy())
-    flat = runs.flatten()
-    start, length = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "length"))
-    sizes = np.where(runs.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-    doc = np.repeat(np.arange(hi - lo), sizes)
-    change = np.zeros(bounds[-1] + 1, np.int64)
-    np.add.at(change, np.maximum(bounds[doc] + start - left, bounds[doc]), 1)
-    np.add.at(change, np.minimum(bounds[doc] + start + length - 1 + right + 1, bounds[doc + 1]), -1)
+def _places(marks: pa.Array, kind: str, part: Slice) -> np.ndarray:
+    """The marked words of a slice."""
+    marks = marks.slice(part.lo, part.hi - part.lo)
+    sizes = np.where(marks.is_valid().to_numpy(zero_copy_only=False), np.diff(marks.offsets.to_numpy()), 0)
+    flat = marks.flatten()
+    bits = flat.field(kind).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, bit = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(bits) else (np.zeros(0, int),) * 2
+    doc = np.repeat(np.arange(part.hi - part.lo), sizes)[row]
+    return part.word_offsets[doc] + flat.field("block").to_numpy(zero_copy_only=False).astype(np.int64)[row] * 64 + bit
+
+
+def _starts(part: Slice, anchors: np.ndarray) -> np.ndarray:
+    """Is the word the start of a window, within its document, around one of the anchors?"""
+    n = part.word_offsets[-1]
+    change = np.zeros(n + 1, np.int64)
+    doc = part.doc_of_word()[anchors]
+    lo, hi = np.maximum(anchors - REACH, part.word_offsets[doc]), np.minimum(anchors, part.word_offsets[doc + 1] - SIZE)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi + 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _windows(buckets: int):
-    def found(batches):
+def _windows(batches):
+    def found():
         for batch in _few(batches):
-            docs, tags = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_doc", "_tag"))
-            for part in slices(_text(batch)):
-                near = _marked(batch.column("_runs"), part.lo, part.hi, part.word_offsets, SIZE - ANCHOR, 0)
-                first, second = (p.windows(p.sums(w), SIZE) for p, w in ((OVER_WORDS, part.words), (OVER_WORDS_2, part.words_2)))
-                at = np.flatnonzero(near[: len(first)] & part.inside(SIZE, part.word_offsets))
-                doc = part.doc_of_word()[at]
-                yield mix(first[at]), (mix(second[at]) >> np.uint64(32)).astype(np.uint32), docs[part.lo + doc], _places(part, tags, at, doc)
+            docs = batch.column("_doc").to_numpy()
+            for part in slices(_texts(batch)):
+                at = np.flatnonzero(_starts(part, _places(batch.column("_twice"), "asks", part)))
+                if len(at):
+                    (first,), (second,), doc = windows(part.words, SIZE), windows(part.words_2, SIZE), part.doc_of_word()[at]
+                    yield first[at], second[at], docs[part.lo + doc], at - part.word_offsets[doc]
 
-    return lambda batches: in_buckets(found(batches), buckets)
+    return _in_blocks(found())
 
 
 def _cut(batches):
     for batch in _few(batches):
         texts, totals, gone = [], [], []
-        for part in slices(_text(batch)):
-            out = _marked(batch.column("_runs"), part.lo, part.hi, part.word_offsets, 0, SIZE - 1)
+        for part in slices(_texts(batch)):
+            start = _starts(part, _places(batch.column("_twice"), "twice", part))
+            start[_places(batch.column("_start"), "start", part)] = True
+            change = np.zeros(len(start) + SIZE, np.int64)
+            change[: len(start)] += start
+            change[SIZE:] -= start
+            out = np.cumsum(change[: len(start)]) > 0
             n_gone = part.per_doc(out, part.word_offsets)
             keep = np.ones(len(part.buf), bool)
             if n_gone.any():  # a word goes with what parts it from the next one
@@ -241,28 +215,41 @@ def _cut(batches):
             gone.append(n_gone)
         join = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64))
         text = pa.concat_arrays([pa.array([], pa.large_string()), *texts]).cast(pa.string())
-        names = [c for c in batch.schema.names if c not in ("_doc", "_tag", "_runs")]
-        yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names] + [join(totals), join(gone)], [*names, "n_words", "n_removed"])
+        yield pa.RecordBatch.from_arrays([batch.column("_own"), text, join(totals), join(gone)], ["_own", "text", "n_words", "n_removed"])
+
+
+def _identity(docs: DataFrame) -> Column:
+    """What tells rows apart: doc_id where it is distinct, else a 64-bit hash of doc_id and text."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    most = ids.agg(F.max("n"), F.max(F.col("doc_id").isNull())).first()
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if most[0] in (None, 1) and not most[1] else F.xxhash64("text", F.col("doc_id").cast("long"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """A row for each of docs: its other columns in `_own`, the text without repeats, n_words, n_removed."""
+    of = _identity(docs)
+    docs = docs.select(of.alias("_doc"), *carried(docs, "text"))
+    small = StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType, f.name != "_doc") for f in docs.schema])  # _doc can't be null: both joins below then want the very same rows, so Spark shuffles the texts once
+    texts = docs.mapInArrow(_squeezed, small).repartition("_doc")
+    anchors = _met(docs.select("_doc", "text").mapInArrow(_anchors, ENTRY)).where(F.col("twice") | F.col("asks"))
+    bits = lambda kind: F.when(F.col(kind), F.col("bits")).otherwise(F.lit(0)).cast("long").alias(kind)
+    near = _by_document(anchors.select("_doc", "block", bits("twice"), bits("asks")), "twice", "asks")
+    asking = texts.join(near.where(F.exists("_twice", lambda x: x["asks"] != 0)), "_doc")
+    starts = _met(asking.mapInArrow(_windows, ENTRY)).where("twice")
+    found = texts.join(near, "_doc", "left").join(_by_document(starts.select("_doc", "block", F.col("bits").alias("start")), "start"), "_doc", "left")
+    return found.mapInArrow(_cut, widened(StructType([docs.schema["_own"]]), "text string, n_words long, n_removed long"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated windows' words cut from text, n_words (before) and n_removed.
 
-    A null text has no words and becomes empty. doc_id names a document; rows of one doc_id
-    and different texts are told apart by the text, and equal rows are copies of each other,
-    as any two documents with one text are. A null doc_id is handled like any other.
-    Columns named n_words or n_removed are replaced; _doc, _tag and _runs are names of its own and are dropped.
+    A null text has no words and becomes empty. Equal rows, and rows of one doc_id, null too,
+    are documents of their own and copies of each other where their texts are equal. Any length
+    of text works; one long text is handled in one task. Columns named n_words or n_removed are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "_doc", "_tag", "_runs")
-    keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63) + 1)).cast("long"), "_tag": F.shiftright(F.xxhash64("text", "doc_id"), 32).cast("int")})
-    narrow = keyed.select("_doc", "_tag", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    texts = keyed.mapInArrow(_squeezed, StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType, True) for f in keyed.schema]))
-    near = texts.join(repeated(narrow.mapInArrow(_anchors(buckets), PACKED)).hint("shuffle_hash"), ["_doc", "_tag"])
-    windows = near.select("_doc", "_tag", "text", "_runs").mapInArrow(_windows(buckets), PACKED)
-    found = texts.join(repeated(windows).hint("shuffle_hash"), ["_doc", "_tag"], "left")
-    return found.mapInArrow(_cut, widened(docs.schema, "n_words long, n_removed long"))
+    docs = docs.drop("n_words", "n_removed")
+    rows = _rows(docs)
+    return rows.select(*restored(docs, text=F.col("text")), "n_words", "n_removed")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -272,10 +259,13 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def cut_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without repeated passages; n_chars follows the text."""
-    out = cut_repeats(docs)
-    changed = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
-    return changed.select(*docs.columns)
+    """Pipeline stage: documents without repeated passages; n_chars follows the text. All other columns stay as they are."""
+    rows = _rows(docs)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kept = F.col("_own").getField("n_chars")
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(kept).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*restored(docs, **new))
 
 
 OP5_SQL = f"""
