@@ -30,14 +30,60 @@ def test_words_and_hashes(corpus):
         assert len(set(hashes.values())) == len(hashes)
 
 
+def thue_morse(n, a="a", b="b"):
+    """A string on which polynomial hashes modulo a power of two collide with its mirror image."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+MIRRORED = [thue_morse(n, *ab) for n in (64, 1024, 2048, 4096) for ab in ("ab", "ba", "xy", "yx")]
+
+
+def test_hashes_of_mirrored_patterns():
+    part = next(textops.slices(pa.array([" ".join(MIRRORED)])))
+    assert len(set(part.words.tolist())) == len(set(part.words_2.tolist())) == len(MIRRORED)
+    values = np.array([1, 2], np.uint64)
+    for n in (32, 1024):
+        bits = np.array([c == "b" for c in thue_morse(n)]).astype(int)
+        assert textops.windows(values[bits], n)[0][0] != textops.windows(values[1 - bits], n)[0][0]
+    memo = textops.WordMemo(lambda ws: [[MIRRORED.index(w)] for w in ws])
+    starts, _ = memo(part.buf, *part.spans)
+    assert memo.ids[starts].tolist() == list(range(len(MIRRORED)))
+
+
+def test_windows_are_equal_where_their_values_are():
+    values = np.random.default_rng(3).integers(0, 2, 4000).astype(np.uint64)
+    for n, found in zip((1, 2, 5, 8, 35, 55), textops.windows(values, 1, 2, 5, 8, 35, 55), strict=True):
+        plain = [tuple(values[i : i + n].tolist()) for i in range(len(values) - n + 1)]
+        assert len(plain) == len(found) and len(set(plain)) == len(set(found.tolist())) == len(set(zip(plain, found.tolist(), strict=True)))
+    assert [len(x) for x in textops.windows(values[:3], 2, 35, 55)] == [2, 0, 0]
+
+
+def test_mirrored_patterns_in_operators(spark):
+    """Words and lines of 64 to 4,096 letters, each in a text of its own among equal ones, against the plain versions."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    fill = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{w} {fill} \n{w}\n{MIRRORED[i ^ 1]}") for i, w in enumerate(MIRRORED)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.cut_repeats(df).collect()} == {i: gone for i, _, gone, _ in cut(rows)}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_classes(df).collect()} == near(rows)
+    for r in quality.judge(df, None).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == quality_counts(rows[r.doc_id][1])
+    model = SentencePieceProcessor(model_file=pieces.vocabulary_path())
+    assert {r.doc_id: r.ids for r in pieces.encode(df).collect()} == {i: model.encode(t) for i, t in rows}
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    check_pieces(packing.pack(df).collect(), {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}, 2048)
+
+
 def test_span_table_and_memo():
     rng = np.random.default_rng(0)
     table, keys = textops.SpanTable(4), np.unique(rng.integers(1, 2**63, 3000).astype(np.uint64))
-    checks = (keys >> np.uint64(3)).astype(np.uint32)
+    checks = keys >> np.uint64(3)
     for i in range(0, len(keys), 500):
         table.add(keys[i : i + 500], checks[i : i + 500])
     assert table.find(keys, checks).tolist() == list(range(len(keys)))
-    assert (table.find(keys, checks + np.uint32(1)) == -1).all()
+    assert (table.find(keys, checks + np.uint64(1)) == -1).all()
     calls = []
     memo = textops.WordMemo(lambda ws: calls.append(len(ws)) or [[len(w)] * len(w) for w in ws], most=3)
     for text in (b"aa b ccc aa", b"dddd b", b"e aa"):
@@ -267,11 +313,12 @@ def test_every_difference_has_a_cover_position():
     assert substrings.SIZE == substrings.PERIOD + substrings.ANCHOR - 1
 
 
-def test_packed_entries_come_back():
-    rng = np.random.default_rng(1)
-    columns = [x.astype(t) for x, t in zip((rng.integers(0, 2**62, 50), rng.integers(0, 2**31, 50), rng.integers(-9, 3, 50), np.sort(rng.integers(-5, 2**60, 50)), rng.integers(-(2**62), 2**62, 50) & ~0x80000000), substrings._TYPES, strict=True)]
-    for x, y in zip(columns, substrings.unpack(substrings.pack(columns)), strict=True):
-        assert (x == y).all()
+def test_a_block_sends_each_kind_once():
+    keys, mores, docs, at = [5, 5, 5, 6, 7], [1, 1, 2, 1, 1], [10, 11, 10, 10, -3], [3, 100, 9, 70, 0]
+    got = substrings.merged(np.array(keys, np.uint64), np.array(mores, np.uint64), np.array(docs), np.array(at)).to_pylist()
+    what = lambda r: r["place"] & 3
+    assert [(r["key"], r["more"], r["_doc"], r["place"] >> 2, what(r)) for r in got[:-1]] == [(5, 1, 10, 3, 1), (5, 2, 10, 9, 0), (6, 1, 10, 70, 0), (7, 1, -3, 0, 0)]
+    assert (got[-1]["more"], got[-1]["_doc"], got[-1]["place"] >> 2, what(got[-1])) == (1 << 36, 11, 1, 2)
 
 
 # 6: Jaccard join.
@@ -363,6 +410,53 @@ def test_packer_balances_and_fills():
     assert got == lengths and p.finish() == []
 
 
+def plain_packing(blocks, cap):
+    """Pieces by looking at every sequence of a block for each document."""
+    out, next_, open_ = [], 0, None  # open_: cost, number, pieces
+    for lengths, keys in blocks:
+        rest = []
+        for key, n in zip(keys, lengths, strict=True):
+            for i in range(n // cap):
+                out.append((key, i * cap, cap, next_))
+                next_ += 1
+            if n % cap:
+                rest.append([n % cap, n // cap * cap, key])
+        total = sum(r[0] for r in rest) + (sum(p[2] for p in open_[2]) if open_ else 0)
+        sequences = [open_] if open_ else []
+        while len(sequences) * cap < total:
+            sequences.append([0.0, next_, []])
+            next_ += 1
+        limits = [cap] * len(sequences)
+        if limits:
+            limits[-1] = total - cap * (len(limits) - 1)
+        room = lambda i: limits[i] - sum(p[2] for p in sequences[i][2])
+        for n, start, key in sorted(rest, key=lambda r: -r[0]):
+            while n:
+                some = [i for i in range(len(sequences)) if room(i)]
+                whole = [i for i in some if room(i) >= n]
+                at = min(whole or some, key=lambda i: (sequences[i][0], i))
+                take = min(n, room(at))
+                sequences[at][2].append((key, start, take))
+                sequences[at][0] += packing.cost(take)
+                start, n = start + take, n - take
+        open_ = None
+        for i, (c, s, own) in enumerate(sequences):
+            if sum(p[2] for p in own) < cap:
+                open_ = sequences[i]
+            else:
+                out += [(k, a, n, s) for k, a, n in own]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packer_looks_at_every_sequence(seed):
+    rng = random.Random(seed)
+    blocks = [([rng.choice([1, 2, 30, rng.randint(1, 400)]) for _ in range(150)], [(b, i) for i in range(150)]) for b in range(3)]
+    packer = packing.Packer(128)
+    got = [(k, a, n, s) for lengths, keys in blocks for k, a, n, s, _ in packer.block(lengths, keys)]
+    assert sorted(got) == sorted(plain_packing(blocks, 128))
+
+
 def test_special_texts_in_packing(spark):
     from tokenizers import Tokenizer
 
@@ -443,16 +537,41 @@ def test_word_probability_sums_all_segmentations():
     def total(w, k):
         if not w:
             return 1.0
-        parts = [model.probabilities[number[w[:j]], k] * total(w[j:], k) for j in range(1, min(len(w), langid.LONGEST) + 1) if w[:j] in number]
+        parts = [model.probabilities[number[w[:j]], k] * total(w[j:], k) for j in range(1, len(w) + 1) if w[:j] in number]
         if w[0] not in number:
             parts.append(1e-9 * total(w[1:], k))
         return sum(parts)
 
     for w in ["the", "thinst", "über", "漢é", "a1b"]:
-        want = [sum(np.log(total(r, k)) for r in langid.runs(w)) for k in (0, 1)]
+        want = [sum(np.log(total("▁" + r, k)) for r in langid.letter_runs(w)) for k in (0, 1)]
         assert np.allclose(model.words([w])[0, :2], want)
 
 
+def test_long_runs_of_letters_are_summed_whole():
+    """Against logarithms of plain forward sums over all pieces, with no scaling: across any length, and behind unknown letters."""
+    path = langid.vocabulary_path()
+    vocabulary, rng = langid.pieces(path), np.random.default_rng(8)
+    model = langid.Model(path, ["a", "b"], np.vstack([rng.random((len(vocabulary.texts), 2)) * 1e-3, [1e-9, 1e-9]]), np.zeros(2))
+    number = {t: i for i, t in enumerate(vocabulary.texts)}
+    longest = max(number, key=len)
+    assert len(longest) > 12
+    for run in ["the" * 15, "the" * 16, "the" * 17 + longest.strip("▁"), "漢" * 40 + "the", "ꙮ" * 400 + "the", longest.strip("▁") * 40, "international" * 300]:
+        text = "▁" + run
+        forward = np.full((len(text) + 1, 2), -np.inf)
+        forward[0] = 0
+        for j in range(1, len(text) + 1):
+            arcs = [forward[i] + np.log(model.probabilities[number[text[i:j]]]) for i in range(max(0, j - len(longest)), j) if text[i:j] in number]
+            if text[j - 1] not in number:
+                arcs.append(forward[j - 1] + np.log(1e-9))
+            forward[j] = np.logaddexp.reduce(arcs)
+        got = model.words([run])[0]
+        assert np.allclose(got[:2], forward[-1]) and got[2] == 1
+
+
+def test_letters_are_those_of_category_l():
+    assert langid.letter_runs("a1b_c² ½Ⅷx 漢字。é\u0301z") == ["a", "b", "c", "x", "漢字", "é", "z"]
+
+
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = langid.op9_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -460,9 +579,9 @@ def test_languages(spark, sf):
     assert len(rows) == docs.count() and {r.doc_id for r in held} == {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
     assert sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.95 and all(0 <= r.score <= 1 for r in rows)
     model = langid.fit_languages(docs)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "the " * 9999), (5, "x" * 9999)], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (6, "²"), (7, "½ 12"), (4, "the " * 9999), (5, "x" * 9999)], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
-    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3)) and got[4][0] == "en" and got[5][0] in model.langs
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 6, 7)) and got[4][0] == "en" and got[5][0] in model.langs
     assert langid.predict(odd, langid.fit_languages(docs.limit(0))).where("lang_pred != 'und'").count() == 0
 
 

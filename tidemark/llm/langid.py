@@ -1,9 +1,13 @@
 """Operator 9: language identification by segmentation-marginalised unigrams.
 
 The pieces of a fixed public vocabulary have a probability in each language, estimated from
-all training texts. A word's probability in a language is the sum over all its segmentations
-into pieces, by the forward algorithm; a text's is the product over its words. Only distinct
-words are worked out, and all of a batch's words at once: a hash of every span looks up its piece.
+all training texts. The probability of a run of letters in a language is the sum over all its segmentations
+into pieces, by the forward algorithm, whatever its length; a text's is the product over its runs. Only distinct
+runs are worked out, and all of a batch's at once: a hash of every span looks up its piece. The sums are
+scaled as they go on, so nothing is lost to underflow.
+
+A piece's probability comes from how often its letters occur in the texts (all occurrences, not
+their expected share of the segmentations, which would take further passes).
 """
 
 from __future__ import annotations
@@ -20,23 +24,31 @@ from pyspark.sql import functions as F
 from .shared import widened
 from .textops import Distinct, Slice, WordMemo, as_text, mix, pieces_of, ragged, slices
 
-#: Pieces up to so many characters; runs of letters are scored in parts of that many at most.
-LONGEST, PART = 12, 48
-#: Parts are worked out together in groups of these widths.
+#: Runs of letters are worked out together in groups of these widths; a longer one by itself.
 WIDTHS = (6, 10, 14, 20, 32, 49)
-_GROUP = np.searchsorted(WIDTHS, np.arange(PART + 2)).tolist()
+_GROUP = np.searchsorted(WIDTHS, np.arange(WIDTHS[-1] + 1)).tolist()
+#: Steps after which forward sums are scaled; places of a long run whose pieces are looked up at once.
+SCALED, AT_ONCE = 8, 1 << 15
 #: Added to each count; probability of a letter that is no piece.
 SMOOTHING, UNKNOWN = 0.5, 1e-9
 SLICE_BYTES = 2 << 20
 #: Distinct runs that a worker remembers.
 MEMO_WORDS = 600_000
 FOLDS, HELD_OUT = 4, 2
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _MAYBE = np.zeros(256, bool)
 _MAYBE[65:91] = _MAYBE[97:123] = _MAYBE[128:] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters: characters of Unicode's category L."""
+    out = []
+    for run in _WORDS.findall(text):  # letters, and numbers that are no digits
+        out += [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return out
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -51,7 +63,8 @@ class Pieces:
 
         model = SentencePieceProcessor(model_file=path)
         texts = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        self.texts = sorted(t for t in texts if 0 < len(t) <= LONGEST and _LETTERS.fullmatch(t.removeprefix("▁") or "a"))
+        self.texts = sorted(t for t in texts if t and (t.removeprefix("▁") or "a").isalpha())
+        self.longest = max(map(len, self.texts))
         keys = np.array([self.hash(np.array([[ord(c) for c in t]], np.uint64))[0] for t in self.texts], np.uint64)
         size = 1 << (len(keys) * 4).bit_length()
         self.shift = np.uint64(64 - size.bit_length() + 1)
@@ -85,10 +98,22 @@ class Pieces:
         n = codes.shape[1]
         for i in range(n):
             h = np.ones(len(codes), np.uint64)
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
                 h = mix(h * _BASE + codes[:, j - 1])
                 yield i, j, self.find(h)
 
+    def along(self, codes: np.ndarray):
+        """(start, its pieces as (end, number)) at every place of one run, a stretch of places at a time; a character that is no piece is -1."""
+        for lo in range(0, len(codes), AT_ONCE):
+            h, ends = np.ones(min(AT_ONCE, len(codes) - lo), np.uint64), [[] for _ in range(min(AT_ONCE, len(codes) - lo))]
+            for n in range(1, self.longest + 1):
+                m = min(len(h), len(codes) - lo - n + 1)
+                h = mix(h[:m] * _BASE + codes[lo + n - 1 : lo + n - 1 + m])
+                found = self.find(h)
+                for k in (np.arange(m) if n == 1 else np.flatnonzero(found >= 0)).tolist():
+                    ends[k].append((lo + k + n, int(found[k])))
+            yield from zip(range(lo, lo + len(ends)), ends, strict=True)
+
 
 _pieces: dict[str, Pieces] = {}
 
@@ -99,23 +124,21 @@ def pieces(path: str) -> Pieces:
     return _pieces[path]
 
 
-def runs(word: str) -> list[str]:
-    """The parts of a word that are scored: runs of letters, with the mark of a word's beginning."""
-    out = []
-    for run in _LETTERS.findall(word):
-        run = "▁" + run
-        out += [run[i : i + PART] for i in range(0, len(run), PART)]
-    return out
-
-
 def by_length(words: list[str]):
-    """(owners, lengths, code points) of the parts of all words, in a few groups of like length, padded with 0."""
+    """The runs of letters of all words, with the mark of a word's beginning: (owners, lengths, code points).
+
+    In a few groups of like length, padded with 0, and each long one by itself.
+    """
     parts: list[tuple[list[int], list[str]]] = [([], []) for _ in WIDTHS]
     for i, w in enumerate(words):
-        for r in runs(w):
-            own = parts[_GROUP[len(r)]]
-            own[0].append(i)
-            own[1].append(r)
+        for r in letter_runs(w):
+            r = "▁" + r
+            if len(r) > WIDTHS[-1]:
+                yield np.array([i]), np.array([len(r)]), np.frombuffer(r.encode("utf-32-le"), np.uint32).astype(np.uint64)[None]
+            else:
+                own = parts[_GROUP[len(r)]]
+                own[0].append(i)
+                own[1].append(r)
     for n, (owners, texts) in zip(WIDTHS, parts, strict=True):
         if texts:
             codes = np.frombuffer("".join([t.ljust(n, "\0") for t in texts]).encode("utf-32-le"), np.uint32).reshape(-1, n)
@@ -133,6 +156,9 @@ def occurrences(path: str):
     def encode(words: list[str]) -> list[list[int]]:
         vocabulary, out = pieces(path), [[] for _ in words]
         for owners, _, codes in by_length(words):
+            if codes.shape[1] > WIDTHS[-1]:
+                out[owners[0]] += [x for _, ends in vocabulary.along(codes[0]) for _, x in ends if x >= 0]
+                continue
             for _, _, found in vocabulary.spans(codes):
                 for k in np.flatnonzero(found >= 0).tolist():
                     out[owners[k]].append(int(found[k]))
@@ -200,20 +226,49 @@ class Model:
     prior: np.ndarray
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word by language, and the number of its parts."""
+        """Log-probability of each word by language, and the number of its runs of letters."""
         vocabulary, out = pieces(self.path), np.zeros((len(words), len(self.langs) + 1))
         for owners, sizes, codes in by_length(words):
-            n = codes.shape[1]
-            forward = np.zeros((n + 1, len(codes), len(self.langs)))
-            forward[0] = 1
-            for i, j, found in vocabulary.spans(codes):
-                if j == i + 1:
-                    forward[j] += forward[i] * self.probabilities[np.where(found < 0, len(self.probabilities) - 1, found)]
-                elif (hit := np.flatnonzero(found >= 0)).size:
-                    forward[j, hit] += forward[i, hit] * self.probabilities[found[hit]]
-            np.add.at(out, owners, np.column_stack([np.log(np.maximum(forward[sizes, np.arange(len(codes))], 1e-300)), np.ones(len(codes))]))
+            sums = self._along(vocabulary, codes[0])[None] if codes.shape[1] > WIDTHS[-1] else self._together(vocabulary, sizes, codes)
+            np.add.at(out, owners, np.column_stack([sums, np.ones(len(codes))]))
         return out
 
+    def _together(self, vocabulary: Pieces, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The log of the forward sum at the end of each of some padded runs."""
+        n, reach = codes.shape[1], vocabulary.longest
+        forward, scale, out = np.zeros((n + 1, len(codes), len(self.langs))), np.zeros((len(codes), len(self.langs))), np.zeros((len(codes), len(self.langs)))
+        forward[0], at = 1, -1
+        for i, j, found in vocabulary.spans(codes):
+            if i != at:  # all arcs to place i are in
+                at = i
+                if i and i % SCALED == 0:
+                    top = forward[i].copy()
+                    scale += np.log(top)
+                    forward[i : min(n, i + reach) + 1] /= top
+            if j == i + 1:
+                forward[j] += forward[i] * self.probabilities[np.where(found < 0, len(self.probabilities) - 1, found)]
+                if (ends := np.flatnonzero(sizes == j)).size:
+                    out[ends] = np.log(forward[j, ends]) + scale[ends]
+            elif (hit := np.flatnonzero(found >= 0)).size:
+                forward[j, hit] += forward[i, hit] * self.probabilities[found[hit]]
+        return out
+
+    def _along(self, vocabulary: Pieces, codes: np.ndarray) -> np.ndarray:
+        """The same of one long run; only the sums that pieces may still reach are kept."""
+        reach = vocabulary.longest
+        forward, scale = np.zeros((reach + 1, len(self.langs))), np.zeros(len(self.langs))  # of place i, at i modulo reach + 1
+        forward[0] = 1
+        for i, ends in vocabulary.along(codes):
+            now = forward[i % (reach + 1)].copy()
+            if i % SCALED == 0:
+                scale += np.log(now)
+                forward /= now
+                now = np.ones(len(self.langs))
+            forward[i % (reach + 1)] = 0
+            for j, piece in ends:
+                forward[j % (reach + 1)] += now * self.probabilities[piece]
+        return np.log(forward[len(codes) % (reach + 1)]) + scale
+
 
 class Scores(Distinct):
     """A model's values of distinct runs."""
@@ -262,8 +317,9 @@ def fit_languages(docs: DataFrame, path: str | None = None) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score, its probability among the learned languages.
 
-    A text that is null or has no letters is `und` with score 0, as is every text if there
-    is no model. Columns with those names are replaced; repeated rows are judged alike.
+    A text that is null or has no letters (category L) is `und` with score 0, as is every text
+    if there is no model. Columns with those names are replaced; repeated rows are judged alike;
+    of languages with equal probability the first in the alphabet is taken. Whole texts of any length count.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)

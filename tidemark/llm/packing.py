@@ -3,8 +3,8 @@
 Documents become token ids and are packed into sequences of at most `capacity` tokens.
 Each task packs its own rows in blocks of whole documents: sequences' costs are estimated
 as linear plus quadratic (attention) in the length of each piece; documents go, longest
-first, to the sequence of lowest cost that has room for them, and are cut where none of the
-`TRIES` sequences of lowest cost has, even if a later one would.
+first, to the sequence of lowest cost that has room for them. Only a document for which none
+of the block's sequences has room is cut, to fill the one of lowest cost.
 The room of a block is exactly what its tokens need, so all its sequences end full but
 one, which stays open for the next block. What a task leaves open at its end is dealt
 into sequences of power-of-two lengths, which need no padding.
@@ -26,8 +26,6 @@ from .textops import Slice, WordMemo, ragged, slices
 CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 BLOCK_BYTES = 2 << 20
-#: Sequences looked at for one with room before a document is cut.
-TRIES = 16
 #: Distinct units that a worker remembers.
 MEMO_WORDS = 500_000
 _memos: dict[str, WordMemo] = {}
@@ -81,45 +79,35 @@ class Packer:
         rest.sort(key=lambda x: -x[0])
         total = sum(x[0] for x in rest) + (self.open[2] if self.open else 0)
         count = -(-total // cap)
-        heap, room, pieces = [], {}, {}
+        names, tails = ([self.open[1]], [self.tail]) if self.open else ([], [])
+        new = count - len(names)
+        names, tails = names + list(range(self.next, self.next + new)), tails + [[] for _ in range(new)]
+        self.next += new
+        costs, room = np.zeros(count), np.full(count, cap)
         if self.open:
-            heap.append((self.open[0], self.open[1]))
-            pieces[self.open[1]], room[self.open[1]] = self.tail, self.open[2]
-        while len(heap) < count:
-            heap.append((0.0, self.next))
-            pieces[self.next], room[self.next] = [], 0
-            self.next += 1
-        limit = dict.fromkeys(room, cap)
-        last = max(limit, default=None)  # the newest takes what is left over
-        if last is not None:
-            limit[last] = total - (count - 1) * cap
-        costs = {s: c for c, s in heap}
-        heap = [(c, s) for c, s in heap if room[s] < limit[s]]
+            costs[0], room[0] = self.open[0], cap - self.open[2]
+        if count:
+            room[-1] -= count * cap - total  # the newest takes what is left over
+        heap = [(c, i) for i, c in enumerate(costs.tolist()) if room[i]]
         heapq.heapify(heap)
         for n, start, key in rest:
             while n:
-                aside, at = [], None
-                while heap and len(aside) < TRIES:
-                    c, s = heapq.heappop(heap)
-                    if limit[s] - room[s] >= n:
-                        at = s
-                        break
-                    aside.append((c, s))
-                if at is None:
-                    at = aside.pop(0)[1]
-                for x in aside:
-                    heapq.heappush(heap, x)
-                take = min(n, limit[at] - room[at])
-                pieces[at].append((key, start, take))
-                room[at] += take
+                while heap[0][0] != costs[heap[0][1]] or not room[heap[0][1]]:
+                    heapq.heappop(heap)  # an old cost, or full
+                at = heap[0][1]
+                if room[at] < n:  # not the cheapest: then the cheapest of those with room, if there is one
+                    fits = np.flatnonzero(room >= n)
+                    at = int(fits[costs[fits].argmin()]) if len(fits) else at
+                take = min(n, int(room[at]))
+                tails[at].append((key, start, take))
+                room[at] -= take
                 costs[at] += cost(take)
-                if room[at] < limit[at]:
-                    heapq.heappush(heap, (costs[at], at))
+                heapq.heappush(heap, (float(costs[at]), at))
                 start, n = start + take, n - take
         self.open, self.tail = [], []
-        for s, own in pieces.items():
-            if room[s] < cap:
-                self.open, self.tail = [costs[s], s, room[s]], own
+        for i, (s, own) in enumerate(zip(names, tails, strict=True)):
+            if i == count - 1 and total < count * cap:
+                self.open, self.tail = [float(costs[i]), s, cap - (count * cap - total)], own
             else:
                 done += self._placed(own, s)
         return done
@@ -188,7 +176,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, tex
     """The pieces of all documents: key, start, length, doc_tokens, sequence_id, offset, ids.
 
     ids holds a piece's ids as little-endian unsigned 32-bit numbers. A null or empty text
-    is one end id. Repeated rows are packed one by one. sequence_id carries the number of
+    is one end id. Repeated rows are packed one by one; of documents of equal length the first goes first.
+    A text of any length works: a block is at least one whole document. sequence_id carries the number of
     the task, so it is unique in the result; a task that runs again packs alike.
     """
     path = path or tokenizer_path()
