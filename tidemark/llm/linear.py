@@ -15,6 +15,24 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+class Dense:
+    """Rows as one matrix of single floats, whose size depends on their number and the columns alone."""
+
+    def __init__(self, ids: list[np.ndarray], values: list[np.ndarray], width: int):
+        self.x, self.width = np.zeros((len(ids), width), np.float32), width
+        for row, i, v in zip(self.x, ids, values, strict=True):
+            row[i] = v
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return (self.x @ w.astype(np.float32)).astype(np.float64)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return (g.astype(np.float32) @ self.x).astype(np.float64)
+
+
 class Rows:
     """Sparse rows: of row i, the columns ids[ptr[i]:ptr[i + 1]] with their values."""
 
@@ -35,7 +53,7 @@ class Rows:
         return np.bincount(self.ids, self.values * g[self.row], self.width)
 
 
-def fit(rows: Rows, y: np.ndarray, penalty: float, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit(rows: Rows | Dense, y: np.ndarray, penalty: float, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge-penalised logistic regression (Adam on the whole sample)."""
     w, b = np.zeros(rows.width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m = v = np.zeros(rows.width + 1)
@@ -70,13 +88,15 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, where=None) -> DataFrame:
-    """Texts and 0/1 labels of a sample of `sample_rows` labelled rows at most.
+    """doc_id, text and 0/1 label of a sample of `sample_rows` rows at most.
 
-    The rows with the smallest hash of doc_id are taken, so the sample doesn't depend on
-    file order. It is small by that bound, hence broadcast; the texts are never shuffled.
+    The labelled ids with the smallest hash are taken, so the sample doesn't depend on file
+    order, and one text of each: of an id that repeats, the least. Picked ids are few by that
+    bound, hence broadcast. An id with several labels counts as 1 if one of them is.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if where is not None:
         known = known.where(where)
     picked = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -273,10 +273,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     """docs with ids (array of int) instead of the text: those of the whole text.
 
     A null text has null ids, an empty one none. Repeated rows are encoded one by one; a
-    column named ids is replaced.
+    column named ids, in any case of letters, is replaced. Texts of any length work.
     """
     path = path or vocabulary_path()
-    kept = [c for c in docs.columns if c not in ("ids", text)]
+    kept = [c for c in docs.columns if c.lower() not in ("ids", text.lower())]
     return docs.select(*kept, text).mapInArrow(lambda batches: _encoded(batches, path, kept, text), widened(_only(docs.schema, kept), "ids array<int>"))
 
 
@@ -287,7 +287,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     vocabulary and control ids give nothing.
     """
     path = path or vocabulary_path()
-    kept = [c for c in coded.columns if c not in ("ids", "text")]
+    kept = [c for c in coded.columns if c.lower() not in ("ids", "text")]
     return coded.select(*kept, "ids").mapInArrow(lambda batches: _decoded(batches, path, kept), widened(_only(coded.schema, kept), "text string"))
 
 

@@ -14,16 +14,20 @@ import bisect
 import datetime
 import hashlib
 import itertools
+import logging
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import widened
+from .shared import carried, restored, widened
 from .textops import pieces_of
 
-#: Key of the registered query. Whoever must not undo the pseudonyms must not know the key: give your own.
+#: Where a session names its key. Whoever must not undo the pseudonyms must not know it: give your own.
+KEY_SETTING = "spark.tidemark.pii.key"
+#: The key where none is named, as in the registered query: an example.
 QUERY_KEY = b"tidemark example key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -147,7 +151,10 @@ def _date(p, s):
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             continue
-        new = datetime.date.fromordinal(FIRST_DAY + p(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+        # Month first is only read where day first makes no date; the image must be such a date too, so no two dates share one.
+        month_first = order == (2, 0, 1)
+        late = (lambda x: datetime.date.fromordinal(FIRST_DAY + x).day > 12) if month_first else None
+        new = datetime.date.fromordinal(FIRST_DAY + p(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date-m" if month_first else "date", late))
         values = dict(zip(order, (new.year, new.month, new.day), strict=True))
         widths = [len(x) for x in re.split(r"[./-]", s)]
         marks = re.findall(r"[./-]", s)
@@ -256,36 +263,51 @@ def pseudonyms(text: str, permutation: Permutation, kinds=tuple(PATTERNS)) -> tu
 SPANS = "array<struct<kind:string,start:int,length:int>>"
 
 
-def pseudonymise(docs: DataFrame, key: bytes, kinds=tuple(PATTERNS)) -> DataFrame:
-    """docs with pseudonyms in text, n_pii (values replaced) and spans (where, in characters of the old text).
-
-    A null text stays null with no spans. Columns named n_pii or spans are replaced.
-    Repeated rows are treated one by one and alike.
-    """
-    docs = docs.drop("n_pii", "spans")
+def _replaced(docs: DataFrame, key: bytes, kinds) -> DataFrame:
+    """The text with pseudonyms, the other columns of docs in `_own`, n_pii and spans."""
+    rows = docs.select(*carried(docs, "text"))
 
     def run(batches):
         p = Permutation(key)
         for batch in (rows for whole in batches for rows in pieces_of(whole)):
-            at = batch.schema.get_field_index("text")
-            done = [(None, []) if t is None else pseudonyms(t, p, kinds) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array([t for t, _ in done], pa.string())
+            done = [(None, []) if t is None else pseudonyms(t, p, kinds) for t in batch.column("text").to_pylist()]
             spans = [[{"kind": k, "start": s, "length": n} for k, s, n in x] for _, x in done]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for _, x in done], pa.int64()), pa.array(spans, kind)], [*batch.schema.names, "n_pii", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("_own"), pa.array([t for t, _ in done], pa.string()), pa.array([len(x) for _, x in done], pa.int64()), pa.array(spans, kind)], ["_own", "text", "n_pii", "spans"])
+
+    return rows.mapInArrow(run, widened(StructType([rows.schema["_own"]]), f"text string, n_pii long, spans {SPANS}"))
+
+
+def pseudonymise(docs: DataFrame, key: bytes, kinds=tuple(PATTERNS)) -> DataFrame:
+    """docs with pseudonyms in text, n_pii (values replaced) and spans (where, in characters of the old text).
+
+    A null text stays null with no spans, an empty one empty; whole texts of any length are
+    looked through. Columns named n_pii or spans, in any case of letters, are replaced.
+    Repeated rows are treated one by one and alike. Of values that overlap, that of the
+    format named first in PATTERNS is replaced.
+    """
+    docs = docs.drop("n_pii", "spans")
+    return _replaced(docs, key, kinds).select(*restored(docs, text=F.col("text")), "n_pii", "spans")
+
 
-    return docs.mapInArrow(run, widened(docs.schema, f"n_pii long, spans {SPANS}"))
+def key_of(spark) -> bytes:
+    """The key in the session's setting `spark.tidemark.pii.key`; unset, the example key, which hides nothing from readers of this file."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if not given:
+        logging.getLogger("tidemark").warning("%s is unset: pseudonyms are made with the example key", KEY_SETTING)
+    return given.encode() if given else QUERY_KEY
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, QUERY_KEY).select("doc_id", "n_pii", "spans", "text")
+    return pseudonymise(docs, key_of(spark)).select("doc_id", "n_pii", "spans", "text")
 
 
 def pseudonymise_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents with pseudonyms; n_chars follows the text."""
-    out = pseudonymise(docs, QUERY_KEY)
+    """Pipeline stage: all documents with pseudonyms; n_chars follows the text. All other columns stay as they are."""
+    rows = _replaced(docs, key_of(spark), tuple(PATTERNS))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        kept = F.col("_own").getField("n_chars")
+        new["n_chars"] = F.when(F.col("n_pii") > 0, F.length("text")).otherwise(kept).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*restored(docs, **new))

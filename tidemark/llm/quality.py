@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import linear
-from .shared import widened
+from .shared import carried, restored, widened
 from .textops import Slice, hash_spans, mix, point_grams, slices, windows
 
 #: The base rules.
@@ -24,7 +25,7 @@ LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: n-grams of the classifier, each kind in its own 2**BITS buckets.
-WORD_GRAMS, CHAR_GRAMS, BITS = (1, 2), (3, 4), 16
+WORD_GRAMS, CHAR_GRAMS, BITS = (1, 2), (3, 4), 11
 KINDS = len(WORD_GRAMS) + len(CHAR_GRAMS)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Documents whose probability of good quality is less are rejected.
@@ -109,14 +110,14 @@ class Model:
 
 
 def features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Shares of the n-gram buckets, by document."""
+    """Shares of the n-gram buckets, by document: at most as many as there are buckets, however long the text."""
     ids, values = [], []
     for part in slices(texts):
         own: list[list] = [[] for _ in range(part.hi - part.lo)]
         for all_ids, bounds, n in buckets(part):
             for d in range(part.hi - part.lo):
                 found, times = np.unique(all_ids[bounds[d] : max(bounds[d], bounds[d + 1] - n + 1)], return_counts=True)
-                own[d].append((found.astype(np.int32), (times / max(1, bounds[d + 1] - bounds[d] - n + 1)).astype(np.float32)))
+                own[d].append((found.astype(np.uint16), (times / max(1, bounds[d + 1] - bounds[d] - n + 1)).astype(np.float32)))
         ids += [np.concatenate([x for x, _ in d]) for d in own]
         values += [np.concatenate([x for _, x in d]) for d in own]
     return ids, values
@@ -132,9 +133,9 @@ def train(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> Mod
     """Fit on four fifths, calibrate on the rest. None if a class is missing: then nothing is rejected."""
     if len(set(y.tolist())) < 2:
         return None
-    width, scale = KINDS << BITS, 300.0
+    width, scale = KINDS << BITS, np.float32(300.0)
     held = np.arange(len(y)) % 5 == 4
-    pick = lambda at: linear.Rows([ids[i] for i in np.flatnonzero(at)], [values[i] * scale for i in np.flatnonzero(at)], width)
+    pick = lambda at: linear.Dense([ids[i] for i in np.flatnonzero(at)], [values[i] * scale for i in np.flatnonzero(at)], width)
     w, b = linear.fit(pick(~held), y[~held], penalty=1e-5, steps=80, rate=0.03)
     both = held.any() and len(set(y[held].tolist())) == 2
     slope, shift = linear.platt(pick(held).dot(w) + b, y[held]) if both else (1.0, 0.0)
@@ -142,36 +143,48 @@ def train(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> Mod
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000) -> Model | None:
-    """A model from `sample_rows` labelled rows at most (quality 1: good)."""
+    """A model from `sample_rows` labelled rows at most (quality 1: good).
+
+    The driver holds a number for each of these and each bucket, 65 MB, whatever the texts.
+    """
     rows = linear.labelled(docs, labels, "quality", sample_rows).mapInArrow(_emit_features, "doc_id long, label double, ids binary, values binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["ids"]))
-    return train([np.frombuffer(r["ids"], np.int32) for r in rows], [np.frombuffer(r["values"], np.float32) for r in rows], np.array([r["label"] for r in rows]))
+    return train([np.frombuffer(r["ids"], np.uint16) for r in rows], [np.frombuffer(r["values"], np.float32) for r in rows], np.array([r["label"] for r in rows]))
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, good double, kept boolean"
 
 
-def judge(docs: DataFrame, model: Model | None, least_good: float = LEAST_GOOD, text: str = "text") -> DataFrame:
-    """Every row of docs with the counts, base_failed, good (probability) and kept.
-
-    A null or empty text has no words, so it fails the base rules. Columns of docs that
-    clash with the added ones are replaced. Repeated rows are judged one by one.
-    """
+def _judged(docs: DataFrame, model: Model | None, least_good: float, text: str) -> DataFrame:
+    """The text, the other columns of docs in `_own`, and the added columns."""
     added = [x.split(" ")[0] for x in COLUMNS.split(", ")]
-    docs = docs.drop(*(c for c in docs.columns if c in added))
+    rows = docs.select(*carried(docs, text)).withColumnRenamed(text, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
-            for part in slices(batch.column(batch.schema.get_field_index(text))):
+            for part in slices(batch.column("_text")):
                 cols = {k: v.astype(np.int64) for k, v in counts(part).items()}
                 cols["base_failed"] = failed(cols["n_words"], cols["n_repeat_words"])
                 cols["good"] = shared.value.good(part) if shared.value else np.ones(part.hi - part.lo)
                 cols["kept"] = ~cols["base_failed"] & (cols["good"] >= least_good)
-                rows = batch.slice(part.lo, part.hi - part.lo)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(cols[k]) for k in added)], [*rows.schema.names, *added])
+                own = batch.slice(part.lo, part.hi - part.lo)
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(cols[k]) for k in added)], [*own.schema.names, *added])
+
+    return rows.mapInArrow(score, widened(StructType(rows.schema.fields), COLUMNS))
 
-    return docs.mapInArrow(score, widened(docs.schema, COLUMNS))
+
+def judge(docs: DataFrame, model: Model | None, least_good: float = LEAST_GOOD, text: str = "text") -> DataFrame:
+    """Every row of docs with the counts, base_failed, good (probability) and kept.
+
+    A null or empty text has no words, so it fails the base rules. Whole texts of any length
+    count; a very long one is held in one task. Columns of docs that clash with the added
+    ones, in any case of letters, are replaced. Repeated rows are judged one by one; a
+    probability of exactly `least_good` is kept.
+    """
+    added = [x.split(" ")[0] for x in COLUMNS.split(", ")]
+    docs = docs.drop(*added)
+    return _judged(docs, model, least_good, text).select(*restored(docs, **{text: F.col("_text")}), *added)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -181,6 +194,6 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with their own columns."""
+    """Pipeline stage: the documents that the rules keep, with their own columns as they are, whatever their names."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, model).where(F.col("kept")).select(*docs.columns)
+    return _judged(docs, model, LEAST_GOOD, "text").where("kept").select(*restored(docs, text=F.col("_text")))

@@ -25,6 +25,8 @@ GRAMS, BITS = (3, 4, 5, 6, 7, 8), 21
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: A feature needs so many documents of the sample, and so large a log-count ratio.
 LEAST_DOCS, LEAST_RATIO = 5, 2.5
+#: Features at most: those with the largest ratios. Tasks that count the sample, which is small.
+MOST_FEATURES, TASKS = 1 << 14, 4
 #: Rows with at least this score are predicted toxic.
 LEAST_TOXIC = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -84,13 +86,13 @@ def _emit_counts(batches):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, where=None) -> Model | None:
     """A model from `sample_rows` labelled rows at most. None if a class is missing: then scores are 0."""
-    sample = settled(linear.labelled(docs, labels, "toxic", sample_rows, where))
+    sample = settled(linear.labelled(docs, labels, "toxic", sample_rows, where).coalesce(TASKS))
     sizes = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     rows = sample.mapInArrow(_emit_counts, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
     ratio = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    kept = rows.withColumn("ratio", ratio).where(F.abs("ratio") >= LEAST_RATIO).orderBy("bucket").toPandas()  # 2**BITS rows at most
+    kept = rows.withColumn("ratio", ratio).where(F.abs("ratio") >= LEAST_RATIO).orderBy(F.desc(F.abs("ratio")), "bucket").limit(MOST_FEATURES).toPandas()
     column = np.full(1 << BITS, -1, np.int32)
     column[kept["bucket"].to_numpy()] = np.arange(len(kept))
     shared = docs.sparkSession.sparkContext.broadcast(column)
@@ -123,8 +125,10 @@ def held_out():
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from LEAST_TOXIC on).
 
-    A null or empty text has no features, so it gets the score of the intercept. Columns
-    of docs named score or predicted are replaced; repeated rows are scored one by one.
+    A null or empty text has no features, so it gets the score of the intercept; all others
+    are scored whole, whatever their length. Columns of docs named score or predicted, in any
+    case of letters, are replaced; repeated rows are scored one by one; a score of exactly
+    LEAST_TOXIC is predicted 1.
     """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
