@@ -358,9 +358,71 @@ def test_jaccard_join(spark, docs, corpus, block, monkeypatch):
     assert kept == {i for i, (c, _) in near(corpus).items() if i == c}
 
 
-def test_prefixes_are_shortened_to_the_recall():
-    d = jaccard.prefix_length()
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def test_prefixes_are_shortened_until_the_recall():
+    assert jaccard.shortened([(1.0, 10**9)], 8) == 8  # copies alone are found at full depth
+    assert jaccard.shortened([], 8) < 8 and jaccard.shortened([(0.8, 1000)], 8) <= jaccard.shortened([(0.9, 1000)], 8) <= 8
+    d = jaccard.shortened([(0.8, 10**6)], 8, recall=0.999)
+    assert jaccard.met(0.8, d) >= 0.999 > jaccard.met(0.8, d + 1)
+
+
+def edited(base, every, mark):
+    """A copy of a list of words with one word changed in each stretch of so many."""
+    return [f"{mark}{i}" if i % every == every // 2 else w for i, w in enumerate(base)]
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """1,200 pairs of texts with one word changed: of 50 shingles each 45 are shared, or of 50 and 49, 44: 0.818 and 0.8."""
+    rng, rows = random.Random(9), []
+    for i in range(1200):
+        base = [f"{rng.randrange(10**6)}" for _ in range(54)]
+        other = base[:27] + ["x"] + base[28 : 54 - i % 2]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    want = {}
+    for i in range(1200):
+        a, b = shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])
+        n = int(len(a & b) >= 0.8 * len(a | b))
+        want |= {2 * i: (2 * i, n), 2 * i + 1: (2 * i if n else 2 * i + 1, n)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(n for _, n in want.values()) >= 1200
+
+
+@pytest.mark.parametrize("node", [4, 512])
+def test_a_group_of_near_copies_and_a_crowd(spark, node, monkeypatch):
+    """Nodes dealt into blocks: near copies of one text, copies that drift away from it, and texts that share a third of their words."""
+    monkeypatch.setattr(jaccard, "NODE", node)
+    rng = random.Random(3)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        near_ = list(base)
+        near_[rng.randrange(120)] = f"n{i}"
+        rows.append(" ".join(near_))
+    drift = list(base)
+    for i in range(12):
+        drift[i * 9 + 4] = f"d{i}"
+        rows.append(" ".join(drift))
+    rows += [" ".join(base[:50] + [f"c{i}.{k}" for k in range(70)]) for i in range(60)]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near(rows)
+
+
+def test_a_chain_of_weakly_similar_texts_is_not_verified_as_one(spark):
+    """Neighbours share half of their shingles: none is linked, and nearly none is compared beyond its minima."""
+    word = [f"w{i}" for i in range(60 * 400)]
+    rows = [(i, " ".join(word[i * 20 : i * 20 + 60])) for i in range(400)]
+    sketch = spark.createDataFrame([(i, bytearray(jaccard.path(s))) for (i, _), s in zip(rows, jaccard.shingle_sets(next(textops.slices(pa.array([t for _, t in rows]), 1 << 30))), strict=True)], "node long, path binary")
+    comps = collections.Counter(r.comp for r in jaccard.clusters(sketch, 0.8).collect())
+    assert sum(n * n for n in comps.values()) < 1.2 * len(rows)
+
+
+def test_rows_of_one_id_and_null_ids_are_judged_by_their_texts(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(5, text("a")), (6, text("a")), (6, text("b")), (6, text("b")), (None, text("c")), (None, text("c") + " end"), (None, text("d")), (7, text("d"))]
+    df = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], "doc_id long, text string, path int, `_ID.x` int")
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in jaccard.near_classes(df).collect())
+    assert got == sorted([(5, 5, 1), (6, 5, 1), (6, 6, 1), (6, 6, 1), (-1, -1, 1), (-1, -1, 1), (-1, 7, 1), (7, 7, 1)])
+    kept = jaccard.drop_near(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.text[0] for r in kept.collect()) == ["a", "b", "c", "d"]
 
 
 # 7: packing.
@@ -621,7 +683,7 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(name, odd, empty):
     got = OPERATORS[name](odd).collect()
-    assert len(got) >= odd.count() if name == "packing" else len(got) == (5 if name == "drop_near" else odd.count())
+    assert len(got) >= odd.count() if name == "packing" else len(got) == (6 if name == "drop_near" else odd.count())
     assert OPERATORS[name](empty).collect() == []
     if name == "jaccard":
         by = collections.defaultdict(set)
