@@ -411,8 +411,8 @@ def test_a_chain_of_weakly_similar_texts_is_not_verified_as_one(spark):
     word = [f"w{i}" for i in range(60 * 400)]
     rows = [(i, " ".join(word[i * 20 : i * 20 + 60])) for i in range(400)]
     sketch = spark.createDataFrame([(i, bytearray(jaccard.path(s))) for (i, _), s in zip(rows, jaccard.shingle_sets(next(textops.slices(pa.array([t for _, t in rows]), 1 << 30))), strict=True)], "node long, path binary")
-    comps = collections.Counter(r.comp for r in jaccard.clusters(sketch, 0.8).collect())
-    assert sum(n * n for n in comps.values()) < 1.2 * len(rows)
+    comps = collections.Counter(r.comp for r in jaccard.clusters(sketch, 0.8).collect())  # of the classes that are to be compared
+    assert sum(n * n for n in comps.values()) < 0.2 * len(rows)
 
 
 def test_rows_of_one_id_and_null_ids_are_judged_by_their_texts(spark):

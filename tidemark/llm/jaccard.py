@@ -22,6 +22,8 @@ verified links make the result's classes.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -160,28 +162,34 @@ def _links(members: DataFrame, classes: DataFrame, likely: float) -> DataFrame:
     return settled(members.join(classes.select("node", "path"), "node").groupBy("group").applyInArrow(_compare(likely), "a long, b long, alike double"))
 
 
-def _connected(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes with comp brought up to date."""
-    roots = settled(components(links.select("a", "b")).withColumnsRenamed({"node": "comp", "root": "to"}))
-    return settled(classes.join(roots, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), "path"))
+def _merged(classes: DataFrame, links: DataFrame, well: bool) -> DataFrame:
+    """classes whose comp is the least of those it is linked to: near enough to components to spare comparisons. well: look four links far."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    to = settled(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
+    if well:
+        over = both.join(to.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("to").alias("far"))
+        to = settled(to.join(over, "a").select("a", F.least("to", "far").alias("to")))
+        jump = to.select(F.col("a").alias("to"), F.col("to").alias("far"))
+        to = settled(to.join(jump, "to", "left").select("a", F.coalesce("far", "to").alias("to")))
+    return settled(classes.join(to.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), "path"))
 
 
-def _within_nodes(classes: DataFrame, depth: int, likely: float) -> tuple[DataFrame, DataFrame | None]:
-    """classes with what is found at this depth, and its links, if any: each node's classes are compared, in blocks if they are many."""
+def _within_nodes(classes: DataFrame, depth: int, likely: float) -> tuple[DataFrame, list[DataFrame]]:
+    """classes with what is found at this depth, and its links: each node's classes are compared, in blocks if they are many."""
     nodes = _keyed(classes, depth).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
     nodes = settled(nodes.where("lo != hi").select("key", "n"))
     size, most = nodes.agg(F.sum("n"), F.max("n")).first()
     if not size:
-        return classes, None
+        return classes, []
     block, small = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / NODE)), F.col("n") <= NODE
     group = F.when(small, F.pmod(F.xxhash64("key"), F.lit(max(1, size // ROWS)))).otherwise(F.xxhash64("key", "block"))
     dealt = _keyed(classes, depth).join(nodes, "key").withColumn("block", F.when(small, F.lit(0)).otherwise(block).cast("int"))
-    links = _links(dealt.select("node", "comp", "key", group.alias("group"), F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")), classes, likely)
-    classes = _connected(classes, links)
+    links = [_links(dealt.select("node", "comp", "key", group.alias("group"), F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")), classes, likely)]
+    classes = _merged(classes, links[0], most > NODE)
     if most > NODE:
         more = _between_blocks(classes, nodes.where(F.col("n") > NODE).select("key"), depth, likely)
         if more is not None:
-            return _connected(classes, more), links.unionByName(more)
+            classes, links = _merged(classes, more, True), [*links, more]
     return classes, links
 
 
@@ -202,17 +210,20 @@ def _between_blocks(classes: DataFrame, large: DataFrame, depth: int, likely: fl
 
 
 def clusters(classes: DataFrame, threshold: float) -> DataFrame:
-    """node and comp of classes (node, path): those that may be linked are in one comp."""
-    now, depth, likely, found = settled(classes.select("node", F.col("node").alias("comp"), "path")), DEPTH, threshold - MARGIN, []
+    """node and comp of those classes (node, path) that may be linked to another: then they are in one comp."""
+    now, depth, likely, alike, links = settled(classes.select("node", F.col("node").alias("comp"), "path")), DEPTH, threshold - MARGIN, [], []
     while True:
-        now, links = _within_nodes(now, depth, likely)
-        if links is not None:
-            near = links.where(F.col("alike") >= threshold - MARGIN / 6)
-            found += [(r["s"], r["n"]) for r in near.groupBy(F.round("alike", 2).alias("s")).agg(F.count("*").alias("n")).collect()]  # 21 rows
-        shorter = shortened(found, depth, threshold)
+        now, found = _within_nodes(now, depth, likely)
+        for x in found:
+            links.append(x.select("a", "b"))
+            near = x.where(F.col("alike") >= threshold - MARGIN / 6).groupBy(F.round("alike", 2).alias("s")).agg(F.count("*").alias("n"))
+            alike += [(r["s"], r["n"]) for r in near.collect()]  # some 20 rows
+        shorter = shortened(alike, depth, threshold)
         if shorter == depth:
-            return now.select("node", "comp")
+            break
         depth = shorter
+    none = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return components(functools.reduce(DataFrame.union, links, none)).withColumnRenamed("root", "comp")
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -243,7 +254,8 @@ def _verify(threshold: float):
         table = table.combine_chunks()
         sets = [s for part in slices(table.column("text")) for s in shingle_sets(part)]
         nodes, cluster, i, j, side, copies = (table.column(c).to_numpy() for c in ("node", "cluster", "i", "j", "side", "copies"))
-        out: dict[str, list] = {"node": [], "links": [], "root": []}
+        out: dict[str, list] = {"node": [], "links": [], "root": [], "parted": []}
+        parted = table.column("parted").to_numpy(zero_copy_only=False)
         order = np.lexsort((nodes, j, i, cluster))
         for rows in np.split(order, np.flatnonzero(np.diff(cluster[order]) | np.diff(i[order]) | np.diff(j[order])) + 1):
             left, right = rows[side[rows] == 0], rows[side[rows] == 1]
@@ -265,7 +277,8 @@ def _verify(threshold: float):
             out["node"] += nodes[rows].tolist()
             out["links"] += links.tolist()
             out["root"] += names[root[rank]].tolist()
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+            out["parted"] += parted[rows].tolist()
+        return pa.table({c: pa.array(v, pa.bool_() if c == "parted" else pa.int64()) for c, v in out.items()})
 
     return run
 
@@ -291,9 +304,10 @@ class Joined:
         classes = self.known.groupBy("set_1", "set_2").agg(F.min(F.struct("_id", "_tag")).alias("who"), F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("path").alias("path"), F.first("shingles").alias("shingles"))
         node = F.col("doc") if plain else F.xxhash64("set_1", "set_2")
         classes = settled(classes.select("set_1", "set_2", "who._id", "who._tag", "doc", node.alias("node"), "copies", "shingles", "path"))
-        found = self._verified(rows, classes, settled(clusters(classes.select("node", "path"), threshold)), threshold)
+        found, parted = self._verified(rows, classes, settled(clusters(classes.select("node", "path"), threshold)), threshold)
         linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-        roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        whole = found.where(~F.col("parted")).groupBy("node").agg(F.min("root").alias("root"))  # of clusters in one group
+        roots = components(found.where("parted").select(F.col("node").alias("a"), F.col("root").alias("b"))).union(whole) if parted else whole
         labels = classes.drop("path", "shingles").join(linked, "node", "left").join(roots, "node", "left")
         labels = settled(labels.select("set_1", "set_2", "_id", "_tag", "doc", "node", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
         if plain:
@@ -303,20 +317,20 @@ class Joined:
             self.labels = settled(labels.join(names, "root"))
 
     @staticmethod
-    def _verified(rows: DataFrame, classes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    def _verified(rows: DataFrame, classes: DataFrame, comps: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
         size = classes.select("node", "_id", "_tag", "copies", "shingles").join(comps, "node")
         sizes = size.groupBy("comp").agg(F.count("*").alias("size"), F.sum("shingles").alias("sum")).where(F.col("size") > 1)
         sizes = settled(sizes.select("comp", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("sum") / SHINGLES)).cast("int").alias("blocks"), "size", "sum"))
-        n, total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0))).first()
+        n, total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
         texts = rows.join(size.join(sizes, "comp"), ["_id", "_tag"])
         placed = texts.select("node", "text", "copies", F.col("comp").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
         meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         i, j, small = F.least("block", "other"), F.greatest("block", "other"), F.col("blocks") == 1
         dealt = placed.select("*", meets.alias("other")).select(
-            "node", "text", "copies", "cluster", i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"),
+            "node", "text", "copies", "cluster", (~small).alias("parted"), i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"),
             F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(max(1, n // BLOCK, total // SHINGLES)))).otherwise(F.xxhash64("cluster", i, j)).alias("group"),
         )
-        return settled(dealt.groupBy("group").applyInArrow(_verify(threshold), "node long, links long, root long"))
+        return settled(dealt.groupBy("group").applyInArrow(_verify(threshold), "node long, links long, root long, parted boolean")), most > 1
 
     def documents(self) -> DataFrame:
         """doc_id, class_id, n_links of every row."""
