@@ -1,6 +1,7 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.config import SyncOptions
 from tidemark.model import Chunk, Mode
@@ -117,3 +118,50 @@ def test_following_files(spark, tmp_path):
     spark.range(10, 15).write.mode("append").parquet(source)
     assert follow_files(spark, source, target, check) == 5
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(15))
+
+
+def test_the_database_answers_for_its_key_range(spark, shop):
+    stats = shop.key_stats("goods", "id")
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "MIN(" in plan and "Aggregate" not in plan and stats.count() == 1
+    rows = shop.load("goods")
+    assert tuple(stats.first()) == (rows.agg({"id": "min"}).first()[0], rows.agg({"id": "max"}).first()[0], rows.count(), rows.count())
+    assert shop.count("goods") == rows.count() and shop.exists("goods") and not shop.exists("good_") and not shop.exists("%")
+
+
+def test_a_target_folder_keeps_its_key(spark, tmp_path):
+    schema = spark.createDataFrame([], "a long, b string").schema
+    target = ParquetCatalog(spark, str(tmp_path))
+    target.create("t", schema, "a")
+    target.create("u", schema, None, ["b", "a"])
+    target.create("v", schema, None)
+    again = ParquetCatalog(spark, str(tmp_path))
+    assert [again.key(t) for t in "tuv"] == ["a", "b", None] and again.key_columns("u") == ["b", "a"]
+    again.replace("u", spark.createDataFrame([(1, "x")], schema), 10)
+    assert again.key_columns("u") == ["b", "a"] and again.load("u").count() == 1
+
+
+def test_a_replacement_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
+    schema = spark.createDataFrame([], "a long").schema
+    target = ParquetCatalog(spark, str(tmp_path))
+    target.create("t", schema, None)
+    target.replace("t", spark.range(5).toDF("a"), 10)
+    move = target.files.move
+
+    def broken(old, new):
+        if "/_stage_" in old:
+            raise OSError("no")
+        move(old, new)
+
+    monkeypatch.setattr(target.files, "move", broken)
+    with pytest.raises(OSError):
+        target.replace("t", spark.range(7).toDF("a"), 10)
+    assert target.load("t").count() == 5 and [n for n in target.files.names(str(tmp_path)) if n.startswith("_stage_t_")] and target.tables() == ["t"]
+
+
+def test_a_failed_load_leaves_the_database_table(spark, shop):
+    before = shop.load("goods").count()
+    bad = shop.load("goods").withColumn("id", F.lit(None).cast("long"))
+    with pytest.raises(Exception):  # noqa: B017  whatever the database says
+        shop.replace("goods", bad, 10)
+    assert shop.load("goods").count() == before and not [t for t in shop.tables() if t.lower().startswith("stage_")]

@@ -39,7 +39,8 @@ class SyncOptions:
     parallel_tables: tables at a time. chunk_size: key values in a chunk. batch_insert_size:
     rows in a JDBC batch. waves: commits to the ledger a table is split into, each of whole
     chunks and one Spark job; more waves lose less work to an interruption, but a source
-    without an index on the key is scanned once for each wave. sort_rows: order each written
+    without an index on the key is scanned once for each wave. Unset: 4 for sources with an
+    index, else 1. sort_rows: order each written
     file by the key, so that later range scans can skip parts of it; a sort within tasks, no
     shuffle. tables: which, none for all.
     keys: primary keys by table, for sources that don't know them.
@@ -48,7 +49,7 @@ class SyncOptions:
     parallel_tables: int = 4
     chunk_size: int = 50_000
     batch_insert_size: int = 5_000
-    waves: int = 4
+    waves: int | None = None
     sort_rows: bool = False
     tables: tuple[str, ...] = ()
     keys: dict[str, str | None] = field(default_factory=dict)
@@ -56,6 +57,8 @@ class SyncOptions:
     def __post_init__(self) -> None:
         for name in ("parallel_tables", "chunk_size", "batch_insert_size", "waves"):
             value = getattr(self, name)
+            if name == "waves" and value is None:
+                continue
             if isinstance(value, bool) or not isinstance(value, int) or value < 1:
                 raise ConfigError(f"sync.{name} must be a whole number of at least 1, not {value!r}")
 

@@ -14,20 +14,26 @@ from ..plans import chunk_frame, chunk_of
 from .scan import key_range
 
 logger = logging.getLogger(__name__)
+#: Chunks whose running total one task works out.
+STRETCH = 10_000
 
 
 def chunk_report(rows: DataFrame, key: str, size: int) -> DataFrame:
     """chunk_id, chunk_start, chunk_end, chunk_rows, synced_rows (running total) of every chunk, empty ones included.
 
-    Rows are counted by chunk before anything is ordered, so the running total orders counts, not rows.
+    Rows are counted by chunk before anything is ordered; the running total orders chunks within
+    stretches of so many, and then the stretches' sums.
     """
     span = key_range(rows, key)
     if not span.rows:
         return rows.sparkSession.createDataFrame([], "chunk_id long, chunk_start long, chunk_end long, chunk_rows long, synced_rows long")
     counts = rows.groupBy(chunk_of(F.col(quoted(key)), span.low, size).cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
     plan = chunk_frame(rows.sparkSession, span.low, span.high, size).join(counts, "chunk_id", "left")
-    total = F.sum("chunk_rows").over(W.orderBy("chunk_id").rowsBetween(W.unboundedPreceding, 0))
-    return plan.select("chunk_id", "chunk_start", "chunk_end", F.coalesce("n", F.lit(0)).alias("chunk_rows")).withColumn("synced_rows", total)
+    plan = plan.select("chunk_id", "chunk_start", "chunk_end", F.coalesce("n", F.lit(0)).alias("chunk_rows"), F.floor(F.col("chunk_id") / STRETCH).alias("stretch"))
+    sums = plan.groupBy("stretch").agg(F.sum("chunk_rows").alias("n"))
+    before = sums.select("stretch", (F.sum("n").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    own = F.sum("chunk_rows").over(W.partitionBy("stretch").orderBy("chunk_id").rowsBetween(W.unboundedPreceding, 0))
+    return plan.withColumn("own", own).join(before, "stretch").select("chunk_id", "chunk_start", "chunk_end", "chunk_rows", (F.col("before") + F.col("own")).alias("synced_rows"))
 
 
 def batch_report(rows: DataFrame, key: str, size: int, batch: int) -> DataFrame:

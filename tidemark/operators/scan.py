@@ -16,10 +16,15 @@ def usable_key(kind: DataType) -> bool:
 
 
 def key_range(rows: DataFrame, key: str) -> KeyRange:
-    """Least and greatest key: one aggregate, which a JDBC source answers from its index and Parquet from one column."""
+    """Least and greatest key, and numbers of rows: one aggregate, of which Parquet reads one column."""
     k = F.col(quoted(key))
-    low, high, n, keyed = rows.agg(F.min(k), F.max(k), F.count(F.lit(1)), F.count(k)).first()
-    return KeyRange(int(low or 0), int(high or 0), n, n - keyed)
+    return range_of(rows.agg(F.min(k), F.max(k), F.count(F.lit(1)), F.count(k)))
+
+
+def range_of(stats: DataFrame) -> KeyRange:
+    """From one row: least key, greatest key, rows, rows with a key."""
+    low, high, n, keyed = stats.first()
+    return KeyRange(int(low or 0), int(high or 0), int(n), int(n) - int(keyed))
 
 
 def key_range_frame(rows: DataFrame, key: str) -> DataFrame:

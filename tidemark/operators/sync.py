@@ -19,9 +19,11 @@ from ..plans import chunk_of, first_key, waves
 from ..sources.base import PROGRESS, Catalog, open_catalog
 from .ledger import Ledger
 from .reports import log_summary
-from .scan import key_range, row_count, usable_key
+from .scan import range_of, usable_key
 
 logger = logging.getLogger(__name__)
+#: Waves of a table from a source that finds a wave by its index.
+WAVES = 4
 
 
 class SchemaDrift(RuntimeError):
@@ -125,7 +127,7 @@ class SyncEngine:
 
     def _copy_keyed(self, result: SyncResult, rows: DataFrame, key: str, resume: bool) -> None:
         table, o = result.table, self.options
-        keys = key_range(rows, key)
+        keys = range_of(self.source.key_stats(table, key))
         if keys.nulls:
             raise ValueError(f"{keys.nulls} rows have a null key {key}; configure the table's key as null to copy it as a whole")
         known = self.ledger.get(table) if resume else None
@@ -141,7 +143,7 @@ class SyncEngine:
         self.ledger.start(table, keys.rows, key, resumed=known is not None)
         self._ensure(table, rows, key, last, keep=known is not None)
         if keys.rows:
-            self._copy_waves(result, rows, key, waves(first_key(keys, last), keys.high, o.chunk_size, o.waves), keys.rows)
+            self._copy_waves(result, rows, key, waves(first_key(keys, last), keys.high, o.chunk_size, o.waves or (WAVES if self.source.indexed else 1)), keys.rows)
         self.ledger.done(table, result.rows)
 
     def _copy_waves(self, result: SyncResult, rows: DataFrame, key: str, plan: list[Chunk], total: int) -> None:
@@ -163,16 +165,16 @@ class SyncEngine:
                 logger.info("table %s: %d of %d rows (%.1f%%), %s %d of %d", table, result.rows, total, result.rows / total * 100 if total else 0, key, wave.end, plan[-1].end)
 
     def _filled(self, rows: DataFrame, key: str, plan: list[Chunk]) -> set[int]:
-        """Numbers of the waves that have rows: at most as many numbers as waves come to the driver."""
-        if len(plan) == 1:
-            return {0}
+        """Numbers of the waves that have rows: at most as many numbers as waves come to the driver. A source with an index isn't asked; it reads an empty wave fast."""
+        if len(plan) == 1 or self.source.indexed:
+            return set(range(len(plan)))
         k, width = F.col(quoted(key)), plan[0].end - plan[0].start + 1
         found = rows.where(k >= whole(plan[0].start)).select(chunk_of(k, plan[0].start, width).alias("wave")).distinct().collect()
         return {int(r["wave"]) for r in found}
 
     def _copy_whole(self, result: SyncResult, rows: DataFrame) -> None:
         table = result.table
-        self.ledger.start(table, row_count(rows), "", resumed=False)
+        self.ledger.start(table, self.source.count(table), "", resumed=False)
         if self.target.exists(table):
             self._same_schema(table, rows)
         else:

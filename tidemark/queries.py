@@ -9,15 +9,20 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .config import SyncOptions
+from .config import SyncOptions, load_config
 from .model import Chunk, Mode
+from .functions import percent, rate
 from .operators import SyncEngine, batch_report, chunk_report, reconcile, summary
-from .operators.scan import key_range_frame
+from .operators.scan import key_range, key_range_frame
+from .plans import first_key, waves
 from .sources import ParquetCatalog, WarehouseCatalog
+from .sources.files import Files
 
 #: Parquet keeps no keys, so they are configured.
 KEYS = {
@@ -32,9 +37,13 @@ class Interrupted(RuntimeError):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one on a single machine."""
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one on a single machine. It goes when the session's JVM ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/tidemark-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = f"{shared}/tidemark-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
+    Files(spark).forget_at_exit(made)
+    return made
 
 
 def source(spark: SparkSession, sf_dir: str) -> ParquetCatalog:
@@ -76,7 +85,7 @@ def copy_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
         if len(seen) == 2:
             raise Interrupted(table)
 
-    e = engine(spark, sf_dir, "orders", before_advance=die)
+    e = SyncEngine(source(spark, sf_dir), ParquetCatalog(spark, scratch(spark), KEYS), SyncOptions(chunk_size=CHUNK, waves=4, tables=("orders",)), before_advance=die)
     if [r.error for r in e.run()] != ["orders"]:
         raise AssertionError("the run should have been interrupted")
     again = SyncEngine(e.source, e.target, SyncOptions(chunk_size=300, tables=("orders",)))
@@ -118,8 +127,16 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in source(spark, sf_dir).discover()], "table_name string")
 
 
+def _chunk_scans(spark: SparkSession, sf_dir: str, table: str, count: int) -> list[DataFrame]:
+    """Scans of a table, one for each of at most `count` waves of chunks that cover its keys."""
+    s, key = source(spark, sf_dir), KEYS[table]
+    keys = key_range(s.load(table), key)
+    return [s.range_scan(table, key, c, 100) for c in waves(keys.low, keys.high, 100, count)]
+
+
 def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source(spark, sf_dir).range_scan("labels", "doc_id", Chunk(200, 299), 100)
+    """labels by ten range scans: every row is in one of them."""
+    return functools.reduce(DataFrame.union, _chunk_scans(spark, sf_dir, "labels", 10))
 
 
 def chunk_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,17 +148,14 @@ def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows for each leading key of a chunk of a table with a composite key: none is split."""
-    rows = source(spark, sf_dir).range_scan("conversations", "conv_id", Chunk(10, 19), 10)
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    """Rows for each leading key of each chunk of a table with a composite key: none is split, or it would come twice."""
+    turns = [F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn")]
+    return functools.reduce(DataFrame.union, [rows.groupBy("conv_id").agg(*turns) for rows in _chunk_scans(spark, sf_dir, "conversations", 10)])
 
 
 def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a resumed run still has to read of orders after key 7999 is committed."""
     s = source(spark, sf_dir)
-    from .operators import key_range
-    from .plans import first_key
-
     keys = key_range(s.load("orders"), "o_orderkey")
     return s.range_scan("orders", "o_orderkey", Chunk(first_key(keys, 7999), keys.high), CHUNK)
 
@@ -161,6 +175,55 @@ def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(spark, again.run(Mode.RESUME))
 
 
+def _with_a_bad_table(spark: SparkSession, sf_dir: str) -> tuple[SyncEngine, list]:
+    e = engine(spark, sf_dir, "region", "no_such_table", "nation")
+    return e, e.run()
+
+
+def failure_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after a run with a table that can't be read: it alone failed."""
+    e, _ = _with_a_bad_table(spark, sf_dir)
+    return e.ledger.progress().select("table_name", "status", "synced_rows", F.col("error").isNotNull().alias("has_error"))
+
+
+def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(spark, _with_a_bad_table(spark, sf_dir)[1])
+
+
+def restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a run that restarts: what was complete is copied again."""
+    first = _run(engine(spark, sf_dir, *SYNCED))
+    return summary(spark, first.run(Mode.RESTART))
+
+
+def progress_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each chunk of labels: the percentage of rows copied once it is, and rows a second if each chunk takes a quarter of one; 0 before the first."""
+    report = chunk_ledger(spark, sf_dir)
+    total, seconds = F.lit(source(spark, sf_dir).count("labels")), F.col("chunk_id") * 0.25
+    return report.select("chunk_id", percent(F.col("synced_rows"), total).alias("percent"), rate(F.col("synced_rows"), seconds).alias("rows_per_second"), percent(F.col("synced_rows"), F.lit(0)).alias("of_nothing"))
+
+
+def sorted_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels copied with sort_rows: rows, and those that stand behind a larger key in their file."""
+    e = SyncEngine(source(spark, sf_dir), ParquetCatalog(spark, scratch(spark)), SyncOptions(chunk_size=CHUNK, sort_rows=True, tables=("labels",)))
+    rows = _run(e).target.load("labels").select("doc_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    late = F.lag("doc_id").over(W.partitionBy("file").orderBy("at")) > F.col("doc_id")
+    return rows.select(late.alias("late")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("late").alias("late_rows"))
+
+
+def copied_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that a target knows of its own, after copies from a source with configured ones."""
+    target = ParquetCatalog(spark, _run(engine(spark, sf_dir, *SYNCED, "lineitem")).target.root)
+    return spark.createDataFrame([(t, target.key(t)) for t in (*SYNCED, "lineitem")], "table_name string, primary_key string")
+
+
+def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings of the sample configuration, as they are after loading."""
+    config = load_config(str(Path(__file__).with_name("config.yaml")))
+    rows = [("source", config.source.kind), ("target", config.target.kind), ("charset", config.source.settings["charset"]), ("parallel_tables", str(config.sync.parallel_tables)), ("chunk_size", str(config.sync.chunk_size)), ("batch_insert_size", str(config.sync.batch_insert_size)), ("tables", str(len(config.sync.tables)))]
+    return spark.createDataFrame(rows, "setting string, value string")
+
+
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _run(engine(spark, sf_dir, *SYNCED, "lineitem"))
     rows = [reconcile(e.source.load(t), e.target.load(t)).select(F.lit(t).alias("table_name"), "*") for t in (*SYNCED, "lineitem")]
@@ -176,6 +239,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pk_range_empty": key_range_empty, "row_count_all": row_counts, "discover_tables": discovered, "chunk_scan_labels": chunk_scan,
         "chunk_ledger_labels": chunk_ledger, "batch_ledger_labels": batch_ledger, "composite_chunk_conversations": composite_chunk,
         "resume_remaining_orders": resume_remaining, "progress_after_sync": progress_after_sync, "sync_summary": sync_summary, "reconcile_all": reconciled,
+        "failure_isolation": failure_isolated, "failure_summary": failure_summary, "sync_restarted": restarted, "progress_rates_labels": progress_rates,
+        "sorted_copy_labels": sorted_copy, "copied_keys": copied_keys, "load_config": configuration,
     }
 
 
@@ -199,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "pk_range_empty": "SELECT CAST(coalesce(min(o_orderkey), 0) AS BIGINT) AS min_pk, CAST(coalesce(max(o_orderkey), 0) AS BIGINT) AS max_pk FROM orders WHERE o_orderkey < 0",
         "row_count_all": union(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in KEYS),
         "discover_tables": f"SELECT * FROM (VALUES {', '.join(f"('{t}')" for t in KEYS)}) AS v(table_name)",
-        "chunk_scan_labels": "SELECT * FROM labels WHERE doc_id >= 200 AND doc_id <= 299",
+        "chunk_scan_labels": "SELECT * FROM labels",
         "chunk_ledger_labels": """
 WITH b AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM labels),
 c AS (SELECT i AS chunk_id, lo + i * 100 AS chunk_start, least(lo + i * 100 + 99, hi) AS chunk_end FROM b, LATERAL (SELECT unnest(generate_series(0, (hi - lo) // 100)) AS i))
@@ -209,9 +274,20 @@ FROM c LEFT JOIN labels ON doc_id BETWEEN chunk_start AND chunk_end GROUP BY chu
 WITH c AS (SELECT doc_id, (doc_id - (SELECT min(doc_id) FROM labels)) // 100 AS chunk_id FROM labels),
 n AS (SELECT *, CAST((row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM c)
 SELECT chunk_id, batch_id, min(doc_id) AS first_pk, max(doc_id) AS last_pk, count(*) AS batch_rows FROM n GROUP BY chunk_id, batch_id""",
-        "composite_chunk_conversations": "SELECT conv_id, count(*) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations WHERE conv_id BETWEEN 10 AND 19 GROUP BY conv_id",
+        "composite_chunk_conversations": "SELECT conv_id, count(*) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
         "resume_remaining_orders": "SELECT * FROM orders WHERE o_orderkey >= 8000",
         "progress_after_sync": union(_progress_sql(t) for t in SYNCED),
         "sync_summary": f"SELECT CAST({len(SYNCED)} AS BIGINT) AS tables, CAST({total} AS BIGINT) AS total_rows, CAST({new} AS BIGINT) AS copied_rows, CAST(2 AS BIGINT) AS skipped_tables, CAST(0 AS BIGINT) AS failed_tables",
+        "failure_isolation": "SELECT 'region' AS table_name, 'done' AS status, count(*) AS synced_rows, false AS has_error FROM region UNION ALL SELECT 'nation', 'done', count(*), false FROM nation UNION ALL SELECT 'no_such_table', 'failed', 0, true",
+        "failure_summary": "SELECT CAST(3 AS BIGINT) AS tables, n AS total_rows, n AS copied_rows, CAST(0 AS BIGINT) AS skipped_tables, CAST(1 AS BIGINT) AS failed_tables FROM (SELECT CAST((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS BIGINT) AS n)",
+        "sync_restarted": f"SELECT CAST({len(SYNCED)} AS BIGINT) AS tables, CAST({total} AS BIGINT) AS total_rows, CAST({total} AS BIGINT) AS copied_rows, CAST(0 AS BIGINT) AS skipped_tables, CAST(0 AS BIGINT) AS failed_tables",
+        "progress_rates_labels": """
+WITH b AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi, count(*) AS n FROM labels),
+c AS (SELECT i AS chunk_id, least(lo + i * 100 + 99, hi) AS chunk_end, n FROM b, LATERAL (SELECT unnest(generate_series(0, (hi - lo) // 100)) AS i)),
+s AS (SELECT chunk_id, n, count(doc_id) AS synced FROM c LEFT JOIN labels ON doc_id <= chunk_end GROUP BY chunk_id, n)
+SELECT chunk_id, CAST(synced AS DOUBLE) / n * 100 AS percent, CASE WHEN chunk_id > 0 THEN CAST(synced AS DOUBLE) / (chunk_id * CAST(0.25 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS rows_per_second, CAST(0 AS DOUBLE) AS of_nothing FROM s""",
+        "sorted_copy_labels": "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS late_rows FROM labels",
+        "copied_keys": union(f"SELECT '{t}' AS table_name, {f"'{KEYS[t]}'" if KEYS[t] else 'CAST(NULL AS VARCHAR)'} AS primary_key" for t in (*SYNCED, "lineitem")),
+        "load_config": "SELECT * FROM (VALUES ('source', 'jdbc'), ('target', 'parquet'), ('charset', 'utf8mb4'), ('parallel_tables', '4'), ('chunk_size', '50000'), ('batch_insert_size', '5000'), ('tables', '0')) AS v(setting, value)",
         "reconcile_all": union(f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows FROM {t}" for t in (*SYNCED, "lineitem")),
     }

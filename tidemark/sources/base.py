@@ -80,6 +80,15 @@ class Catalog(abc.ABC):
         """Rows whose key is in an inclusive interval; the predicate reaches the scan."""
         return self.full_scan(table).where(F.col(quoted(key)).between(whole(span.start), whole(span.end)))
 
+    def key_stats(self, table: str, key: str) -> DataFrame:
+        """One row: least key, greatest key, rows, rows with a key."""
+        k = F.col(quoted(key))
+        return self.load(table).agg(F.min(k).alias("low"), F.max(k).alias("high"), F.count(F.lit(1)).alias("n"), F.count(k).alias("keyed"))
+
+    def count(self, table: str) -> int:
+        """Exact; Parquet keeps counts, so no column is read."""
+        return self.load(table).count()
+
     # As a target.
 
     @abc.abstractmethod

@@ -53,6 +53,10 @@ class Files:
         finally:
             stream.close()
 
+    def forget_at_exit(self, path: str) -> None:
+        """Remove the path when the session's JVM ends."""
+        self.fs(path).deleteOnExit(self.path(path))
+
     def remove(self, path: str) -> None:
         self.fs(path).delete(self.path(path), True)
 

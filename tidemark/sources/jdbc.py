@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +65,18 @@ class JdbcCatalog(Catalog):
             connection.close()
 
     def execute(self, *statements: str) -> None:
+        """In one transaction, where the database has them."""
         connection = self._connect()
         try:
+            connection.setAutoCommit(False)
             statement = connection.createStatement()
-            for s in statements:
-                statement.executeUpdate(s)
-            if not connection.getAutoCommit():
+            try:
+                for s in statements:
+                    statement.executeUpdate(s)
                 connection.commit()
+            except Exception:
+                connection.rollback()
+                raise
         finally:
             connection.close()
 
@@ -86,7 +92,15 @@ class JdbcCatalog(Catalog):
         return sorted(self._metadata(ask))
 
     def exists(self, table: str) -> bool:
-        return table in self.tables()
+        def ask(meta, catalog, schema):
+            escape = meta.getSearchStringEscape()
+            pattern = "".join(escape + c if c in ("%", "_", escape) else c for c in table)
+            rows, found = meta.getTables(catalog, schema, pattern, None), False
+            while not found and rows.next():
+                found = rows.getString("TABLE_NAME") == table
+            return found
+
+        return self._metadata(ask)
 
     def known_key(self, table: str) -> str | None:
         found = self.key_columns(table)
@@ -107,6 +121,19 @@ class JdbcCatalog(Catalog):
     def load(self, table: str) -> DataFrame:
         return self.spark.read.jdbc(self.url, self.name(table), properties=self._options())
 
+    def _asked(self, query: str) -> DataFrame:
+        """A query that the database itself answers."""
+        return self.spark.read.jdbc(self.url, f"({query}) q", properties=self._options())
+
+    def key_stats(self, table: str, key: str) -> DataFrame:
+        k = self.quoted(key)
+        names = [self.quoted(x) for x in ("low", "high", "n", "keyed")]
+        asked = ", ".join(f"{what} AS {name}" for what, name in zip((f"MIN({k})", f"MAX({k})", "COUNT(*)", f"COUNT({k})"), names, strict=True))
+        return self._asked(f"SELECT {asked} FROM {self.name(table)}").select("low", "high", "n", "keyed")
+
+    def count(self, table: str) -> int:
+        return int(self._asked(f"SELECT COUNT(*) AS {self.quoted('n')} FROM {self.name(table)}").first()[0])
+
     def range_scan(self, table: str, key: str, span: Chunk, chunk_size: int) -> DataFrame:
         """One partition, hence one query by the key's index, for each chunk of the interval."""
         step = chunk_size * max(1, -(-(span.end - span.start + 1) // (chunk_size * 256)))  # 256 partitions at most
@@ -143,8 +170,15 @@ class JdbcCatalog(Catalog):
         self._append(table, rows, batch)
 
     def replace(self, table: str, rows: DataFrame, batch: int) -> None:
-        self.truncate(table)
-        self._append(table, rows, batch)
+        """The rows are loaded beside the table, and then take its rows' place in one transaction; the table's own definition stays."""
+        stage = f"stage_{uuid.uuid4().hex[:16]}"
+        self.create(stage, rows.schema, None)
+        try:
+            self._append(stage, rows, batch)
+            columns = ", ".join(map(self.quoted, rows.columns))
+            self.execute(f"DELETE FROM {self.name(table)}", f"INSERT INTO {self.name(table)} ({columns}) SELECT {columns} FROM {self.name(stage)}")
+        finally:
+            self.execute(f"DROP TABLE {self.name(stage)}")
 
     def append(self, table: str, rows: DataFrame) -> None:
         if not self.exists(table):

@@ -18,8 +18,8 @@ from ..model import Chunk
 from .base import WAVE, Catalog, ForeignData
 from .files import Files
 
-#: Says that this engine wrote a folder; holds the table's schema.
-MARKER = "_tidemark_schema"
+#: Says that this engine wrote a folder; holds the table's schema. Beside it, the columns of its primary key.
+MARKER, KEY_MARKER = "_tidemark_schema", "_tidemark_key"
 SUFFIX = ".parquet"
 _ARROW = {"bigint": pa.int64(), "string": pa.string(), "decimal(38,0)": pa.decimal128(38, 0), "timestamp": pa.timestamp("us", "UTC")}
 
@@ -62,13 +62,21 @@ class ParquetCatalog(Catalog):
         return self.spark.read.schema(schema).parquet(*[f"{self.place(table)}/{w}" for w in waves])
 
     def known_key(self, table: str) -> str | None:
-        return None
+        found = self.key_columns(table)
+        return found[0] if found else None
+
+    def key_columns(self, table: str) -> list[str]:
+        """The key that a table was created with; files that others wrote have none."""
+        path = f"{self.place(table)}/{KEY_MARKER}"
+        return json.loads(self.files.read(path)) if self.files.exists(path) else []
 
     def _waves(self, table: str) -> list[str]:
         return [n for n in self.files.names(self.place(table)) if n.startswith(f"{WAVE}=")]
 
     def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None) -> None:
         self.files.make(self.place(table))
+        if own := key_columns or ([key] if key else []):
+            self.files.write(f"{self.place(table)}/{KEY_MARKER}", json.dumps(own).encode())
         self.files.write(f"{self.place(table)}/{MARKER}", schema.json().encode())
 
     def _need_own(self, table: str) -> None:
@@ -91,15 +99,24 @@ class ParquetCatalog(Catalog):
 
     def replace(self, table: str, rows: DataFrame, batch: int) -> None:
         self._need_own(table)
-        stage = f"_stage_{table}_{uuid.uuid4().hex}"
+        stage, old = (f"_{what}_{table}_{uuid.uuid4().hex}" for what in ("stage", "old"))
         try:
-            self.create(stage, rows.schema, None)
+            self.create(stage, rows.schema, None, self.key_columns(table))
             rows.write.parquet(f"{self.place(stage)}/{WAVE}=0")
-            self.files.remove(self.place(table))
+        except BaseException:
+            self.files.remove(self.place(stage))
+            raise
+        there = self.exists(table)
+        if there:
+            self.files.move(self.place(table), self.place(old))
+        try:
             self.files.move(self.place(stage), self.place(table))
-        finally:
-            if self.files.exists(self.place(stage)):
-                self.files.remove(self.place(stage))
+        except BaseException:  # both are still there: the new one keeps its stage's name, the old one gets its own back
+            if there:
+                self.files.move(self.place(old), self.place(table))
+            raise
+        if there:
+            self.files.remove(self.place(old))
 
     def append_row(self, table: str, schema: StructType, values: dict) -> None:
         """A file of one row, made without a Spark job."""

@@ -82,10 +82,19 @@ class WarehouseCatalog(Catalog):
         try:
             self.create(stage, rows.schema, None)
             self._put(stage, rows, 0)
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")
-            self.spark.sql(f"ALTER TABLE {self.name(stage)} RENAME TO {self.name(table)}")
-        finally:
+        except BaseException:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name(stage)}")
+            raise
+        old, there = f"old_{stage}", self.exists(table)
+        if there:
+            self.spark.sql(f"ALTER TABLE {self.name(table)} RENAME TO {self.name(old)}")
+        try:
+            self.spark.sql(f"ALTER TABLE {self.name(stage)} RENAME TO {self.name(table)}")
+        except BaseException:  # both are still there: the new one keeps its stage's name, the old one gets its own back
+            if there:
+                self.spark.sql(f"ALTER TABLE {self.name(old)} RENAME TO {self.name(table)}")
+            raise
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(old)}")
 
     def append(self, table: str, rows: DataFrame) -> None:
         if not self.exists(table):
