@@ -1,4 +1,6 @@
 import collections
+import datetime
+import hashlib
 import json
 import random
 import re
@@ -204,6 +206,40 @@ def test_url_rules(spark):
     assert urlrules.filter_urls(df.limit(0)).count() == 0
 
 
+def fits(pattern, text):
+    """A filter pattern against a host and path, by trying every place, without regular expressions."""
+
+    def here(p, at):
+        if not p:
+            return True
+        if p[0] == "*":
+            return any(here(p[1:], k) for k in range(at, len(text) + 1))
+        if p[0] == "^":
+            free = at < len(text) and not (text[at].isascii() and (text[at].isalnum() or text[at] in "_.%-"))
+            return here(p[1:], at + 1) if free else at == len(text) and here(p[1:], at)
+        return text[at : at + 1] == p[0] and here(p[1:], at + 1)
+
+    host = text.partition("/")[0]
+    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")] if pattern.startswith("||") else range(len(text) + 1)
+    return any(here(pattern.removeprefix("||"), k) for k in starts)
+
+
+@pytest.mark.parametrize("most", [5, 100_000])
+def test_many_filters_against_trying_each(spark, most, monkeypatch):
+    """20,000 rules, some without a whole literal token, by broadcast and by shuffle; the verdict is that of the longest that fits."""
+    monkeypatch.setattr(urlrules, "MOST_BROADCAST", most)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 2)))
+    few = [("".join(rng.choice(["", "||"])) + rng.choice(["", "/", "^", "*"]) + rng.choice(["", "."]).join(word() for _ in range(rng.randint(1, 3))) + rng.choice(["", "^", "*", "/*"]), rng.choice(["block", "allow"])) for _ in range(60)]
+    few = [f for f in dict(few).items() if urlrules.filter_rule(*f).tokens][: 60] + [("*", "allow"), ("a*b^", "block"), ("c", "block")]
+    filters = few + [(f"||never{i}.example^", "block") for i in range(20_000 if most > 5 else 200)]
+    urls = [f"http://{'.'.join(word() for _ in range(rng.randint(1, 3)))}{rng.choice(['', '/', '/' + word(), '/' + word() + '/' + word() + '.' + word()])}" for _ in range(120)] + ["http://x.never7.example/"]
+    got = {r.url: (r.pattern, r.verdict) for r in urlrules.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), host_rules=(), filters=tuple(filters)).collect()}
+    for u in set(urls):
+        hits = [(len(f), -i, f, v) for i, (f, v) in enumerate(filters) if (i < len(few) or "never" in u) and fits(f, u.removeprefix("http://"))]
+        assert got[u] == (max(hits)[2:] if hits else (None, "allow")), u
+
+
 def test_rules_are_found_by_whole_literal_tokens():
     assert urlrules.host_rule("net/es/", "block").tokens == ("net", "es")
     assert urlrules.host_rule("net/es", "block").tokens == ("net",)
@@ -571,6 +607,87 @@ def test_short_lists_of_numbers_stay():
     assert pii.pseudonyms(text, pii.Permutation(b"k")) == (text, [])
 
 
+def feistel(key, x, bound, name, allowed=lambda x: True):
+    """The permutation, written out plainly."""
+    key = hashlib.blake2b(key, digest_size=32).digest()
+    half = max(1, (len(bin(bound - 1)) - 2 + 1) // 2)
+    while True:
+        left, right = divmod(x, 2**half)
+        for i in range(8):
+            size = -(-half // 8)
+            f = hashlib.blake2b(bytes([i]) + right.to_bytes(size, "big"), digest_size=8 + size, key=key, person=name.encode()).digest()
+            left, right = right, left ^ (int.from_bytes(f, "big") % 2**half)
+        x = left * 2**half + right
+        if x < bound and allowed(x):
+            return x
+
+
+def plain_pseudonym(kind, value, key):
+    digits = "".join(c for c in value if c.isdigit())
+    put = lambda new: "".join(next(new) if c.isdigit() else c for c in value)
+    if kind == "ipv4":
+        x = feistel(key, sum(int(o) << 8 * (3 - i) for i, o in enumerate(value.split("."))), 2**32, "ipv4")
+        return ".".join(str(x >> 8 * (3 - i) & 255) for i in range(4))
+    if kind == "ssn":
+        ok = lambda x: x // 10**6 not in (0, 666) and x // 10**6 < 900 and x // 10**4 % 100 and x % 10**4
+        return put(iter(f"{feistel(key, int(digits), 10**9, 'ssn9', ok):09d}"))
+    if kind == "card":
+        n = len(digits) - 1
+        body = f"{feistel(key, int(digits[:-1]), 10**n, f'card{n + 1}', lambda x: len(set(f'{x:0{n}d}')) > 1 or set(f'{x:0{n}d}') == set() or x % (10**n // 9)):0{n}d}"
+        weigh = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+        return put(iter(body + next(c for c in "0123456789" if weigh(body + c) % 10 == 0)))
+    if kind == "date":
+        first = datetime.date(1900, 1, 1).toordinal()
+        size = datetime.date(2099, 12, 31).toordinal() - first + 1
+        return (datetime.date.fromisoformat("1900-01-01") + datetime.timedelta(feistel(key, datetime.date.fromisoformat(value).toordinal() - first, size, "date"))).isoformat()
+    local, _, domain = value.partition("@")
+    x, bound = 0, 1
+    radix = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 1
+    for c in local:
+        x, bound = x * radix(c) + (int(c) if c.isdigit() else ord(c.lower()) - 97 if c.isalpha() else 0), bound * radix(c)
+    x, out = feistel(key, x, bound, f"mail{len(local)}"), ""
+    for c in reversed(local):
+        x, k = divmod(x, radix(c))
+        out = (str(k) if c.isdigit() else (chr(65 + k) if c.isupper() else chr(97 + k)) if c.isalpha() else c) + out
+    return f"{out}@{domain}"
+
+
+def test_documents_against_plain_pseudonyms(spark):
+    """Texts built from values of known kinds: each is replaced by its plain pseudonym, nothing else changes."""
+    rng, key, rows, want = random.Random(6), b"secret", [], []
+
+    def card():
+        d = str(rng.choice([4, 51])) + "".join(str(rng.randrange(10)) for _ in range(14))
+        d = d[:15]
+        return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+    make = {
+        "ipv4": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", "card": card,
+        "date": lambda: (datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73_000))).isoformat(), "email": lambda: f"{rng.choice(['Ann', 'bob.x', 'c_d'])}{rng.randrange(99)}@mail{rng.randrange(9)}.example.org",
+    }
+    for i in range(120):
+        text, new, spans = "", "", []
+        for _ in range(rng.randrange(7)):
+            filler = rng.choice(["words and ", "é漢 ", "version 1.2 ", "12 apples, ", "\n"])
+            kind = rng.choice(list(make))
+            value = make[kind]()
+            spans.append((kind, len(text + filler), len(value)))
+            text, new = text + filler + value + " ", new + filler + plain_pseudonym(kind, value, key) + " "
+        rows.append((i, text))
+        want.append((i, new, spans))
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text, [(x.kind, x.start, x.length) for x in r.spans]) for r in got] == want
+
+
+def test_dates_with_slashes_stay_apart():
+    p, day = pii.Permutation(b"k"), datetime.date(1950, 1, 1)
+    images = {}
+    while day.year < 1990:
+        for text in {f"{day.day:02d}/{day.month:02d}/{day.year}", f"{day.month:02d}/{day.day:02d}/{day.year}" if day.day > 12 else f"{day.day:02d}/{day.month:02d}/{day.year}"}:
+            assert images.setdefault(pii.pseudonyms(text, p)[0], text) == text
+        day += datetime.timedelta(3)
+
+
 def test_permutation_is_one():
     p = pii.Permutation(b"k")
     for n in (2, 10, 97, 1000):
@@ -659,6 +776,42 @@ def test_toxicity(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_scores_against_plain_sums():
+    """A model of chosen features, over characters of several bytes, against loops over every n-gram."""
+    rng = np.random.default_rng(2)
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def grams(text):
+        chars = [mixed(int.from_bytes((" " if c in " \t\n\v\f\r" else c).encode(), "little") + int(textops.FIRST) & mask) for c in text.lower()]
+        for n in toxicity.GRAMS:
+            for i in range(len(chars) - n + 1):
+                h = chars[i]
+                for x in chars[i + 1 : i + n]:
+                    h = (h * int(textops.TURN) + x) & mask
+                yield (h * int(textops.TURN_2) * int(toxicity.SPREAD) & mask) >> 64 - toxicity.BITS
+
+    texts = ["You fool", "", None, "漢字かな交じり文 é", "a\tb\nC D" * 30, "ab", "😀😀😀😀 x"]
+    weights = np.where(rng.random(1 << toxicity.BITS) < 0.5, rng.standard_normal(1 << toxicity.BITS), 0).astype(np.float32)
+    got = toxicity.Model(weights, 0.25, 0.1, -0.2)(pa.array(texts))
+    for t, x in zip(texts, got, strict=True):
+        z = 0.25 + sum(float(weights[b]) for b in set(grams(t or "")))
+        assert abs(x - 1 / (1 + np.exp(-(0.1 * z - 0.2)))) < 1e-9
+    batch = pa.RecordBatch.from_pydict({"text": texts, "label": [1.0, 0.0, 1.0, 0.0, 1.0, 1.0, 1.0]})
+    counts = {(r["bucket"]): (r["clean"], r["toxic"]) for b in toxicity._emit_counts([batch]) for r in b.to_pylist()}
+    want = collections.defaultdict(lambda: [0, 0])
+    for t, y in zip(texts, batch.column("label").to_pylist(), strict=True):
+        for b in set(grams(t or "")):
+            want[b][int(y)] += 1
+    assert counts == {b: tuple(x) for b, x in want.items()}
+
+
 def test_toxicity_without_labels(docs, spark):
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model is None and {(r.score, r.predicted) for r in toxicity.score(docs, model).collect()} == {(0.0, 0)}
@@ -692,6 +845,55 @@ def test_odd_rows(name, odd, empty):
         assert by[None] == {(None, 0)} and by[5] == {(5, 1)} and by[7] == {(7, 0)}
 
 
+def test_texts_longer_than_slices_and_blocks(spark):
+    """Texts of 2 to 5 million bytes: with and without spaces, twice, and with one word changed; against the plain versions."""
+    rng = random.Random(11)
+    word = [f"{rng.choice('abcdé漢')}{i % 9973}" for i in range(400_000)]
+    long = " ".join(word)
+    changed = list(word)
+    changed[200_000] = "changed"
+    rows = [(1, long), (2, long), (3, " ".join(changed)), (4, "x" * 3_000_000), (5, " ".join(word[:2000])), (6, "\n".join(["same line"] * 250_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(long.encode()) > 2 << 20
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    check_pieces(packing.pack(df).collect(), {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows if i != 4} | {4: [*tokenizer.encode(rows[3][1], add_special_tokens=False).ids, 1]}, 2048)
+    got = {r.doc_id: r for r in quality.judge(df, None).drop("text").collect()}
+    assert (got[1].n_words, got[4].n_words, got[6].n_dup_lines, got[6].n_repeat_words) == (400_000, 1, 249_999, 500_000)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_classes(df).collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
+    assert {r.doc_id: r.n_removed for r in substrings.cut_repeats(df).drop("text").collect()} == {1: 400_000, 2: 400_000, 3: 399_999, 4: 0, 5: 2000, 6: 500_000}
+    hidden = pii.pseudonymise(df.where("doc_id = 1").selectExpr("doc_id", "concat(text, ' 10.0.0.1') as text"), b"k").first()
+    assert hidden.n_pii >= 1 and hidden.spans[-1].start == len(long) + 1
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    assert toxicity.score(df, toxicity.Model(weights, 0.0, 1.0, 0.0)).where("score != 0.5").count() == 0
+    langs = langid.fit_languages(spark.createDataFrame([("en", "the same line and words"), ("zh", "漢字")], "lang string, text string"))
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df.where("doc_id in (4, 6)"), langs).collect()}[6] == "en"
+    assert urlrules.filter_urls(spark.createDataFrame([(1, "http://net/es/" + "x/" * 1_500_000)], "page_id long, url string")).first().rule == "net/es/"
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces.vocabulary_path())
+    assert {r.doc_id: r.ids for r in pieces.encode(df.where("doc_id in (3, 5)")).collect()} == {i: model.encode(t) for i, t in rows if i in (3, 5)}
+
+
+def test_fitted_models_on_odd_rows(spark, odd, empty, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good, toxic, langs = quality.fit_quality(docs, labels), toxicity.fit_toxicity(docs, labels), langid.fit_languages(docs)
+    for run in (lambda d: quality.judge(d, good), lambda d: toxicity.score(d, toxic), lambda d: langid.predict(d, langs)):
+        assert run(odd).count() == odd.count() and run(empty).collect() == []
+    named = odd.select("doc_id", "text", *[odd.token.alias(x) for x in ("Kept", "N_WORDS", "_own", "_text")])
+    assert quality.judge(named, good).select("kept").count() == odd.count()
+
+
+def test_samples_are_bounded_in_rows(spark):
+    from tidemark.llm import linear
+
+    docs = spark.createDataFrame([(1, "a copy")] * 500 + [(1, "another"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert sorted((r.doc_id, r.text, r.label) for r in linear.labelled(docs, labels, "quality", 9).collect()) == [(1, "a copy", 1.0), (2, None, 0.0), (3, "c", 1.0)]
+    assert linear.labelled(docs, labels, "quality", 2).count() == 2
+
+
 def test_samples_are_bounded(spark, docs):
     from tidemark.llm import linear
 

@@ -48,6 +48,18 @@ def test_stages_keep_the_columns(spark, sf):
     assert docs.where("n_chars != length(text)").count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Names that operators use themselves, in other cases too; the values stay with their rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clashing = ["_doc", "_tag", "_runs", "_own", "_text", "N_words", "n_removed", "Kept", "good", "n_pii", "spans", "_id", "key", "node", "path", "a.b"]
+    wide = docs.select("*", *[docs.doc_id.alias(c) for c in clashing])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns
+        rows = out.select("doc_id", *[f"`{c}`" for c in clashing]).collect()
+        assert rows and all(set(r) == {r[0]} for r in rows)
+
+
 def test_stages_on_no_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -21,6 +21,15 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is removed when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed and kept in the shared folder, without its lineage: lost executors don't lose it."""
     folder(df.sparkSession)

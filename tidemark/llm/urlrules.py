@@ -86,7 +86,7 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, filters=FILTERS, otherw
 
     A null URL, or one without ``://``, has an empty host and path and fits no host rule.
     Ties between rules of one length go to the one given first. Repeated rows are judged one
-    by one; columns of pages with the added names are replaced.
+    by one; columns of pages with the added names, in any case of letters, are replaced. URLs of any length work.
     """
     rules = [host_rule(*r) for r in host_rules] + [filter_rule(*r) for r in filters]
     pages = pages.drop("host", "path", "rule", "pattern", "verdict")
@@ -100,7 +100,15 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, filters=FILTERS, otherw
     row = parsed.withColumn("_row", F.monotonically_increasing_id())
     asked = row.withColumn("token", F.explode(F.array_union(F.array(F.lit("")), tokens)))
     fits = F.rlike("_at", F.col("pattern"))
-    hits = asked.join(indexed, "token", "left").withColumn("_fits", F.coalesce(fits, F.lit(False))).where(F.col("_fits") | (F.col("token") == ""))
+    if len(rules) <= MOST_BROADCAST:
+        met = asked.join(indexed, "token", "left")
+    else:  # every URL asks for the rules without a token, so these must be few; they never are one key of the shuffle
+        if sum(not r.tokens for r in rules) > MOST_BROADCAST:
+            raise ValueError(f"more than {MOST_BROADCAST} rules have no whole literal token")
+        free = indexed.where(F.col("token") == "")
+        own = asked.where(F.col("token") == "").join(F.broadcast(free), "token", "left")
+        met = own.unionByName(asked.where(F.col("token") != "").join(indexed.where(F.col("token") != ""), "token"))
+    hits = met.withColumn("_fits", F.coalesce(fits, F.lit(False))).where(F.col("_fits") | (F.col("token") == ""))
     found = F.when(F.col("_fits"), F.struct(F.col("priority"), (-F.col("number")).alias("order"), "rule", "rule_verdict"))
     best = hits.groupBy("_row").agg(F.first(F.struct("_own", "host", "path")).alias("_row_of"), F.max(found).alias("_best")).select("_row_of.*", "_best")
     is_host = F.col("_best.priority") >= 1_000_000
