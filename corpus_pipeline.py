@@ -27,9 +27,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage keeps is written to the shared folder and read again by the next."""
+    """The last stage's rows. What a stage keeps is written to the shared folder and read again by the next; that folder goes when the session's JVM ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared.folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared.scratch(spark, f"pipeline-{uuid.uuid4().hex}")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
