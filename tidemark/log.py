@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import sys
 
+#: The formats of log lines and their times.
 FORMAT, DATES = "%(asctime)s [%(levelname)s] %(name)s: %(message)s", "%Y-%m-%d %H:%M:%S"
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..model import Progress
 from ..sources.base import PROGRESS, Catalog
 
+#: The names of the ledger's columns.
 SCHEMA = (
     "seq long, table_name string, total_rows long, synced_rows long, primary_key string, last_pk_value decimal(38,0), "
     "status string, started_at timestamp, finished_at timestamp, updated_at timestamp, error string"

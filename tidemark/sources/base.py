@@ -13,7 +13,7 @@ from ..config import Endpoint, SyncOptions
 from ..functions import quoted, whole
 from ..model import Chunk
 
-#: The ledger's name in a target.
+#: Fixed value: the ledger's name in a target.
 PROGRESS = "sync_progress"
 #: Marks the rows of a wave in targets that Spark stores; readers don't see it.
 WAVE = "_wave_start"
