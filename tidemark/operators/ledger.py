@@ -23,6 +23,8 @@ SCHEMA = (
     "status string, started_at timestamp, finished_at timestamp, updated_at timestamp, error string"
 )
 RESET = "reset"
+#: Events that are read before the log is cut down to the latest ones.
+MOST_EVENTS = 1000
 
 
 def _now() -> datetime:
@@ -47,17 +49,24 @@ class Ledger:
                 self.target.create(PROGRESS, StructType.fromDDL(SCHEMA), None)
                 self._seq = 0
                 return
-            rows = self.fold().collect()  # a row for each table
+            found = self._folded().collect()  # a row for each table
+            utc = lambda x: x.astimezone(UTC) if isinstance(x, datetime) else x  # noqa: E731  Spark hands out local times
+            rows = [{k: utc(v) for k, v in r["e"].asDict().items()} for r in found]
             self._seq = max((r["seq"] for r in rows), default=0)
-            self._latest = {r["table_name"]: r.asDict() for r in rows}
+            self._latest = {r["table_name"]: r for r in rows}
+            if sum(r["events"] for r in found) > max(MOST_EVENTS, 2 * len(found)):
+                self.target.compact(PROGRESS, StructType.fromDDL(SCHEMA), rows)
 
     def events(self) -> DataFrame:
         return self.target.load(PROGRESS)
 
+    def _folded(self) -> DataFrame:
+        latest = F.max_by(F.struct(*[c for c in self.events().columns]), "seq")
+        return self.events().groupBy("table_name").agg(latest.alias("e"), F.count(F.lit(1)).alias("events"))
+
     def fold(self) -> DataFrame:
         """The latest event of each table, forgotten ones included."""
-        latest = F.max_by(F.struct(*[c for c in self.events().columns]), "seq")
-        return self.events().groupBy("table_name").agg(latest.alias("e")).select("e.*")
+        return self._folded().select("e.*")
 
     def progress(self) -> DataFrame:
         """A line for each table: the ledger as users see it."""

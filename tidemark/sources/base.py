@@ -115,11 +115,14 @@ class Catalog(abc.ABC):
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows to a table, which is created if absent. For the ledger."""
 
-
     def append_row(self, table: str, schema: StructType, values: dict) -> None:
         """Add one row to a table, which exists."""
         self.append(table, self.spark.createDataFrame([tuple(values[f.name] for f in schema)], schema).coalesce(1))
 
+    def compact(self, table: str, schema: StructType, rows: list[dict]) -> None:
+        """Make a few rows of an appended table, its latest ones, all that it holds. They are there
+        before the others go, so a run that dies midway leaves some twice. Stores without files need none of this."""
+
 
 class ForeignData(RuntimeError):
     """A target holds data that this engine didn't write."""

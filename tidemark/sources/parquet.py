@@ -120,10 +120,19 @@ class ParquetCatalog(Catalog):
 
     def append_row(self, table: str, schema: StructType, values: dict) -> None:
         """A file of one row, made without a Spark job."""
+        self._write_rows(table, schema, [values], 0)
+
+    def _write_rows(self, table: str, schema: StructType, rows: list[dict], wave: int) -> None:
         own = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
         sink = pa.BufferOutputStream()
-        pq.write_table(pa.Table.from_pylist([{f.name: values[f.name] for f in schema}], own), sink)
-        self.files.write(f"{self.place(table)}/{WAVE}=0/row-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
+        pq.write_table(pa.Table.from_pylist([{f.name: r[f.name] for f in schema} for r in rows], own), sink)
+        self.files.write(f"{self.place(table)}/{WAVE}={wave}/row-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
+
+    def compact(self, table: str, schema: StructType, rows: list[dict]) -> None:
+        old = self._waves(table)
+        self._write_rows(table, schema, rows, max((int(w.partition("=")[2]) for w in old), default=0) + 1)
+        for w in old:
+            self.files.remove(f"{self.place(table)}/{w}")
 
     def append(self, table: str, rows: DataFrame) -> None:
         if not self.exists(table):

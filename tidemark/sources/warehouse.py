@@ -100,3 +100,10 @@ class WarehouseCatalog(Catalog):
         if not self.exists(table):
             self.create(table, rows.schema, None)
         rows.withColumn(WAVE, F.lit(0).cast("long")).write.mode("append").insertInto(self.name(table))
+
+    def compact(self, table: str, schema: StructType, rows: list[dict]) -> None:
+        old = self._waves(table)
+        frame = self.spark.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema).coalesce(1)
+        self._put(table, frame, max(old, default=0) + 1)
+        for wave in old:
+            self.spark.sql(f"ALTER TABLE {self.name(table)} DROP PARTITION ({WAVE} = {wave})")
