@@ -1,6 +1,7 @@
 import collections
 import datetime
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -357,6 +358,39 @@ def test_a_block_sends_each_kind_once():
     assert (got[-1]["more"], got[-1]["_doc"], got[-1]["place"] >> 2, what(got[-1])) == (1 << 36, 11, 1, 2)
 
 
+def test_a_block_sends_few_kinds_of_a_crowded_key():
+    more = np.repeat(np.arange(100), 2)[:-1]  # each kind twice, the last once
+    got = substrings.merged(np.full(199, 5, np.uint64), more.astype(np.uint64), np.arange(199), np.full(199, 70), 16).to_pylist()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["place"] & 3].append(r)
+    assert [(r["key"], r["more"], r["_doc"]) for r in by[substrings.SEVERAL]] == [(5, 0, 0), (5, 1, 2)] and not by[substrings.ONCE]
+    assert {r["_doc"] for r in by[substrings.ASKING]} == set(range(4, 199, 2)) and {r["_doc"] for r in by[substrings.SETTLED]} == set(range(198)) - {0, 2}
+    assert all((r["more"], r["place"] >> 2) == (1 << 6, 1) for what in (substrings.ASKING, substrings.SETTLED) for r in by[what])
+    few = substrings.merged(np.full(199, 5, np.uint64), more.astype(np.uint64), np.arange(199), np.full(199, 70), 100)
+    assert len([r for r in few.to_pylist() if r["key"] == 5]) == 100
+
+
+@pytest.mark.parametrize("kinds,block", [(2, 40), (2, 1 << 18), (16, 200), (16, 1 << 18)])
+def test_a_phrase_amid_different_words(spark, kinds, block, monkeypatch):
+    """A phrase of 20 to 34 words in most documents; some of them share the words beside it too."""
+    monkeypatch.setattr(substrings, "KINDS", kinds)
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    own = itertools.count()
+    fresh = lambda n: [f"w{next(own)}" for _ in range(n)]
+    phrase, before, after, rows = [f"p{i}" for i in range(34)], fresh(30), fresh(30), []
+    for i in range(240):
+        left, right = i % 9, i % 13
+        near = before[30 - left :] if i % 5 == 0 else fresh(left)
+        far = after[:right] if i % 3 == 0 else fresh(right)
+        rows.append((i, " ".join(fresh(i % 7) + near + phrase[: 20 + i % 15] + far + fresh(12))))
+    rows += [(240 + i, rows[7 * i][1]) for i in range(20)] + [(260, rows[17][1] + " " + rows[18][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, words(r.text)) for r in substrings.cut_repeats(df).collect()}
+    want = {i: (n, gone, kept) for i, n, gone, kept in cut(rows)}
+    assert got == want and len({gone for _, gone, _ in want.values()}) > 10
+
+
 # 6: Jaccard join.
 
 

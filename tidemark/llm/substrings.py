@@ -16,7 +16,10 @@ where one anchor has several surroundings, as near the ends of a passage, one of
 extends to its windows, which are hashed to 128 bits and meet in a second shuffle.
 
 What a task sees twice is settled there, and one of it goes to the others. A passage that a
-third of all documents share thus sends one entry for each block of a task, at most.
+third of all documents share thus sends one entry for each block of a task, at most. Of an anchor
+with more than `KINDS` surroundings in a block, as in a phrase that many documents hold
+amid different words, two go to the others, so that these learn of several; the rest needn't
+meet anything to know that they extend to their windows.
 Texts are shuffled once, compressed, to meet what was found in them.
 """
 
@@ -43,10 +46,12 @@ COVER = (0, 1, 4, 14, 16)
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
 #: Hashes that a task merges at once.
 BLOCK = 1 << 18
+#: Surroundings of one anchor that a block sends on to where the anchor meets others.
+KINDS = 16
 #: Rows whose compressed texts are spread out at once; bytes of text in a batch.
 ROWS, BATCH_BYTES = 256, 1 << 20
-#: What an entry is: seen once, one that stands for several, or rows of 64 settled places (as bits, in `more`).
-ONCE, SEVERAL, SETTLED = 0, 1, 2
+#: What an entry is: seen once, one that stands for several, or rows of 64 places (as bits, in `more`) that are settled or extend in any case.
+ONCE, SEVERAL, SETTLED, ASKING = 0, 1, 2, 3
 ENTRY = "key long, more long, _doc long, place long"
 
 
@@ -61,40 +66,47 @@ def _marks(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[first], block[first], np.bitwise_or.reduceat(bit, first)
 
 
-def merged(key: np.ndarray, more: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def merged(key: np.ndarray, more: np.ndarray, doc: np.ndarray, at: np.ndarray, kinds: int | None = None) -> pa.RecordBatch:
     """What a block of entries sends on: each kind once; what it stands for is settled, and travels under a key of its own.
 
-    place is 4 times the place in the document (of settled ones: of the row of 64) and what the entry is.
+    Where a key has more than `kinds` kinds, those after its second ask, and travel so too.
+    place is 4 times the place in the document (of marks: of the row of 64) and what the entry is.
     """
     order = np.lexsort((at, doc, more, key))
     key, more, doc, at = key[order], more[order], doc[order], at[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    new_key = np.append(True, key[1:] != key[:-1])
+    new = new_key.copy()
+    new[1:] |= more[1:] != more[:-1]
     first = np.flatnonzero(new)
     several = np.diff(first, append=len(key)) > 1
-    docs, blocks, bits = _marks(doc[~new], at[~new])
-    spread = mix(docs.view(np.uint64) ^ mix(blocks.astype(np.uint64)))
-    columns = [
-        np.concatenate([key[first], spread]).view(np.int64), np.concatenate([more[first], bits]).view(np.int64),
-        np.concatenate([doc[first], docs]), np.concatenate([at[first] * 4 + np.where(several, SEVERAL, ONCE), blocks * 4 + SETTLED]),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "more", "_doc", "place"])
-
-
-def _in_blocks(found):
+    heads = np.flatnonzero(new_key[first])
+    of_key = np.diff(heads, append=len(first))
+    number = np.arange(len(first)) - np.repeat(heads, of_key)
+    apart = (number > 1) & (np.repeat(of_key, of_key) > kinds) if kinds else np.zeros(len(first), bool)
+    sent, settled, asking = first[~apart], ~new, np.zeros(len(key), bool)
+    settled[first[apart & several]] = asking[first[apart]] = True
+    columns = [(key[sent], more[sent], doc[sent], at[sent] * 4 + np.where(several[~apart], SEVERAL, ONCE))]
+    for marked, what in (settled, SETTLED), (asking, ASKING):
+        docs, blocks, bits = _marks(doc[marked], at[marked])
+        columns.append((mix(docs.view(np.uint64) ^ mix(blocks.astype(np.uint64))), bits, docs, blocks * 4 + what))
+    keys, mores, docs, places = map(np.concatenate, zip(*columns, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), mores.view(np.int64), docs, places)], ["key", "more", "_doc", "place"])
+
+
+def _in_blocks(found, block: int, kinds: int | None = None):
     """Arrays (key, more, doc, at), merged a block at a time."""
     held, size = [], 0
     for x in found:
         held.append(x)
         size += len(x[0])
-        if size >= BLOCK:
-            yield merged(*map(np.concatenate, zip(*held, strict=True)))
+        if size >= block:
+            yield merged(*map(np.concatenate, zip(*held, strict=True)), kinds)
             held, size = [], 0
     if size:
-        yield merged(*map(np.concatenate, zip(*held, strict=True)))
+        yield merged(*map(np.concatenate, zip(*held, strict=True)), kinds)
 
 
-def _anchors(batches):
+def _anchors(batches, block: int, kinds: int):
     def found():
         for batch in batches:
             docs = batch.column("_doc").to_numpy()
@@ -109,13 +121,13 @@ def _anchors(batches):
                     own, around = windows(padded, ANCHOR, AROUND)
                     yield own[where[at]] >> ANCHOR_SHIFT, around[where[at] - REACH], docs[part.lo + doc[at]], place[at]
 
-    return _in_blocks(found())
+    return _in_blocks(found(), block, kinds)
 
 
 def _met(entries: DataFrame) -> DataFrame:
     """The entries with `twice` (does it occur anywhere else?), and `asks`: is it the one of its kind to extend?
 
-    Of entries with one key and several values of `more`, the first with each value asks.
+    Of entries with one key and several values of `more`, the first with each value asks; ASKING marks do in any case.
     """
     rows = entries.repartition("key").sortWithinPartitions("key", "more", "_doc", "place")
     within = W.partitionBy("key").orderBy("more", "_doc", "place")
@@ -123,9 +135,11 @@ def _met(entries: DataFrame) -> DataFrame:
     before, after = F.lag("more").over(within).eqNullSafe(F.col("more")), F.lead("more").over(within).eqNullSafe(F.col("more"))
     several = F.first("more").over(whole) != F.last("more").over(whole)
     seen = rows.select("_doc", "more", F.expr("shiftright(place, 2)").alias("at"), F.expr("place & 3").alias("what"), before.alias("before"), after.alias("after"), several.alias("several"))
-    settled, asks = F.col("what") == SETTLED, (F.col("what") != SETTLED) & F.col("several") & ~F.col("before")
-    block, bits = F.when(settled, F.col("at")).otherwise(F.expr("shiftright(at, 6)")), F.when(settled, F.col("more")).otherwise(F.expr("shiftleft(1L, cast(at & 63 as int))"))
-    return seen.select("_doc", block.cast("int").alias("block"), bits.alias("bits"), ((F.col("what") != ONCE) | F.col("before") | F.col("after")).alias("twice"), asks.alias("asks"))
+    marks = F.col("what") >= SETTLED
+    asks = F.when(marks, F.col("what") == ASKING).otherwise(F.col("several") & ~F.col("before"))
+    twice = F.when(marks, F.col("what") == SETTLED).otherwise((F.col("what") == SEVERAL) | F.col("before") | F.col("after"))
+    block, bits = F.when(marks, F.col("at")).otherwise(F.expr("shiftright(at, 6)")), F.when(marks, F.col("more")).otherwise(F.expr("shiftleft(1L, cast(at & 63 as int))"))
+    return seen.select("_doc", block.cast("int").alias("block"), bits.alias("bits"), twice.alias("twice"), asks.alias("asks"))
 
 
 def _by_document(marks: DataFrame, *kinds: str) -> DataFrame:
@@ -178,7 +192,7 @@ def _starts(part: Slice, anchors: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _windows(batches):
+def _windows(batches, block: int):
     def found():
         for batch in _few(batches):
             docs = batch.column("_doc").to_numpy()
@@ -188,7 +202,7 @@ def _windows(batches):
                     (first,), (second,), doc = windows(part.words, SIZE), windows(part.words_2, SIZE), part.doc_of_word()[at]
                     yield first[at], second[at], docs[part.lo + doc], at - part.word_offsets[doc]
 
-    return _in_blocks(found())
+    return _in_blocks(found(), block)
 
 
 def _cut(batches):
@@ -227,15 +241,16 @@ def _identity(docs: DataFrame) -> Column:
 
 def _rows(docs: DataFrame) -> DataFrame:
     """A row for each of docs: its other columns in `_own`, the text without repeats, n_words, n_removed."""
+    block, kinds = BLOCK, KINDS  # tasks get these values; they don't look them up themselves
     of = _identity(docs)
     docs = docs.select(of.alias("_doc"), *carried(docs, "text"))
     small = StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType, f.name != "_doc") for f in docs.schema])  # _doc can't be null: both joins below then want the very same rows, so Spark shuffles the texts once
     texts = docs.mapInArrow(_squeezed, small).repartition("_doc")
-    anchors = _met(docs.select("_doc", "text").mapInArrow(_anchors, ENTRY)).where(F.col("twice") | F.col("asks"))
+    anchors = _met(docs.select("_doc", "text").mapInArrow(lambda batches: _anchors(batches, block, kinds), ENTRY)).where(F.col("twice") | F.col("asks"))
     bits = lambda kind: F.when(F.col(kind), F.col("bits")).otherwise(F.lit(0)).cast("long").alias(kind)
     near = _by_document(anchors.select("_doc", "block", bits("twice"), bits("asks")), "twice", "asks")
     asking = texts.join(near.where(F.exists("_twice", lambda x: x["asks"] != 0)), "_doc")
-    starts = _met(asking.mapInArrow(_windows, ENTRY)).where("twice")
+    starts = _met(asking.mapInArrow(lambda batches: _windows(batches, block), ENTRY)).where("twice")
     found = texts.join(near, "_doc", "left").join(_by_document(starts.select("_doc", "block", F.col("bits").alias("start")), "start"), "_doc", "left")
     return found.mapInArrow(_cut, widened(StructType([docs.schema["_own"]]), "text string, n_words long, n_removed long"))
 
