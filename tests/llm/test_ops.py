@@ -168,6 +168,12 @@ def test_neighbours_odd_vectors(spark):
         assert [i for i, _ in by[q]] == [i for i in range(100, 130) if i != q][:5] and all(s == 1.0 for _, s in by[q])
     for q in range(2, 20, 2):
         assert len({i for i, _ in by[q]}) == 5 and q not in {i for i, _ in by[q]}
+    assert not {i for found in by.values() for i, _ in found} & {i for i, _ in odd}
+    other = [(300 + i, [1.0, float(i)]) for i in range(4)] + [(300, [5.0, 1.0]), (300, [5.0, 1.0])]  # one more dimension, and an id with two vectors
+    both = neighbours.nearest(spark.createDataFrame(good + other, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, k=9).collect()
+    assert {r.query_id for r in both if r.query_id < 300} == set(range(2, 20, 2)) and all((r.query_id < 300) == (r.vec_id < 300) for r in both)
+    found = {q: [r.vec_id for r in sorted(both, key=lambda r: r.rank) if r.query_id == q] for q in (300, 302)}
+    assert found == {300: [301, 302, 303], 302: [303, 301, 300, 300]}
     few = spark.createDataFrame(good[:3], "vec_id long, embedding array<float>")
     assert neighbours.nearest(few, F.lit(True)).count() == 6
     assert neighbours.nearest(few.limit(0), F.lit(True)).count() == 0

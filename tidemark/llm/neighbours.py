@@ -14,6 +14,7 @@ block of queries and a block of vectors; each sends its few best on.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -126,18 +127,26 @@ def search_block(queries: pa.Table, block: pa.Table, pivots: int, k: int) -> pa.
 def nearest(vectors: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, order: int = ORDER) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query by cosine.
 
-    is_query is a condition on vec_id. Pivots are the vectors with the smallest hash of their
-    id, `pivots` at most; that bounded sample is all that the driver holds. Rows without an
-    id, and vectors that are null, zero, not finite or not of the commonest dimension take no
-    part. Repeated rows of one id count once; ties go to the smaller vec_id.
+    is_query is a condition on vec_id. Rows without an id, and vectors that are null, empty, zero or not
+    finite take no part. Cosines are between vectors of one dimension, so each dimension is searched by
+    itself, with jobs of its own, and where nothing else has a query's dimension it finds nothing.
+    Repeated rows count once. An id with several vectors asks with the least of them, never finds
+    itself, and is found with each; ties go to the smaller vec_id. An empty table gives no rows.
     """
     rows = usable(vectors, id, vector)
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == common["d"])
-    chosen = unit(np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]))
-    length = min(order, len(chosen))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked")).orderBy("d").collect()
+    of = [_of_dimension(rows.where(F.size("v") == r["d"]), is_query, k, pivots, order, r["n"], r["asked"]) for r in sizes if r["asked"]]
+    return functools.reduce(DataFrame.union, of) if of else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_dimension(rows: DataFrame, is_query, k: int, pivots: int, order: int, n_rows: int, n_queries: int) -> DataFrame:
+    """The search among vectors of one dimension.
+
+    Pivots are the vectors with the smallest hash of their id, `pivots` at most; that bounded sample
+    is all that the driver holds. Copies of a row meet before blocks are dealt, so no id makes a block large.
+    """
+    chosen = unit(np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()]))
+    length, n_pivots = min(order, len(chosen)), len(chosen)
 
     def permute(batches):
         for batch in batches:
@@ -145,14 +154,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), length).cast(pa.list_(pa.int16()))], ["vec_id", "v", "p"])
 
     schema = "vec_id long, v array<double>, p array<short>"
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
-    n_queries = queries.count()
-    blocks, query_blocks = max(1, math.ceil(common["n"] / BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
-    deal = lambda n, name: F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name)
+    blocks, query_blocks = max(1, math.ceil(n_rows / BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
+    deal = lambda n, name, *of: F.pmod(F.xxhash64(*of), F.lit(n)).alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias(name)
-    asked = queries.mapInArrow(permute, schema).select("*", deal(query_blocks, "a")).select("*", every(blocks, "b"))
-    held = rows.mapInArrow(permute, schema).select("*", deal(blocks, "b")).select("*", every(query_blocks, "a"))
-    n_pivots = len(chosen)
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(permute, schema).select("*", deal(query_blocks, "a", "vec_id")).select("*", every(blocks, "b"))
+    held = rows.distinct().mapInArrow(permute, schema).select("*", deal(blocks, "b", "vec_id", "v")).select("*", every(query_blocks, "a"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return search_block(left, right, n_pivots, k)
