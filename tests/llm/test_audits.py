@@ -1,0 +1,292 @@
+"""Operators 11 to 13 against plain versions."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import words
+from pyspark.sql import functions as F
+
+from tidemark.llm import audit, codes, kernel
+from tidemark.llm.textops import slices
+
+# 12: vector codes.
+
+
+def plain_codes(rows, rounds=6):
+    """(code, error, label_error, digest) by row, of (id, vector, label) rows; every distance is worked out."""
+    kept = [(i, [math.floor(4096 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for d in {len(v) for _, v, _ in kept}:
+        own = [r for r in kept if len(r[1]) == d]
+        bounds = codes.cuts(d)
+        cut = lambda v: [v[a:b] for a, b in itertools.pairwise(bounds)]  # noqa: E731, B023
+        first = {}
+        for i, v, _ in sorted(own, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+            first.setdefault(i, v)
+        books = [list(x) for x in zip(*[cut(v) for v in list(first.values())[:16]], strict=True)]
+        away = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+        nearest = lambda p, part: min((away(part, e), k) for k, e in enumerate(books[p]))  # noqa: E731, B023
+        for _ in range(rounds):
+            groups = collections.defaultdict(list)
+            for _, v, _ in own:
+                for p, part in enumerate(cut(v)):
+                    groups[p, nearest(p, part)[1]].append(part)
+            for (p, k), parts in groups.items():
+                books[p][k] = [sum(x) // len(parts) for x in zip(*parts, strict=True)]
+        digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+        for i, v, label in own:
+            found = [nearest(p, part) for p, part in enumerate(cut(v))]
+            out.append((i, "".join(f"{k:02x}" for _, k in found), sum(e for e, _ in found), label, digest))
+    sums = collections.Counter()
+    for _, _, error, label, _ in out:
+        sums[label] += error
+    return sorted(((i, c, min(e, codes.MOST), min(sums[label], codes.MOST), g) for i, c, e, label, g in out), key=repr)
+
+
+def check_codes(spark, rows, partitions=3, **more):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(partitions)
+    got = sorted((tuple(r) for r in codes.compress(df, **more).collect()), key=repr)
+    assert got == plain_codes(rows)
+    return got
+
+
+def test_codes_against_all_distances(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=16).tolist(), int(i % 5) if i % 7 else None) for i in range(300)]
+    assert len(check_codes(spark, rows)) == 300
+
+
+def test_codes_with_ties_copies_and_odd_vectors(spark):
+    rng = random.Random(2)
+    grid = lambda d: [rng.choice((-1.0, -0.5, 0.0, 0.5, 1.0)) for _ in range(d)]
+    rows = [(i, grid(8), rng.choice((None, 0, 1))) for i in range(120)]  # parts of one component: mostly ties
+    rows += [(i, [0.25] * 8, 1) for i in range(200, 300)]  # a large group of copies
+    rows += [(3, grid(8), 0), (3, grid(8), 0), (None, grid(8), 2), (None, grid(8), 2)]
+    rows += [(400 + i, grid(11), 4) for i in range(30)] + [(500, grid(3), None), (501, [], 5), (502, [], 5)]
+    rows += [(600, None, 1), (601, [1.0, None] + [0.0] * 6, 1), (602, [math.nan] + [0.0] * 7, 1), (603, [math.inf] + [0.0] * 7, 1)]
+    got = check_codes(spark, rows, partitions=5)
+    assert not {600, 601, 602, 603} & {r[0] for r in got} and {501, 502, None} <= {r[0] for r in got}
+
+
+def test_codes_of_large_components_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=16) * 10.0 ** rng.integers(0, 9)).tolist(), int(i % 2)) for i in range(80)]
+    got = check_codes(spark, rows)
+    assert any(r[2] > 1 << 53 for r in got)
+
+
+def test_codes_of_few_and_no_rows(spark):
+    check_codes(spark, [(9, [0.1] * 16, None)])
+    check_codes(spark, [(9, [0.1] * 16, None), (8, [0.2] * 16, 1)])
+    assert codes.compress(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_codes_do_not_depend_on_layout_or_other_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in ("code", "error", "v", "d", "_label", "n"):
+        df = df.withColumn(c, F.lit("x"))
+    got = [sorted(map(tuple, codes.compress(df.repartition(n)).collect())) for n in (1, 7)]
+    assert got[0] == got[1] == sorted(plain_codes(rows))
+
+
+@pytest.mark.parametrize("spread", [1, 3, 1000])
+def test_trees_find_the_lowest_of_the_nearest(spread):
+    rng = np.random.default_rng(spread)
+    for n in (1, 2, 3, 5, 16):
+        entries, x = rng.integers(-spread, spread + 1, (n, 3)), rng.integers(-2 * spread, 2 * spread + 1, (500, 3))
+        code, best = codes.Tree(entries).nearest(x)
+        away = ((x[:, None] - entries[None]) ** 2).sum(2)
+        assert (code == away.argmin(1)).all() and (best == away.min(1)).all()
+
+
+def test_trees_leave_sides_out():
+    rng = np.random.default_rng(5)
+    entries = np.concatenate([rng.integers(0, 50, (8, 4)), rng.integers(5000, 5050, (8, 4))])
+    tree, seen = codes.Tree(entries), []
+    visit = tree._visit
+    tree._visit = lambda node, rows, *more: (seen.append(len(rows)), visit(node, rows, *more))[1]
+    tree.nearest(rng.integers(0, 50, (100, 4)))
+    assert sum(seen) < 12 * 100  # of 16 entries
+
+
+def test_common_labels_are_broadcast_and_rare_ones_joined(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id").cast("int")).alias("label"), (F.col("id") % 11).alias("error"))
+    got = {r.id: r.label_error for r in codes.with_label_errors(rows).collect()}
+    sums = collections.Counter()
+    of = lambda i: (7, None, i)[i % 3]
+    for i in range(3000):
+        sums[of(i)] += i % 11
+    assert got == {i: sums[of(i)] for i in range(3000)}
+
+
+# 13: filter audit.
+
+
+def plain_audit(rows, labels):
+    good, toxic = ({i for i, *x in labels if i is not None and x[k] == 1} for k in (0, 1))
+    least = {}
+    for i, text, _ in rows:
+        if i is not None:
+            least[text or ""] = min(i, least.get(text or "", i))
+    out = collections.defaultdict(lambda: [0] * 7)
+    docs = []
+    for i, text, lang in rows:
+        text = text or ""
+        found = words(text)
+        failed = [len(found) < 200, 100 * len(set(found)) < 50 * len(found), 100 * sum("A" <= c <= "Z" for c in text) > 3 * len(text), any(c in "#$%&*|" for c in text), i is not None and i > least[text]]
+        docs.append((lang or "", "".join(f for f, x in zip("ABCDE", failed, strict=True) if x), i in good, i in toxic))
+    for part in {d[0] for d in docs}:
+        for order in itertools.permutations("ABCDE"):
+            for k, f in enumerate(order):
+                now = out[part, "".join(order), k + 1]
+                for p, failed, g, t in docs:
+                    if p != part:
+                        continue
+                    before, here = any(x in failed for x in order[:k]), f in failed
+                    now[0] += not before and not here
+                    now[1] += here and not before
+                    now[2] += here and before
+                    now[3] += failed == f
+                    now[4] += here and not before and g
+                    now[5] += here and not before and t
+    for (part, order, k), now in out.items():
+        now[6] = sum(x[1] for (p, o, j), x in out.items() if p == part and o[j - 1] == order[k - 1])
+    return {key: tuple(now) for key, now in out.items()}
+
+
+def audited(df, labels):
+    return {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) for r in audit.audit(df, labels).collect()}
+
+
+def test_audit_against_every_order(spark):
+    rng = random.Random(3)
+    plain = " ".join(f"w{i}" for i in range(250))
+    texts = [plain, plain + " A", plain + " #", " ".join(["the same"] * 150), "SHOUT " * 210, "short", "", None, " \n\t ", "# $", "é" * 10 + "ABC", plain.upper(), "w " * 5000 + "|"]
+    rows = [(i if rng.random() < 0.9 else None, rng.choice(texts), rng.choice(("en", "de", None, ""))) for i in range(60)]
+    rows += [(70, "short", "en"), (70, "short", "de"), (70, plain, "en"), (-5, "short", "fr")] + [(100 + i, "copied", "en") for i in range(50)]
+    labels = [(i, rng.choice((0, 1, None)), rng.choice((0, 1, None))) for i in range(0, 140, 2)] + [(4, 1, 1), (4, 0, 0), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("part", "key", "mask", "n", "good", "step", "words", "apart", "doc_id_"):
+        df = df.withColumn(c, F.lit("x"))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = plain_audit(rows, labels)
+    for n in (1, 5):
+        assert audited(df.repartition(n), known.repartition(n)) == want
+    assert len(want) == 600 * 4
+
+
+def test_audit_of_nothing(spark):
+    docs, labels = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert audit.audit(docs, labels).count() == 0
+    assert audited(spark.createDataFrame([(1, "x", "en")], docs.schema), labels)["en", "BCDEA", 5] == (0, 1, 0, 1, 0, 0, 120)
+
+
+def test_parity_sums_are_inverted_exactly(spark):
+    rng = random.Random(4)
+    cells = {m: rng.choice((0, 1, 5, 10**15)) for m in range(32)}
+    rows = spark.createDataFrame([("p", True, False, m, n) for m, n in cells.items() if n], "part string, good boolean, toxic boolean, mask int, n long")
+    (got,) = audit.parity_sums(rows).select(audit.inverted(F.col("sums")).alias("c")).collect()
+    assert got.c == [cells[m] for m in range(32)]
+
+
+# 11: quality classifier.
+
+
+def test_statistics_do_not_depend_on_neighbours(corpus):
+    texts = ["x", *[t or "" for _, t in corpus], "ABC 123 !? one two one two\none two\n\n é漢"]
+    alone = [kernel.statistics(next(slices(pa.array([t]))))[0].tolist() for t in texts]
+    together = np.concatenate([kernel.statistics(p) for p in slices(pa.array(texts), 3000)]).tolist()
+    assert alone == together and len(alone[0]) == kernel.N
+
+
+def test_statistics_of_a_text():
+    (got,) = kernel.statistics(next(slices(pa.array(["Ab, c1 #\nab  longerthantwelve"]))))
+    n, one = 29, kernel.ONE
+    assert got[0] == (2 + 0.5) * one  # between 4 and 8, at 6
+    assert got[4:11].tolist() == [one // n, one // n, one // n, one // n, 0, 5 * one // n, 0]
+    assert got[11:18].tolist() == [one // 5, one // 5, one // 5, one // 5, one // 5, 4 * one // 5, one // 5]
+    assert got[18] == one and got[20] == 0
+
+
+def test_isotonic_against_all_splits():
+    rng = random.Random(6)
+    for _ in range(50):
+        n = [rng.randint(1, 5) for _ in range(8)]
+        ones = [rng.randint(0, k) for k in n]
+        got = [0.0] * 8
+        for first, last, m, k in kernel.isotonic(np.array(n), np.array(ones)):
+            got[first : last + 1] = [k / m] * (last - first + 1)
+        share = lambda a, b: sum(ones[a:b]) / sum(n[a:b])  # noqa: E731, B023
+        want = [max(min(share(a, b) for b in range(i + 1, 9)) for a in range(i + 1)) for i in range(8)]
+        assert got == pytest.approx(want)
+
+
+def test_features_approximate_a_gaussian_kernel():
+    rng = np.random.default_rng(7)
+    f = kernel.Features.of(np.zeros(kernel.N, np.int64), np.full(kernel.N, 1000), features=4096)
+    x = (rng.normal(size=(40, kernel.N)) * 700).astype(np.int64)
+    got = f(x)[:, :-1] / kernel.AMPLITUDE
+    away = (((x[:, None] - x[None]) / 1000) ** 2).sum(2)
+    assert np.abs(2 * got @ got.T / 4096 - np.exp(-away / (2 * kernel.WIDTH**2))).max() < 0.1
+
+
+def test_normal_equations_are_those_of_all_rows(spark):
+    """Sums by task are those of one matrix, whole and in any layout."""
+    rng = np.random.default_rng(8)
+    stats = rng.integers(0, kernel.ONE, (500, kernel.N))
+    rows = spark.createDataFrame([(s.tolist(), i % 2) for i, s in enumerate(stats)], "_stats array<long>, _label int")
+    features = kernel.Features.of(np.full(kernel.N, 30000), np.full(kernel.N, 9000))
+    f = features(stats)
+    want = np.concatenate([(f.T @ f)[np.triu_indices(f.shape[1])], f.T @ (np.arange(500) % 2)]).astype(np.int64).tolist()
+    shared = spark.sparkContext.broadcast(features)
+    for n in (1, 6):
+        got = rows.repartition(n).mapInArrow(kernel._normal_sums(shared), "slot int, v long").groupBy("slot").agg(F.sum("v").alias("v")).orderBy("slot").collect()
+        assert [r.v for r in got] == want
+
+
+def test_quality_classifier(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = kernel.op11_quality_classifier(spark, sf).join(labels, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    # In any layout, with labels of held-out rows turned round, each score is the same.
+    turned = labels.withColumn("quality", F.when(kernel.fold() == kernel.HELD_OUT, 1 - F.col("quality")).otherwise(F.col("quality")))
+    scores = []
+    for n, known in ((1, labels), (7, turned)):
+        stats = kernel.with_statistics(docs.select("doc_id", "text").repartition(n))
+        scores.append({r.doc_id: r.score for r in kernel.score(stats, kernel.fit_quality(stats, known, kernel.fold() != kernel.HELD_OUT)).collect()})
+    assert scores[0] == scores[1] and all(scores[0][r.doc_id] == r.score for r in got)
+
+
+def test_classifier_on_odd_rows(spark, odd, empty, sf):
+    stats = kernel.with_statistics(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    model = kernel.fit_quality(stats, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = kernel.score_documents(odd, model)
+    assert got.columns == [c for c in odd.columns if c not in ("text", "score")] + ["score", "predicted"]
+    rows = got.collect()
+    assert len(rows) == odd.count() and len({r.score for r in rows if r.doc_id == 5}) == 1
+    assert len({r.score for r in rows if r.doc_id in (7, 8)}) == 1  # null and empty
+    assert kernel.score_documents(empty, model).count() == 0
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in kernel.score_documents(odd, kernel.fit_quality(kernel.with_statistics(odd), none)).collect()} == {0.5}
+    one = spark.createDataFrame([(5, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    assert {r.score for r in kernel.score_documents(odd, kernel.fit_quality(kernel.with_statistics(odd), one)).collect()} == {0.0}
+    few = spark.createDataFrame([(5, 0), (6, 1)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in kernel.score_documents(odd, kernel.fit_quality(kernel.with_statistics(odd), few)).collect())
+    long = spark.createDataFrame([(1, "word " * 500_000), (2, "x" * 3_000_000)], "doc_id long, text string")
+    assert kernel.score_documents(long, model).count() == 2
+
+
+def test_codes_of_errors_beyond_64_bits(spark):
+    rng = np.random.default_rng(3)
+    got = check_codes(spark, [(i, (rng.normal(size=16) * 1e13).tolist(), int(i % 2)) for i in range(20)], partitions=2)
+    assert any(r[2] == codes.MOST for r in got)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, neighbours, packing, pieces, pii, quality, substrings, toxicity, urlrules
+from . import audit, codes, jaccard, kernel, langid, neighbours, packing, pieces, pii, quality, substrings, toxicity, urlrules
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_language_id": langid.op9_language_id,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_quality_classifier": kernel.op11_quality_classifier,
+        "op12_vector_codes": codes.op12_vector_codes,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urlrules.OP2_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op6_jaccard_join": jaccard.OP6_SQL}
+    return {"op2_url_filters": urlrules.OP2_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op6_jaccard_join": jaccard.OP6_SQL, "op12_vector_codes": codes.OP12_SQL, "op13_filter_audit": audit.OP13_SQL}
