@@ -40,7 +40,7 @@ def test_metadata(shop):
     assert (shop.key("goods"), shop.key("lines"), shop.key("notes")) == ("id", "order", None)
     assert shop.key_columns("lines") == ["order", "line"]
     assert shop.columns("lines") == ["order", "line", "n"]
-    assert "`name` " in shop.ddl("goods") and "key id" in shop.ddl("goods")
+    assert '"name" VARCHAR(40)' in shop.ddl("goods") and 'PRIMARY KEY ("id")' in shop.ddl("goods")
 
 
 def test_range_scan_is_a_query_for_each_chunk(shop):
@@ -88,6 +88,8 @@ def test_mysql_url():
     s = {"host": "h", "port": 3307, "user": "u", "password": "p", "database": "d b", "charset": "utf8mb4"}
     c = JdbcCatalog.of(None, s, {})
     assert c.url.startswith("jdbc:mysql://h:3307/d%20b?characterEncoding=UTF-8") and c.quoted("a`b") == "`a``b`" and c.properties == {"user": "u", "password": "p"}
+    for setting in ("zeroDateTimeBehavior=EXCEPTION", "useCursorFetch=true", "rewriteBatchedStatements=true"):
+        assert setting in c.url
 
 
 def test_warehouse(spark, shop, tmp_path):
@@ -146,17 +148,17 @@ def test_a_replacement_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
     target = ParquetCatalog(spark, str(tmp_path))
     target.create("t", schema, None)
     target.replace("t", spark.range(5).toDF("a"), 10)
-    move = target.files.move
+    move = target.hdfs.move
 
     def broken(old, new):
         if "/_stage_" in old and new == target.place("t"):
             raise OSError("no")
         move(old, new)
 
-    monkeypatch.setattr(target.files, "move", broken)
+    monkeypatch.setattr(target.hdfs, "move", broken)
     with pytest.raises(OSError):
         target.replace("t", spark.range(7).toDF("a"), 10)
-    assert target.load("t").count() == 5 and [n for n in target.files.names(str(tmp_path)) if n.startswith("_stage_t_")] and target.tables() == ["t"]
+    assert target.load("t").count() == 5 and [n for n in target.hdfs.names(str(tmp_path)) if n.startswith("_stage_t_")] and target.tables() == ["t"]
 
 
 def test_a_failed_load_leaves_the_database_table(spark, shop):

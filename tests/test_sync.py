@@ -298,7 +298,7 @@ def test_ledger_is_cut_down(spark, folder, kind, monkeypatch):
     before = sorted(Ledger(target).progress().collect())
     if kind == "parquet":  # dies before the old events are gone: they are there twice, which changes nothing
         dying = ParquetCatalog(spark, folder.target_path)
-        monkeypatch.setattr(dying.files, "remove", lambda path: (_ for _ in ()).throw(OSError(path)))
+        monkeypatch.setattr(dying.hdfs, "remove", lambda path: (_ for _ in ()).throw(OSError(path)))
         with pytest.raises(OSError):
             Ledger(dying).ensure()
         assert sorted(Ledger(target).progress().collect()) == before

@@ -38,12 +38,13 @@ class SyncOptions:
 
     parallel_tables: tables at a time. chunk_size: key values in a chunk. batch_insert_size:
     rows in a JDBC batch. waves: commits to the ledger a table is split into, each of whole
-    chunks and one Spark job; more waves lose less work to an interruption, but a source
-    without an index on the key is scanned once for each wave. Unset: 4 for sources with an
-    index, else 1. sort_rows: order each written
+    chunks or whole files and one Spark job; more waves lose less work to an interruption. Between stores of
+    files each file is read once, however many there are. Unset: 16 at most for tables in files; for databases 4, or one for
+    256 ranges of the key; 1 for files that go to a database, as each wave would scan them. sort_rows: order each written
     file by the key, so that later range scans can skip parts of it; a sort within tasks, no
-    shuffle. tables: which, none for all.
-    keys: primary keys by table, for sources that don't know them.
+    shuffle, and none for a database, which gives its rows in that order. tables: which, none for all.
+    keys: primary keys by table, for sources that don't know them. unique: tables whose key must not repeat,
+    which a target of files can't see to; a table where it does fails.
     """
 
     parallel_tables: int = 4
@@ -53,6 +54,7 @@ class SyncOptions:
     sort_rows: bool = False
     tables: tuple[str, ...] = ()
     keys: dict[str, str | None] = field(default_factory=dict)
+    unique: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         for name in ("parallel_tables", "chunk_size", "batch_insert_size", "waves"):
@@ -79,7 +81,7 @@ class Config:
         known = set(SyncOptions.__dataclass_fields__)
         if unknown := sorted(set(sync) - known):
             raise ConfigError(f"sync: unknown {', '.join(unknown)}")
-        sync["tables"] = tuple(sync.get("tables") or ())
+        sync["tables"], sync["unique"] = tuple(sync.get("tables") or ()), tuple(sync.get("unique") or ())
         sync["keys"] = dict(sync.get("keys") or {})
         return cls(Endpoint.of("source", raw["source"]), Endpoint.of("target", raw["target"]), SyncOptions(**sync))
 

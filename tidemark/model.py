@@ -33,6 +33,33 @@ class Chunk:
     end: int
 
 
+@dataclass(frozen=True)
+class Wave(Chunk):
+    """A chunk, or run of chunks, that one Spark job copies; parts: the intervals that its tasks read, if the source has chosen them."""
+
+    parts: tuple[Chunk, ...] = ()
+
+
+@dataclass(frozen=True)
+class SourceFile:
+    """A file of a table that Spark reads, by the path that it gives it."""
+
+    path: str
+    bytes: int
+    rows: int
+
+
+@dataclass(frozen=True)
+class Files:
+    """How much of a table's files, in the order of their paths, is in the target: up to last, with the greatest key."""
+
+    files: int = 0
+    bytes: int = 0
+    rows: int = 0
+    last: str | None = None
+    high: int | None = None
+
+
 @dataclass(frozen=True)
 class Progress:
     """A table's line in the ledger. last_pk_value None: nothing is committed."""

@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..model import Progress
-from ..sources.base import PROGRESS, Catalog
+from ..model import Files, Progress
+from ..sources.base import PROGRESS, SPLITS, Catalog
 
 #: The names of the ledger's columns.
 SCHEMA = (
     "seq long, table_name string, total_rows long, synced_rows long, primary_key string, last_pk_value decimal(38,0), "
     "status string, started_at timestamp, finished_at timestamp, updated_at timestamp, error string"
 )
+SPLITS_SCHEMA = "seq long, table_name string, files long, bytes long, rows long, last_file string, high decimal(38,0)"
 RESET = "reset"
 #: Events that are read before the log is cut down to the latest ones.
 MOST_EVENTS = 1000
@@ -31,11 +32,14 @@ def _now() -> datetime:
     return datetime.now(UTC)
 
 
-class Ledger:
-    """One for a target. Each table's events come from one thread; numbers rise over all of them and over runs."""
+class EventLog:
+    """One for a target and a name. Each table's events come from one thread; numbers rise over all of them and over runs."""
 
-    def __init__(self, target: Catalog, clock: Callable[[], datetime] = _now):
-        self.target, self.clock = target, clock
+    name: str
+    schema: str
+
+    def __init__(self, target: Catalog):
+        self.target = target
         self._lock = threading.Lock()
         self._seq: int | None = None
         self._latest: dict[str, dict] = {}
@@ -45,8 +49,8 @@ class Ledger:
         with self._lock:
             if self._seq is not None:
                 return
-            if not self.target.exists(PROGRESS):
-                self.target.create(PROGRESS, StructType.fromDDL(SCHEMA), None)
+            if not self.target.exists(self.name):
+                self.target.create(self.name, self.kinds, None)
                 self._seq = 0
                 return
             found = self._folded().collect()  # a row for each table
@@ -55,10 +59,14 @@ class Ledger:
             self._seq = max((r["seq"] for r in rows), default=0)
             self._latest = {r["table_name"]: r for r in rows}
             if sum(r["events"] for r in found) > max(MOST_EVENTS, 2 * len(found)):
-                self.target.compact(PROGRESS, StructType.fromDDL(SCHEMA), rows)
+                self.target.compact(self.name, self.kinds, rows)
+
+    @property
+    def kinds(self) -> StructType:
+        return StructType.fromDDL(self.schema)
 
     def events(self) -> DataFrame:
-        return self.target.load(PROGRESS)
+        return self.target.load(self.name)
 
     def _folded(self) -> DataFrame:
         latest = F.max_by(F.struct(*[c for c in self.events().columns]), "seq")
@@ -68,6 +76,42 @@ class Ledger:
         """The latest event of each table, forgotten ones included."""
         return self._folded().select("e.*")
 
+    def _append(self, table: str, **values) -> None:
+        self.ensure()
+        with self._lock:
+            self._seq += 1
+            event = self._event(self._latest.get(table, {}), values) | {"seq": self._seq, "table_name": table}
+            self.target.append_row(self.name, self.kinds, event)
+            self._latest[table] = event
+
+    def _event(self, latest: dict, values: dict) -> dict:
+        """The new event's values, by its table's latest one."""
+        return values
+
+
+class Splits(EventLog):
+    """How much of each table's files is in the target. An event is appended when a wave's rows are committed, before the ledger advances."""
+
+    name, schema = SPLITS, SPLITS_SCHEMA
+
+    def get(self, table: str) -> Files:
+        self.ensure()
+        e = self._latest.get(table)
+        return Files(e["files"], e["bytes"], e["rows"], e["last_file"], None if e["high"] is None else int(e["high"])) if e else Files()
+
+    def put(self, table: str, done: Files) -> None:
+        self._append(table, files=done.files, bytes=done.bytes, rows=done.rows, last_file=done.last, high=None if done.high is None else Decimal(done.high))
+
+
+class Ledger(EventLog):
+    """Each table's progress."""
+
+    name, schema = PROGRESS, SCHEMA
+
+    def __init__(self, target: Catalog, clock: Callable[[], datetime] = _now):
+        super().__init__(target)
+        self.clock = clock
+
     def progress(self) -> DataFrame:
         """A line for each table: the ledger as users see it."""
         return self.fold().where(F.col("status") != RESET).drop("seq")
@@ -81,23 +125,18 @@ class Ledger:
         values["last_pk_value"] = None if e["last_pk_value"] is None else int(e["last_pk_value"])
         return Progress(**values)
 
-    def _append(self, table: str, **changed) -> None:
-        self.ensure()
-        with self._lock:
-            self._seq += 1
-            blank = dict.fromkeys((c.split(" ")[0] for c in SCHEMA.split(", "))) | {"total_rows": 0, "synced_rows": 0, "primary_key": ""}
-            event = {**blank, **self._latest.get(table, {}), **changed, "seq": self._seq, "table_name": table, "updated_at": self.clock()}
-            self.target.append_row(PROGRESS, StructType.fromDDL(SCHEMA), event)
-            self._latest[table] = event
+    def _event(self, latest: dict, values: dict) -> dict:
+        blank = dict.fromkeys(c.split(" ")[0] for c in SCHEMA.split(", ")) | {"total_rows": 0, "synced_rows": 0, "primary_key": ""}
+        return {**blank, **latest, **values, "updated_at": self.clock()}
 
     def start(self, table: str, total: int, key: str, resumed: bool) -> None:
         """Running. Unless the table is resumed, what an earlier run has recorded is void."""
         fresh = {} if resumed else {"synced_rows": 0, "last_pk_value": None}
         self._append(table, total_rows=total, primary_key=key, status="running", started_at=self.clock(), finished_at=None, error=None, **fresh)
 
-    def advance(self, table: str, synced: int, last: int) -> None:
-        """All keys up to `last` are in the target. Only after the data are."""
-        self._append(table, synced_rows=synced, last_pk_value=Decimal(last))
+    def advance(self, table: str, synced: int, last: int | None) -> None:
+        """All keys up to `last` are in the target (None: which ones isn't said, as with whole files). Only after the data are."""
+        self._append(table, synced_rows=synced, last_pk_value=None if last is None else Decimal(last))
 
     def done(self, table: str, synced: int) -> None:
         self._append(table, synced_rows=synced, status="done", finished_at=self.clock(), error=None)

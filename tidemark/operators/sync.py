@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError, SyncOptions
 from ..functions import quoted, whole
-from ..model import Chunk, Mode, SyncResult
-from ..plans import chunk_of, first_key, waves
-from ..sources.base import PROGRESS, Catalog, open_catalog
-from .ledger import Ledger
+from ..model import Chunk, Files, Mode, Progress, SourceFile, SyncResult, Wave
+from ..plans import chunk_of, file_waves, first_key
+from ..sources.base import PROGRESS, SPLITS, Catalog, open_catalog
+from .ledger import Ledger, Splits
+from .progress import INTERVAL, Watcher, group
 from .reports import log_summary
 from .scan import range_of, usable_key
+from .unique import repeated_keys
 
 logger = logging.getLogger(__name__)
-#: Waves of a table from a source that finds a wave by its index.
-WAVES = 4
+#: Waves of a table that lies in files.
+FILE_WAVES = 16
 
 
 class SchemaDrift(RuntimeError):
@@ -34,21 +36,29 @@ def _said(error: BaseException) -> str:
     return str(error).strip().split("\n")[0] or repr(error)
 
 
+class RepeatedKeys(RuntimeError):
+    """A key that was said not to repeat does."""
+
+
 class SyncEngine:
     """Copies the tables of a source catalog into a target catalog.
 
-    A keyed table goes in waves of whole chunks, in ascending order of the key; the ledger
-    advances after a wave's rows are committed, so what it says is in the target is there. A
-    wave that was written but not recorded is removed by the next run and copied again. A
+    A keyed table goes in waves, and the ledger advances after a wave's rows are committed, so what it
+    says is in the target is there. A wave that was written but not recorded is removed by the next
+    run and copied again. Between stores of files a wave is a run of whole files, in the order of their paths, so
+    all waves together read each file once; else it is a run of chunks, in ascending order of the key. A
     table without a usable key is replaced as a whole.
 
-    `before_advance(table, wave)` is called between a wave's commit and its ledger event.
+    `before_advance(table, wave)` is called between a wave's commit and its ledger event; a wave of
+    files is the numbers of its first and last file. Running tables are reported every `interval` seconds.
     """
 
-    def __init__(self, source: Catalog, target: Catalog, options: SyncOptions | None = None, clock: Callable[[], datetime] | None = None, before_advance: Callable[[str, Chunk], None] | None = None):
+    def __init__(self, source: Catalog, target: Catalog, options: SyncOptions | None = None, clock: Callable[[], datetime] | None = None, before_advance: Callable[[str, Chunk], None] | None = None, interval: float = INTERVAL):
         self.source, self.target, self.options = source, target, options or SyncOptions()
         self.source.keys = {**self.source.keys, **self.options.keys}
-        self.ledger = Ledger(target, clock) if clock else Ledger(target)
+        self.source.fetch_rows = self.options.batch_insert_size
+        self.ledger, self.splits = Ledger(target, clock) if clock else Ledger(target), Splits(target)
+        self.watcher = Watcher(source.spark, interval)
         self.before_advance = before_advance or (lambda table, wave: None)
         if source.identity == target.identity:
             raise ConfigError("source and target are the same; copying would empty the source")
@@ -66,10 +76,11 @@ class SyncEngine:
         if mode is Mode.RESTART:
             self.ledger.reset()
             logger.info("restart: all progress is forgotten")
-        tables = [t for t in dict.fromkeys(self.options.tables) if t != PROGRESS] or self.source.discover()
+        tables = [t for t in dict.fromkeys(self.options.tables) if t not in (PROGRESS, SPLITS)] or self.source.discover()
         logger.info("tables: %s", ", ".join(tables))
         results = []
-        with ThreadPoolExecutor(self.options.parallel_tables) as pool:
+        self.watcher = Watcher(self.source.spark, self.watcher.interval)  # a thread starts once
+        with self.watcher, ThreadPoolExecutor(self.options.parallel_tables) as pool:
             own = inheritable_thread_target(self.source.spark)(self._isolated)
             futures = [pool.submit(own, t, mode) for t in tables]
             for f in as_completed(futures):
@@ -79,8 +90,9 @@ class SyncEngine:
 
     def _isolated(self, table: str, mode: Mode) -> SyncResult:
         began = time.monotonic()
-        self.source.spark.sparkContext.setJobGroup(f"copy {table}", f"copying {table}")
+        self.source.spark.sparkContext.setJobGroup(group(table), f"copying {table}")
         result = SyncResult(table)
+        self.watcher.begin(result)
         try:
             self._copy(result, mode is Mode.RESUME)
         except Exception as e:  # noqa: BLE001  whatever it is, it's this table's
@@ -90,6 +102,8 @@ class SyncEngine:
                 self.ledger.failed(table, result.error)
             except Exception as also:  # noqa: BLE001
                 logger.error("table %s: its failure can't be recorded: %s", table, _said(also))
+        finally:
+            self.watcher.end(table)
         result.time = 0.0 if result.skipped else time.monotonic() - began
         return result
 
@@ -110,7 +124,7 @@ class SyncEngine:
     def _ensure(self, table: str, rows: DataFrame, key: str, last: int | None, keep: bool) -> None:
         """The target table, holding nothing but what is committed up to `last`."""
         if not self.target.exists(table):
-            self.target.create(table, rows.schema, key, self.source.key_columns(table))
+            self.target.create(table, rows.schema, key, self.source.key_columns(table), self.source.definition(table))
             return
         self._same_schema(table, rows)
         if keep:
@@ -126,43 +140,98 @@ class SyncEngine:
             raise SchemaDrift(f"the target's columns differ: {', '.join(f'{n} {k}' for n, k in changed)}")
 
     def _copy_keyed(self, result: SyncResult, rows: DataFrame, key: str, resume: bool) -> None:
+        table = result.table
+        known = self.ledger.get(table) if resume else None
+        if known and known.status == "done":
+            self._complete(result, known)
+            return
+        by_range = known is not None and known.last_pk_value is not None  # begun so; goes on so
+        files = None if by_range or self.source.indexed or self.target.indexed else self.source.files(table)
+        if files is None:
+            self._copy_ranges(result, rows, key, known)
+        else:
+            self._copy_files(result, rows, key, known, files)
+        if not result.skipped:
+            self._check_key(table, key)
+            self.target.finish(table)
+            self.ledger.done(table, result.rows)
+
+    def _complete(self, result: SyncResult, known: Progress) -> None:
+        result.rows, result.skipped = known.synced_rows, True
+        logger.info("table %s is complete already (%d rows)", result.table, known.synced_rows)
+
+    def _check_key(self, table: str, key: str) -> None:
+        if table in self.options.unique and (n := repeated_keys(self.target.load(table), key)):
+            raise RepeatedKeys(f"the key {key} repeats: {n} rows have a key that another row has already")
+
+    def _no_nulls(self, n: int, key: str) -> None:
+        if n:
+            raise ValueError(f"{n} rows have a null key {key}; configure the table's key as null to copy it as a whole")
+
+    def _copy_files(self, result: SyncResult, rows: DataFrame, key: str, known: Progress | None, files: list[SourceFile]) -> None:
+        """Waves of whole files. Their paths order them, and the last one copied is the mark that a later run goes on from."""
+        table, o = result.table, self.options
+        done = self.splits.get(table) if known else Files()
+        before = files[: done.files]
+        if done.files and (len(before) < done.files or before[-1].path != done.last or sum(f.bytes for f in before) != done.bytes):
+            logger.warning("table %s: files that were copied have changed; it is copied from the start", table)
+            known, done = None, Files()
+        if known is None:  # old progress is void before the target is emptied
+            self.splits.put(table, Files())
+        total = sum(f.rows for f in files)
+        self.ledger.start(table, total, key, resumed=known is not None)
+        self.watcher.expect(table, total)
+        self._ensure(table, rows, key, done.files - 1 if done.files else None, keep=known is not None)
+        result.rows, k = done.rows, F.col(quoted(key))
+        for wave in file_waves(files[done.files :], o.waves or FILE_WAVES):
+            span = Chunk(done.files, done.files + len(wave) - 1)
+            seen = Observation(f"{table} {span.start}")
+            part = self.source.file_scan(table, wave[0].path, wave[-1].path).observe(seen, F.count(F.lit(1)).alias("rows"), F.count(k).alias("keyed"), F.max(k).alias("high"))
+            self.target.write_wave(table, part.sortWithinPartitions(k) if o.sort_rows else part, span, key, o.batch_insert_size)
+            found = seen.get
+            if found["rows"] != found["keyed"]:
+                self.target.drop_after(table, key, span.start - 1 if span.start else None)
+                self._no_nulls(found["rows"] - found["keyed"], key)
+            self.before_advance(table, span)
+            high = max((int(x) for x in (done.high, found["high"]) if x is not None), default=None)
+            done = Files(span.end + 1, done.bytes + sum(f.bytes for f in wave), done.rows + found["rows"], wave[-1].path, high)
+            self.splits.put(table, done)
+            result.rows, result.copied = done.rows, result.copied + found["rows"]
+            self.ledger.advance(table, done.rows, high if done.files == len(files) else None)
+
+    def _copy_ranges(self, result: SyncResult, rows: DataFrame, key: str, known: Progress | None) -> None:
+        """Waves of key ranges, in ascending order."""
         table, o = result.table, self.options
         keys = range_of(self.source.key_stats(table, key))
-        if keys.nulls:
-            raise ValueError(f"{keys.nulls} rows have a null key {key}; configure the table's key as null to copy it as a whole")
-        known = self.ledger.get(table) if resume else None
+        self._no_nulls(keys.nulls, key)
         last = known.last_pk_value if known else None
-        if known and known.status == "done" or (last is not None and last >= keys.high):
-            if known.status != "done":
-                self.ledger.done(table, known.synced_rows)
-            result.rows, result.skipped = known.synced_rows, True
-            logger.info("table %s is complete already (%d rows)", table, known.synced_rows)
+        if last is not None and last >= keys.high:
+            self.ledger.done(table, known.synced_rows)
+            self._complete(result, known)
             return
         result.rows = known.synced_rows if known else 0
         # The ledger first: if the target is emptied and this run dies, no old progress must speak for it.
         self.ledger.start(table, keys.rows, key, resumed=known is not None)
+        self.watcher.expect(table, keys.rows)
         self._ensure(table, rows, key, last, keep=known is not None)
         if keys.rows:
-            self._copy_waves(result, rows, key, waves(first_key(keys, last), keys.high, o.chunk_size, o.waves or (WAVES if self.source.indexed else 1)), keys.rows)
-        self.ledger.done(table, result.rows)
+            span = Chunk(first_key(keys, last), keys.high)
+            self._copy_waves(result, rows, key, self.source.key_waves(table, key, span, o.chunk_size, o.waves))
 
-    def _copy_waves(self, result: SyncResult, rows: DataFrame, key: str, plan: list[Chunk], total: int) -> None:
-        table, o, said = result.table, self.options, time.monotonic()
+    def _copy_waves(self, result: SyncResult, rows: DataFrame, key: str, plan: list[Wave]) -> None:
+        table, o = result.table, self.options
         filled = self._filled(rows, key, plan)
         for number, wave in enumerate(plan):
             if number in filled:
                 seen = Observation(f"{table} {number}")
                 part = self.source.range_scan(table, key, wave, o.chunk_size).observe(seen, F.count(F.lit(1)).alias("rows"))
-                part = part.sortWithinPartitions(F.col(quoted(key))) if o.sort_rows else part
+                part = part.sortWithinPartitions(F.col(quoted(key))) if o.sort_rows and not self.source.ordered else part
                 self.target.write_wave(table, part, wave, key, o.batch_insert_size)
                 copied = seen.get["rows"]
                 result.rows, result.copied = result.rows + copied, result.copied + copied
             self.before_advance(table, wave)
             if number in filled or number == len(plan) - 1:  # an empty wave is covered by the next event
                 self.ledger.advance(table, result.rows, wave.end)
-            if time.monotonic() - said >= 5:
-                said = time.monotonic()
-                logger.info("table %s: %d of %d rows (%.1f%%), %s %d of %d", table, result.rows, total, result.rows / total * 100 if total else 0, key, wave.end, plan[-1].end)
 
     def _filled(self, rows: DataFrame, key: str, plan: list[Chunk]) -> set[int]:
         """Numbers of the waves that have rows: at most as many numbers as waves come to the driver. A source with an index isn't asked; it reads an empty wave fast."""
@@ -174,12 +243,17 @@ class SyncEngine:
 
     def _copy_whole(self, result: SyncResult, rows: DataFrame) -> None:
         table = result.table
-        self.ledger.start(table, self.source.count(table), "", resumed=False)
+        total = self.source.count(table)
+        self.ledger.start(table, total, "", resumed=False)
+        self.watcher.expect(table, total)
+        self.target.recover(table)
         if self.target.exists(table):
             self._same_schema(table, rows)
         else:
-            self.target.create(table, rows.schema, None, self.source.key_columns(table))
+            self.target.create(table, rows.schema, None, self.source.key_columns(table), self.source.definition(table))
         seen = Observation(table)
-        self.target.replace(table, rows.observe(seen, F.count(F.lit(1)).alias("rows")), self.options.batch_insert_size)
+        part = self.source.bulk_scan(table, total, self.options.chunk_size)
+        self.target.replace(table, part.observe(seen, F.count(F.lit(1)).alias("rows")), self.options.batch_insert_size)
         result.rows = result.copied = seen.get["rows"]
+        self.target.finish(table)
         self.ledger.done(table, result.rows)

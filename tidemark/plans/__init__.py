@@ -1,5 +1,5 @@
 """Chunk plans."""
 
-from .chunks import chunk_frame, chunk_of, chunks, first_key, n_chunks, waves
+from .chunks import balanced, chunk_frame, chunk_of, chunks, file_waves, first_key, grouped, n_chunks, waves
 
-__all__ = ["chunk_frame", "chunk_of", "chunks", "first_key", "n_chunks", "waves"]
+__all__ = ["balanced", "chunk_frame", "chunk_of", "chunks", "file_waves", "first_key", "grouped", "n_chunks", "waves"]

@@ -5,13 +5,13 @@ Bounds are Python integers on the driver, so keys near the ends of 64 bits don't
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import whole
-from ..model import Chunk, KeyRange
+from ..model import Chunk, KeyRange, SourceFile, Wave
 
 
 def first_key(keys: KeyRange, last_pk: int | None) -> int:
@@ -38,6 +38,57 @@ def waves(start: int, high: int, size: int, count: int) -> list[Chunk]:
     return list(chunks(start, high, per * size))
 
 
+def balanced(span: Chunk, rows_each: int, most: int, histogram: Callable[[Chunk, int], dict[int, int]]) -> list[Chunk]:
+    """Intervals that cover the span, with about `rows_each` rows or, if these would be more than `most` intervals, as many more.
+
+    `histogram(span, width)` counts a span's rows by intervals of a width, from its start on. Intervals with more than a
+    quarter of the rows wanted are counted again in finer ones, down to single keys, so neither gaps nor outliers matter: only
+    a single key's rows stay together. Few of these counts are needed, as the first has 16 intervals for each one wanted.
+    """
+    fine = 1 << 12
+    halves = [span] if span.end - span.start < 1 << 62 else [Chunk(a, min(a + (1 << 62) - 1, span.end)) for a in range(span.start, span.end + 1, 1 << 62)]
+    cells = [(c.start, c.end, n) for c in halves for n in histogram(c, 1 << 62).values()]
+    each = max(1, rows_each, -(-sum(n for _, _, n in cells) // most))
+    done: list[tuple[int, int, int]] = []
+    while cells:
+        start, end, n = cells.pop()
+        if start == end or 4 * n <= each:
+            done.append((start, end, n))
+            continue
+        width = -(-(end - start + 1) // min(1 << 16, max(fine, 16 * -(-n // each))))
+        cells += [(start + i * width, min(start + (i + 1) * width - 1, end), k) for i, k in histogram(Chunk(start, end), width).items()]
+    done.sort()
+    left, starts, now = sum(n for _, _, n in done), [], 0
+    share = left / max(1, -(-left // each))
+    for start, _, n in done:
+        if not starts or now + n / 2 > share:
+            parts = max(1, round((left - now) / each))
+            left, now, share = left - now, 0, (left - now) / parts
+            starts.append(start)
+        now += n
+    starts = [span.start, *starts[1:]]
+    return [Chunk(a, b - 1) for a, b in zip(starts, [*starts[1:], span.end + 1], strict=True)]
+
+
+def grouped(parts: Sequence[Chunk], count: int) -> list[Wave]:
+    """At most `count` waves of neighbouring parts, as many in each as can be."""
+    each = max(1, -(-len(parts) // count))
+    return [Wave(own[0].start, own[-1].end, tuple(own)) for own in (parts[i : i + each] for i in range(0, len(parts), each))]
+
+
+def file_waves(files: Sequence[SourceFile], count: int) -> list[list[SourceFile]]:
+    """At most `count` runs of neighbouring files, of like numbers of bytes."""
+    total, out, before = sum(f.bytes for f in files), [], 0
+    for f in files:
+        number = min(count - 1, before * count // max(1, total))
+        if not out or number > last:
+            out.append([])
+            last = number
+        out[-1].append(f)
+        before += f.bytes
+    return out
+
+
 def chunk_of(key: Column, low: int, size: int) -> Column:
     """Number of the chunk of a key that isn't below `low`, as a decimal: exact for any whole keys."""
     wide = "decimal(38,0)"

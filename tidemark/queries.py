@@ -9,17 +9,17 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .config import SyncOptions, load_config
+from .config import SyncOptions
 from .model import Chunk, Mode
 from .functions import percent, rate
 from .operators import SyncEngine, batch_report, chunk_report, reconcile, summary
 from .operators.scan import key_range, key_range_frame
+from .operators.unique import repeated_keys
 from .plans import first_key, waves
 from .sources import ParquetCatalog, WarehouseCatalog
 from .sources.files import Files
@@ -76,20 +76,31 @@ def copy_to_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back
 
 
-def copy_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders, with a run that dies after its second wave is written and before it is recorded; resumed with other chunks."""
+def _resumed(spark: SparkSession, sf_dir: str) -> SyncEngine:
+    """A copy of orders, stored in eight files first, with a run that dies after its fifth wave is written and before it is recorded; resumed. All with default options."""
+    files = ParquetCatalog(spark, scratch(spark), KEYS)
+    source(spark, sf_dir).load("orders").repartition(8).write.parquet(files.place("orders"))
     seen: list[Chunk] = []
 
     def die(table: str, wave: Chunk) -> None:
         seen.append(wave)
-        if len(seen) == 2:
+        if len(seen) == 5:
             raise Interrupted(table)
 
-    e = SyncEngine(source(spark, sf_dir), ParquetCatalog(spark, scratch(spark), KEYS), SyncOptions(chunk_size=CHUNK, waves=4, tables=("orders",)), before_advance=die)
+    options = SyncOptions(tables=("orders",))
+    e = SyncEngine(files, ParquetCatalog(spark, scratch(spark), KEYS), options, before_advance=die)
     if [r.error for r in e.run()] != ["orders"]:
         raise AssertionError("the run should have been interrupted")
-    again = SyncEngine(e.source, e.target, SyncOptions(chunk_size=300, tables=("orders",)))
-    return _run(again, Mode.RESUME).target.load("orders")
+    return _run(SyncEngine(e.source, e.target, options), Mode.RESUME)
+
+
+def copy_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumed(spark, sf_dir).target.load("orders")
+
+
+def resumed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the record of copied files says after that."""
+    return _resumed(spark, sf_dir).splits.fold().select("table_name", "files", "rows", F.col("high").cast("long").alias("high"))
 
 
 def copy_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,11 +228,11 @@ def copied_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, target.key(t)) for t in (*SYNCED, "lineitem")], "table_name string, primary_key string")
 
 
-def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The settings of the sample configuration, as they are after loading."""
-    config = load_config(str(Path(__file__).with_name("config.yaml")))
-    rows = [("source", config.source.kind), ("target", config.target.kind), ("charset", config.source.settings["charset"]), ("parallel_tables", str(config.sync.parallel_tables)), ("chunk_size", str(config.sync.chunk_size)), ("batch_insert_size", str(config.sync.batch_insert_size)), ("tables", str(len(config.sync.tables)))]
-    return spark.createDataFrame(rows, "setting string, value string")
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each table's leading key, and of a column that is none, the rows whose key another row has already."""
+    s = source(spark, sf_dir)
+    found = [(t, k, repeated_keys(s.load(t), k)) for t, k in (KEYS | {"lineitem": "l_orderkey"}).items()]
+    return spark.createDataFrame(found, "table_name string, key_column string, repeated_rows long")
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_ledger_labels": chunk_ledger, "batch_ledger_labels": batch_ledger, "composite_chunk_conversations": composite_chunk,
         "resume_remaining_orders": resume_remaining, "progress_after_sync": progress_after_sync, "sync_summary": sync_summary, "reconcile_all": reconciled,
         "failure_isolation": failure_isolated, "failure_summary": failure_summary, "sync_restarted": restarted, "progress_rates_labels": progress_rates,
-        "sorted_copy_labels": sorted_copy, "copied_keys": copied_keys, "load_config": configuration,
+        "sorted_copy_labels": sorted_copy, "copied_keys": copied_keys, "repeated_keys_all": repeats, "files_after_resume": resumed_files,
     }
 
 
@@ -288,6 +299,7 @@ s AS (SELECT chunk_id, n, count(doc_id) AS synced FROM c LEFT JOIN labels ON doc
 SELECT chunk_id, CAST(synced AS DOUBLE) / n * 100 AS percent, CASE WHEN chunk_id > 0 THEN CAST(synced AS DOUBLE) / (chunk_id * CAST(0.25 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS rows_per_second, CAST(0 AS DOUBLE) AS of_nothing FROM s""",
         "sorted_copy_labels": "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS late_rows FROM labels",
         "copied_keys": union(f"SELECT '{t}' AS table_name, {f"'{KEYS[t]}'" if KEYS[t] else 'CAST(NULL AS VARCHAR)'} AS primary_key" for t in (*SYNCED, "lineitem")),
-        "load_config": "SELECT * FROM (VALUES ('source', 'jdbc'), ('target', 'parquet'), ('charset', 'utf8mb4'), ('parallel_tables', '4'), ('chunk_size', '50000'), ('batch_insert_size', '5000'), ('tables', '0')) AS v(setting, value)",
+        "repeated_keys_all": union(f"SELECT '{t}' AS table_name, '{k}' AS key_column, count({k}) - count(DISTINCT {k}) AS repeated_rows FROM {t}" for t, k in (KEYS | {"lineitem": "l_orderkey"}).items()),
+        "files_after_resume": "SELECT 'orders' AS table_name, CAST(8 AS BIGINT) AS files, count(*) AS rows, CAST(max(o_orderkey) AS BIGINT) AS high FROM orders",
         "reconcile_all": union(f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows FROM {t}" for t in (*SYNCED, "lineitem")),
     }

@@ -5,16 +5,19 @@ from __future__ import annotations
 import abc
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import Endpoint, SyncOptions
 from ..functions import quoted, whole
-from ..model import Chunk
+from ..model import Chunk, SourceFile, Wave
+from ..plans import waves
+from .ddl import TableDef
 
-#: Fixed value: the ledger's name in a target.
-PROGRESS = "sync_progress"
+#: Fixed value: the ledger's name in a target. Beside it, how much of each table's files is copied.
+PROGRESS, SPLITS = "sync_progress", "sync_splits"
 #: Marks the rows of a wave in targets that Spark stores; readers don't see it.
 WAVE = "_wave_start"
 logger = logging.getLogger(__name__)
@@ -23,8 +26,10 @@ logger = logging.getLogger(__name__)
 class Catalog(abc.ABC):
     """Tables by name. Key lookup: keys given by configuration, then what the database knows, then none."""
 
-    #: Does the database find a key range without scanning the table?
-    indexed = False
+    #: Does the database find a key range without scanning the table? Do range scans come in the key's order?
+    indexed = ordered = False
+    #: Rows that a database hands out at a time.
+    fetch_rows = 5_000
 
     def __init__(self, spark: SparkSession, keys: dict[str, str | None] | None = None):
         self.spark = spark
@@ -54,7 +59,7 @@ class Catalog(abc.ABC):
         found = self.tables()
         if PROGRESS in found:
             logger.warning("a source table is named %s, as the ledger is; it isn't copied", PROGRESS)
-        return [t for t in found if t != PROGRESS]
+        return [t for t in found if t not in (PROGRESS, SPLITS)]
 
     def columns(self, table: str) -> list[str]:
         return self.load(table).columns
@@ -66,6 +71,10 @@ class Catalog(abc.ABC):
         """All columns of the primary key that the database itself keeps."""
         return []
 
+    def definition(self, table: str) -> TableDef | None:
+        """The whole definition, of databases that have more than columns."""
+        return None
+
     def ddl(self, table: str) -> str:
         columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in self.load(table).schema)
         key = self.key(table)
@@ -80,6 +89,33 @@ class Catalog(abc.ABC):
         """Rows whose key is in an inclusive interval; the predicate reaches the scan."""
         return self.full_scan(table).where(F.col(quoted(key)).between(whole(span.start), whole(span.end)))
 
+    def key_waves(self, table: str, key: str, span: Chunk, chunk_size: int, count: int | None) -> list[Wave]:
+        """Waves that cover the span's keys. Here each is a scan, so there is one unless more are asked for."""
+        return [Wave(c.start, c.end) for c in waves(span.start, span.end, chunk_size, count or 1)]
+
+    def bulk_scan(self, table: str, rows: int, chunk_size: int) -> DataFrame:
+        """All rows of a table without a key that has so many."""
+        return self.full_scan(table)
+
+    def files(self, table: str) -> list[SourceFile] | None:
+        """The files that hold the table's rows, by path; None if its rows aren't in files. Footers are read for it, no columns."""
+        return None
+
+    def file_scan(self, table: str, first: str, last: str) -> DataFrame:
+        """Rows of the files from one path to another; the scan opens no others."""
+        df = self.load(table)
+        return df.where(df.metadataColumn("_metadata")["file_path"].between(first, last)).select(*[F.col(quoted(c)) for c in df.columns])
+
+    def _spark_files(self, table: str) -> list[SourceFile] | None:
+        """By Spark's own metadata columns; a row for each file comes to the driver, which has listed them as well."""
+        df = self.load(table)
+        try:
+            meta = df.metadataColumn("_metadata")
+            found = df.select(meta["file_path"].alias("path"), meta["file_size"].alias("bytes")).groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+        except AnalysisException:
+            return None
+        return sorted((SourceFile(r["path"], r["bytes"], r["rows"]) for r in found.collect()), key=lambda f: f.path)
+
     def key_stats(self, table: str, key: str) -> DataFrame:
         """One row: least key, greatest key, rows, rows with a key."""
         k = F.col(quoted(key))
@@ -92,8 +128,8 @@ class Catalog(abc.ABC):
     # As a target.
 
     @abc.abstractmethod
-    def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None) -> None:
-        """An empty table; it must not exist. key_columns: the source's whole primary key, for stores that have one."""
+    def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None, like: TableDef | None = None) -> None:
+        """An empty table; it must not exist. key_columns: the source's whole primary key, for stores that have one. like: its whole definition, for stores of its kind."""
 
     @abc.abstractmethod
     def truncate(self, table: str) -> None:
@@ -111,6 +147,12 @@ class Catalog(abc.ABC):
     def replace(self, table: str, rows: DataFrame, batch: int) -> None:
         """Make `rows` the whole table, in one step as far as the store can."""
 
+    def recover(self, table: str) -> None:
+        """Undo or finish what a replacement that died left of the table."""
+
+    def finish(self, table: str) -> None:
+        """Called when a table's rows are all there."""
+
     @abc.abstractmethod
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows to a table, which is created if absent. For the ledger."""

@@ -14,8 +14,9 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..model import Chunk
+from ..model import Chunk, SourceFile
 from .base import WAVE, Catalog, ForeignData
+from .ddl import TableDef
 from .files import Files
 
 #: Says that this engine wrote a folder; holds the table's schema. Beside it, the columns of its primary key.
@@ -28,11 +29,11 @@ class ParquetCatalog(Catalog):
     def __init__(self, spark: SparkSession, root: str, keys: dict[str, str | None] | None = None):
         super().__init__(spark, keys)
         self.root = root.rstrip("/")
-        self.files = Files(spark)
+        self.hdfs = Files(spark)
 
     @property
     def identity(self) -> str:
-        return self.files.full(self.root)
+        return self.hdfs.full(self.root)
 
     def place(self, table: str) -> str:
         if not table or "/" in table:
@@ -40,17 +41,17 @@ class ParquetCatalog(Catalog):
         return f"{self.root}/{table}{SUFFIX}"
 
     def tables(self) -> list[str]:
-        return [n.removesuffix(SUFFIX) for n in self.files.names(self.root) if n.endswith(SUFFIX) and n[0] not in "._"]
+        return [n.removesuffix(SUFFIX) for n in self.hdfs.names(self.root) if n.endswith(SUFFIX) and n[0] not in "._"]
 
     def exists(self, table: str) -> bool:
-        return self.files.exists(self.place(table))
+        return self.hdfs.exists(self.place(table))
 
     def _own(self, table: str) -> StructType | None:
         """The schema of a table that this engine wrote."""
         path = f"{self.place(table)}/{MARKER}"
-        if not self.files.exists(path):
+        if not self.hdfs.exists(path):
             return None
-        return StructType.fromJson(json.loads(self.files.read(path)))
+        return StructType.fromJson(json.loads(self.hdfs.read(path)))
 
     def load(self, table: str) -> DataFrame:
         schema = self._own(table)
@@ -61,6 +62,9 @@ class ParquetCatalog(Catalog):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.place(table)}/{w}" for w in waves])
 
+    def files(self, table: str) -> list[SourceFile] | None:
+        return self._spark_files(table)
+
     def known_key(self, table: str) -> str | None:
         found = self.key_columns(table)
         return found[0] if found else None
@@ -68,16 +72,16 @@ class ParquetCatalog(Catalog):
     def key_columns(self, table: str) -> list[str]:
         """The key that a table was created with; files that others wrote have none."""
         path = f"{self.place(table)}/{KEY_MARKER}"
-        return json.loads(self.files.read(path)) if self.files.exists(path) else []
+        return json.loads(self.hdfs.read(path)) if self.hdfs.exists(path) else []
 
     def _waves(self, table: str) -> list[str]:
-        return [n for n in self.files.names(self.place(table)) if n.startswith(f"{WAVE}=")]
+        return [n for n in self.hdfs.names(self.place(table)) if n.startswith(f"{WAVE}=")]
 
-    def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None) -> None:
-        self.files.make(self.place(table))
+    def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None, like: TableDef | None = None) -> None:
+        self.hdfs.make(self.place(table))
         if own := key_columns or ([key] if key else []):
-            self.files.write(f"{self.place(table)}/{KEY_MARKER}", json.dumps(own).encode())
-        self.files.write(f"{self.place(table)}/{MARKER}", schema.json().encode())
+            self.hdfs.write(f"{self.place(table)}/{KEY_MARKER}", json.dumps(own).encode())
+        self.hdfs.write(f"{self.place(table)}/{MARKER}", schema.json().encode())
 
     def _need_own(self, table: str) -> None:
         if self.exists(table) and self._own(table) is None:
@@ -86,13 +90,13 @@ class ParquetCatalog(Catalog):
     def truncate(self, table: str) -> None:
         self._need_own(table)
         for w in self._waves(table):
-            self.files.remove(f"{self.place(table)}/{w}")
+            self.hdfs.remove(f"{self.place(table)}/{w}")
 
     def drop_after(self, table: str, key: str, last: int | None) -> None:
         self._need_own(table)
         for w in self._waves(table):
             if last is None or int(w.partition("=")[2]) > last:
-                self.files.remove(f"{self.place(table)}/{w}")
+                self.hdfs.remove(f"{self.place(table)}/{w}")
 
     def write_wave(self, table: str, rows: DataFrame, wave: Chunk, key: str, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.place(table)}/{WAVE}={wave.start}")
@@ -104,19 +108,19 @@ class ParquetCatalog(Catalog):
             self.create(stage, rows.schema, None, self.key_columns(table))
             rows.write.parquet(f"{self.place(stage)}/{WAVE}=0")
         except BaseException:
-            self.files.remove(self.place(stage))
+            self.hdfs.remove(self.place(stage))
             raise
         there = self.exists(table)
         if there:
-            self.files.move(self.place(table), self.place(old))
+            self.hdfs.move(self.place(table), self.place(old))
         try:
-            self.files.move(self.place(stage), self.place(table))
+            self.hdfs.move(self.place(stage), self.place(table))
         except BaseException:  # both are still there: the new one keeps its stage's name, the old one gets its own back
             if there:
-                self.files.move(self.place(old), self.place(table))
+                self.hdfs.move(self.place(old), self.place(table))
             raise
         if there:
-            self.files.remove(self.place(old))
+            self.hdfs.remove(self.place(old))
 
     def append_row(self, table: str, schema: StructType, values: dict) -> None:
         """A file of one row, made without a Spark job."""
@@ -126,13 +130,13 @@ class ParquetCatalog(Catalog):
         own = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
         sink = pa.BufferOutputStream()
         pq.write_table(pa.Table.from_pylist([{f.name: r[f.name] for f in schema} for r in rows], own), sink)
-        self.files.write(f"{self.place(table)}/{WAVE}={wave}/row-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
+        self.hdfs.write(f"{self.place(table)}/{WAVE}={wave}/row-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
 
     def compact(self, table: str, schema: StructType, rows: list[dict]) -> None:
         old = self._waves(table)
         self._write_rows(table, schema, rows, max((int(w.partition("=")[2]) for w in old), default=0) + 1)
         for w in old:
-            self.files.remove(f"{self.place(table)}/{w}")
+            self.hdfs.remove(f"{self.place(table)}/{w}")
 
     def append(self, table: str, rows: DataFrame) -> None:
         if not self.exists(table):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from ..functions import quoted
-from ..model import Chunk
+from ..model import Chunk, SourceFile
 from .base import WAVE, Catalog, ForeignData
+from .ddl import TableDef
 
 OWN, KEY = "tidemark.written", "tidemark.primary_key"
 
@@ -38,13 +39,16 @@ class WarehouseCatalog(Catalog):
     def load(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table)).drop(WAVE)
 
+    def files(self, table: str) -> list[SourceFile] | None:
+        return self._spark_files(table)
+
     def _properties(self, table: str) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name(table)}").collect()}
 
     def known_key(self, table: str) -> str | None:
         return self._properties(table).get(KEY)
 
-    def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None) -> None:
+    def create(self, table: str, schema: StructType, key: str | None, key_columns: list[str] | None = None, like: TableDef | None = None) -> None:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(self.database)}")
         empty = self.spark.createDataFrame([], StructType([*schema.fields]).add(WAVE, LongType()))
         empty.write.format("parquet").partitionBy(WAVE).saveAsTable(self.name(table))
