@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import widened
-from .textops import Distinct, Slice, WordMemo, as_text, mix, pieces_of, ragged, slices
+from .textops import MOST_BYTES, Distinct, Slice, WordMemo, as_text, mix, pieces_of, ragged, segment_sums, slices
 
 #: Runs of letters are worked out together in groups of these widths; a longer one by itself.
 WIDTHS = (6, 10, 14, 20, 32, 49)
@@ -180,6 +180,10 @@ class Counts(WordMemo):
         self.flush()
         super().clear()
 
+    def cut(self, n: int) -> None:
+        self.flush()
+        super().cut(n)
+
     def flush(self) -> None:
         for lang, times in self.times.items():
             n = self.lengths[: len(times)]
@@ -188,7 +192,7 @@ class Counts(WordMemo):
         self.times = {}
 
     def tally(self, lang: str, numbers: np.ndarray) -> None:
-        got = np.bincount(numbers, minlength=self.table.n)
+        got = np.bincount(numbers, minlength=self.count)
         old = self.times.get(lang)
         if old is not None:
             got[: len(old)] += old
@@ -275,12 +279,18 @@ class Scores(Distinct):
 
     def __init__(self, model: Model):
         self.model = model
-        super().__init__(MEMO_WORDS)
+        super().__init__(min(MEMO_WORDS, MOST_BYTES // (8 * (len(model.langs) + 1))))
 
     def clear(self) -> None:
         super().clear()
         self.rows, self.count = np.zeros((1 << 14, len(self.model.langs) + 1)), 0
 
+    def cut(self, n: int) -> None:
+        self.count = n
+
+    def held(self) -> int:
+        return self.rows[: self.count].nbytes
+
     def learn(self, words: list[str]) -> None:
         last = self.count + len(words)
         if last > len(self.rows):
@@ -335,8 +345,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if not len(spans[1]):
                     continue
                 rows = memo(*spans)
-                sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, 0)])[np.searchsorted(spans[1], part.offsets)]
-                sums = np.diff(sums, axis=0)
+                bounds = np.searchsorted(spans[1], part.offsets)
+                sums = segment_sums(rows, bounds[:-1], bounds[1:])
                 z = sums[:, :-1] + model.prior
                 best = z.argmax(1)
                 share = 1 / np.exp(np.minimum(z - z.max(1, keepdims=True), 0)).sum(1)

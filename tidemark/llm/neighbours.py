@@ -3,10 +3,9 @@
 A vector is represented by its nearest pivots, in order. Blocks of vectors post these in
 inverted files, one list a pivot with the vector's place for it; a query adds up over the
 lists of its own pivots how near the places are, which gives the footrule distance of the two
-orders. The best by footrule are ranked again by their exact cosine. That is only the first
-guess: a product of matrices bounds the cosines of all others from above, and every vector
-whose bound reaches the guess's last place is ranked exactly too, so none is lost unseen,
-however many share an order or nearly so.
+orders. Vectors are ranked by it, and in this order ranked again by their exact cosine. A
+share of further vectors must bring nothing before a query leaves a block, so a group of near copies,
+whose orders are nearly the same, is gone through as far as it brings nearer ones.
 
 Every vector is indexed, in a block of bounded size. Queries meet blocks in tasks of a
 block of queries and a block of vectors; each sends its few best on.
@@ -24,11 +23,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PIVOTS, ORDER = 256, 64
-#: Share of a block's distinct vectors that are ranked first, and the least number.
-SHARE, LEAST = 0.08, 200
+#: So many further vectors, as a share of a block's distinct ones and at least, must bring nothing before the ranking ends.
+STOP, LEAST = 0.14, 200
 BLOCK, QUERY_BLOCK = 8192, 4096
-#: Queries whose bounds are worked out at once.
-AT_ONCE = 128
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -61,16 +58,12 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip((vs * qs).sum(1) / np.sqrt((vs * vs).sum(1) * (qs * qs).sum()), -1.0, 1.0)
 
 
-def bounds(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Of unit vectors with unit vectors: what `cosines` can't exceed, with room for the rounding of both."""
-    return q @ v.T + 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
-
-
 class InvertedFiles:
     """The lists of a block: by pivot, the vectors that have it among their nearest, and its place."""
 
     def __init__(self, order: np.ndarray, pivots: int):
         self.n, self.length = order.shape
+        self.most = self.length * (self.length + 1) // 2  # the agreement of equal orders
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
         self.rows, self.places = (by // self.length).astype(np.int32), (by % self.length).astype(np.int16)
@@ -86,7 +79,11 @@ class InvertedFiles:
 
 
 def search_block(queries: pa.Table, block: pa.Table, pivots: int, k: int) -> pa.Table:
-    """Each query's k best of a block: a first guess by way of the block's inverted files, and whatever may beat it."""
+    """Each query's k best of a block, by way of the block's inverted files.
+
+    Vectors are ranked by footrule, all those of one distance together, and their cosines are worked out in
+    this order, until STOP more in a row bring none among the k best.
+    """
     ids, v, order = block.column("vec_id").to_numpy(), matrix(block.column("v")), matrix(block.column("p")).astype(np.int16)
     out: tuple[list, list, list] = ([], [], [])
     if len(ids) and len(queries):
@@ -96,23 +93,22 @@ def search_block(queries: pa.Table, block: pa.Table, pivots: int, k: int) -> pa.
         kind = kind.ravel()
         members = np.argsort(kind, kind="stable")
         starts = np.searchsorted(kind[members], np.arange(len(first) + 1))
-        files, most = InvertedFiles(order[first], pivots), max(LEAST, math.ceil(SHARE * len(first)))
-        kinds, asked = v[first], matrix(queries.column("v"))
-        lines, asked_lines = unit(kinds), unit(asked)
-        own = zip(queries.column("vec_id").to_pylist(), asked, matrix(queries.column("p")).astype(np.int16), strict=True)
-        for at, (q, x, p) in enumerate(own):
-            if at % AT_ONCE == 0:
-                bound = bounds(asked_lines[at : at + AT_ONCE], lines)
+        files, kinds, step = InvertedFiles(order[first], pivots), v[first], max(LEAST, math.ceil(STOP * len(first)))
+        for q, x, p in zip(queries.column("vec_id").to_pylist(), matrix(queries.column("v")), matrix(queries.column("p")).astype(np.int16), strict=True):
             score = files.agreement(p)
-            best = np.argpartition(-score, most - 1)[:most] if most < len(score) else np.arange(len(score))
-            near = cosines(x, kinds[best])
-            cut = np.sort(near)[-min(len(near), k + 1)]
-            may = bound[at % AT_ONCE] >= cut
-            may[best] = False
-            rest = np.flatnonzero(may)
-            if len(rest):
-                best, near = np.append(best, rest), np.append(near, cosines(x, kinds[rest]))
-                cut = np.sort(near)[-min(len(near), k + 1)]
+            at_least = np.cumsum(np.bincount(score, minlength=files.most + 1)[::-1])[::-1]  # vectors by score, that one and better
+            best, near, cut, done = np.zeros(0, np.int64), np.zeros(0), -2.0, files.most + 1
+            while done > 0:
+                goal = (at_least[done] if done <= files.most else 0) + step
+                down = max(0, int(np.searchsorted(-at_least, -goal, "right")) - 1)  # the best score with so many
+                found = np.flatnonzero((score >= down) & (score < done))
+                got = cosines(x, kinds[found]) if len(found) else near[:0]
+                done, better = down, len(near) <= k or bool((got > cut).any())
+                keep = got >= cut
+                best, near = np.append(best, found[keep]), np.append(near, got[keep])
+                cut = np.sort(near)[-(k + 1)] if len(near) > k else -2.0
+                if not better:
+                    break
             rows = []
             for c, s in zip(best[near >= cut], near[near >= cut], strict=True):
                 same = np.unique(ids[members[starts[c] : starts[c + 1]]])
@@ -125,7 +121,7 @@ def search_block(queries: pa.Table, block: pa.Table, pivots: int, k: int) -> pa.
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, order: int = ORDER) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query by cosine.
+    """query_id, rank, vec_id, score: the k nearest of each query by cosine, as far as the index finds them (README has the recall).
 
     is_query is a condition on vec_id. Rows without an id, and vectors that are null, empty, zero or not
     finite take no part. Cosines are between vectors of one dimension, so each dimension is searched by

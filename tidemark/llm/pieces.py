@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import widened
-from .textops import Slice, WordMemo, ragged, slices
+from .textops import Slice, WordMemo, as_text, ragged, slices
 
 MARK = "▁"
 SLICE_BYTES, DECODED_IDS = 2 << 20, 500_000
@@ -226,11 +227,17 @@ def words(part: Slice, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return buf, at, np.append(at[1:], len(buf)), np.searchsorted(at, offsets)
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with a space for each mark of their own: the model sees the two alike."""
+    texts = as_text(texts)
+    return pc.replace_substring(texts, MARK, " ") if pc.any(pc.match_substring(texts, MARK)).as_py() else texts
+
+
 def _encoded(batches, path: str, kept: list[str], text: str):
     """Batches of the kept columns and ids, a slice of documents at a time."""
     v, memo = vocabulary(path), _memo(path)
     for batch in batches:
-        for part in slices(batch.column(text), SLICE_BYTES):
+        for part in slices(spaced(batch.column(text)), SLICE_BYTES):
             rows = batch.slice(part.lo, part.hi - part.lo)
             *spans, bounds = words(part, v)
             starts, lengths = memo(*spans)
@@ -273,7 +280,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     """docs with ids (array of int) instead of the text: those of the whole text.
 
     A null text has null ids, an empty one none. Repeated rows are encoded one by one; a
-    column named ids, in any case of letters, is replaced. Texts of any length work.
+    column named ids, in any case of letters, is replaced. Texts of any length work. A text's own `▁` counts as a
+    space, as in the library, and so is decoded as one.
     """
     path = path or vocabulary_path()
     kept = [c for c in docs.columns if c.lower() not in ("ids", text.lower())]

@@ -165,10 +165,13 @@ class Slice:
         return four[at] & _MASKS[np.minimum(np.diff(at, append=len(buf)), 4)]
 
     def per_doc(self, values: np.ndarray, bounds: np.ndarray, cut: int = 0) -> np.ndarray:
-        """Sums of values by document, without the last `cut` of each."""
-        sums = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+        """Sums of values by document, without the last `cut` of each. They don't depend on the other documents, not even in their last digits."""
         lo = np.minimum(bounds[:-1], len(values))
-        return sums[np.clip(bounds[1:] - cut, lo, len(values))] - sums[lo]
+        hi = np.clip(bounds[1:] - cut, lo, len(values))
+        if values.dtype.kind == "f":
+            return segment_sums(values.astype(np.float64), lo, hi)
+        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return sums[hi] - sums[lo]
 
     def inside(self, size: int, bounds: np.ndarray) -> np.ndarray:
         """For every window start: does the window end in the document where it starts?"""
@@ -183,6 +186,16 @@ class Slice:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.word_offsets))
 
 
+def segment_sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of each segment lo to hi, in order and apart, the sum of its values (or rows of values), added up by itself."""
+    if not len(lo):
+        return np.zeros((0, *values.shape[1:]))
+    ends = np.stack([lo, hi], 1).ravel()
+    sums = np.add.reduceat(np.concatenate([values, np.zeros_like(values, shape=(1, *values.shape[1:]))]), ends, axis=0)[::2]
+    sums[lo == hi] = 0
+    return sums
+
+
 def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """Whole texts, null as empty, in one array with 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):
@@ -274,10 +287,26 @@ class SpanTable:
             left, at = left[more], (at[more] + 1) & self.mask
 
 
+#: Longer spans, as passages in scripts without spaces are, hardly come again and aren't remembered. Bytes that what is remembered may take.
+LONG_SPAN, MOST_BYTES = 48, 64 << 20
+
+
+def unique_pairs(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different pair of hashes is first, and the number of its pair for every one."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 class Distinct:
     """Works out each distinct span of the texts once in a Python worker; `learn` is called with the new ones.
 
-    It forgets all when it holds more than `most`, so its memory is bounded.
+    It forgets all when it holds more than `most` spans or MOST_BYTES, and spans over LONG_SPAN bytes with the next call, so
+    its memory is bounded whatever the script.
     """
 
     def __init__(self, most: int):
@@ -285,26 +314,45 @@ class Distinct:
         self.clear()
 
     def clear(self) -> None:
-        self.table = SpanTable()
+        self.table, self.passing = SpanTable(), False
 
     def learn(self, words: list[str]) -> None:
         raise NotImplementedError
 
+    def cut(self, n: int) -> None:
+        """Forget what was learned but for the first n."""
+        raise NotImplementedError
+
+    def held(self) -> int:
+        """Bytes of what was learned."""
+        raise NotImplementedError
+
     def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each span."""
+        """The number of each span; those of long spans hold until the next call."""
+        if self.passing:
+            self.cut(self.table.n)
+            self.passing = False
         keys, checks = two_hashes(buf, starts, ends)
+        long = ends - starts > LONG_SPAN
         found = self.table.find(keys, checks)
-        new = np.flatnonzero(found < 0)
+        new = np.flatnonzero((found < 0) & ~long)
         if len(new):
-            _, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
-            if self.table.n and self.table.n + len(first) > self.most:
+            first, which = unique_pairs(keys[new], checks[new])
+            if self.table.n and (self.table.n + len(first) > self.most or self.held() > MOST_BYTES):
                 self.clear()
-                new = np.arange(len(keys))
-                _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+                new = np.flatnonzero(~long)
+                first, which = unique_pairs(keys[new], checks[new])
             at = new[first]
             found[new] = self.table.n + which
             self.table.add(keys[at], checks[at])
             self.learn(strings(buf, starts[at], ends[at]).to_pylist())
+        if long.any():
+            new = np.flatnonzero(long)
+            first, which = unique_pairs(keys[new], checks[new])
+            found[new] = self.table.n + which
+            at = new[first]
+            self.learn(strings(buf, starts[at], ends[at]).to_pylist())
+            self.passing = True
         return found
 
 
@@ -321,6 +369,12 @@ class WordMemo(Distinct):
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.count = self.used = 0
 
+    def cut(self, n: int) -> None:
+        self.count, self.used = n, int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
+
+    def held(self) -> int:
+        return 4 * self.used
+
     def learn(self, words: list[str]) -> None:
         rows = self.encode(words)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))

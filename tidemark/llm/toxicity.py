@@ -25,7 +25,7 @@ GRAMS, BITS = (3, 4, 5, 6, 7, 8), 21
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: A feature needs so many documents of the sample, and so large a log-count ratio.
 LEAST_DOCS, LEAST_RATIO = 5, 2.5
-#: Features at most: those with the largest ratios. Tasks that count the sample, which is small.
+#: Features at most: those with the largest ratios; a parameter of the model, as LEAST_DOCS is (sf0.1 has 2,688). Tasks that count the sample, which is small.
 MOST_FEATURES, TASKS = 1 << 14, 4
 #: Rows with at least this score are predicted toxic.
 LEAST_TOXIC = 0.3
@@ -85,7 +85,10 @@ def _emit_counts(batches):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, where=None) -> Model | None:
-    """A model from `sample_rows` labelled rows at most. None if a class is missing: then scores are 0."""
+    """A model from `sample_rows` labelled rows at most. None if a class is missing: then scores are 0.
+
+    The driver holds two bytes for each feature that a row has, 200 MB at most, whatever the texts.
+    """
     sample = settled(linear.labelled(docs, labels, "toxic", sample_rows, where).coalesce(TASKS))
     sizes = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -103,13 +106,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, wh
             for part, grams in buckets(batch.column("text")):
                 for d in range(part.hi - part.lo):
                     x = np.unique(shared.value[np.concatenate([ids[at] for ids, at in zip(grams, spans(part, d), strict=True)])])
-                    own.append(x[x >= 0].astype(np.int32).tobytes())
+                    own.append(x[x >= 0].astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())], ["doc_id", "label", "ids"])
 
     rows = sorted(sample.mapInArrow(emit_rows, "doc_id long, label double, ids binary").collect(), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["ids"]))
-    ids, y, ratios = [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([r["label"] for r in rows]), kept["ratio"].to_numpy(np.float64)
+    ids, y, ratios = [np.frombuffer(r["ids"], np.uint16) for r in rows], np.array([r["label"] for r in rows]), kept["ratio"].to_numpy(np.float64)
     held = np.arange(len(y)) % 5 == 4
-    pick = lambda at: linear.Rows([ids[i] for i in np.flatnonzero(at)], [ratios[ids[i]] for i in np.flatnonzero(at)], len(ratios))
+    pick = lambda at: linear.Rows([ids[i] for i in np.flatnonzero(at)], ratios)
     w, b = linear.fit(pick(~held), y[~held], penalty=1e-3, steps=150, rate=0.02)
     slope, shift = linear.platt(pick(held).dot(w) + b, y[held]) if len(set(y[held].tolist())) == 2 else (1.0, 0.0)
     weights = np.zeros(1 << BITS, np.float32)
