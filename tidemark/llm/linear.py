@@ -15,58 +15,42 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-class Dense:
-    """Rows as one matrix of single floats, whose size depends on their number and the columns alone."""
-
-    def __init__(self, ids: list[np.ndarray], values: list[np.ndarray], width: int):
-        self.x, self.width = np.zeros((len(ids), width), np.float32), width
-        for row, i, v in zip(self.x, ids, values, strict=True):
-            row[i] = v
-
-    def __len__(self) -> int:
-        return len(self.x)
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return (self.x @ w.astype(np.float32)).astype(np.float64)
-
-    def back(self, g: np.ndarray) -> np.ndarray:
-        return (g.astype(np.float32) @ self.x).astype(np.float64)
-
-
 class Rows:
-    """Sparse rows of 0 and 1, whose columns have a scale each: of row i the columns ids[ptr[i]:ptr[i + 1]], two bytes a column. Products go through them in blocks."""
+    """Sparse rows: of row i the columns ids[ptr[i]:ptr[i + 1]], two bytes each, with their values in single floats, or 1 without; columns have a scale each. Products go through them in blocks."""
 
     BLOCK = 1 << 20
 
-    def __init__(self, ids: list[np.ndarray], scale: np.ndarray):
+    def __init__(self, ids: list[np.ndarray], scale: np.ndarray, values: list[np.ndarray] | None = None):
         self.ptr = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+        self.values = np.concatenate(values) if values else None
         self.scale, self.width = scale, len(scale)
 
     def __len__(self) -> int:
         return len(self.ptr) - 1
 
     def _blocks(self):
-        """(first row, row after the last, each entry's row among these, its column)."""
+        """(first row, row after the last, each entry's row among these, its column, its value)."""
         lo = 0
         while lo < len(self):
             hi = max(lo + 1, int(np.searchsorted(self.ptr, self.ptr[lo] + self.BLOCK, "right")) - 1)
-            yield lo, hi, np.repeat(np.arange(hi - lo), np.diff(self.ptr[lo : hi + 1])), self.ids[self.ptr[lo] : self.ptr[hi]]
+            at = slice(self.ptr[lo], self.ptr[hi])
+            yield lo, hi, np.repeat(np.arange(hi - lo), np.diff(self.ptr[lo : hi + 1])), self.ids[at], 1.0 if self.values is None else self.values[at]
             lo = hi
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         scaled = self.scale * w
-        out = [np.bincount(row, scaled[ids], hi - lo) for lo, hi, row, ids in self._blocks()]
+        out = [np.bincount(row, scaled[ids] * values, hi - lo) for lo, hi, row, ids, values in self._blocks()]
         return np.concatenate(out) if out else np.zeros(0)
 
     def back(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros(self.width)
-        for lo, hi, row, ids in self._blocks():
-            out += np.bincount(ids, g[lo:hi][row], self.width)
+        for lo, hi, row, ids, values in self._blocks():
+            out += np.bincount(ids, g[lo:hi][row] * values, self.width)
         return out * self.scale
 
 
-def fit(rows: Rows | Dense, y: np.ndarray, penalty: float, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit(rows: Rows, y: np.ndarray, penalty: float, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge-penalised logistic regression (Adam on the whole sample)."""
     w, b = np.zeros(rows.width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m = v = np.zeros(rows.width + 1)
