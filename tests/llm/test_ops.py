@@ -947,5 +947,5 @@ def test_samples_are_bounded(spark, docs):
 def test_queries_are_named():
     from tidemark.llm.queries import oracle_sql, queries
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14))
     assert set(oracle_sql()) < set(queries()) and json.dumps(oracle_sql())
