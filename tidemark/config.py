@@ -44,7 +44,10 @@ class SyncOptions:
     file by the key, so that later range scans can skip parts of it; a sort within tasks, no
     shuffle, and none for a database, which gives its rows in that order. tables: which, none for all.
     keys: primary keys by table, for sources that don't know them. unique: tables whose key must not repeat,
-    which a target of files can't see to; a table where it does fails.
+    which a target of files can't see to; a table where it does fails. retries: further attempts at a
+    step that failed by an error that may pass; retry_seconds: the wait before the first, doubled for each
+    further one up to a minute. verify: compare each table that was copied with its source before it is done; a table that
+    differs fails, also if the source was written to meanwhile.
     """
 
     parallel_tables: int = 4
@@ -55,6 +58,9 @@ class SyncOptions:
     tables: tuple[str, ...] = ()
     keys: dict[str, str | None] = field(default_factory=dict)
     unique: tuple[str, ...] = ()
+    retries: int = 3
+    retry_seconds: float = 1.0
+    verify: bool = False
 
     def __post_init__(self) -> None:
         for name in ("parallel_tables", "chunk_size", "batch_insert_size", "waves"):
@@ -63,6 +69,12 @@ class SyncOptions:
                 continue
             if isinstance(value, bool) or not isinstance(value, int) or value < 1:
                 raise ConfigError(f"sync.{name} must be a whole number of at least 1, not {value!r}")
+        if isinstance(self.retries, bool) or not isinstance(self.retries, int) or self.retries < 0:
+            raise ConfigError(f"sync.retries must be a whole number of at least 0, not {self.retries!r}")
+        if isinstance(self.retry_seconds, bool) or not isinstance(self.retry_seconds, int | float) or not 0 <= self.retry_seconds < float("inf"):
+            raise ConfigError(f"sync.retry_seconds must be a number of at least 0, not {self.retry_seconds!r}")
+        if not isinstance(self.verify, bool):
+            raise ConfigError(f"sync.verify must be true or false, not {self.verify!r}")
 
 
 @dataclass(frozen=True)

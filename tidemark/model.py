@@ -78,7 +78,7 @@ class Progress:
 
 @dataclass
 class SyncResult:
-    """rows counts what the target holds of the table, copied (of it) what this run wrote."""
+    """rows counts what the target holds of the table, copied (of it) what this run wrote, retries its further attempts."""
 
     table: str
     rows: int = 0
@@ -86,3 +86,21 @@ class SyncResult:
     error: str | None = None
     skipped: bool = False
     copied: int = 0
+    retries: int = 0
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """Two tables as bags of rows: parts compared, how many differ and their first and last keys (None: rows without a key); rows of either table, and those that only one has."""
+
+    parts: int
+    differing: int
+    source_rows: int
+    target_rows: int
+    missing_rows: int
+    extra_rows: int
+    spans: tuple[tuple[int | None, int | None], ...] = ()
+
+    @property
+    def same(self) -> bool:
+        return not (self.missing_rows or self.extra_rows)

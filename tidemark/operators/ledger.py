@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..model import Files, Progress
-from ..sources.base import PROGRESS, SPLITS, Catalog
+from ..sources.base import PROGRESS, RETRIES, SPLITS, Catalog
 
 #: The names of the ledger's columns.
 SCHEMA = (
@@ -23,6 +23,7 @@ SCHEMA = (
     "status string, started_at timestamp, finished_at timestamp, updated_at timestamp, error string"
 )
 SPLITS_SCHEMA = "seq long, table_name string, files long, bytes long, rows long, last_file string, high decimal(38,0)"
+RETRIES_SCHEMA = "seq long, table_name string, started_at timestamp, retries long, error string, updated_at timestamp"
 RESET = "reset"
 #: Events that are read before the log is cut down to the latest ones.
 MOST_EVENTS = 1000
@@ -103,6 +104,23 @@ class Splits(EventLog):
         self._append(table, files=done.files, bytes=done.bytes, rows=done.rows, last_file=done.last, high=None if done.high is None else Decimal(done.high))
 
 
+class Retries(EventLog):
+    """Attempts that failed and were made again: of each table the latest run that had any, known by its started_at in the ledger, how many, and the last one's error.
+
+    The log is made with the first such event, so a target without it has had none.
+    """
+
+    name, schema = RETRIES, RETRIES_SCHEMA
+
+    def put(self, table: str, started: datetime | None, retries: int, error: str) -> None:
+        self._append(table, started_at=started, retries=retries, error=error, updated_at=_now())
+
+    def get(self, table: str) -> int:
+        """How often anything was tried again in the latest run that had to."""
+        self.ensure()
+        return self._latest.get(table, {}).get("retries", 0)
+
+
 class Ledger(EventLog):
     """Each table's progress."""
 

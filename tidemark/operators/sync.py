@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError, SyncOptions
 from ..functions import quoted, whole
-from ..model import Chunk, Files, Mode, Progress, SourceFile, SyncResult, Wave
+from ..model import Chunk, Comparison, Files, Mode, Progress, SourceFile, SyncResult, Wave
 from ..plans import chunk_of, file_waves, first_key
-from ..sources.base import PROGRESS, SPLITS, Catalog, open_catalog
-from .ledger import Ledger, Splits
+from ..sources.base import PROGRESS, RETRIES, SPLITS, Catalog, open_catalog
+from .ledger import Ledger, Retries, Splits
 from .progress import INTERVAL, Watcher, group
 from .reports import log_summary
+from .retry import passes, pause
 from .scan import range_of, usable_key
 from .unique import repeated_keys
+from .verify import verify
 
 logger = logging.getLogger(__name__)
 #: Waves of a table that lies in files.
@@ -40,6 +42,10 @@ class RepeatedKeys(RuntimeError):
     """A key that was said not to repeat does."""
 
 
+class Different(RuntimeError):
+    """A table that was copied isn't what its source is."""
+
+
 class SyncEngine:
     """Copies the tables of a source catalog into a target catalog.
 
@@ -57,7 +63,7 @@ class SyncEngine:
         self.source, self.target, self.options = source, target, options or SyncOptions()
         self.source.keys = {**self.source.keys, **self.options.keys}
         self.source.fetch_rows = self.options.batch_insert_size
-        self.ledger, self.splits = Ledger(target, clock) if clock else Ledger(target), Splits(target)
+        self.ledger, self.splits, self.retries = Ledger(target, clock) if clock else Ledger(target), Splits(target), Retries(target)
         self.watcher = Watcher(source.spark, interval)
         self.before_advance = before_advance or (lambda table, wave: None)
         if source.identity == target.identity:
@@ -76,7 +82,7 @@ class SyncEngine:
         if mode is Mode.RESTART:
             self.ledger.reset()
             logger.info("restart: all progress is forgotten")
-        tables = [t for t in dict.fromkeys(self.options.tables) if t not in (PROGRESS, SPLITS)] or self.source.discover()
+        tables = self.tables()
         logger.info("tables: %s", ", ".join(tables))
         results = []
         self.watcher = Watcher(self.source.spark, self.watcher.interval)  # a thread starts once
@@ -88,6 +94,57 @@ class SyncEngine:
         log_summary(results, time.monotonic() - began)
         return results
 
+    def tables(self) -> list[str]:
+        """Those that were asked for, or all of the source."""
+        return [t for t in dict.fromkeys(self.options.tables) if t not in (PROGRESS, SPLITS, RETRIES)] or self.source.discover()
+
+    def verify(self) -> dict[str, Comparison | Exception]:
+        """Each table as it is in the target against the source, several at a time; nothing is written. An error stays with its table."""
+
+        def one(table: str) -> Comparison | Exception:
+            try:
+                found = self._compare(table)
+            except Exception as e:  # noqa: BLE001  whatever it is, it's this table's
+                logger.error("table %s can't be compared: %s", table, _said(e))
+                return e
+            say = logger.info if found.same else logger.error
+            say("table %s: %d of %d parts differ, %d rows missing, %d extra", table, found.differing, found.parts, found.missing_rows, found.extra_rows)
+            return found
+
+        tables = self.tables()
+        with ThreadPoolExecutor(self.options.parallel_tables) as pool:
+            own = inheritable_thread_target(self.source.spark)(one)
+            return dict(zip(tables, pool.map(own, tables), strict=True))
+
+    def _compare(self, table: str) -> Comparison:
+        key, kinds = self.source.key(table), self.source.load(table).schema
+        key = key if key in kinds.names and usable_key(kinds[key].dataType) else None
+        return verify(*[c.all_rows(table, key, self.options.chunk_size) for c in (self.source, self.target)], key)
+
+    def _verified(self, table: str) -> None:
+        if not self.options.verify:
+            return
+        found = self._compare(table)
+        if not found.same:
+            raise Different(f"{found.missing_rows} rows are missing in the target and {found.extra_rows} are in it alone, in {found.differing} of {found.parts} parts")
+
+    def _again[T](self, result: SyncResult, step: Callable[[], T]) -> T:
+        """The step's result; it is tried again after errors that may pass. A step may be done twice without harm."""
+        failed = 0
+        while True:
+            try:
+                return step()
+            except Exception as e:  # noqa: BLE001
+                failed += 1
+                if failed > self.options.retries or not passes(e):
+                    raise
+                wait = pause(failed, self.options.retry_seconds)
+                result.retries += 1
+                logger.warning("table %s: attempt %d failed (%s); again in %.1f s", result.table, failed, _said(e), wait)
+                known = self.ledger.get(result.table)
+                self.retries.put(result.table, known.started_at if known else None, result.retries, _said(e))
+                time.sleep(wait)
+
     def _isolated(self, table: str, mode: Mode) -> SyncResult:
         began = time.monotonic()
         self.source.spark.sparkContext.setJobGroup(group(table), f"copying {table}")
@@ -146,7 +203,7 @@ class SyncEngine:
             self._complete(result, known)
             return
         by_range = known is not None and known.last_pk_value is not None  # begun so; goes on so
-        files = None if by_range or self.source.indexed or self.target.indexed else self.source.files(table)
+        files = None if by_range or self.source.indexed or self.target.indexed else self._again(result, lambda: self.source.files(table))
         if files is None:
             self._copy_ranges(result, rows, key, known)
         else:
@@ -154,6 +211,7 @@ class SyncEngine:
         if not result.skipped:
             self._check_key(table, key)
             self.target.finish(table)
+            self._verified(table)
             self.ledger.done(table, result.rows)
 
     def _complete(self, result: SyncResult, known: Progress) -> None:
@@ -182,13 +240,10 @@ class SyncEngine:
         self.ledger.start(table, total, key, resumed=known is not None)
         self.watcher.expect(table, total)
         self._ensure(table, rows, key, done.files - 1 if done.files else None, keep=known is not None)
-        result.rows, k = done.rows, F.col(quoted(key))
+        result.rows = done.rows
         for wave in file_waves(files[done.files :], o.waves or FILE_WAVES):
             span = Chunk(done.files, done.files + len(wave) - 1)
-            seen = Observation(f"{table} {span.start}")
-            part = self.source.file_scan(table, wave[0].path, wave[-1].path).observe(seen, F.count(F.lit(1)).alias("rows"), F.count(k).alias("keyed"), F.max(k).alias("high"))
-            self.target.write_wave(table, part.sortWithinPartitions(k) if o.sort_rows else part, span, key, o.batch_insert_size)
-            found = seen.get
+            found = self._again(result, lambda: self._write_files(table, wave, span, key))  # noqa: B023  called at once
             if found["rows"] != found["keyed"]:
                 self.target.drop_after(table, key, span.start - 1 if span.start else None)
                 self._no_nulls(found["rows"] - found["keyed"], key)
@@ -199,10 +254,17 @@ class SyncEngine:
             result.rows, result.copied = done.rows, result.copied + found["rows"]
             self.ledger.advance(table, done.rows, high if done.files == len(files) else None)
 
+    def _write_files(self, table: str, wave: list[SourceFile], span: Chunk, key: str) -> dict:
+        """rows, rows with a key (keyed) and the greatest key (high) of a wave of files, which is then in the target."""
+        k, seen = F.col(quoted(key)), Observation(f"{table} {span.start}")
+        part = self.source.file_scan(table, wave[0].path, wave[-1].path).observe(seen, F.count(F.lit(1)).alias("rows"), F.count(k).alias("keyed"), F.max(k).alias("high"))
+        self.target.write_wave(table, part.sortWithinPartitions(k) if self.options.sort_rows else part, span, key, self.options.batch_insert_size)
+        return seen.get
+
     def _copy_ranges(self, result: SyncResult, rows: DataFrame, key: str, known: Progress | None) -> None:
         """Waves of key ranges, in ascending order."""
         table, o = result.table, self.options
-        keys = range_of(self.source.key_stats(table, key))
+        keys = self._again(result, lambda: range_of(self.source.key_stats(table, key)))
         self._no_nulls(keys.nulls, key)
         last = known.last_pk_value if known else None
         if last is not None and last >= keys.high:
@@ -216,23 +278,27 @@ class SyncEngine:
         self._ensure(table, rows, key, last, keep=known is not None)
         if keys.rows:
             span = Chunk(first_key(keys, last), keys.high)
-            self._copy_waves(result, rows, key, self.source.key_waves(table, key, span, o.chunk_size, o.waves))
+            self._copy_waves(result, rows, key, self._again(result, lambda: self.source.key_waves(table, key, span, o.chunk_size, o.waves)))
 
     def _copy_waves(self, result: SyncResult, rows: DataFrame, key: str, plan: list[Wave]) -> None:
-        table, o = result.table, self.options
-        filled = self._filled(rows, key, plan)
+        table = result.table
+        filled = self._again(result, lambda: self._filled(rows, key, plan))
         for number, wave in enumerate(plan):
             if number in filled:
-                seen = Observation(f"{table} {number}")
-                part = self.source.range_scan(table, key, wave, o.chunk_size).observe(seen, F.count(F.lit(1)).alias("rows"))
-                part = part.sortWithinPartitions(F.col(quoted(key))) if o.sort_rows and not self.source.ordered else part
-                self.target.write_wave(table, part, wave, key, o.batch_insert_size)
-                copied = seen.get["rows"]
+                copied = self._again(result, lambda: self._write_range(table, number, wave, key))  # noqa: B023  called at once
                 result.rows, result.copied = result.rows + copied, result.copied + copied
             self.before_advance(table, wave)
             if number in filled or number == len(plan) - 1:  # an empty wave is covered by the next event
                 self.ledger.advance(table, result.rows, wave.end)
 
+    def _write_range(self, table: str, number: int, wave: Wave, key: str) -> int:
+        """The number of rows of a wave of key ranges, which is then in the target."""
+        o, seen = self.options, Observation(f"{table} {number}")
+        part = self.source.range_scan(table, key, wave, o.chunk_size).observe(seen, F.count(F.lit(1)).alias("rows"))
+        part = part.sortWithinPartitions(F.col(quoted(key))) if o.sort_rows and not self.source.ordered else part
+        self.target.write_wave(table, part, wave, key, o.batch_insert_size)
+        return seen.get["rows"]
+
     def _filled(self, rows: DataFrame, key: str, plan: list[Chunk]) -> set[int]:
         """Numbers of the waves that have rows: at most as many numbers as waves come to the driver. A source with an index isn't asked; it reads an empty wave fast."""
         if len(plan) == 1 or self.source.indexed:
@@ -243,7 +309,7 @@ class SyncEngine:
 
     def _copy_whole(self, result: SyncResult, rows: DataFrame) -> None:
         table = result.table
-        total = self.source.count(table)
+        total = self._again(result, lambda: self.source.count(table))
         self.ledger.start(table, total, "", resumed=False)
         self.watcher.expect(table, total)
         self.target.recover(table)
@@ -251,9 +317,15 @@ class SyncEngine:
             self._same_schema(table, rows)
         else:
             self.target.create(table, rows.schema, None, self.source.key_columns(table), self.source.definition(table))
+        result.rows = result.copied = self._again(result, lambda: self._replace(table, total))
+        self.target.finish(table)
+        self._verified(table)
+        self.ledger.done(table, result.rows)
+
+    def _replace(self, table: str, total: int) -> int:
+        """The number of rows, which are then the whole target table."""
         seen = Observation(table)
+        self.target.recover(table)  # what an attempt before this one may have left
         part = self.source.bulk_scan(table, total, self.options.chunk_size)
         self.target.replace(table, part.observe(seen, F.count(F.lit(1)).alias("rows")), self.options.batch_insert_size)
-        result.rows = result.copied = seen.get["rows"]
-        self.target.finish(table)
-        self.ledger.done(table, result.rows)
+        return seen.get["rows"]

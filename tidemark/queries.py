@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .config import SyncOptions
 from .model import Chunk, Mode
 from .functions import percent, rate
-from .operators import SyncEngine, batch_report, chunk_report, reconcile, summary
+from .operators import SyncEngine, batch_report, chunk_report, reconcile, summary, verify
 from .operators.scan import key_range, key_range_frame
 from .operators.unique import repeated_keys
 from .plans import first_key, waves
@@ -241,6 +241,38 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.union, rows)
 
 
+def _comparison(spark: SparkSession, found: dict) -> DataFrame:
+    rows = [(t, c.differing, c.source_rows, c.target_rows, c.missing_rows, c.extra_rows) for t, c in found.items()]
+    return spark.createDataFrame(rows, "table_name string, differing_parts long, source_rows long, target_rows long, missing_rows long, extra_rows long")
+
+
+def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables: copied, then compared with their sources by sums of row hashes."""
+    e = _run(engine(spark, sf_dir, *KEYS, chunk_size=50_000))
+    found = e.verify()
+    for c in found.values():
+        if isinstance(c, Exception):
+            raise c
+    return _comparison(spark, found)
+
+
+def verified_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders, by its key, and lineitem, without one, against tables where rows are changed, missing and there twice."""
+    s = source(spark, sf_dir)
+    o, l = s.load("orders"), s.load("lineitem")
+    bad = o.where(F.col("o_orderkey") % 1009 != 5).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1009 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    twice = l.union(l.where(F.col("l_orderkey") % 997 == 3))
+    found = {"orders": verify(o, bad.union(o.where(F.col("o_orderkey") % 1009 == 9)), "o_orderkey"), "lineitem": verify(l, twice)}
+    return _comparison(spark, found).drop("differing_parts")
+
+
+def damaged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals of orders' keys in which a table differs where each 1009th row is missing."""
+    o = source(spark, sf_dir).load("orders")
+    found = verify(o, o.where(F.col("o_orderkey") % 1009 != 5), "o_orderkey")
+    return spark.createDataFrame(list(found.spans), "first_key long, last_key long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"copy_{t}": functools.partial(copied, table=t) for t in KEYS}
     found |= {f"pk_range_{t}": functools.partial(key_range_of, table=t) for t, k in KEYS.items() if k}
@@ -252,6 +284,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resume_remaining_orders": resume_remaining, "progress_after_sync": progress_after_sync, "sync_summary": sync_summary, "reconcile_all": reconciled,
         "failure_isolation": failure_isolated, "failure_summary": failure_summary, "sync_restarted": restarted, "progress_rates_labels": progress_rates,
         "sorted_copy_labels": sorted_copy, "copied_keys": copied_keys, "repeated_keys_all": repeats, "files_after_resume": resumed_files,
+        "verify_all": verified, "verify_damaged": verified_damaged, "verify_damaged_parts": damaged_parts,
     }
 
 
@@ -301,5 +334,15 @@ SELECT chunk_id, CAST(synced AS DOUBLE) / n * 100 AS percent, CASE WHEN chunk_id
         "copied_keys": union(f"SELECT '{t}' AS table_name, {f"'{KEYS[t]}'" if KEYS[t] else 'CAST(NULL AS VARCHAR)'} AS primary_key" for t in (*SYNCED, "lineitem")),
         "repeated_keys_all": union(f"SELECT '{t}' AS table_name, '{k}' AS key_column, count({k}) - count(DISTINCT {k}) AS repeated_rows FROM {t}" for t, k in (KEYS | {"lineitem": "l_orderkey"}).items()),
         "files_after_resume": "SELECT 'orders' AS table_name, CAST(8 AS BIGINT) AS files, count(*) AS rows, CAST(max(o_orderkey) AS BIGINT) AS high FROM orders",
+        "verify_all": union(f"SELECT '{t}' AS table_name, CAST(0 AS BIGINT) AS differing_parts, count(*) AS source_rows, count(*) AS target_rows, CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows FROM {t}" for t in KEYS),
+        "verify_damaged": """
+SELECT 'orders' AS table_name, count(*) AS source_rows, count(*) - count(*) FILTER (o_orderkey % 1009 = 5) + count(*) FILTER (o_orderkey % 1009 = 9) AS target_rows,
+       count(*) FILTER (o_orderkey % 1009 IN (5, 7)) AS missing_rows, count(*) FILTER (o_orderkey % 1009 IN (7, 9)) AS extra_rows FROM orders
+UNION ALL SELECT 'lineitem', count(*), count(*) + count(*) FILTER (l_orderkey % 997 = 3), 0, count(*) FILTER (l_orderkey % 997 = 3) FROM lineitem""",
+        "verify_damaged_parts": """
+WITH b AS (SELECT min(o_orderkey) AS low, max(o_orderkey) - min(o_orderkey) AS span FROM orders),
+w AS (SELECT low, CAST(1 AS BIGINT) << CAST(greatest(0, length(ltrim(bin(span), '0')) - 12) AS BIGINT) AS width FROM b)
+SELECT DISTINCT CAST(low + (o_orderkey - low) // width * width AS BIGINT) AS first_key, CAST(low + (o_orderkey - low) // width * width + width - 1 AS BIGINT) AS last_key
+FROM orders, w WHERE o_orderkey % 1009 = 5""",
         "reconcile_all": union(f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows FROM {t}" for t in (*SYNCED, "lineitem")),
     }

@@ -16,8 +16,8 @@ from ..model import Chunk, SourceFile, Wave
 from ..plans import waves
 from .ddl import TableDef
 
-#: Fixed value: the ledger's name in a target. Beside it, how much of each table's files is copied.
-PROGRESS, SPLITS = "sync_progress", "sync_splits"
+#: Fixed value: the ledger's name in a target. Beside it, how much of each table's files is copied, and what was tried again.
+PROGRESS, SPLITS, RETRIES = "sync_progress", "sync_splits", "sync_retries"
 #: Marks the rows of a wave in targets that Spark stores; readers don't see it.
 WAVE = "_wave_start"
 logger = logging.getLogger(__name__)
@@ -59,7 +59,7 @@ class Catalog(abc.ABC):
         found = self.tables()
         if PROGRESS in found:
             logger.warning("a source table is named %s, as the ledger is; it isn't copied", PROGRESS)
-        return [t for t in found if t not in (PROGRESS, SPLITS)]
+        return [t for t in found if t not in (PROGRESS, SPLITS, RETRIES)]
 
     def columns(self, table: str) -> list[str]:
         return self.load(table).columns
@@ -93,6 +93,10 @@ class Catalog(abc.ABC):
         """Waves that cover the span's keys. Here each is a scan, so there is one unless more are asked for."""
         return [Wave(c.start, c.end) for c in waves(span.start, span.end, chunk_size, count or 1)]
 
+    def all_rows(self, table: str, key: str | None, chunk_size: int) -> DataFrame:
+        """The whole table in no order, for a database by intervals of a key of whole numbers, if it has one; filters may be pushed into it."""
+        return self.full_scan(table)
+
     def bulk_scan(self, table: str, rows: int, chunk_size: int) -> DataFrame:
         """All rows of a table without a key that has so many."""
         return self.full_scan(table)

@@ -216,6 +216,14 @@ class JdbcCatalog(Catalog):
 
     ordered = True
 
+    def all_rows(self, table: str, key: str | None, chunk_size: int) -> DataFrame:
+        """By ranges of the key, as a copy has them, and the rows without a key; else by buckets."""
+        if key is None:
+            return self.bulk_scan(table, self.count(table), chunk_size)
+        found, k = self.key_stats(table, key).first(), self.quoted(key)
+        parts = self.ranges(table, key, Chunk(int(found["low"]), int(found["high"])), chunk_size) if found["keyed"] else []
+        return self._by(table, [*[f"{k} >= {c.start} AND {k} <= {c.end}" for c in parts], f"{k} IS NULL"])
+
     def bulk_scan(self, table: str, rows: int, chunk_size: int) -> DataFrame:
         """A table without a key through several connections: each reads the rows of one bucket, by a hash that the database works out."""
         n = min(self.parts, -(-rows // chunk_size))
