@@ -352,3 +352,18 @@ def test_counts_by_chunk_and_batch(spark):
     assert [tuple(r) for r in chunk_report(rows, "id", 10).orderBy("chunk_id").collect()] == [(0, 1, 10, 3, 3), (1, 11, 20, 0, 3), (2, 21, 26, 2, 5)]
     assert [tuple(r) for r in batch_report(rows, "id", 10, 2).orderBy("chunk_id", "batch_id").collect()] == [(0, 0, 1, 2, 2), (0, 1, 3, 3, 1), (2, 0, 25, 26, 2)]
     assert chunk_report(rows.where(F.lit(False)), "id", 10).count() == 0
+
+
+def test_batches_of_keys_that_repeat(spark):
+    from tidemark.operators import batch_report
+
+    ids = [3] * 50 + [4, 4, 5] + [17] * 16 + [18] + list(range(20, 30)) * 3
+    want, chunks = [], {}
+    for i in sorted(ids):
+        chunks.setdefault((i - 3) // 10, []).append(i)
+    for c, own in chunks.items():
+        want += [(c, b // 8, own[b], own[b : b + 8][-1], len(own[b : b + 8])) for b in range(0, len(own), 8)]
+    got = batch_report(keyed(spark, ids).repartition(4), "id", 10, 8)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert [f.dataType.typeName() for f in got.schema] == ["long"] * 5
+    assert batch_report(keyed(spark, ids).where(F.lit(False)), "id", 10, 8).count() == 0

@@ -37,13 +37,19 @@ def chunk_report(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def batch_report(rows: DataFrame, key: str, size: int, batch: int) -> DataFrame:
-    """chunk_id, batch_id, first_pk, last_pk, batch_rows: a chunk's rows by key, cut after every `batch` rows."""
+    """chunk_id, batch_id, first_pk, last_pk, batch_rows: a chunk's rows by key, cut after every `batch` rows.
+
+    Rows are counted by key first, so a chunk is ordered as at most `size` counts, however many rows a key has.
+    """
     low = key_range(rows, key).low
     k = F.col(quoted(key))
-    numbered = rows.select(k.alias("k"), chunk_of(k, low, size).cast("long").alias("chunk_id"))
-    at = F.row_number().over(W.partitionBy("chunk_id").orderBy("k")) - 1
-    batches = numbered.withColumn("batch_id", F.floor(at / batch).cast("long"))
-    return batches.groupBy("chunk_id", "batch_id").agg(F.min("k").alias("first_pk"), F.max("k").alias("last_pk"), F.count(F.lit(1)).alias("batch_rows"))
+    counted = rows.select(k.alias("k"), chunk_of(k, low, size).cast("long").alias("chunk_id")).groupBy("chunk_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    until = F.sum("n").over(W.partitionBy("chunk_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    spans = counted.select("chunk_id", "k", until.alias("until"), (until - F.col("n")).alias("since"))
+    number = lambda at: (at - at % batch) / batch  # noqa: E731  at is whole, and so is this
+    cut = spans.withColumn("batch_id", F.explode(F.sequence(number(F.col("since")).cast("long"), number(F.col("until") - 1).cast("long"))))
+    own = F.least("until", (F.col("batch_id") + 1) * batch) - F.greatest("since", F.col("batch_id") * batch)
+    return cut.groupBy("chunk_id", "batch_id").agg(F.min("k").alias("first_pk"), F.max("k").alias("last_pk"), F.sum(own).alias("batch_rows"))
 
 
 SUMMARY = "table_name string, rows long, copied long, seconds double, skipped boolean, error string"
