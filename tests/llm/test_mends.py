@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, linear, neighbours, packing, pieces, quality, textops, toxicity
+from tidemark.llm import langid, linear, neighbours, packing, pieces, pii, quality, textops, toxicity
 
 # Sums by document.
 
@@ -168,3 +168,37 @@ def test_recall_of_the_index(noise, monkeypatch):
     assert got >= 0.9
     exact = 50 * 10_240
     assert sum(work) - exact < (0.4 if noise != 1e-6 else 0.6) * exact
+
+
+# Phone numbers.
+
+
+@pytest.mark.parametrize(
+    "forms, code",
+    [
+        (("+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+4420 7946 0958", "+44 2079 460958"), "44"),
+        (("+1 212 555 0123", "+12125550123", "+1 (212) 555-0123"), "1"),
+        (("+353 1 234 5678", "+35312345678", "+353 12 345 678"), "353"),
+        (("+7 495 123 4567", "+74951234567"), "7"),
+    ],
+)
+def test_a_number_has_one_pseudonym_however_it_is_grouped(forms, code):
+    """Where the form is one that is found; the country stays."""
+    p, images = pii.Permutation(b"k"), {}
+    for form in forms:
+        new, spans = pii.pseudonyms(f"call {form}, now", p)
+        if not spans:
+            assert form == "+353 1 234 5678"  # a group of one digit
+            continue
+        assert [k for k, _, _ in spans] == ["phone"] and new.startswith(f"call +{code}") and len(new) == len(f"call {form}, now")
+        images[form] = "".join(c for c in new if c.isdigit())
+    assert len(set(images.values())) == 1 and images[forms[1]] != "".join(c for c in forms[1] if c.isdigit())
+
+
+def test_countries_and_numbers_stay_apart():
+    p, seen = pii.Permutation(b"k"), {}
+    for code, own in (("44", "2079460958"), ("49", "2079460958"), ("1", "2125550123"), ("353", "212555012"), ("7", "4951234567")):
+        for i in range(50):
+            new, _ = pii.pseudonyms(f"+{code}{int(own) + i}", p)
+            assert new.startswith(f"+{code}") and seen.setdefault(new, (code, i)) == (code, i)
+    assert [pii.calling_code(d) for d in ("12125550123", "74951234567", "442079460958", "35312345678", "21212345678", "8801712345678", "0123456789")] == [1, 1, 2, 3, 3, 3, 3]

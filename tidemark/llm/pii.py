@@ -32,6 +32,9 @@ QUERY_KEY = b"tidemark example key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+#: The country calling codes of two digits. Those that begin with 1 or 7 have one digit, all others three.
+TWO_DIGIT_CODES = (20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98)
+
 #: Formats, in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -175,8 +178,12 @@ def _phone(p, s):
     d = re.sub("[^0-9]", "", s)
     if not 8 <= len(d) <= 15:
         return None
-    code = len(re.sub("[^0-9]", "", re.match(r"\+[0-9]{1,3}(?![0-9])|\+[0-9]|", s)[0]))
-    return _digits(p, s, "phone", kept=code)
+    return _digits(p, s, "phone", kept=calling_code(d) if s.startswith("+") else 0)
+
+
+def calling_code(digits: str) -> int:
+    """How many digits of an international number are its country's code; how the number is grouped doesn't matter."""
+    return 1 if digits[0] in "17" else 2 if int(digits[:2]) in TWO_DIGIT_CODES else 3
 
 
 def _email(p, s):
