@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import carried, column, restored, settled
+from .shared import carried, column, restored, settled, stored
 from .textops import joined, mix, slices, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -159,25 +159,25 @@ def _keyed(classes: DataFrame, depth: int) -> DataFrame:
 
 def _links(members: DataFrame, classes: DataFrame, likely: float) -> DataFrame:
     """What `_compare` finds in the groups of members: node, comp, key, group, i, j, side."""
-    return settled(members.join(classes.select("node", "path"), "node").groupBy("group").applyInArrow(_compare(likely), "a long, b long, alike double"))
+    return stored(members.join(classes.select("node", "path"), "node").groupBy("group").applyInArrow(_compare(likely), "a long, b long, alike double"))
 
 
 def _merged(classes: DataFrame, links: DataFrame, well: bool) -> DataFrame:
     """classes whose comp is the least of those it is linked to: near enough to components to spare comparisons. well: look four links far."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    to = settled(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
+    to = stored(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
     if well:
         over = both.join(to.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("to").alias("far"))
-        to = settled(to.join(over, "a").select("a", F.least("to", "far").alias("to")))
+        to = stored(to.join(over, "a").select("a", F.least("to", "far").alias("to")))
         jump = to.select(F.col("a").alias("to"), F.col("to").alias("far"))
-        to = settled(to.join(jump, "to", "left").select("a", F.coalesce("far", "to").alias("to")))
+        to = stored(to.join(jump, "to", "left").select("a", F.coalesce("far", "to").alias("to")))
     return settled(classes.join(to.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), "path"))
 
 
 def _within_nodes(classes: DataFrame, depth: int, likely: float) -> tuple[DataFrame, list[DataFrame]]:
     """classes with what is found at this depth, and its links: each node's classes are compared, in blocks if they are many."""
     nodes = _keyed(classes, depth).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    nodes = settled(nodes.where("lo != hi").select("key", "n"))
+    nodes = stored(nodes.where("lo != hi").select("key", "n"))
     size, most = nodes.agg(F.sum("n"), F.max("n")).first()
     if not size:
         return classes, []
@@ -198,7 +198,7 @@ def _between_blocks(classes: DataFrame, large: DataFrame, depth: int, likely: fl
     members = settled(_keyed(classes, depth).join(large, "key"))
     parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     nodes = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("home"), F.sum("n").alias("n")).where(F.col("home.n") < F.col("n"))
-    nodes = settled(nodes.select("key", F.col("home.comp").alias("home"), F.ceil(F.col("home.n") / NODE).cast("int").alias("h"), F.ceil((F.col("n") - F.col("home.n")) / NODE).cast("int").alias("o")))
+    nodes = stored(nodes.select("key", F.col("home.comp").alias("home"), F.ceil(F.col("home.n") / NODE).cast("int").alias("h"), F.ceil((F.col("n") - F.col("home.n")) / NODE).cast("int").alias("o")))
     if nodes.isEmpty():
         return None
     at_home, any_block = F.col("comp") == F.col("home"), F.xxhash64("node", "key")
